@@ -149,23 +149,44 @@ def predict(df: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred, score of every row's whole text."""
 
     def run(ids, texts):
-        langs, scores = [UNDETERMINED] * len(ids), [0.0] * len(ids)
-        known = [i for i, t in enumerate(texts) if net is not None and t and _LETTER.search(t)]
-        for at in range(0, len(known), 200):
-            some = known[at : at + 200]
-            parts = [windows_of(texts[i]) for i in some]
-            x = np.concatenate(parts)
-            filled = (x != 0).sum(axis=1)[:, None]
-            ends = np.cumsum([0] + [len(p) for p in parts])[:-1]
-            total = np.add.reduceat(probabilities(net, x) * filled, ends, axis=0) / np.add.reduceat(filled, ends, axis=0)
-            for i, p in zip(some, total):
-                best = int(p.argmax())
-                langs[i], scores[i] = net.languages[best], float(min(1.0, max(0.0, p[best])))
+        langs, scores = _predicted(net, texts)
         return {"doc_id": ids, "lang_pred": langs, "score": scores}
 
     return map_text(df, run, "doc_id long, lang_pred string, score double", rows=500)
 
 
+def _predicted(net: Network | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    known = [i for i, t in enumerate(texts) if net is not None and t and _LETTER.search(t)]
+    for at in range(0, len(known), 200):
+        some = known[at : at + 200]
+        parts = [windows_of(texts[i]) for i in some]
+        x = np.concatenate(parts)
+        filled = (x != 0).sum(axis=1)[:, None]
+        ends = np.cumsum([0] + [len(p) for p in parts])[:-1]
+        total = np.add.reduceat(probabilities(net, x) * filled, ends, axis=0) / np.add.reduceat(filled, ends, axis=0)
+        for i, p in zip(some, total):
+            best = int(p.argmax())
+            langs[i], scores[i] = net.languages[best], float(min(1.0, max(0.0, p[best])))
+    return langs, scores
+
+
+def keep_identified(df: DataFrame, net: Network | None, least: float) -> DataFrame:
+    """The rows and columns of df whose language is determined with a score of at least ``least``."""
+
+    @F.pandas_udf("boolean")
+    def known(texts):
+        import pandas as pd
+
+        out = []
+        for at in range(0, len(texts), 500):
+            langs, scores = _predicted(net, texts.iloc[at : at + 500].tolist())
+            out += [lang != UNDETERMINED and s >= least for lang, s in zip(langs, scores)]
+        return pd.Series(out, dtype=bool)
+
+    return df.where(known(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
 def identify(df: DataFrame) -> DataFrame:
     """Learn from two of three folds and predict every row: doc_id, held_out, lang_pred, score."""
     net = fit(df.where(fold_of("doc_id", 3) != 1))

@@ -80,7 +80,7 @@ def pack(df: DataFrame, capacity: int = CAPACITY, rows_per_shard: int = ROWS_PER
     items = items.select("doc_id", "n_tokens", F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(64)).cast("int").alias("source"), F.coalesce(F.pmod(F.xxhash64(F.when(F.col("cluster").isNotNull(), F.col("cluster"))), F.lit(64 * CLUSTER_WORDS)), F.lit(0)).cast("int").alias("bit"), F.col("cluster").isNotNull().alias("marked"))
     items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", F.lit(17)), F.lit(shards)))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         shard = int(key[0])
         pdf = pdf.sort_values(["doc_id", "n_tokens", "source", "bit"], kind="stable", na_position="first").reset_index(drop=True)
         total = pdf["n_tokens"].to_numpy(np.int64)

@@ -203,6 +203,16 @@ def score(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     return map_text(df, run, "doc_id long, score double, predicted int, n_hits long")
 
 
+def keep_clean(df: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows and columns of df without those that are predicted toxic."""
+
+    @F.pandas_udf("boolean")
+    def toxic(texts):
+        return texts.map(lambda t: score_of(lexicon, raw_score(lexicon, t)[0]) >= 0.5)
+
+    return df.where(~toxic(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     lexicon = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
