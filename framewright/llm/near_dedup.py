@@ -5,7 +5,8 @@ Words are lower-cased runs between white space. A text's elements are its five-w
 element sequences matches at least 0.8 of the union (matched / (n + m - matched)), so moved text lowers the similarity. Links make classes.
 
 Work follows the number of links, not the square of groups: exact copies meet in one node first; in every bucket each node is compared with one centre, the node that shares most; only
-buckets that then still hold several classes are looked at again, by counts of equal keys, until nothing new is found. A pair of similarity 0.8 shares none of
+buckets that then still hold several classes are looked at again, until nothing new is found. There a pair is tried only if it can still be linked: what two texts of different classes share is
+at most the elements that each has in common with any other class, so texts with edits of their own are ruled out by two numbers, exactly and without trying pairs. A pair of similarity 0.8 shares none of
 24 keys of 3 minima with probability (1 - 0.8 ** 3) ** 24 < 4e-8.
 
 Texts of fewer than five words have one element, all their words. Null and empty texts are copies of one another. Repeated rows are copies; a null doc_id stays null and its class is
@@ -118,25 +119,27 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def sketches(df: DataFrame) -> DataFrame:
-    """doc_id, text, others (the other columns), node (128-bit hash of the words), keys."""
+    """doc_id, text, others (the other columns), node (128-bit hash of the words), keys, size (elements)."""
     others = [c for c in df.columns if c not in ("doc_id", "text")]
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*others).alias("others")] if others else []))
-    names = [*rows.columns, "node", "keys"]
+    names = [*rows.columns, "node", "keys", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                nodes, keys = [], []
+                nodes, keys, sizes = [], [], []
                 for t in batch.column(1).to_pylist():
                     words = (t or "").lower().split()
                     nodes.append(xxhash.xxh3_128_digest(" ".join(words)))
-                    keys.append(sketch(elements(words)))
+                    found = elements(words)
+                    keys.append(sketch(found))
+                    sizes.append(len(found))
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes, pa.int64())], names=names)
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*rows.schema.fields, T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
     return rows.mapInArrow(run, schema)
 
 
@@ -144,9 +147,9 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs (a, b) of nodes that are similar enough. texts: node, text, one row a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict[bytes, np.ndarray] = OrderedDict()
+        recent: OrderedDict[int, np.ndarray] = OrderedDict()
 
-        def of(node: bytes, text: str | None) -> np.ndarray:
+        def of(node: int, text: str | None) -> np.ndarray:
             if node not in recent:
                 recent[node] = elements((text or "").lower().split())
                 if len(recent) > 8:
@@ -159,12 +162,12 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 200)
                 a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
                 good = [i for i in range(len(a)) if similarity(of(a[i], ta[i]), of(b[i], tb[i])) >= SIMILARITY]
-                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.binary()), pa.array([b[i] for i in good], pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
 
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(right, "b").join(left, "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -181,46 +184,74 @@ def components(links: DataFrame) -> DataFrame:
             return current
 
 
-def _again(buckets: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) between different classes of one bucket that share at least LEAST_SHARED keys."""
-    placed = buckets.join(classes, "node", "left").select("key", "node", F.coalesce("class_node", "node").alias("class_node"))
-    mixed = placed.groupBy("key").agg(F.min("class_node").alias("low"), F.max("class_node").alias("high")).where("low != high").select("key")
-    rows = placed.join(mixed, "key").join(keys, "node")
+def _shared_elements(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, common: how many of a node's elements occur in a node of another class too. placed: node, class_node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                node, home, text = (whole.slice(at, 200).column(i).to_pylist() for i in range(3))
+                found = [elements((t or "").lower().split()) for t in text]
+                sizes = [len(f) for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(node, np.int64), sizes)), pa.array(np.repeat(np.array(home, np.int64), sizes)), pa.array(np.concatenate(found).view(np.int64))], names=["node", "class_node", "element"])
+
+    rows = placed.join(texts, "node").select("node", "class_node", "text").mapInArrow(run, "node long, class_node long, element long")
+    spread = rows.groupBy("element").agg(F.min("class_node").alias("low"), F.max("class_node").alias("high")).where("low != high").select("element")
+    return rows.join(spread, "element").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one class."""
+    keys = placed.groupBy("key").agg(F.min("class_node").alias("low"), F.max("class_node").alias("high")).where("low != high").select("key")
+    return placed.join(keys, "key")
+
+
+def _again(buckets: DataFrame, classes: DataFrame, chosen: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) between different classes of one bucket that can still reach the similarity."""
+    mixed = _mixed(buckets.join(classes, "node", "left").select("key", "node", F.coalesce("class_node", "node").alias("class_node")))
+    common = _shared_elements(mixed.select("node", "class_node").distinct(), texts)
+    able = chosen.join(common, "node").where(F.col("common") >= F.ceil(SIMILARITY * F.col("size") - 1e-6))
+    able = materialize(able.select("node", "keys", "size", "common"), "able")
+    rows = _mixed(mixed.join(able.select("node"), "node")).join(able, "node")
 
     def run(_, pdf):
-        node, home = pdf["node"].tolist(), pd.factorize(pdf["class_node"])[0]
+        node, home = pdf["node"].to_numpy(), pd.factorize(pdf["class_node"])[0]
+        size, common = pdf["size"].to_numpy(), pdf["common"].to_numpy()
         table, found = np.stack(pdf["keys"].to_numpy()), []
         for i in range(1, len(node)):
             for at in range(0, i, BLOCK):
-                other = slice(at, min(i, at + BLOCK))
-                shared = (table[other] == table[i]).sum(axis=1)
-                for j in np.flatnonzero((shared >= LEAST_SHARED) & (home[other] != home[i])):
-                    found.append((min(node[i], node[at + j]), max(node[i], node[at + j])))
-        return pd.DataFrame(found, columns=["a", "b"])
+                part = slice(at, min(i, at + BLOCK))
+                reach = np.minimum(common[part], common[i]) >= SIMILARITY / (1 + SIMILARITY) * (size[part] + size[i]) - 1e-6
+                other = at + np.flatnonzero(reach & (home[part] != home[i]))
+                if len(other):
+                    other = other[(table[other] == table[i]).sum(axis=1) >= LEAST_SHARED]
+                    found += [(min(node[i], node[j]), max(node[i], node[j])) for j in other]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.select("key", "node", "class_node", "keys").groupBy("key").applyInPandas(run, "a binary, b binary").distinct()
+    return rows.select("key", "node", "class_node", "keys", "size", "common").groupBy("key").applyInPandas(run, "a long, b long").distinct()
 
 
 def _decided(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The numbered rows, and row, doc_id, class_id, class_size, is_kept."""
     rows = materialize(sketches(df).withColumn("row", F.monotonically_increasing_id()), "sketches")
     nodes = materialize(rows.groupBy("node").agg(F.min(_first()).alias("first"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")).withColumn("row", F.col("first.row")), "nodes")
-    chosen = rows.join(nodes.select("row"), "row")
-    by_key = chosen.select("node", F.explode("keys").alias("key"))
-    sizes = by_key.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = materialize(by_key.join(sizes, "key").select("key", "node", "size"), "buckets")
+    # from here on a text is known by the number of its first row
+    chosen = rows.join(nodes.select("row"), "row").select(F.col("row").alias("node"), "keys", "size")
+    by_key = chosen.select("node", "size", F.explode("keys").alias("key"))
+    many = by_key.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = materialize(by_key.join(many, "key").select("key", "node", "size", "members"), "buckets")
     # the centre of a bucket is the node that shares most over all its buckets
-    weight = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
-    centres = buckets.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("a"))
-    pairs = buckets.join(centres, "key").where("a != node").select("a", F.col("node").alias("b")).distinct()
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    texts = chosen.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "text")
+    weight = buckets.groupBy("node").agg(F.sum("members").alias("weight"))
+    centres = buckets.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("top")).select("key", F.col("top.node").alias("centre"), F.col("top.size").alias("centre_size"))
+    fits = F.least("size", "centre_size") >= SIMILARITY * F.greatest("size", "centre_size") - 1e-6
+    pairs = buckets.join(centres, "key").where("centre != node").where(fits)
+    pairs = materialize(pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "pairs")
+    texts = rows.select(F.col("row").alias("node"), "text").join(buckets.select("node").distinct(), "node", "left_semi")
     links = materialize(verify(pairs, texts), "verified")
     seen = pairs
-    keys = chosen.select("node", "keys")
     placed = components(links)
     while True:
-        more = materialize(_again(buckets.select("key", "node"), placed, keys).join(seen, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(_again(buckets.select("key", "node"), placed, chosen, texts).join(seen, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             break
         seen = seen.unionByName(more)
@@ -229,7 +260,8 @@ def _decided(df: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         links = links.unionByName(new)
         placed = components(links)
-    home = nodes.join(placed, "node", "left").select("node", "first", "least_id", "copies", F.coalesce("class_node", "node").alias("class_node"))
+    named = nodes.join(placed.withColumnRenamed("node", "row"), "row", "left")
+    home = named.select("node", "first", "least_id", "copies", F.coalesce("class_node", "row").alias("class_node"))
     by_class = home.groupBy("class_node").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min("first").alias("first"))
     home = home.join(by_class.withColumnRenamed("first", "kept"), "class_node").select("node", "class_id", "class_size", F.col("kept.row").alias("kept_row"))
     return rows, rows.select("doc_id", "node", "row").join(home, "node").select("row", "doc_id", "class_id", "class_size", (F.col("row") == F.col("kept_row")).alias("is_kept"))
