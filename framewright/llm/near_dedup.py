@@ -20,7 +20,6 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +30,7 @@ from framewright.llm.common import documents, materialize
 
 SHINGLE, SKETCHES, MINIMA, SIMILARITY = 5, 24, 3, 0.8
 LEAST_SHARED = 2
+LIKELIEST = 8
 REMEMBERED_WORDS = 500_000
 BLOCK = 2048
 _ODD = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -206,29 +206,86 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.join(keys, "key")
 
 
-def _again(buckets: DataFrame, classes: DataFrame, chosen: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) between different classes of one bucket that can still reach the similarity."""
-    mixed = _mixed(buckets.join(classes, "node", "left").select("key", "node", F.coalesce("class_node", "node").alias("class_node")))
-    common = _shared_elements(mixed.select("node", "class_node").distinct(), texts)
-    able = chosen.join(common, "node").where(F.col("common") >= F.ceil(SIMILARITY * F.col("size") - 1e-6))
-    able = materialize(able.select("node", "keys", "size", "common"), "able")
-    rows = _mixed(mixed.join(able.select("node"), "node")).join(able, "node")
+def _candidates(rows: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (a, b) of one bucket and different classes that share at least LEAST_SHARED keys and can still reach the similarity; each pair is told by one bucket only.
+
+    With ``most``, only a text's likeliest partners in each larger class: one of them is usually enough to join the two classes.
+    """
 
-    def run(_, pdf):
-        node, home = pdf["node"].to_numpy(), pd.factorize(pdf["class_node"])[0]
-        size, common = pdf["size"].to_numpy(), pdf["common"].to_numpy()
-        table, found = np.stack(pdf["keys"].to_numpy()), []
+    def of(node, home, size, common, table, key):
+        found = []
+        if (home == home[0]).all():
+            return found
+        members = np.bincount(home)
+        order = np.lexsort((node, home, -members[home]))  # larger classes first
+        node, home, size, common, table = node[order], home[order], size[order], common[order], table[order]
         for i in range(1, len(node)):
+            near = []
             for at in range(0, i, BLOCK):
                 part = slice(at, min(i, at + BLOCK))
                 reach = np.minimum(common[part], common[i]) >= SIMILARITY / (1 + SIMILARITY) * (size[part] + size[i]) - 1e-6
                 other = at + np.flatnonzero(reach & (home[part] != home[i]))
                 if len(other):
-                    other = other[(table[other] == table[i]).sum(axis=1) >= LEAST_SHARED]
-                    found += [(min(node[i], node[j]), max(node[i], node[j])) for j in other]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                    same = table[other] == table[i]
+                    shared = same.sum(axis=1)
+                    here = (shared >= LEAST_SHARED) & (table[i][same.argmax(axis=1)] == key)
+                    near.append((other[here], shared[here]))
+            if not near:
+                continue
+            other, shared = np.concatenate([x[0] for x in near]), np.concatenate([x[1] for x in near])
+            if most is not None and len(other) > most:
+                rank = np.lexsort((-shared, home[other]))
+                group = home[other][rank]
+                first = np.concatenate([[True], group[1:] != group[:-1]])
+                place = np.arange(len(rank)) - np.maximum.accumulate(np.where(first, np.arange(len(rank)), 0))
+                other = other[rank[place < most]]
+            found.append(np.stack([np.minimum(node[i], node[other]), np.maximum(node[i], node[other])]))
+        return found
 
-    return rows.select("key", "node", "class_node", "keys", "size", "common").groupBy("key").applyInPandas(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(group):
+            key, node, home, size, common, table = (np.concatenate(x) for x in zip(*group))
+            for pair in of(node, np.unique(home, return_inverse=True)[1], size, common, table, key[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+
+        group: list[tuple] = []
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            columns.append(batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCHES))
+            cuts = np.flatnonzero(np.diff(columns[0])) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if end > start:
+                    if group and group[0][0][0] != columns[0][start]:
+                        yield from told(group)
+                        group = []
+                    group.append(tuple(c[start:end] for c in columns))
+        if group:
+            yield from told(group)
+
+    return rows.select("key", "node", "class_node", "size", "common", "keys").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def _decided_links(links: DataFrame, pairs: DataFrame, buckets: DataFrame, chosen: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, class_node: classes after the pairs that the centres left out. The first round tries likely partners; the second all others, and so every pair
+    that can be linked has been tried or is in one class: merging classes never makes a new candidate."""
+    placed = components(links)
+
+    def now(placed):
+        return buckets.join(placed, "node", "left").select("key", "node", F.coalesce("class_node", "node").alias("class_node"))
+
+    mixed = _mixed(now(placed))
+    common = _shared_elements(mixed.select("node", "class_node").distinct(), texts)
+    able = chosen.join(common, "node").where(F.col("common") >= F.ceil(SIMILARITY * F.col("size") - 1e-6))
+    able = materialize(able.select("node", "keys", "size", "common"), "able")
+    for most in (LIKELIEST, None):
+        rows = _mixed(now(placed).join(able.select("node"), "node")).join(able, "node")
+        more = materialize(_candidates(rows, most).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        pairs = pairs.unionByName(more)
+        new = materialize(verify(more, texts), "verified")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            placed = components(links)
+    return placed
 
 
 def _decided(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -248,18 +305,7 @@ def _decided(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = materialize(pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "pairs")
     texts = rows.select(F.col("row").alias("node"), "text").join(buckets.select("node").distinct(), "node", "left_semi")
     links = materialize(verify(pairs, texts), "verified")
-    seen = pairs
-    placed = components(links)
-    while True:
-        more = materialize(_again(buckets.select("key", "node"), placed, chosen, texts).join(seen, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        seen = seen.unionByName(more)
-        new = materialize(verify(more, texts), "verified")
-        if new.isEmpty():
-            break
-        links = links.unionByName(new)
-        placed = components(links)
+    placed = _decided_links(links, pairs, buckets.select("key", "node"), chosen, texts)
     named = nodes.join(placed.withColumnRenamed("node", "row"), "row", "left")
     home = named.select("node", "first", "least_id", "copies", F.coalesce("class_node", "row").alias("class_node"))
     by_class = home.groupBy("class_node").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min("first").alias("first"))
