@@ -53,7 +53,7 @@ def lagged_correlations(df: DataFrame, a: str, b: str, lags: range, order: list[
     """keys, lag, corr: Pearson correlation of a[t] and b[t + lag]; null for fewer than 3 pairs or too little spread."""
     w = Window.partitionBy(*keys).orderBy(*order)
     pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(a).alias("x"), (F.lead(b, k) if k >= 0 else F.lag(b, -k)).over(w).alias("y")) for k in lags])
-    rows = df.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*").where("x IS NOT NULL AND y IS NOT NULL")
+    rows = df.select(*keys, pairs.alias("_pairs")).select(*keys, F.explode("_pairs").alias("p")).select(*keys, "p.*").where("x IS NOT NULL AND y IS NOT NULL")
     groups = rows.groupBy(*keys, "lag").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.covar_pop("x", "y").alias("c"))
     good = (F.col("n") >= 3) & (F.col("sx") >= least_std) & (F.col("sy") >= least_std)
     return groups.select(*keys, "lag", F.when(good, F.try_divide("c", F.col("sx") * F.col("sy"))).alias("corr"))
