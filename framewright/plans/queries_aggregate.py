@@ -11,11 +11,11 @@ from framewright.plans.views import FRAMES, episodes, frames, state, table
 DIMS = "d AS (SELECT episode_index, 0 AS dim, s0 AS x FROM f UNION ALL SELECT episode_index, 1, s1 FROM f)"
 
 
-def _rounded(df, *columns, digits=4):
+def _rounded(df, *columns, digits=7):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-@query(f"WITH {FRAMES}, {DIMS} SELECT dim, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, count(x) AS n FROM d GROUP BY dim")
+@query(f"WITH {FRAMES}, {DIMS} SELECT dim, round(avg(x), 7) AS mean, round(stddev_pop(x), 7) AS std, count(x) AS n FROM d GROUP BY dim")
 def agg01_running_norm(spark, sf):
     return _rounded(statistics.running_norm(state(frames(spark, sf)), "state"), "mean", "std")
 
@@ -23,32 +23,32 @@ def agg01_running_norm(spark, sf):
 @query(f"""WITH {FRAMES}, {DIMS}, b AS (SELECT dim, min(x) AS low, max(x) AS high, count(x) AS n FROM d GROUP BY dim),
 p AS (SELECT dim, low, high, n, least(floor((x - low) / ((high - low) / 500)), 499) AS bin, count(*) AS c FROM d JOIN b USING (dim) GROUP BY ALL),
 r AS (SELECT *, sum(c) OVER (PARTITION BY dim ORDER BY bin) AS sofar FROM p)
-SELECT dim, round(min(CASE WHEN sofar >= 0.01 * n THEN low + bin * ((high - low) / 500) END), 4) AS q01, round(min(CASE WHEN sofar >= 0.99 * n THEN low + bin * ((high - low) / 500) END), 4) AS q99 FROM r GROUP BY dim""")
+SELECT dim, round(min(CASE WHEN sofar >= 0.01 * n THEN low + bin * ((high - low) / 500) END), 7) AS q01, round(min(CASE WHEN sofar >= 0.99 * n THEN low + bin * ((high - low) / 500) END), 7) AS q99 FROM r GROUP BY dim""")
 def agg02_histogram_quantiles(spark, sf):
     return _rounded(statistics.histogram_quantiles(state(frames(spark, sf)), "state", 500), "q01", "q99")
 
 
-@query(f"""WITH {FRAMES}, {DIMS} SELECT dim, min(x) AS min, max(x) AS max, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, count(x) AS count,
-round(quantile_cont(x, 0.01), 4) AS q01, round(quantile_cont(x, 0.1), 4) AS q10, round(quantile_cont(x, 0.5), 4) AS q50, round(quantile_cont(x, 0.9), 4) AS q90, round(quantile_cont(x, 0.99), 4) AS q99 FROM d GROUP BY dim""")
+@query(f"""WITH {FRAMES}, {DIMS} SELECT dim, min(x) AS min, max(x) AS max, round(avg(x), 7) AS mean, round(stddev_pop(x), 7) AS std, count(x) AS count,
+round(quantile_cont(x, 0.01), 7) AS q01, round(quantile_cont(x, 0.1), 7) AS q10, round(quantile_cont(x, 0.5), 7) AS q50, round(quantile_cont(x, 0.9), 7) AS q90, round(quantile_cont(x, 0.99), 7) AS q99 FROM d GROUP BY dim""")
 def agg03_feature_statistics(spark, sf):
     return _rounded(statistics.feature_statistics(state(frames(spark, sf)), "state"), "mean", "std", "q01", "q10", "q50", "q90", "q99")
 
 
-@query(f"WITH {FRAMES}, {DIMS} SELECT dim, min(x) AS min, max(x) AS max, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, count(x) AS count FROM d GROUP BY dim")
+@query(f"WITH {FRAMES}, {DIMS} SELECT dim, min(x) AS min, max(x) AS max, round(avg(x), 7) AS mean, round(stddev_pop(x), 7) AS std, count(x) AS count FROM d GROUP BY dim")
 def agg04_numeric_statistics(spark, sf):
     return _rounded(statistics.feature_statistics(state(frames(spark, sf)), "state", quantiles=False), "mean", "std")
 
 
-@query(f"WITH {FRAMES}, {DIMS} SELECT episode_index, dim, min(x) AS min, max(x) AS max, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, count(x) AS count FROM d GROUP BY GROUPING SETS ((episode_index, dim), (dim))")
+@query(f"WITH {FRAMES}, {DIMS} SELECT episode_index, dim, min(x) AS min, max(x) AS max, round(avg(x), 7) AS mean, round(stddev_pop(x), 7) AS std, count(x) AS count FROM d GROUP BY GROUPING SETS ((episode_index, dim), (dim))")
 def agg05_episode_and_global_stats(spark, sf):
     return _rounded(statistics.episode_and_global_statistics(state(frames(spark, sf)), "state"), "mean", "std")
 
 
-@query(f"""WITH {FRAMES}, w AS (SELECT a.episode_index, k, b.s0 / 10 - a.s0 AS x FROM f a, range(0, 4) r(k), f b, ep
+@query(f"""WITH {FRAMES}, w AS (SELECT a.episode_index, k, b.s0 / 10 - a.s0 AS x FROM f a, range(0, 7) r(k), f b, ep
 WHERE ep.episode_index = a.episode_index AND b.episode_index = a.episode_index AND b.frame_index = least(a.frame_index + k, ep.length - 1))
-SELECT round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, count(x) AS n FROM w""")
+SELECT round(avg(x), 7) AS mean, round(stddev_pop(x), 7) AS std, count(x) AS n FROM w""")
 def agg06_windowed_delta_norm(spark, sf):
-    df = state(frames(spark, sf)).withColumn("window", windows.forward_window(F.col("action")[0], 4))
+    df = state(frames(spark, sf)).withColumn("window", windows.forward_window(F.col("action")[0], 7))
     deltas = df.select(F.transform("window", lambda a: a - F.col("s0")).alias("v")).select(F.explode("v").alias("x"))
     return _rounded(deltas.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("n")), "mean", "std")
 
@@ -151,10 +151,10 @@ def agg19_completion_time(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("completed"))
 
 
-@query("SELECT round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, " + ", ".join(f"round(quantile_cont(value, {q / 100}), 4) AS p{q}" for q in (25, 50, 75, 90, 95, 99)) + " FROM events")
+@query("SELECT round(avg(value), 7) AS mean, round(stddev_pop(value), 7) AS std, " + ", ".join(f"round(quantile_cont(value, {q / 100}), 7) AS p{q}" for q in (25, 50, 75, 90, 95, 99)) + " FROM events")
 def agg20_latency_distribution(spark, sf):
     q = F.percentile("value", F.array(*[F.lit(x / 100) for x in (25, 50, 75, 90, 95, 99)]))
-    return table(spark, sf, "events").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("std"), *[F.round(q[i], 4).alias(f"p{x}") for i, x in enumerate((25, 50, 75, 90, 95, 99))])
+    return table(spark, sf, "events").agg(F.round(F.avg("value"), 7).alias("mean"), F.round(F.stddev_pop("value"), 7).alias("std"), *[F.round(q[i], 7).alias(f"p{x}") for i, x in enumerate((25, 50, 75, 90, 95, 99))])
 
 
 @query("SELECT event_type AS task, count(*) AS episodes, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS success_rate FROM events GROUP BY ROLLUP (event_type)")
@@ -191,9 +191,9 @@ def agg26_done_frames(spark, sf):
     return arrays.select("episode_index", F.size(F.filter("a", lambda x: x == 2)).cast("long").alias("done_frames"))
 
 
-@query(f"WITH {FRAMES} SELECT episode_index, frame_index // 10 AS log, round(avg(s0), 4) AS mean_s0 FROM f GROUP BY ALL")
+@query(f"WITH {FRAMES} SELECT episode_index, frame_index // 10 AS log, round(avg(s0), 7) AS mean_s0 FROM f GROUP BY ALL")
 def agg27_interval_means(spark, sf):
-    return frames(spark, sf).groupBy("episode_index", F.floor(F.col("frame_index") / 10).alias("log")).agg(F.round(F.avg("s0"), 4).alias("mean_s0"))
+    return frames(spark, sf).groupBy("episode_index", F.floor(F.col("frame_index") / 10).alias("log")).agg(F.round(F.avg("s0"), 7).alias("mean_s0"))
 
 
 @query("SELECT source, count(*) AS selected FROM documents GROUP BY source")
@@ -201,7 +201,7 @@ def agg28_source_counts(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("selected"))
 
 
-@query("SELECT round(sum(l_extendedprice * l_discount) / (sum(l_discount) + 1e-8), 4) AS weighted_mean FROM lineitem")
+@query("SELECT round(sum(l_extendedprice * l_discount) / (sum(l_discount) + 1e-8), 7) AS weighted_mean FROM lineitem")
 def agg29_weighted_mean(spark, sf):
     return _rounded(statistics.weighted_mean(table(spark, sf, "lineitem"), "l_extendedprice", "l_discount"), "weighted_mean")
 

@@ -28,7 +28,7 @@ def scl02_quantile_scale(spark, sf):
     return _frames(spark, sf, V.quantile_scale("state", LOW, HIGH))
 
 
-@query(F2 + "[round(s0 * (49 + 1e-6) + 50, 6), round(s1, 6)] AS v FROM f", vectors=("v",))
+@query(F2 + "[round(s0 * (49 + 1e-6) + 50, 3), round(s1, 3)] AS v FROM f", vectors=("v",))
 def scl03_inverse_zscore(spark, sf):
     return _frames(spark, sf, V.inverse_zscore("state", MEAN[:1], STD[:1]), 3)
 
