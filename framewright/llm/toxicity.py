@@ -35,7 +35,7 @@ HOMOGLYPHS = str.maketrans("авекмнорстухіјѕԁһԛԝοαεικνρ
 DIGITS = str.maketrans("01345789@$", "oieastbgas")
 _LOOKALIKE = re.compile("[Ͱ-ϿЀ-ԯ]")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
-_LEET = re.compile(r"[^\W\d_][01345789@$][^\W\d_]")
+_LEET = re.compile(r"[^\W\d_][01345789@$]+[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
