@@ -6,7 +6,8 @@ element sequences matches at least 0.8 of the union (matched / (n + m - matched)
 
 Work follows the number of links, not the square of groups: exact copies meet in one node first; in every bucket each node is compared with one centre, the node that shares most; only
 buckets that then still hold several classes are looked at again, until nothing new is found. There a pair is tried only if it can still be linked: what two texts of different classes share is
-at most the elements that each has in common with any other class, so texts with edits of their own are ruled out by two numbers, exactly and without trying pairs. A pair of similarity 0.8 shares none of
+at most the elements that each has in common with any other class, and at most the overlap of their elements' counts in ``BINS`` bins, so texts with edits of their own are ruled out
+exactly and without reading them again. A pair of similarity 0.8 shares none of
 24 keys of 3 minima with probability (1 - 0.8 ** 3) ** 24 < 4e-8.
 
 Texts of fewer than five words have one element, all their words. Null and empty texts are copies of one another. Repeated rows are copies; a null doc_id stays null and its class is
@@ -33,6 +34,8 @@ LEAST_SHARED = 2
 LIKELIEST = 8
 REMEMBERED_WORDS = 500_000
 BLOCK = 2048
+#: A count of FULL or more is kept as FULL.
+BINS, FULL = 256, 255
 _ODD = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _K, _M = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 _words: dict[str, int] = {}
@@ -94,6 +97,17 @@ def sketch(s: np.ndarray) -> np.ndarray:
         return key.view(np.int64)
 
 
+def bins(s: np.ndarray) -> bytes:
+    """How many elements fall in each bin, a byte a bin."""
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), FULL).astype(np.uint8).tobytes()
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Which rows of bins in ``a`` can be as similar as ``least`` to those in ``b``: texts share at most the smaller count of each bin. Two full bins bound nothing."""
+    most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    return (most >= least / (1 + least) * sizes - 1e-6) | ((a == FULL) & (b == FULL)).any(axis=1)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Matched elements of the best banded alignment over the union; 0 as soon as it can't reach ``least``."""
     n, m = len(a), len(b)
@@ -119,27 +133,28 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def sketches(df: DataFrame) -> DataFrame:
-    """doc_id, text, others (the other columns), node (128-bit hash of the words), keys, size (elements)."""
+    """doc_id, text, others (the other columns), node (128-bit hash of the words), keys, size (elements), bins."""
     others = [c for c in df.columns if c not in ("doc_id", "text")]
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*others).alias("others")] if others else []))
-    names = [*rows.columns, "node", "keys", "size"]
+    names = [*rows.columns, "node", "keys", "size", "bins"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                nodes, keys, sizes = [], [], []
+                nodes, keys, sizes, counts = [], [], [], []
                 for t in batch.column(1).to_pylist():
                     words = (t or "").lower().split()
                     nodes.append(xxhash.xxh3_128_digest(" ".join(words)))
                     found = elements(words)
                     keys.append(sketch(found))
                     sizes.append(len(found))
+                    counts.append(bins(found))
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary())], names=names)
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType()), T.StructField("bins", T.BinaryType())])
     return rows.mapInArrow(run, schema)
 
 
@@ -212,13 +227,13 @@ def _candidates(rows: DataFrame, most: int | None) -> DataFrame:
     With ``most``, only a text's likeliest partners in each larger class: one of them is usually enough to join the two classes.
     """
 
-    def of(node, home, size, common, table, key):
+    def of(node, home, size, common, table, counts, key):
         found = []
         if (home == home[0]).all():
             return found
         members = np.bincount(home)
         order = np.lexsort((node, home, -members[home]))  # larger classes first
-        node, home, size, common, table = node[order], home[order], size[order], common[order], table[order]
+        node, home, size, common, table, counts = node[order], home[order], size[order], common[order], table[order], counts[order]
         for i in range(1, len(node)):
             near = []
             for at in range(0, i, BLOCK):
@@ -229,7 +244,9 @@ def _candidates(rows: DataFrame, most: int | None) -> DataFrame:
                     same = table[other] == table[i]
                     shared = same.sum(axis=1)
                     here = (shared >= LEAST_SHARED) & (table[i][same.argmax(axis=1)] == key)
-                    near.append((other[here], shared[here]))
+                    other, shared = other[here], shared[here]
+                    good = may_reach(counts[other], counts[i], size[other] + size[i])
+                    near.append((other[good], shared[good]))
             if not near:
                 continue
             other, shared = np.concatenate([x[0] for x in near]), np.concatenate([x[1] for x in near])
@@ -244,14 +261,15 @@ def _candidates(rows: DataFrame, most: int | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(group):
-            key, node, home, size, common, table = (np.concatenate(x) for x in zip(*group))
-            for pair in of(node, np.unique(home, return_inverse=True)[1], size, common, table, key[0]):
+            key, node, home, size, common, table, counts = (np.concatenate(x) for x in zip(*group))
+            for pair in of(node, np.unique(home, return_inverse=True)[1], size, common, table, counts, key[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
         group: list[tuple] = []
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             columns.append(batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCHES))
+            columns.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, BINS))
             cuts = np.flatnonzero(np.diff(columns[0])) + 1
             for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
                 if end > start:
@@ -262,7 +280,7 @@ def _candidates(rows: DataFrame, most: int | None) -> DataFrame:
         if group:
             yield from told(group)
 
-    return rows.select("key", "node", "class_node", "size", "common", "keys").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.select("key", "node", "class_node", "size", "common", "keys", "bins").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def _decided_links(links: DataFrame, pairs: DataFrame, buckets: DataFrame, chosen: DataFrame, texts: DataFrame) -> DataFrame:
@@ -276,7 +294,7 @@ def _decided_links(links: DataFrame, pairs: DataFrame, buckets: DataFrame, chose
     mixed = _mixed(now(placed))
     common = _shared_elements(mixed.select("node", "class_node").distinct(), texts)
     able = chosen.join(common, "node").where(F.col("common") >= F.ceil(SIMILARITY * F.col("size") - 1e-6))
-    able = materialize(able.select("node", "keys", "size", "common"), "able")
+    able = materialize(able.select("node", "keys", "size", "common", "bins"), "able")
     for most in (LIKELIEST, None):
         rows = _mixed(now(placed).join(able.select("node"), "node")).join(able, "node")
         more = materialize(_candidates(rows, most).join(pairs, ["a", "b"], "left_anti"), "pairs")
@@ -293,7 +311,7 @@ def _decided(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = materialize(sketches(df).withColumn("row", F.monotonically_increasing_id()), "sketches")
     nodes = materialize(rows.groupBy("node").agg(F.min(_first()).alias("first"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")).withColumn("row", F.col("first.row")), "nodes")
     # from here on a text is known by the number of its first row
-    chosen = rows.join(nodes.select("row"), "row").select(F.col("row").alias("node"), "keys", "size")
+    chosen = rows.join(nodes.select("row"), "row").select(F.col("row").alias("node"), "keys", "size", "bins")
     by_key = chosen.select("node", "size", F.explode("keys").alias("key"))
     many = by_key.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = materialize(by_key.join(many, "key").select("key", "node", "size", "members"), "buckets")

@@ -334,3 +334,22 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
         n = docs.count()
     packed = corpus_pipeline.pack_documents(spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == n
+
+
+def test_bins_never_rule_out_a_similar_pair():
+    import numpy as np
+    from framewright.llm import near_dedup as nd
+
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 60, 700, 90_000):
+        whole = rng.integers(0, 2**63, size, dtype=np.int64).view(np.uint64)
+        for share in (0.0, 0.05, 0.1, 0.2, 0.5):
+            other = whole.copy()
+            changed = rng.random(size) < share
+            other[changed] = rng.integers(0, 2**63, int(changed.sum()), dtype=np.int64).view(np.uint64)
+            a, b = (np.frombuffer(nd.bins(x), np.uint8).reshape(1, -1) for x in (whole, other))
+            verdict = nd.may_reach(a, b, np.array([2 * size]))[0]
+            if nd.similarity(whole, other) >= nd.SIMILARITY:
+                assert verdict
+            if 60 <= size <= 700 and share == 0.5:
+                assert not verdict
