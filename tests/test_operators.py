@@ -81,3 +81,30 @@ def test_dataset_round_trip(spark, tmp_path):
     (tmp_path / "set/meta/episodes.jsonl").write_text('{"episode_index": 1, "num_frames": 4}\n\n{"episode_index": 0, "length": 4}\n')
     assert spark.read.parquet(f"{root}/data").count() == 12
     assert [(r.episode_index, r.from_index, r.to_index) for r in E.read_episodes(spark, root).orderBy("episode_index").collect()] == [(0, 0, 4), (1, 4, 8)]
+
+
+def test_label_arrays_and_masks(spark):
+    from pyspark.sql import functions as F
+
+    from framewright.operators import records
+
+    rows = [(1, [0, 1, 2]), (2, [0, 2, 1]), (3, [0, 7]), (4, [0, None]), (5, None), (6, [])]
+    df = spark.createDataFrame(rows, "k int, x array<int>")
+    got = dict(df.select("k", records.label_array_problem(F.col("x"), [-1, 0, 1, 2], 2)).collect())
+    assert got == {1: None, 2: "misplaced", 3: "unknown", 4: "null", 5: "null", 6: None}
+    assert spark.range(1).select(records.alternating_mask(0)).first()[0] == []
+
+
+def test_nearest_against_brute_force(spark):
+    import random
+
+    from framewright.operators import records
+
+    rng = random.Random(5)
+    rows = [(e, i, float(t), float(i * 10 + e)) for e in range(4) for i, t in enumerate(sorted(rng.sample(range(60), 12)))]
+    df = spark.createDataFrame(rows, "episode_index int, frame_index int, t double, s0 double")
+    got = {(r[0], r[1]): r[2] for r in records.nearest(df, "t", "s0", 2.5, 3.0, "later").select("episode_index", "frame_index", "later").collect()}
+    for e, i, t, _ in rows:
+        near = [(abs(u - t - 2.5), u, v) for e2, _, u, v in rows if e2 == e and abs(u - t - 2.5) <= 3.0]
+        assert got[e, i] == (min(near)[2] if near else None)
+    assert records.nearest(df.limit(0), "t", "s0", 2.5, 3.0, "later").count() == 0
