@@ -32,7 +32,11 @@ END_ID = 2
 GAMMA = 1.5
 REMEMBERED_CHUNKS = 700_000
 READ_BYTES = 8 << 20
-_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+#: The vocabulary's own pre-tokens, and the line end that parts two chunks.
+_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+|\n")
+#: Letters that may change class or number when lowered or composed.
+_BEYOND = regex.compile("[İ-\U0010ffff]")
+WORDS_A_LINE = 64
 
 
 # ---- ids -------------------------------------------------------------------------------------------------------------------
@@ -48,34 +52,60 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = "<u2" if size < 1 << 16 else "<u4"
+        self.stop = np.iinfo(self.dtype).max  # no id; stands for the end of a chunk
+        self.ends_word = np.zeros(size, bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.chunks: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.chunks.clear()
+        self.pretokens = {"\n": np.array([self.stop], self.dtype).tobytes()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {c for chunks in split for c in chunks if c not in self.chunks}
+        seen = set().union(*split)
+        new = seen.difference(self.chunks)
         if len(self.chunks) + len(new) > REMEMBERED_CHUNKS:
-            self.chunks, self.pretokens = {}, {}
-            new = {c for chunks in split for c in chunks}
+            self._forget()
+            new = seen
         self._learn(new)
-        known = self.chunks
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        known = self.chunks.__getitem__
+        return [b"".join(map(known, chunks)) for chunks in split]
 
     def _learn(self, new: set[str]) -> None:
-        whole, parts = [], {}
-        for chunk in new:
-            # letters outside the simple range may change class or number when lowered or composed: the library takes them as they are
-            if max(chunk, default="") < "İ" and not any(a in chunk for a in self.added):
-                parts[chunk] = _PRETOKEN.findall(chunk.lower())
+        text = "\n".join(new)
+        if _BEYOND.search(text) or any(a in text for a in self.added):
+            whole = [c for c in new if _BEYOND.search(c) or any(a in c for a in self.added)]
+            self.chunks.update(zip(whole, self._library(whole)))
+            new = new.difference(whole)
+        chunks = list(new)
+        if not chunks:
+            return
+        pieces = _PRETOKEN.findall("\n".join(chunks).lower() + "\n")
+        missing = list(set(pieces).difference(self.pretokens))
+        self.pretokens.update(zip(missing, self._words(missing)))
+        ids = b"".join(map(self.pretokens.__getitem__, pieces))
+        stops = np.flatnonzero(np.frombuffer(ids, self.dtype) == self.stop)
+        self.chunks.update(zip(chunks, self._cut(ids, np.concatenate([[0], stops[:-1] + 1]), stops)))
+
+    def _cut(self, ids: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        width = np.dtype(self.dtype).itemsize
+        return [ids[s:e] for s, e in zip((starts * width).tolist(), (ends * width).tolist())]
+
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each pre-token. Many share a line, as the ids themselves tell where each ends; if they don't, each is encoded alone."""
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            lines = [" ".join(part[i : i + WORDS_A_LINE]) for i in range(0, len(part), WORDS_A_LINE)]
+            ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                yield from self._cut(ids.tobytes(), np.concatenate([[0], ends[:-1]]), ends)
             else:
-                whole.append(chunk)
-        missing = list({p for ps in parts.values() for p in ps if p not in self.pretokens})
-        self.pretokens.update(zip(missing, self._library(missing)))
-        self.chunks.update(zip(whole, self._library(whole)))
-        pre = self.pretokens
-        for chunk, ps in parts.items():
-            self.chunks[chunk] = b"".join([pre[p] for p in ps])
+                yield from self._library(part)
 
     def _library(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for at in range(0, len(pieces), 4096) for e in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
