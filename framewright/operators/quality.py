@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.vectors import is_valid_vector
+from framewright.operators.windows import BLOCK
 
 
 def episode_count(episodes: DataFrame, expected: int) -> DataFrame:
@@ -15,11 +16,17 @@ def episode_count(episodes: DataFrame, expected: int) -> DataFrame:
     return got.where(~F.coalesce(good, F.lit(False)))
 
 
-def broken_ranges(ranges: DataFrame, order: str, start: str, end: str, groups: list[str]) -> DataFrame:
-    """Ranges that don't begin where the one before ends."""
-    w = Window.partitionBy(*groups).orderBy(order)
-    before = F.lag(end).over(w)
-    return ranges.withColumn("expected", F.coalesce(before, F.lit(0))).where((F.col(start) != F.col("expected")) | (F.col(end) < F.col(start)))
+def broken_ranges(ranges: DataFrame, order: str, start: str, end: str, length: str | None = None) -> DataFrame:
+    """Ranges that don't begin where the one before ends, or, with ``length``, aren't that long. The one before may lie in another block of ``order``, so each block hands on its last end; no task sees all ranges."""
+    blocked = ranges.withColumn("_block", F.floor(F.col(order) / BLOCK))
+    last = blocked.groupBy("_block").agg(F.max_by(end, order).alias("_end"))
+    handed = last.select("_block", F.lag("_end").over(Window.orderBy("_block")).alias("_handed"))  # one row a block
+    inside = F.lag(end).over(Window.partitionBy("_block").orderBy(order))
+    found = blocked.join(handed, "_block").withColumn("expected", F.coalesce(inside, "_handed", F.lit(0)))
+    bad = (F.col(start) != F.col("expected")) | (F.col(end) < F.col(start))
+    if length is not None:
+        bad = bad | (F.col(end) != F.col(start) + F.col(length))
+    return found.where(bad).drop("_block", "_handed")
 
 
 def bad_labels(frames: DataFrame, label: str, domain: list[int], terminal: int) -> DataFrame:
