@@ -353,3 +353,12 @@ def test_bins_never_rule_out_a_similar_pair():
                 assert verdict
             if 60 <= size <= 700 and share == 0.5:
                 assert not verdict
+
+
+def test_large_hosts_deal_alike_by_broadcast_and_by_row(spark):
+    rows = [(i, f"https://{'big' if i % 3 else 'small' + str(i)}.test/{i}", f"<p>page {i}</p>") for i in range(900)] + [(None, None, None)]
+    parsed = html_main_text.parse(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    large = spark.createDataFrame([("big.test", 3)], "host string, groups long")
+    sets = [sorted((r.row, r.host, r.part) for r in html_main_text.deal(parsed, large, most).collect()) for most in (10, 0)]
+    assert sets[0] == sets[1] and len(sets[0]) == 901
+    assert {p for _, h, p in sets[0] if h == "big.test"} == {0, 1, 2} and {p for _, h, p in sets[0] if h != "big.test"} == {0}
