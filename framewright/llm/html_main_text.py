@@ -2,11 +2,13 @@
 
 Each page becomes a stream of text blocks with the role its markup gives them. The pages of a host are dealt by hash to groups of about ``PAGES_PER_GROUP`` pages, so
 a hot host is many groups and no group grows with the corpus. In a group the token streams of distinct pages are concatenated, a suffix array is built by prefix
-doubling, and neighbours whose common prefix is ``LEAST_TOKENS`` or longer give the substrings that repeat; those that occur on enough distinct
-pages cover tokens. Covered tokens are boilerplate and are removed; unique runs stay.
+doubling, and neighbours whose common prefix is ``LEAST_TOKENS`` or longer give the substrings that repeat; those that occur on ``LEAST_PAGES`` distinct
+pages cover tokens. For a host of several groups the runs outside marked main text are also counted over all its groups, by host and hash of the run, so the deal
+decides nothing there. Covered tokens are boilerplate and are removed; unique runs stay.
 
-Text inside an ``article`` or ``main`` element is main text by the page's own statement: it is kept even where copies of the article repeat it. Blocks whose markup names a menu, header, footer, sidebar, notice,
-advert, form or comment are dropped. On a page with neither, blocks outside are kept as far as no repeated run covers them and links don't dominate.
+Text inside an ``article`` or ``main`` element is main text by the page's own statement: it is kept even where copies of the article repeat it, and it is no evidence
+against text elsewhere. Blocks whose markup names a menu, header, footer, sidebar, notice,
+advert, form or comment are dropped. All other blocks, on every page, are kept as far as no repeated run covers them and links don't dominate.
 
 Null and empty html gives an empty text; a null url is a host of its own. Pages that repeat count once for the suffix array and are all returned. Cut-off markup at the end of a page is markup.
 """
@@ -15,17 +17,20 @@ from __future__ import annotations
 
 import html
 import json
-import math
 import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm.common import map_text, materialize
 
-PAGES_PER_GROUP, LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 256, 8, 3, 0.1
+PAGES_PER_GROUP, LEAST_TOKENS, LEAST_PAGES = 256, 8, 3
+#: So many runs are held by a task before it sends their pages on.
+RUNS_HELD = 1_000_000
 LINK_SHARE = 0.6
 #: At most so many hosts of more than one group are sent to all tasks, about 100 bytes each.
 LARGE_HOSTS = 200_000
@@ -181,37 +186,67 @@ def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return length
 
 
-def repeated(streams: list[list[str]], least_tokens: int = LEAST_TOKENS) -> list[np.ndarray]:
-    """For each stream, which tokens lie in a substring of at least least_tokens tokens that occurs on enough distinct pages."""
-    distinct = {tuple(s): i for i, s in reversed(list(enumerate(streams)))}
-    chosen = sorted(distinct.values())
+def repeated(streams: list[list[str]], least_tokens: int = LEAST_TOKENS, counts: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """For each stream, which tokens lie in a substring of at least least_tokens tokens that occurs on enough distinct pages.
+    counts: of each stream, the tokens whose runs count; all of them if it isn't given."""
+    counts = counts or [np.ones(len(s), bool) for s in streams]
+    identity = [(tuple(s), c.tobytes()) for s, c in zip(streams, counts)]
+    chosen = sorted({key: i for i, key in reversed(list(enumerate(identity)))}.values())
+    texts: dict[tuple, int] = {}
     number: dict[str, int] = {}
-    pieces, owners = [], []
+    pieces, owners, starts_run = [], [], []
     for k, i in enumerate(chosen):
         pieces.append(np.array([number.setdefault(t, len(number)) for t in streams[i]] + [-1 - k], np.int64))  # a separator of its own
-        owners.append(np.full(len(pieces[-1]), k))
+        owners.append(np.full(len(pieces[-1]), texts.setdefault(identity[i][0], len(texts))))
+        starts_run.append(np.append(run_starts(counts[i], least_tokens), False))
     result = [np.zeros(len(s), bool) for s in streams]
-    if len(chosen) < LEAST_PAGES:
+    if len(texts) < LEAST_PAGES:
         return result
-    codes, owner = np.concatenate(pieces), np.concatenate(owners)
+    codes, owner, counted = np.concatenate(pieces), np.concatenate(owners), np.concatenate(starts_run)
     order, levels = suffix_array(codes)
     shared = common_prefixes(order, levels) >= least_tokens
     group = np.concatenate([[0], np.cumsum(~shared)])
-    pages = np.unique(group * len(chosen) + owner[order]) // len(chosen)
-    enough = np.bincount(pages, minlength=group[-1] + 1) >= max(LEAST_PAGES, math.ceil(LEAST_SHARE * len(chosen)))
-    starts = order[enough[group]]
-    change = np.zeros(len(codes) + least_tokens + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + least_tokens, -1)
-    covered = np.cumsum(change)[: len(codes)] > 0
+    counted = counted[order]
+    pages = np.unique(group[counted] * len(texts) + owner[order][counted]) // len(texts)
+    enough = np.bincount(pages, minlength=group[-1] + 1) >= LEAST_PAGES
+    hit = np.zeros(len(codes), bool)
+    hit[order[enough[group] & counted]] = True
     ends = np.cumsum([len(p) for p in pieces])
-    of = {tuple(streams[i]): covered[e - len(p) : e - 1] for i, e, p in zip(chosen, ends, pieces)}
-    return [of[tuple(s)] for s in streams]
+    of = {identity[i]: cover(hit[e - len(p) : e - 1], least_tokens) for i, e, p in zip(chosen, ends, pieces)}
+    return [of[key] for key in identity]
+
+
+def run_starts(counts: np.ndarray, least_tokens: int = LEAST_TOKENS) -> np.ndarray:
+    """Where a run of least_tokens tokens starts that all count."""
+    out = np.zeros(len(counts), bool)
+    if len(counts) >= least_tokens:
+        out[: len(counts) - least_tokens + 1] = np.lib.stride_tricks.sliding_window_view(counts, least_tokens).all(axis=1)
+    return out
+
+
+def cover(starts: np.ndarray, least_tokens: int = LEAST_TOKENS) -> np.ndarray:
+    """The tokens in runs with the given starts."""
+    change = np.zeros(len(starts) + least_tokens + 1, np.int64)
+    at = np.flatnonzero(starts)
+    change[at] += 1
+    change[at + least_tokens] -= 1
+    return np.cumsum(change)[: len(starts)] > 0
+
+
+def stream_of(page: list) -> tuple[list[str], np.ndarray]:
+    """A page's tokens, and which of them stand outside marked main text."""
+    parts = [(text.split(" "), role) for text, role in page]
+    return [t for tokens, _ in parts for t in tokens], np.repeat(np.array([role != KEPT for _, role in parts], bool), [len(tokens) for tokens, _ in parts])
+
+
+def outside_runs(tokens: list[str], outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the runs of LEAST_TOKENS tokens outside marked main text."""
+    at = np.flatnonzero(run_starts(outside))
+    return at, np.array([xxhash.xxh3_64_intdigest(" ".join(tokens[i : i + LEAST_TOKENS])) for i in at.tolist()], np.uint64).view(np.int64)
 
 
 def main_text(page: list, covered: np.ndarray) -> str:
-    """Blocks of main text, and what is unique of undecided blocks on a page that marks no main text."""
-    marked = any(role == KEPT for _, role in page)
+    """Blocks of main text, and what is unique of undecided blocks."""
     kept, at = [], 0
     for text, role in page:
         tokens = text.split(" ")
@@ -219,7 +254,7 @@ def main_text(page: list, covered: np.ndarray) -> str:
         at += len(tokens)
         if role == KEPT:
             kept.append(text)
-        elif role == OPEN and not marked:
+        elif role == OPEN:
             rest = " ".join(t for t, c in zip(tokens, here) if not c)
             if rest:
                 kept.append(rest)
@@ -236,8 +271,6 @@ def parse(pages: DataFrame) -> DataFrame:
     numbered = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _host().alias("host"), F.monotonically_increasing_id().alias("row"), F.col("html").cast("string").alias("html"))
 
     def run(batches):
-        import pyarrow as pa
-
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -257,22 +290,77 @@ def deal(parsed: DataFrame, large: DataFrame, most_broadcast: int = LARGE_HOSTS)
     return parsed.join(dealt, "row")
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_repeated (tokens that the suffix arrays cover) of each row of pages (page_id, url, html).
+def host_runs(dealt: DataFrame, large: DataFrame) -> DataFrame:
+    """host, part, run: the runs outside marked main text that occur on LEAST_PAGES distinct pages of a host of several groups, for each group that has them.
+
+    A task sends on at most LEAST_PAGES distinct pages of a run, which is all that the threshold asks, and else only the groups it is in, so a run of a hot host doesn't gather;
+    equal streams are one page.
+    """
+
+    def run(batches):
+        keys, pages, parts, names, held = [], [], [], [], 0
+
+        def send():
+            table = pd.DataFrame({"host": np.repeat(names, [len(k) for k in keys]), "part": np.repeat(parts, [len(k) for k in keys]), "run": np.concatenate(keys), "page": np.repeat(np.array(pages, np.int64), [len(k) for k in keys])}).drop_duplicates()
+            counts = table.groupby(["host", "run"]).cumcount() < LEAST_PAGES
+            table["page"] = table["page"].astype("Int64").where(counts)
+            return pa.RecordBatch.from_pandas(table[counts | ~table.duplicated(["host", "part", "run"])], schema=pa.schema([("host", pa.string()), ("part", pa.int64()), ("run", pa.int64()), ("page", pa.int64())]), preserve_index=False)
+
+        for batch in batches:
+            for host, part, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                tokens, outside = stream_of(json.loads(page))
+                found = np.unique(outside_runs(tokens, outside)[1])
+                if len(found):
+                    keys.append(found)
+                    pages.append(np.uint64(xxhash.xxh3_64_intdigest(" ".join(tokens))).view(np.int64))
+                    parts.append(part)
+                    names.append(host)
+                    held += len(found)
+                if held > RUNS_HELD:
+                    yield send()
+                    for column in (keys, pages, parts, names):
+                        column.clear()
+                    held = 0
+        if keys:
+            yield send()
+
+    seen = dealt.join(F.broadcast(large.select("host")), "host", "left_semi") if large.count() <= LARGE_HOSTS else dealt.join(large.select("host"), "host", "left_semi")
+    found = seen.select("host", "part", "blocks").mapInArrow(run, "host string, part long, run long, page long")
+    counted = found.groupBy("host", "run").agg(F.size(F.collect_set("page")).alias("n"), F.collect_set("part").alias("parts"))
+    return counted.where(F.col("n") >= LEAST_PAGES).select("host", F.explode("parts").alias("part"), "run")
+
+
+def extract(pages: DataFrame, pages_per_group: int = PAGES_PER_GROUP) -> DataFrame:
+    """page_id, url, text, n_chars, n_repeated (tokens in repeated runs: anywhere in the page's group or, outside marked main text, on its host) of each row of pages (page_id, url, html).
 
     Pages are told apart by their place in the scan, so ``pages`` should be a stored table; write it first if it comes out of a shuffle.
     """
-    counts = pages.groupBy(_host().alias("host")).agg(F.ceil(F.count(F.lit(1)) / PAGES_PER_GROUP).alias("groups"))
+    counts = pages.groupBy(_host().alias("host")).agg(F.ceil(F.count(F.lit(1)) / pages_per_group).alias("groups"))
     large = materialize(counts.where("groups > 1"), "large-hosts")
+    dealt = deal(parse(pages), large)
+    runs = materialize(host_runs(dealt, large).groupBy("host", "part").agg(F.collect_list("run").alias("runs")), "host-runs")
 
-    def run(_, pdf):
+    def run(pdf, known):
         pdf = pdf.sort_values("row", kind="stable")
         page = [json.loads(b) for b in pdf["blocks"]]
-        covered = repeated([[t for text, _ in p for t in text.split(" ")] for p in page])
-        texts = [main_text(p, c) for p, c in zip(page, covered)]
-        return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64").to_numpy(), "url": pdf["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts], "n_repeated": [int(c.sum()) for c in covered]})
-
-    return deal(parse(pages), large).groupBy("host", "part").applyInPandas(run, "page_id long, url string, text string, n_chars long, n_repeated long")
+        streams = [stream_of(p) for p in page]
+        anywhere = repeated([s for s, _ in streams])
+        # runs of a host of several groups hold those of each group; without undecided blocks they only count, and ``anywhere`` holds them
+        if len(known) or not any(role == OPEN for p in page for _, role in p):
+            apart = [np.zeros(len(s), bool) for s, _ in streams]
+        else:
+            apart = repeated([s for s, _ in streams], counts=[o for _, o in streams])
+        if len(known):
+            common = np.asarray(known["runs"].iloc[0], np.int64)
+            for k, (tokens, outside) in enumerate(streams):
+                at, keys = outside_runs(tokens, outside)
+                starts = np.zeros(len(tokens), bool)
+                starts[at[np.isin(keys, common)]] = True
+                apart[k] = apart[k] | cover(starts)
+        texts = [main_text(p, c) for p, c in zip(page, apart)]
+        return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64").to_numpy(), "url": pdf["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts], "n_repeated": [int((a | b).sum()) for a, b in zip(anywhere, apart)]})
+
+    return dealt.groupBy("host", "part").cogroup(runs.groupBy("host", "part")).applyInPandas(run, "page_id long, url string, text string, n_chars long, n_repeated long")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -362,3 +362,20 @@ def test_large_hosts_deal_alike_by_broadcast_and_by_row(spark):
     sets = [sorted((r.row, r.host, r.part) for r in html_main_text.deal(parsed, large, most).collect()) for most in (10, 0)]
     assert sets[0] == sets[1] and len(sets[0]) == 901
     assert {p for _, h, p in sets[0] if h == "big.test"} == {0, 1, 2} and {p for _, h, p in sets[0] if h != "big.test"} == {0}
+
+
+def test_runs_of_a_host_decide_on_every_page_whatever_the_deal(spark):
+    notice = "this site will be closed for work on sunday night"
+    rows = []
+    for i in range(90):
+        own = " ".join(f"p{i}w{j}" for j in range(12))
+        shown = f"<div>{notice}</div>" if i % 30 == 0 else ""
+        rows.append((i, "http://a.x/1", f"<body>{shown}<p>{own}</p></body>" if i % 60 else f"<body>{shown}<p>{own}</p><article>main {i}</article></body>"))
+    rows += [(100 + i, "http://b.x/1", f"<article>{notice} once more x{i}</article>") for i in range(4)] + [(200, "http://b.x/1", f"<p>{notice} once more</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (256, 8):
+        out = {r.page_id: r.text for r in html_main_text.extract(pages, size).collect()}
+        for i in range(90):
+            own = " ".join(f"p{i}w{j}" for j in range(12))
+            assert out[i] == (own if i % 60 else f"{own}\n\nmain {i}")
+        assert all(out[100 + i] == f"{notice} once more x{i}" for i in range(4)) and out[200] == f"{notice} once more"
