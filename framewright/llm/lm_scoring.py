@@ -1,11 +1,14 @@
 """Operator 6: cross-entropy difference of two matched n-gram models.
 
-Tokens are the bytes of the UTF-8 text, so both models share one closed vocabulary of 256 tokens and no text has unknown words. Both are interpolated
-trigram models with the same orders, smoothing and context rules; one is counted over the target rows, one over all rows (background). A document's score is the mean over its
+The query's tokens are words between white space. Both models share one vocabulary, counted over all documents, so no text has unknown words, and both are Witten-Bell interpolated
+bigram models with the same smoothing and context rules; one is counted over the target rows, one over all rows (background). A document's score is the mean over its
 tokens of target loss minus background loss: the lower, the more it reads like the target.
 
-Counts cover every row and every byte. Each task counts a dense array and sends what isn't zero; the sums meet by n-gram. The table of loss differences
-has at most 256 ** 3 entries whatever the size of the corpus, which bounds what is collected and broadcast; it ships only the entries that occur.
+Counts cover every row and every word and stay tables that grow with the corpus: each task sends its n-grams' sums, words and contexts are summed from them, and the losses of each bigram
+are a join of the three. Documents' n-gram counts join the losses by n-gram and are summed by row. Only bigrams that are at least one in ``FREQUENT`` of all go to every task, so at most
+``FREQUENT`` of them, and never meet in the join. Words and bigrams are told apart by 64-bit hashes.
+
+``count_ngrams``, ``loss_differences`` and ``score`` are a model of byte trigrams for small tables; its table is bounded by 256 ** 3 entries. The query doesn't use them.
 
 Null and empty texts have no tokens and score 0. Null ids are kept; repeated rows count as often as they occur. Without target rows both models are the background and all scores are 0.
 """
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,9 @@ TOKENS = 256
 ORDER = 3
 START = 10  # the token before a text: a line feed
 CHUNK = 4 << 20
+FREQUENT = 10_000
+REMEMBERED_WORDS = 500_000
+_words: dict[str, int] = {}
 LONG = pa.int64()
 
 
@@ -123,6 +130,99 @@ def score(df: DataFrame, ngrams: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
 
 
+def _bigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each word (0 before the first) and the word, as hashes."""
+    words = (text or "").split()
+    if len(_words) > REMEMBERED_WORDS:
+        _words.clear()
+    word = np.array([_words.get(w) or _words.setdefault(w, xxhash.xxh3_64_intdigest(w) | 1) for w in words], np.uint64)
+    return np.concatenate([np.zeros(min(1, len(word)), np.uint64), word[:-1]]), word
+
+
+def _key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = (before ^ (before >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + word
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def count_bigrams(df: DataFrame) -> DataFrame:
+    """key, before, word, background, target: how often each bigram of words occurs in all rows and in rows with is_target."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+
+        def send():
+            before, word = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+            target = np.repeat(np.array([w[2] for w in waiting], bool), [len(w[1]) for w in waiting])
+            key, first, place, n = np.unique(_key(before, word), return_index=True, return_inverse=True, return_counts=True)
+            of_target = np.bincount(place, target, len(key)).astype(np.int64)
+            for at in range(0, len(key), 200_000):
+                p = slice(at, at + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[p], before[first[p]].view(np.int64), word[first[p]].view(np.int64), n[p].astype(np.int64), of_target[p])], names=["key", "before", "word", "background", "target"])
+
+        for batch in batches:
+            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                waiting.append((*_bigrams(text), target))
+                size += len(waiting[-1][1])
+                if size > CHUNK:
+                    yield from send()
+                    waiting.clear()
+                    size = 0
+        if size:
+            yield from send()
+
+    partial = df.select(F.col("text").cast("string"), F.coalesce(F.col("is_target"), F.lit(False))).mapInArrow(run, "key long, before long, word long, background long, target long")
+    return partial.groupBy("key").agg(F.first("before").alias("before"), F.first("word").alias("word"), F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+def bigram_losses(bigrams: DataFrame) -> DataFrame:
+    """key, background, above, below: target and background loss of each bigram. bigrams: a stored table."""
+    words = materialize(bigrams.groupBy("word").agg(F.sum("background").alias("word_background"), F.sum("target").alias("word_target")), "words")
+    contexts = materialize(bigrams.groupBy("before").agg(F.sum("background").alias("all_background"), F.sum("target").alias("all_target"), F.count(F.lit(1)).alias("kinds_background"), F.count(F.when(F.col("target") > 0, 1)).alias("kinds_target")), "contexts")
+    kinds, n_background, n_target = (int(x or 0) for x in words.agg(F.count(F.lit(1)), F.sum("word_background"), F.sum("word_target")).first())
+
+    def loss(model, total):
+        one = (F.col(f"word_{model}") + 1) / F.lit(float(total + kinds))
+        n, k = F.col(f"all_{model}"), F.col(f"kinds_{model}")
+        return -F.log(F.when(n > 0, (F.col(model) + k * one) / (n + k)).otherwise(one))
+
+    below = loss("background", n_background)
+    above = loss("target", n_target) if n_target else below
+    return bigrams.join(words, "word").join(contexts, "before").select("key", "background", above.alias("above"), below.alias("below"))
+
+
+def score_words(df: DataFrame, losses: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, difference (means over words) of every row's whole text. losses: a stored table."""
+    total = losses.agg(F.sum("background")).first()[0] or 0
+    frequent = losses.where(F.col("background") * FREQUENT >= F.lit(total)).select("key", "above", "below").toArrow().sort_by("key")
+    shared = df.sparkSession.sparkContext.broadcast(tuple(frequent[c].to_numpy() for c in ("key", "above", "below")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, above, below = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                out = [[], [], [], [], [], []]
+                for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    keys = _key(*_bigrams(text))
+                    key, n = np.unique(keys, return_counts=True)
+                    where = np.minimum(np.searchsorted(common, key), max(len(common) - 1, 0))
+                    known = common[where] == key if len(common) else np.zeros(len(key), bool)
+                    sums = [float((x[where[known]] * n[known]).sum()) for x in (above, below)]
+                    rest = key[~known]
+                    # the first line of a row has what is known here, under a key that no bigram has
+                    for column, first, more in zip(out, (row, xxhash.xxh3_64_intdigest(f"row {row}") - (1 << 63), doc_id, len(keys), *sums), (row, None, None, None, None, None)):
+                        column.append(first)
+                        column.extend(rest.tolist() if column is out[1] else n[~known].tolist() if column is out[3] else [more] * len(rest))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (LONG, LONG, LONG, LONG, pa.float64(), pa.float64()))], names=["row", "key", "doc_id", "n", "a", "b"])
+
+    lines = df.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, key long, doc_id long, n long, a double, b double")
+    rare = losses.where(F.col("background") * FREQUENT < F.lit(total)).select("key", "above", "below")
+    met = lines.join(rare, "key", "left").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max(F.when(F.col("a").isNotNull(), F.col("n"))).alias("n_tokens"), F.sum(F.coalesce("a", F.col("n") * F.col("above"))).alias("a"), F.sum(F.coalesce("b", F.col("n") * F.col("below"))).alias("b"))
+    size = F.greatest("n_tokens", F.lit(1))
+    return met.select("doc_id", "n_tokens", (F.col("a") / size).alias("target_loss"), (F.col("b") / size).alias("background_loss"), ((F.col("a") - F.col("b")) / size).alias("difference"))
+
+
 def mark_target(df: DataFrame, labels: DataFrame) -> DataFrame:
     """text and is_target: rows that a label calls good. A row labelled more than once is good if any label says so."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("is_target", F.lit(True))
@@ -131,5 +231,5 @@ def mark_target(df: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    ngrams = materialize(count_ngrams(mark_target(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))), "ngram-counts")
-    return score(docs, ngrams)
+    bigrams = materialize(count_bigrams(mark_target(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))), "bigram-counts")
+    return score_words(docs, materialize(bigram_losses(bigrams), "bigram-losses"))

@@ -379,3 +379,32 @@ def test_runs_of_a_host_decide_on_every_page_whatever_the_deal(spark):
             own = " ".join(f"p{i}w{j}" for j in range(12))
             assert out[i] == (own if i % 60 else f"{own}\n\nmain {i}")
         assert all(out[100 + i] == f"{notice} once more x{i}" for i in range(4)) and out[200] == f"{notice} once more"
+
+
+@pytest.mark.parametrize("frequent", [2, 10_000])
+def test_word_scores_match_a_plain_model(spark, odd, empty, monkeypatch, frequent):
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+    rows = [(1, "the red cat saw the red dog", True), (2, "a dog saw the cat", False), (3, "the red cat", False), (None, "red\n red", False), (5, None, False), (2, "", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, is_target boolean")
+    grams = lambda t: list(zip(["", *(t or "").split()], (t or "").split()))
+    words = {w for _, t, _ in rows for _, w in grams(t)}
+
+    def loss(seen, h, w):
+        one = (sum(x == w for _, x in seen) + 1) / (len(seen) + len(words))
+        near = [x for y, x in seen if y == h]
+        return -np.log((near.count(w) + len(set(near)) * one) / (len(near) + len(set(near))) if near else one)
+
+    background, target = [g for _, t, _ in rows for g in grams(t)], [g for _, t, good in rows if good for g in grams(t)]
+    path = lambda d: lm_scoring.materialize(d, "test")
+    run = lambda d: lm_scoring.score_words(d, path(lm_scoring.bigram_losses(path(lm_scoring.count_bigrams(d)))))
+    key = lambda r: (r[0] or 0, r[1], r[2])
+    expected = []
+    for i, t, _ in rows:
+        g = grams(t)
+        above, below = (sum(loss(seen, h, w) for h, w in g) / max(len(g), 1) for seen in (target, background))
+        expected.append((i, len(g), above, below, above - below))
+    for got, want in zip(sorted(map(tuple, run(df).collect()), key=key), sorted(expected, key=key), strict=True):
+        assert got[:2] == want[:2] and got[2:] == pytest.approx(want[2:], abs=1e-9)
+    none = run(odd.withColumn("is_target", F.lit(False))).collect()
+    assert len(none) == len(ODD) and all(r.difference == 0 for r in none)
+    assert run(empty.withColumn("is_target", F.lit(False))).count() == 0
