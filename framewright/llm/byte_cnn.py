@@ -5,11 +5,13 @@ trained in numpy on a bounded sample of labelled rows (``sample_per_language`` w
 cuts each whole text into windows of fixed length, runs them in batches and averages the windows' probabilities by their bytes.
 
 A null text, or one without a letter, is ``und`` with score 0. Equal probabilities go to the language that sorts first. Rows with a null language
-or id teach nothing. An empty or unlabelled table trains no language: every row is ``und``. Repeated rows give repeated results.
+or id teach nothing. ``fit_known`` adds a class of counterfeits (garbled and transcribed windows), so that text in no learned language is ``und`` too, and sets the least score
+from windows that it didn't learn. An empty or unlabelled table trains no language: every row is ``und``. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from dataclasses import dataclass
 
@@ -24,6 +26,8 @@ SAMPLE_PER_LANGUAGE = 1500
 MOST_LANGUAGES = 64
 EPOCHS, BATCH, RATE, SEED = 8, 128, 0.01, 7
 UNDETERMINED = "und"
+#: Where the letters of the scripts begin that counterfeits are written in.
+SCRIPTS = (0x61, 0xE0, 0x100, 0x3B1, 0x430, 0x5D0, 0x627, 0x905, 0x3041, 0x4E00)
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -145,6 +149,44 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Network
     return train(texts, labels) if texts else None
 
 
+def disguised(texts: list[str], seed: int = SEED) -> list[str]:
+    """Counterfeits of texts: letters shuffled over the text or in each word, swapped for one another, or transcribed to letters of some script. A text that comes out as it was is left out."""
+    rng, out = random.Random(seed), []
+    for text in texts:
+        text, kind = text.lower(), rng.randrange(4)
+        if kind == 0:
+            made = "".join(rng.sample(text, len(text)))
+        elif kind == 1:
+            made = " ".join("".join(rng.sample(w, len(w))) for w in text.split(" "))
+        elif kind == 2:
+            letters = sorted({c for c in text if c.isalpha()})
+            swap = dict(zip(letters, rng.sample(letters, len(letters))))
+            made = "".join(swap.get(c, c) for c in text)
+        else:
+            first, to = rng.choice(SCRIPTS), {}
+            made = "".join(chr(first + to.setdefault(c, rng.randrange(26))) if c.isalpha() else c for c in text)
+        if made != text:
+            out.append(made)
+    return out
+
+
+def fit_known(labelled: DataFrame, held_out: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[Network | None, float]:
+    """A network with a class of counterfeits, and the least score that tells held-out windows from their counterfeits best (the lowest of equals; 0 without held-out rows)."""
+    complete = "doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL"
+    texts, labels = labelled_windows(labelled.where(complete), per_language)
+    if not texts:
+        return None, 0.0
+    false = disguised(texts)
+    net = train(texts + false, labels + [UNDETERMINED] * len(false))
+    true, _ = labelled_windows(held_out.where(complete), per_language)
+    marks = [np.array([s if lang != UNDETERMINED else 0.0 for lang, s in zip(*_predicted(net, some))]) for some in (true, disguised(true, SEED + 1))]
+    if not len(marks[0]) or not len(marks[1]):
+        return net, 0.0
+    levels = np.unique(np.concatenate(marks))
+    kept = [1 - np.searchsorted(np.sort(m), levels) / len(m) for m in marks]
+    return net, float(levels[int((kept[0] - kept[1]).argmax())])
+
+
 def predict(df: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred, score of every row's whole text."""
 

@@ -408,3 +408,30 @@ def test_word_scores_match_a_plain_model(spark, odd, empty, monkeypatch, frequen
     none = run(odd.withColumn("is_target", F.lit(False))).collect()
     assert len(none) == len(ODD) and all(r.difference == 0 for r in none)
     assert run(empty.withColumn("is_target", F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("languages", [("de", "en", "es", "fr"), ("en", "fr")])
+def test_language_stage_rejects_foreign_and_garbled_documents(spark, languages):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("lang").isin(*languages))
+    rng = random.Random(4)
+    russian, polish = "это было очень давно когда люди жили в лесу и не знали огня".split(), "byłem wczoraj bardzo zmęczony ponieważ pracowałem przez cały dzień w ogrodzie".split()
+    planted = [" ".join(rng.choice(words) for _ in range(60)) for words in (russian, polish) for _ in range(20)]
+    planted += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(500)) for _ in range(20)] + ["12 34 !", "", None]
+    bad = spark.createDataFrame([(10**6 + i, t, None, "s", 1) for i, t in enumerate(planted)], SCHEMA)
+    mixed = docs.select(*corpus_pipeline.DOCUMENT_COLUMNS).unionByName(bad)
+    got = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, mixed, "").select("doc_id").collect()}
+    clean = [r.doc_id for r in docs.where("length(text) > 100").collect()]
+    assert not any(i >= 10**6 for i in got) and sum(i in got for i in clean) > 0.97 * len(clean)
+    held_out = byte_cnn.fold_of("doc_id", 3) == 1
+    net, least = byte_cnn.fit_known(mixed.where(~held_out), mixed.where(held_out))
+    plain = set()
+    for r in mixed.collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            continue
+        x = byte_cnn.windows_of(r.text)
+        p = np.average(byte_cnn.probabilities(net, x), axis=0, weights=(x != 0).sum(axis=1))
+        if net.languages[int(p.argmax())] != "und" and p.max() >= least:
+            plain.add(r.doc_id)
+    assert len(got ^ plain) <= 1
