@@ -7,20 +7,23 @@ tightest bin that is large enough and goes on to the next larger until one is co
 Rows are dealt by a hash to shards of about ``rows_per_shard`` rows, as many as the input needs, and each shard packs its own bins: a hot source or a group of copies spreads over all
 shards, and only ids and numbers move, never texts. Bitmaps hold 64 sources and 256 clusters by hash; two that share a bit are kept apart, which is never wrong.
 
-Tokens are blanks and line ends plus one (the words of single-spaced text) and one end token, unless a column n_tokens is given. A null or empty text has the end token only. Null sources share one source; null
+Tokens are operator 2's ids of the whole text and one end token, and the clusters are operator 7's classes of near copies, unless columns n_tokens and cluster are given. A null or empty text has the end token only. Null sources share one source; null
 clusters conflict with nothing. Ties go by doc_id. Repeated rows are packed as often as they occur; an empty table gives no bins.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import documents
+from framewright.llm import near_dedup, token_store
+from framewright.llm.common import documents, materialize
 
 CAPACITY = 2048
 ROWS_PER_SHARD = 4096
@@ -101,11 +104,32 @@ def pack(df: DataFrame, capacity: int = CAPACITY, rows_per_shard: int = ROWS_PER
 
 
 def with_lengths(df: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, source and a cluster of exact copies of each document's text."""
-    text = F.coalesce("text", F.lit(""))
-    spaces = F.length(text) - F.length(F.translate(text, " \n\t\r", ""))
-    return df.select("doc_id", (F.when(F.length(text) == 0, F.lit(0)).otherwise(spaces + 1) + 1).cast("long").alias("n_tokens"), "source", F.xxhash64("text").alias("cluster"))
+    """doc_id, n_tokens, source and a cluster of exact copies of each document's text. n_tokens: operator 2's ids of the whole text and one end token."""
+    path = token_store.default_tokenizer_path()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = token_store.word_encoder(path)
+        width = np.dtype(encoder.dtype).itemsize
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                sizes = [len(ids) // width + 1 for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(2), batch.column(3)], names=["doc_id", "n_tokens", "source", "cluster"])
+
+    items = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("cluster"))
+    return items.mapInArrow(count, "doc_id long, n_tokens long, source string, cluster long")
+
+
+def with_classes(df: DataFrame) -> DataFrame:
+    """with_lengths, but clusters are operator 7's classes of near copies. Rows of one text are in one class, which its hash gives them, whatever their ids."""
+    items = materialize(with_lengths(df).withColumnRenamed("cluster", "copy"), "lengths")
+    ids = items.select("doc_id", "copy").where("doc_id IS NOT NULL")
+    classes = near_dedup.near_duplicates(df).where("doc_id IS NOT NULL").select("doc_id", "class_id")
+    # an id of several texts says nothing of which class is whose: such texts join by their other ids, or stay clusters of their own
+    one = ids.groupBy("doc_id").agg(F.min("copy").alias("copy"), F.max("copy").alias("other")).where("copy <=> other").select("doc_id", "copy")
+    known = one.join(classes.distinct(), "doc_id").groupBy("copy").agg(F.min("class_id").alias("class_id"))
+    return items.join(known, "copy", "left").select("doc_id", "n_tokens", "source", F.coalesce("class_id", "copy").alias("cluster"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(with_lengths(documents(spark, sf_dir)))
+    return pack(materialize(with_classes(documents(spark, sf_dir)), "items"))

@@ -435,3 +435,16 @@ def test_language_stage_rejects_foreign_and_garbled_documents(spark, languages):
         if net.languages[int(p.argmax())] != "und" and p.max() >= least:
             plain.add(r.doc_id)
     assert len(got ^ plain) <= 1
+
+
+def test_near_copies_are_apart_and_lengths_are_tokens(spark, odd):
+    words = [f"w{i}" for i in range(100)]
+    near = [(i, " ".join([*words[:50], f"x{i}", *words[51:]]), "en", f"s{i}", 1) for i in range(5)]
+    df = spark.createDataFrame([*near, (9, "汉字" * 300, "zh", "s", 1), (10, "汉字" * 300, "zh", "t", 1)], SCHEMA)
+    items = packing.with_classes(df).collect()
+    assert len({r.cluster for r in items if r.doc_id < 5}) == 1 and len({r.cluster for r in items if r.doc_id >= 9}) == 1 and len({r.cluster for r in items}) == 2
+    encoder = token_store.word_encoder(token_store.default_tokenizer_path()).tokenizer
+    assert {r.doc_id: r.n_tokens for r in items} == {r.doc_id: len(encoder.encode(r.text, add_special_tokens=False).ids) + 1 for r in df.collect()}
+    bins = packing.pack(packing.with_classes(df)).where("doc_id < 5").collect()
+    assert len({r.bin_id for r in bins}) == 5
+    assert packing.with_classes(odd).count() == len(ODD)
