@@ -1,16 +1,18 @@
-"""Operator 7: near-duplicate detection by order MinHash.
+"""Operator 7: near-duplicate detection by order MinHash, verified by banded alignment.
 
-Words are lower-cased runs between white space. A text's elements are its five-word shingles, each labelled with its occurrence. For each of ``SKETCHES`` hash functions the
-``MINIMA`` smallest elements are put in text order and hashed to one key; texts that share a key are candidates. A pair is linked if a banded alignment of their
-element sequences matches at least 0.8 of the union (matched / (n + m - matched)), so moved text lowers the similarity. Links make classes.
+Words are lower-cased runs between white space (simple case mapping). A text's k-mers are its five-word shingles, each labelled with its occurrence. For each of ``SKETCHES`` hash functions the
+``MINIMA`` smallest k-mers are put in text order and hashed to one key; texts that share a key are candidates. A pair is linked if a banded alignment of their
+words matches at least 0.8 of the union (matched / (n + m - matched)), so a changed word costs one word and moved text lowers the similarity. Links make classes.
 
-Work follows the number of links, not the square of groups: exact copies meet in one node first; in every bucket each node is compared with one centre, the node that shares most; only
-buckets that then still hold several classes are looked at again, until nothing new is found. There a pair is tried only if it can still be linked: what two texts of different classes share is
-at most the elements that each has in common with any other class, and at most the overlap of their elements' counts in ``BINS`` bins, so texts with edits of their own are ruled out
-exactly and without reading them again. A pair of similarity 0.8 shares none of
-24 keys of 3 minima with probability (1 - 0.8 ** 3) ** 24 < 4e-8.
+A pair whose five-word shingles are alike at 0.8 is also alike in words, and shares none of 16 keys of 2 minima with probability (1 - 0.8 ** 2) ** 16 < 1e-7. Edits spread over a text break up to five
+shingles each; of all pairs of sf0.1 that are alike in words at 0.8, brute force finds none that shares no key (README).
 
-Texts of fewer than five words have one element, all their words. Null and empty texts are copies of one another. Repeated rows are copies; a null doc_id stays null and its class is
+Work follows the number of links, not the square of groups. Exact copies meet in one node first. In every bucket each node is compared with one centre, the node that shares most; sizes and
+word counts in ``BINS`` bins rule most pairs out exactly before any text moves. Only buckets that then still hold several classes are looked at again, and there only nodes of whose shingles at
+least ``LEAST_COMMON`` occur in another class (a pair alike at 0.8 in shingles has 0.8), which drops texts that merely share a passage. Such a bucket is cut into blocks; each pair of blocks is a group of its own, so no task holds a whole
+bucket.
+
+Texts of fewer than five words have one k-mer, all their words. Null and empty texts are copies of one another. Repeated rows are copies; a null doc_id stays null and its class is
 the smallest id of its group. An empty table gives an empty result. Texts are compared whole.
 """
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,89 +29,112 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import documents, materialize
+from framewright.llm.common import chain, discard, documents, matched, materialize, mix, ranges, slices, word_hashes
 
-SHINGLE, SKETCHES, MINIMA, SIMILARITY = 5, 24, 3, 0.8
-LEAST_SHARED = 2
+SHINGLE, SKETCHES, MINIMA, SIMILARITY = 5, 16, 2, 0.8
+LEAST_COMMON = 0.3
 LIKELIEST = 8
-REMEMBERED_WORDS = 500_000
-BLOCK = 2048
+ROWS_PER_BLOCK = 4096
+COMPARED = 2048
+CELLS = 500_000
 #: A count of FULL or more is kept as FULL.
 BINS, FULL = 256, 255
-_ODD = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_K, _M = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
-_words: dict[str, int] = {}
-
-
-def _word_hashes(words: list[str]) -> np.ndarray:
-    if len(_words) > REMEMBERED_WORDS:
-        _words.clear()
-    out = []
-    for w in words:
-        h = _words.get(w)
-        if h is None:
-            h = _words[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _M
-    return x ^ (x >> np.uint64(32))
-
-
-def elements(words: list[str]) -> np.ndarray:
-    """Hashes of the occurrence-labelled shingles, in text order; all distinct."""
-    with np.errstate(over="ignore"):
-        h = _word_hashes(words)
-        size = min(SHINGLE, len(h))
-        if not size:
-            return h
-        n = len(h) - size + 1
-        s = np.full(n, size, np.uint64)
-        for j in range(size):
-            s = _mix(s * _K + h[j : j + n])
-        order = np.argsort(s, kind="stable")
-        run = s[order]
-        new = np.concatenate([[True], run[1:] != run[:-1]])
-        if not new.all():
-            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-            label = np.empty(n, np.uint64)
-            label[order] = (np.arange(n) - first).astype(np.uint64)
-            s = np.where(label > 0, _mix(s + label * _K), s)
-        return s
-
-
-def sketch(s: np.ndarray) -> np.ndarray:
-    """One key for each hash function: the smallest elements in text order."""
-    if not len(s):
-        return np.zeros(0, np.int64)
-    with np.errstate(over="ignore"):
-        take, parts = min(MINIMA, len(s)), []
-        for at in range(0, SKETCHES, max(1, 4_000_000 // len(s))):
-            odd = _ODD[at : at + max(1, 4_000_000 // len(s))]
-            v = _mix(s[None, :] * odd[:, None] + odd[:, None])
-            parts.append(np.argpartition(v, take - 1, axis=1)[:, :take] if take < len(s) else np.tile(np.arange(take), (len(odd), 1)))
-        chosen = s[np.sort(np.concatenate(parts), axis=1)]
-        key = _ODD.copy()
-        for j in range(take):
-            key = _mix(key * _K + chosen[:, j])
-        return key.view(np.int64)
-
-
-def bins(s: np.ndarray) -> bytes:
-    """How many elements fall in each bin, a byte a bin."""
-    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), FULL).astype(np.uint8).tobytes()
-
-
-def may_reach(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """Which rows of bins in ``a`` can be as similar as ``least`` to those in ``b``: texts share at most the smaller count of each bin. Two full bins bound nothing."""
-    most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-    return (most >= least / (1 + least) * sizes - 1e-6) | ((a == FULL) & (b == FULL)).any(axis=1)
+_ODD = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+# ---- k-mers and keys ---------------------------------------------------------------------------------------------------------------
+
+
+def elements(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the occurrence-labelled shingles of many texts, in text order and all distinct in a text. ends: where each text's words begin, and the end; likewise in the result."""
+    sizes, total = np.diff(ends), len(words)
+    found = np.zeros(total, np.uint64)
+    if total >= SHINGLE:
+        run = np.full(total - SHINGLE + 1, SHINGLE, np.uint64)
+        for j in range(SHINGLE):
+            run = chain(run, words[j : total - SHINGLE + 1 + j])
+        found[: len(run)] = run
+    valid = np.arange(total) + SHINGLE <= np.repeat(ends[1:], sizes)
+    for i in np.flatnonzero((sizes > 0) & (sizes < SHINGLE)):
+        short = np.full(1, sizes[i], np.uint64)
+        for j in range(ends[i], ends[i + 1]):
+            short = chain(short, words[j : j + 1])
+        found[ends[i]], valid[ends[i]] = short[0], True
+    found = found[valid]
+    counts = np.where(sizes >= SHINGLE, sizes - SHINGLE + 1, np.minimum(sizes, 1))
+    _label(found, np.repeat(np.arange(len(sizes), dtype=np.uint64), counts))
+    return found, np.concatenate([[0], np.cumsum(counts)])
+
+
+def _label(found: np.ndarray, text: np.ndarray) -> None:
+    """Give the second and further occurrences of a shingle in a text hashes of their own, in place."""
+    inside = chain(found, text)
+    ordered = np.sort(inside)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return
+    low = np.uint64((1 << 20) - 1)
+    flags = np.zeros(1 << 20, bool)
+    flags[twice & low] = True
+    at = np.flatnonzero(flags[inside & low])
+    order = np.argsort(inside[at], kind="stable")
+    at, run = at[order], inside[at][order]
+    place = np.arange(len(run))
+    occurrence = (place - np.maximum.accumulate(np.where(np.concatenate([[True], run[1:] != run[:-1]]), place, 0))).astype(np.uint64)
+    found[at] = np.where(occurrence > 0, chain(found[at], occurrence), found[at])
+
+
+def keys_of(found: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """SKETCHES keys of each text: for each hash function its MINIMA smallest k-mers in text order. Texts without k-mers have keys of 0.
+
+    Texts of like size share a matrix; a k-mer's hash is its product with an odd number, complemented, so that the padding's 0 is the largest.
+    """
+    counts = np.diff(ends)
+    out = np.zeros((len(counts), SKETCHES), np.uint64)
+    order = np.argsort(counts, kind="stable")
+    order = order[counts[order] > 0]
+    by_size, at = counts[order], 0
+    while at < len(order):
+        end = int(np.searchsorted(by_size, by_size[at] * 1.25 + 4, side="right"))
+        end = max(at + 1, min(end, at + CELLS // int(by_size[end - 1])))
+        rows, size = order[at:end], by_size[at:end]
+        at, width = end, int(size[-1])
+        table = np.zeros((len(rows), width), np.uint64)
+        table[np.arange(width) < size[:, None]] = found[ranges(ends[rows], size)]
+        r = np.arange(len(rows))
+        for f, odd in enumerate(_ODD):
+            value = table * odd
+            places = np.full((MINIMA, len(rows)), width)
+            for j in range(min(MINIMA, width)):
+                best = value.argmax(axis=1)
+                value[r, best] = 0
+                places[j] = np.where(size > j, best, width)
+            key = np.full(len(rows), odd, np.uint64)
+            for place in np.sort(places, axis=0):
+                key = chain(key, np.where(place < width, table[r, np.minimum(place, width - 1)], np.uint64(0)))
+            out[rows, f] = key
+    return out
+
+
+# ---- alignment ---------------------------------------------------------------------------------------------------------------------
+
+
+def bins_of(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many words of each text fall in each bin, a byte a bin."""
+    text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    counts = np.bincount(text * BINS + (words >> np.uint64(40)).astype(np.int64) % BINS, minlength=(len(ends) - 1) * BINS)
+    return np.minimum(counts, FULL).astype(np.uint8).reshape(-1, BINS)
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Which rows of bins in ``a`` can be as similar as ``least`` to those in ``b``: texts share at most the smaller count of each bin and, where both bins are full, the smaller number of words beyond."""
+    beyond = np.minimum(size_a - a.sum(axis=1, dtype=np.int64), size_b - b.sum(axis=b.ndim - 1, dtype=np.int64))
+    most = np.minimum(a, b).sum(axis=1, dtype=np.int64) + beyond
+    return most >= least / (1 + least) * (size_a + size_b) - 1e-6
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Matched elements of the best banded alignment over the union; 0 as soon as it can't reach ``least``."""
+    """Matched items of the best banded alignment of two sequences without repeats over their union; 0 as soon as it can't reach ``least``."""
     n, m = len(a), len(b)
     if not n or not m:
         return float(n == m)
@@ -119,8 +144,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
         return 0.0
     order = np.argsort(pa_)
     x, y = pa_[order], pb[order]
-    band = n + m - 2 * int(np.ceil(need - 1e-9))  # more insertions and deletions than this are too many
-    y = y[np.abs(x - y) <= band]
+    y = y[np.abs(x - y) <= _band(n, m, need)]
     if len(y) and not (np.diff(y) > 0).all():
         tails: list[int] = []
         for value in y.tolist():
@@ -132,41 +156,106 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return matched / (n + m - matched)
 
 
-def sketches(df: DataFrame) -> DataFrame:
-    """doc_id, text, others (the other columns), node (128-bit hash of the words), keys, size (elements), bins."""
+def _band(n: int, m: int, need: float) -> int:
+    """More insertions and deletions than this are too many."""
+    return n + m - 2 * int(np.ceil(need - 1e-9))
+
+
+def edit_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """Matched words of the best banded alignment over the union; 0 as soon as it can't reach ``least``.
+
+    The alignment is a longest common subsequence, a bit for each word of ``a`` and a step for each word of ``b``; matches outside the band don't count.
+    """
+    n, m = len(a), len(b)
+    if not n or not m:
+        return float(n == m)
+    need = least / (1 + least) * (n + m)
+    if min(n, m) < need - 1e-9:
+        return 0.0
+    words, first, second = (np.unique(x, return_counts=True) for x in (np.concatenate([a, b]), a, b))
+    counts = np.zeros((2, len(words[0])), np.int64)
+    for row, (w, c) in zip(counts, (first, second)):
+        row[np.searchsorted(words[0], w)] = c
+    if counts.min(axis=0).sum() < need - 1e-9:
+        return 0.0
+    band = _band(n, m, need)
+    where: dict[int, int] = {}
+    for i, w in enumerate(a.tolist()):
+        where[w] = where.get(w, 0) | (1 << i)
+    full, near = (1 << n) - 1, (1 << (2 * band + 1)) - 1
+    open_ = full
+    for j, w in enumerate(b.tolist()):
+        match = where.get(w)
+        if match:
+            match &= near << (j - band) if j >= band else near >> (band - j)
+            taken = open_ & match
+            open_ = ((open_ + taken) | (open_ - taken)) & full
+        if j & 1023 == 1023 and n - open_.bit_count() + m - j - 1 < need - 1e-9:
+            return 0.0
+    matched = n - open_.bit_count()
+    return matched / (n + m - matched) if matched >= need - 1e-9 else 0.0
+
+
+# ---- Spark -------------------------------------------------------------------------------------------------------------------------
+
+
+def sketches(df: DataFrame, measure: tuple[str, Callable[[], Callable]] | None = None) -> DataFrame:
+    """doc_id, others (the columns besides doc_id and text), node (128-bit hash of the words), keys, size (words), bins, words (32 bits each); no text.
+
+    measure: a column's name and what makes, in each task, a function from an Arrow array of texts to that long column, for operators that need more of the same texts.
+    """
     others = [c for c in df.columns if c not in ("doc_id", "text")]
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*others).alias("others")] if others else []))
-    names = [*rows.columns, "node", "keys", "size", "bins"]
+    rows = df.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *([F.struct(*others).alias("others")] if others else []))
+    fields = [*rows.schema.fields[1:], *([T.StructField(measure[0], T.LongType())] if measure else []), T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType()), T.StructField("bins", T.BinaryType()), T.StructField("words", T.BinaryType())]
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measured = measure[1]() if measure else None
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                nodes, keys, sizes, counts = [], [], [], []
-                for t in batch.column(1).to_pylist():
-                    words = (t or "").lower().split()
-                    nodes.append(xxhash.xxh3_128_digest(" ".join(words)))
-                    found = elements(words)
-                    keys.append(sketch(found))
-                    sizes.append(len(found))
-                    counts.append(bins(found))
-                offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary())], names=names)
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType()), T.StructField("bins", T.BinaryType())])
-    return rows.mapInArrow(run, schema)
-
-
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of nodes that are similar enough. texts: node, text, one row a node."""
+            for batch in slices(whole, 0):
+                texts = batch.column(0)
+                words, ends = word_hashes(texts)
+                found, cuts = elements(words, ends)
+                keys = keys_of(found, cuts)
+                narrow = (words >> np.uint64(32)).astype("<u4")
+                both = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+                has = np.diff(cuts) > 0
+                offsets = np.concatenate([[0], np.cumsum(has * SKETCHES)]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[has].ravel().view(np.int64)))
+                more = [pa.array(measured(texts), pa.int64())] if measure else []
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *more, pa.array(_node_hashes(words, ends), pa.binary()), listed, pa.array(np.diff(ends)), pa.array([b.tobytes() for b in bins_of(words, ends)], pa.binary()), pa.array([narrow[s:e].tobytes() for s, e in both], pa.binary())], names=names)
+
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose bins allow the similarity. nodes: node, size, bins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3)]
+            yield batch.select(["a", "b"]).filter(pa.array(may_reach(*sides, *(batch.column(i).to_numpy() for i in (4, 5)))))
+
+    left, right = (nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bins").alias(f"bins_{x}")) for x in ("a", "b"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "bins_a", "bins_b", "size_a", "size_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _words_of(sketched: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, words of the wanted nodes (distinct, a stored table)."""
+    return matched(sketched.select(F.col("row").alias("node"), "words"), wanted, "node")
+
+
+def verify(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of nodes that are similar enough. pairs: a stored table. A node in many pairs is a skewed join key, which Spark splits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()
+        recent: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
 
-        def of(node: int, text: str | None) -> np.ndarray:
+        def of(node: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
             if node not in recent:
-                recent[node] = elements((text or "").lower().split())
+                words = np.frombuffer(packed, "<u4")
+                recent[node] = words, elements(words.astype(np.uint64), np.array([0, len(words)]))[0]
                 if len(recent) > 8:
                     recent.popitem(last=False)
             recent.move_to_end(node)
@@ -175,44 +264,70 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
-                a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-                good = [i for i in range(len(a)) if similarity(of(a[i], ta[i]), of(b[i], tb[i])) >= SIMILARITY]
+                a, b, wa, wb = (batch.column(i).to_pylist() for i in range(4))
+                good = []
+                for i in range(len(a)):
+                    x, y = of(a[i], wa[i]), of(b[i], wb[i])
+                    # what is alike in shingles is alike in words
+                    if similarity(x[1], y[1]) >= SIMILARITY or edit_similarity(x[0], y[0]) >= SIMILARITY:
+                        good.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
 
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(right, "b").join(left, "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    words = _words_of(sketched, wanted)
+    right, left = (words.select(F.col("node").alias(x), F.col("words").alias(f"words_{x}")) for x in ("b", "a"))
+    linked = materialize(pairs.join(right, "b").join(left, "a").select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long"), "verified")
+    discard(wanted)
+    return linked
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, class_node (the smallest node of its component) for every node of a link: minima pass along links, then along what they point to."""
     both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    current = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("class_node")), "classes")
+    current = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("class_node")).withColumn("was", F.col("node")), "classes")
     while True:
-        near = both.join(current.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class_node").alias("near"))
-        stepped = current.join(near, "node", "left").select("node", F.least("class_node", "near").alias("next"), F.col("class_node").alias("was"))
-        jumped = stepped.join(current.select(F.col("node").alias("next"), F.col("class_node").alias("further")), "next", "left").select("node", F.least("next", "further").alias("class_node"), "was")
+        classes = current.select("node", "class_node")
+        near = both.join(classes.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class_node").alias("near"))
+        stepped = classes.join(near, "node", "left").select("node", F.least("class_node", "near").alias("next"), F.col("class_node").alias("was"))
+        jumped = stepped.join(classes.select(F.col("node").alias("next"), F.col("class_node").alias("further")), "next", "left").select("node", F.least("next", "further").alias("class_node"), "was")
         after = materialize(jumped, "classes")
-        current = after.select("node", "class_node")
+        discard(current)
+        current = after
         if after.where("class_node != was").isEmpty():
-            return current
+            discard(both)
+            return after.select("node", "class_node")
+
 
+def _merged(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """placed (node, class_node, a stored table, which is discarded) after new links: classes are joined, not their members again."""
+    a, b = (placed.select(F.col("node").alias(x), F.col("class_node").alias(f"class_{x}")) for x in ("a", "b"))
+    between = links.join(a, "a").join(b, "b").where("class_a != class_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    joined = components(between).select(F.col("node").alias("class_node"), F.col("class_node").alias("now"))
+    after = materialize(placed.join(joined, "class_node", "left").select("node", F.coalesce("now", "class_node").alias("class_node")), "placed")
+    discard(placed)
+    return after
 
-def _shared_elements(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, common: how many of a node's elements occur in a node of another class too. placed: node, class_node."""
+
+def _shared_elements(mixed: DataFrame, sketched: DataFrame) -> DataFrame:
+    """node, common: how many of a node's shingles occur in a node of another class too. mixed: node, class_node, a stored table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                node, home, text = (whole.slice(at, 200).column(i).to_pylist() for i in range(3))
-                found = [elements((t or "").lower().split()) for t in text]
-                sizes = [len(f) for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(node, np.int64), sizes)), pa.array(np.repeat(np.array(home, np.int64), sizes)), pa.array(np.concatenate(found).view(np.int64))], names=["node", "class_node", "element"])
-
-    rows = placed.join(texts, "node").select("node", "class_node", "text").mapInArrow(run, "node long, class_node long, element long")
+            for batch in slices(whole, 2):
+                packed = batch.column(2).to_pylist()
+                words = np.frombuffer(b"".join(packed), "<u4").astype(np.uint64)
+                ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int64)
+                found, cuts = elements(words, ends)
+                of = [np.repeat(batch.column(i).to_numpy(), np.diff(cuts)) for i in (0, 1)]
+                # 32 bits are enough: what falls together by chance only keeps a node in play
+                yield pa.RecordBatch.from_arrays([*map(pa.array, of), pa.array((found >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["node", "class_node", "element"])
+
+    stored = materialize(matched(sketched.select(F.col("row").alias("node"), "words"), mixed, "node").select("node", "class_node", "words"), "mixed-words")
+    rows = stored.mapInArrow(run, "node long, class_node long, element int")
     spread = rows.groupBy("element").agg(F.min("class_node").alias("low"), F.max("class_node").alias("high")).where("low != high").select("element")
-    return rows.join(spread, "element").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+    common = materialize(rows.join(spread, "element").groupBy("node").agg(F.count(F.lit(1)).alias("common")), "common")
+    discard(stored)
+    return common
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -222,30 +337,30 @@ def _mixed(placed: DataFrame) -> DataFrame:
 
 
 def _candidates(rows: DataFrame, most: int | None) -> DataFrame:
-    """Pairs (a, b) of one bucket and different classes that share at least LEAST_SHARED keys and can still reach the similarity; each pair is told by one bucket only.
+    """Pairs (a, b) of one bucket and different classes that can still reach the similarity; each pair is told by one bucket only.
 
     With ``most``, only a text's likeliest partners in each larger class: one of them is usually enough to join the two classes.
+    A bucket of more than ROWS_PER_BLOCK rows is cut into blocks, and each pair of blocks (or a block by itself) is compared apart.
     """
 
-    def of(node, home, size, common, table, counts, key):
+    def of(same_block, side, node, home, size, table, counts, key):
         found = []
         if (home == home[0]).all():
             return found
         members = np.bincount(home)
         order = np.lexsort((node, home, -members[home]))  # larger classes first
-        node, home, size, common, table, counts = node[order], home[order], size[order], common[order], table[order], counts[order]
+        side, node, home, size, table, counts = side[order], node[order], home[order], size[order], table[order], counts[order]
         for i in range(1, len(node)):
             near = []
-            for at in range(0, i, BLOCK):
-                part = slice(at, min(i, at + BLOCK))
-                reach = np.minimum(common[part], common[i]) >= SIMILARITY / (1 + SIMILARITY) * (size[part] + size[i]) - 1e-6
-                other = at + np.flatnonzero(reach & (home[part] != home[i]))
+            for at in range(0, i, COMPARED):
+                part = slice(at, min(i, at + COMPARED))
+                fits = (np.minimum(size[part], size[i]) >= SIMILARITY * np.maximum(size[part], size[i]) - 1e-6) & (home[part] != home[i])
+                other = at + np.flatnonzero(fits if same_block else fits & (side[part] != side[i]))
                 if len(other):
                     same = table[other] == table[i]
-                    shared = same.sum(axis=1)
-                    here = (shared >= LEAST_SHARED) & (table[i][same.argmax(axis=1)] == key)
-                    other, shared = other[here], shared[here]
-                    good = may_reach(counts[other], counts[i], size[other] + size[i])
+                    here = table[i][same.argmax(axis=1)] == key
+                    other, shared = other[here], same.sum(axis=1)[here]
+                    good = may_reach(counts[other], counts[i], size[other], size[i])
                     near.append((other[good], shared[good]))
             if not near:
                 continue
@@ -261,58 +376,65 @@ def _candidates(rows: DataFrame, most: int | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(group):
-            key, node, home, size, common, table, counts = (np.concatenate(x) for x in zip(*group))
-            for pair in of(node, np.unique(home, return_inverse=True)[1], size, common, table, counts, key[0]):
+            key, low, high, side, node, home, size, table, counts = (np.concatenate(x) for x in zip(*group))
+            for pair in of(low[0] == high[0], side, node, np.unique(home, return_inverse=True)[1], size, table, counts, key[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
         group: list[tuple] = []
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            columns.append(batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCHES))
-            columns.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, BINS))
-            cuts = np.flatnonzero(np.diff(columns[0])) + 1
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            columns.append(batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCHES))
+            columns.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, BINS))
+            new = np.zeros(max(batch.num_rows - 1, 0), bool)
+            for column in columns[:3]:
+                new |= column[1:] != column[:-1]
+            cuts = np.flatnonzero(new) + 1
             for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
                 if end > start:
-                    if group and group[0][0][0] != columns[0][start]:
+                    if group and any(group[0][i][0] != columns[i][start] for i in range(3)):
                         yield from told(group)
                         group = []
                     group.append(tuple(c[start:end] for c in columns))
         if group:
             yield from told(group)
 
-    return rows.select("key", "node", "class_node", "size", "common", "keys", "bins").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    counted = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_BLOCK).cast("int").alias("blocks"))
+    cut = rows.join(counted, "key").withColumn("side", F.pmod(F.hash("node"), F.col("blocks")))
+    unit = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "side").alias("low"), F.greatest(x, "side").alias("high"))))
+    units = cut.withColumn("unit", unit).select("key", F.col("unit.low").alias("low"), F.col("unit.high").alias("high"), "side", "node", "class_node", "size", "keys", "bins")
+    return units.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "a long, b long")
 
 
-def _decided_links(links: DataFrame, pairs: DataFrame, buckets: DataFrame, chosen: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, class_node: classes after the pairs that the centres left out. The first round tries likely partners; the second all others, and so every pair
+def _decided_links(links: DataFrame, tried: DataFrame, buckets: DataFrame, nodes: DataFrame, sketched: DataFrame) -> DataFrame:
+    """node, class_node of the nodes in buckets (a stored table) after the pairs that the centres left out. The first round tries likely partners; the second all others, and so every pair
     that can be linked has been tried or is in one class: merging classes never makes a new candidate."""
-    placed = components(links)
-
-    def now(placed):
-        return buckets.join(placed, "node", "left").select("key", "node", F.coalesce("class_node", "node").alias("class_node"))
-
-    mixed = _mixed(now(placed))
-    common = _shared_elements(mixed.select("node", "class_node").distinct(), texts)
-    able = chosen.join(common, "node").where(F.col("common") >= F.ceil(SIMILARITY * F.col("size") - 1e-6))
-    able = materialize(able.select("node", "keys", "size", "common", "bins"), "able")
+    placed = materialize(buckets.select("node").distinct().withColumn("class_node", F.col("node")), "placed")
+    placed = _merged(placed, links)
+    mixed = materialize(_mixed(buckets.join(placed, "node")).select("node", "class_node").distinct(), "mixed")
+    common = _shared_elements(mixed, sketched)
+    able = nodes.join(common, "node").where(F.col("common") >= LEAST_COMMON * F.greatest(F.col("size") - (SHINGLE - 1), F.lit(1)) - 1e-6)
+    able = materialize(able.select("node", "keys", "size", "bins"), "able")
+    discard(mixed, common)
     for most in (LIKELIEST, None):
-        rows = _mixed(now(placed).join(able.select("node"), "node")).join(able, "node")
-        more = materialize(_candidates(rows, most).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs = pairs.unionByName(more)
-        new = materialize(verify(more, texts), "verified")
+        rows = _mixed(buckets.join(placed, "node").join(able.select("node"), "node")).join(able, "node")
+        more = materialize(_candidates(rows, most).join(tried, ["a", "b"], "left_anti").distinct(), "pairs")
+        new = verify(more, sketched)
+        if most is not None:
+            tried = tried.unionByName(more)
         if not new.isEmpty():
-            links = links.unionByName(new)
-            placed = components(links)
+            placed = _merged(placed, new)
+        discard(new)
+    discard(able)
     return placed
 
 
-def _decided(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The numbered rows, and row, doc_id, class_id, class_size, is_kept."""
-    rows = materialize(sketches(df).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    nodes = materialize(rows.groupBy("node").agg(F.min(_first()).alias("first"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")).withColumn("row", F.col("first.row")), "nodes")
+def _decided(df: DataFrame, measure: tuple[str, Callable[[], Callable]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and for each node: node, class_id, class_size, kept_row."""
+    sketched = materialize(sketches(df, measure).withColumn("row", F.monotonically_increasing_id()), "sketches")
     # from here on a text is known by the number of its first row
-    chosen = rows.join(nodes.select("row"), "row").select(F.col("row").alias("node"), "keys", "size", "bins")
-    by_key = chosen.select("node", "size", F.explode("keys").alias("key"))
+    nodes = sketched.groupBy("node").agg(F.min(_first()).alias("first"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("bins").alias("bins"))
+    nodes = materialize(nodes.withColumnRenamed("node", "text_hash").withColumn("node", F.col("first.row")), "nodes")
+    by_key = nodes.select("node", "size", F.explode("keys").alias("key"))
     many = by_key.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = materialize(by_key.join(many, "key").select("key", "node", "size", "members"), "buckets")
     # the centre of a bucket is the node that shares most over all its buckets
@@ -321,26 +443,50 @@ def _decided(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     fits = F.least("size", "centre_size") >= SIMILARITY * F.greatest("size", "centre_size") - 1e-6
     pairs = buckets.join(centres, "key").where("centre != node").where(fits)
     pairs = materialize(pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "pairs")
-    texts = rows.select(F.col("row").alias("node"), "text").join(buckets.select("node").distinct(), "node", "left_semi")
-    links = materialize(verify(pairs, texts), "verified")
-    placed = _decided_links(links, pairs, buckets.select("key", "node"), chosen, texts)
-    named = nodes.join(placed.withColumnRenamed("node", "row"), "row", "left")
-    home = named.select("node", "first", "least_id", "copies", F.coalesce("class_node", "row").alias("class_node"))
-    by_class = home.groupBy("class_node").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min("first").alias("first"))
-    home = home.join(by_class.withColumnRenamed("first", "kept"), "class_node").select("node", "class_id", "class_size", F.col("kept.row").alias("kept_row"))
-    return rows, rows.select("doc_id", "node", "row").join(home, "node").select("row", "doc_id", "class_id", "class_size", (F.col("row") == F.col("kept_row")).alias("is_kept"))
+    likely = materialize(_plausible(pairs, nodes), "likely")
+    links = verify(likely, sketched)
+    placed = _decided_links(links, pairs, buckets.select("key", "node"), nodes, sketched)
+    discard(likely, links, pairs, buckets)
+    home = nodes.join(placed, "node", "left").select("text_hash", "first", "least_id", "copies", F.coalesce("class_node", "node").alias("class_node"))
+    by_class = home.groupBy("class_node").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min("first").alias("kept"))
+    home = materialize(home.join(by_class, "class_node").select(F.col("text_hash").alias("node"), "class_id", "class_size", F.col("kept.row").alias("kept_row")), "homes")
+    discard(placed, nodes)
+    return sketched, home
+
+
+def near_duplicates(df: DataFrame, measure: tuple[str, Callable[[], Callable]] | None = None) -> DataFrame:
+    """doc_id, class_id, class_size, is_kept (the row with the class's smallest id stays) and the measure, if any: one row for each row of df (doc_id, text, others)."""
+    sketched, home = _decided(df, measure)
+    others = [c for c in df.columns if c not in ("doc_id", "text")]
+    rows = sketched.select("doc_id", "node", "row", *([measure[0]] if measure else []), *[F.col(f"others.{c}").alias(f"other_{c}") for c in others]).join(home, "node")
+    out = rows.select("doc_id", "class_id", "class_size", (F.col("row") == F.col("kept_row")).alias("is_kept"), *([measure[0]] if measure else []), *[F.col(f"other_{c}").alias(c) for c in others])
+    return out
 
 
-def near_duplicates(df: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size, is_kept (the row with the class's smallest id stays): one row for each row of df (doc_id, text)."""
-    return _decided(df)[1].drop("row")
+def keep_first(df: DataFrame) -> DataFrame:
+    """The rows and columns of df without all but one row of each class: the one with the smallest id, the first of equal ones by their other columns.
 
+    Texts are not stored again: the row that stays is known by its id and the hash of its words.
+    """
+    sketched, home = _decided(df.select("doc_id", "text"))
+    kept = sketched.join(home.select(F.col("kept_row").alias("row")), "row", "left_semi").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"))
+    columns = [F.col(c) for c in df.columns]
+    named = df.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("kept_id"), F.struct(*columns).alias("line"))
+    fields = [*named.schema.fields, T.StructField("kept_node", T.BinaryType())]
 
-def keep_first(df: DataFrame) -> DataFrame:
-    """The rows and columns of df without all but one row of each class."""
-    rows, decided = _decided(df)
-    others = [c for c in df.columns if c not in ("doc_id", "text")]
-    return rows.join(decided.where("is_kept").select("row"), "row").select("doc_id", "text", *[F.col(f"others.{c}").alias(c) for c in others]).select(*df.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 0):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_node_hashes(*word_hashes(batch.column(0))), pa.binary())], names=[f.name for f in fields])
+
+    rows = named.mapInArrow(run, T.StructType(fields))
+    stays = rows.join(kept, rows.kept_id.eqNullSafe(kept.kept_id) & (rows.kept_node == kept.kept_node), "left_semi")
+    order = F.struct("text", *[F.col(f"line.{f.name}").alias(f"c{i}") for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.AtomicType)])
+    return stays.groupBy("kept_id", "kept_node").agg(F.min_by("line", order).alias("line")).select("line.*")
+
+
+def _node_hashes(words: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(words[s:e].tobytes()) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def _first():

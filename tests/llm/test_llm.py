@@ -2,8 +2,10 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("framewright.llm")
@@ -181,6 +183,25 @@ def test_losses_match_a_plain_model(spark, odd, empty):
 # ---- 7
 
 
+def plain_matched(a, b):
+    """Longest common subsequence by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = last[j] + 1 if x == y else max(row[j], last[j + 1])
+    return row[-1]
+
+
+def plain_similarity(a, b):
+    n = plain_matched(a, b)
+    return n / (len(a) + len(b) - n) if a or b else 1.0
+
+
+def word_ids(words):
+    return near_dedup.word_hashes(pa.array([" ".join(words)]))[0]
+
+
 def test_near_duplicates_against_all_pairs(spark, docs, odd, empty):
     rng = random.Random(5)
     base = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(200)) for _ in range(20)]
@@ -192,19 +213,20 @@ def test_near_duplicates_against_all_pairs(spark, docs, odd, empty):
                 words[rng.randrange(len(words))] = f"w{rng.random()}"
             made.append((1000 + 10 * k + c, " ".join(words)))
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
-    rows = df.collect()
-    parts = {r.doc_id: near_dedup.elements((r.text or "").lower().split()) for r in rows}
-    home = {i: i for i in parts}
+    words = {r.doc_id: (r.text or "").lower().split() for r in df.collect()}
+    counts = {i: Counter(w) for i, w in words.items()}
+    home = {i: i for i in words}
 
     def find(x):
         while home[x] != x:
             x = home[x]
         return x
 
-    ids = sorted(parts)
+    ids = sorted(words)
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            if near_dedup.similarity(parts[a], parts[b]) >= 0.8:
+            n, m = len(words[a]), len(words[b])
+            if min(n, m) >= 0.8 * max(n, m) and (counts[a] & counts[b]).total() >= 0.8 / 1.8 * (n + m) - 1e-9 and plain_similarity(words[a], words[b]) >= 0.8:
                 x, y = sorted((find(a), find(b)))
                 home[y] = x
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
@@ -215,11 +237,77 @@ def test_near_duplicates_against_all_pairs(spark, docs, odd, empty):
     assert near_dedup.keep_first(odd).columns == odd.columns and near_dedup.keep_first(odd).count() == 4
 
 
+@pytest.mark.parametrize("changed", [3, 6])
+def test_planted_edits_are_linked(spark, changed):
+    """60 words of which 3 are replaced (0.90 alike), and 120 of which 6 are inserted."""
+    rng = random.Random(changed)
+    rows = []
+    for k in range(60):
+        words = [f"v{rng.randrange(5000)}" for _ in range(20 * changed)]
+        other = words[:]
+        for at in rng.sample(range(len(words)), changed):
+            other[at] = f"new{rng.random()}" + (f" {words[at]}" if changed == 6 else "")
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(60)) >= 57 and len(set(got.values())) >= 60
+
+
+def test_shingles_and_keys_against_a_plain_version():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 1, 3, 4, 5, 6, 40, 300, 5, 2)] + [None, "  x  y "]
+    words, ends = near_dedup.word_hashes(pa.array(texts))
+    found, cuts = near_dedup.elements(words, ends)
+    keys = near_dedup.keys_of(found, cuts)
+    seen = {}
+    for i, text in enumerate(texts):
+        split = (text or "").split()
+        size = min(5, len(split))
+        shingles = [tuple(split[j : j + size]) for j in range(len(split) - size + 1)] if split else []
+        labelled = [(s, shingles[:j].count(s)) for j, s in enumerate(shingles)]
+        mine = found[cuts[i] : cuts[i + 1]].tolist()
+        assert len(mine) == len(labelled)
+        for name, value in zip(labelled, mine):
+            assert seen.setdefault(name, value) == value
+        for f, odd in enumerate(near_dedup._ODD.tolist()):
+            order = sorted(range(len(mine)), key=lambda j: -(mine[j] * odd % 2**64))[: near_dedup.MINIMA]
+            key = np.full(1, odd, np.uint64)
+            for j in sorted(order):
+                key = near_dedup.chain(key, np.array(mine[j : j + 1], np.uint64))
+            for _ in range(near_dedup.MINIMA - len(order)):
+                key = near_dedup.chain(key, np.zeros(1, np.uint64))
+            assert keys[i, f] == (key[0] if mine else 0)
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_banded_alignment_against_the_plain_table():
+    rng = random.Random(6)
+    for _ in range(300):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randrange(1, 60))]
+        b = a[:]
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(b)) if b else 0
+            b[at : at + rng.randrange(2)] = [rng.choice("abcdefgh")] * rng.randrange(2)
+        got, want = near_dedup.edit_similarity(word_ids(a), word_ids(b)), plain_similarity(a, b)
+        assert got == pytest.approx(want) if want >= 0.8 else got == 0.0
+
+
+def test_a_cut_bucket_tells_the_same_pairs(spark, monkeypatch):
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([*passage, *(f"f{i // 3}x{j}" for j in range(40)), *(f"o{rng.random()}" for _ in range(4))])) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = lambda: {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    whole = classes()
+    monkeypatch.setattr(near_dedup, "ROWS_PER_BLOCK", 7)
+    assert classes() == whole == {i: i // 3 * 3 for i in range(90)}
+
+
 def test_alignment_is_order_sensitive():
-    a = near_dedup.elements([f"w{i}" for i in range(100)])
-    assert near_dedup.similarity(a, a) == 1.0
-    assert near_dedup.similarity(a, np.concatenate([a[48:], a[:48]])) < 0.8
-    assert near_dedup.similarity(a, a[:10]) == 0.0
+    a = word_ids([f"w{i}" for i in range(100)])
+    assert near_dedup.similarity(a, a) == near_dedup.edit_similarity(a, a) == 1.0
+    for alike in (near_dedup.similarity, near_dedup.edit_similarity):
+        assert alike(a, np.concatenate([a[48:], a[:48]])) < 0.8
+        assert alike(a, a[:10]) == 0.0
 
 
 # ---- 8
@@ -337,19 +425,17 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
 
 
 def test_bins_never_rule_out_a_similar_pair():
-    import numpy as np
-    from framewright.llm import near_dedup as nd
-
     rng = np.random.default_rng(3)
-    for size in (1, 5, 60, 700, 90_000):
+    for size in (1, 5, 60, 700, 9_000, 90_000):
         whole = rng.integers(0, 2**63, size, dtype=np.int64).view(np.uint64)
+        whole[: size // 2] = whole[0]  # a word that fills its bin
         for share in (0.0, 0.05, 0.1, 0.2, 0.5):
             other = whole.copy()
             changed = rng.random(size) < share
             other[changed] = rng.integers(0, 2**63, int(changed.sum()), dtype=np.int64).view(np.uint64)
-            a, b = (np.frombuffer(nd.bins(x), np.uint8).reshape(1, -1) for x in (whole, other))
-            verdict = nd.may_reach(a, b, np.array([2 * size]))[0]
-            if nd.similarity(whole, other) >= nd.SIMILARITY:
+            a, b = (near_dedup.bins_of(x, np.array([0, size])) for x in (whole, other))
+            verdict = near_dedup.may_reach(a, b, np.array([size]), np.array([size]))[0]
+            if 1 - changed.mean() >= 0.8 / 0.9 * 1.02:
                 assert verdict
             if 60 <= size <= 700 and share == 0.5:
                 assert not verdict
