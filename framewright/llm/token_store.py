@@ -8,11 +8,12 @@ Spark range-partitions the documents by key and sorts each partition; each task
 a task that runs again leaves the same file. A manifest table lists the shards; its running sums give each shard's first id.
 
 Null texts count as empty (only the end id). Null keys come first and are reached by position, not by the index. Rows that share a key are kept, ordered by
-a hash of their text; lookup returns them all. An empty table makes shards without records. Texts are encoded whole.
+a hash of their text, and may span shards; lookup in each returns them all. Shards are cut by the bytes of text. An empty table makes shards without records. Texts are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import documents, fresh_path, materialize
+from framewright.llm.common import documents, fresh_path, materialize, ranges, slices
 
 MAGIC = b"FWTOKEN1"
 END_ID = 2
@@ -37,89 +39,138 @@ _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Spac
 #: Letters that may change class or number when lowered or composed.
 _BEYOND = regex.compile("[İ-\U0010ffff]")
 WORDS_A_LINE = 64
+#: What each task compares with the library's ids of whole texts.
+CHECKED_TEXTS, CHECKED_CHARACTERS = 10, 20_000
+#: A shard holds about so much text; small inputs are cut finer, so that all cores have work.
+BYTES_PER_SHARD, LEAST_PER_SHARD, ROW_BYTES = 64 << 20, 4 << 20, 64
 
 
 # ---- ids -------------------------------------------------------------------------------------------------------------------
 
 
+# The normaliser and splitter of the tokenizer file that pre-tokens are modelled on.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 class WordEncoder:
-    """Ids of whole texts. The vocabulary's normaliser and splitter never look across white space, so each chunk between blanks is encoded
-    once by the tokenizers library and remembered; new chunks are first cut into the library's own pre-tokens, which repeat more."""
+    """Ids of whole texts by the tokenizers library.
+
+    If the file's normaliser and splitter are the ones modelled here, which never look across white space, each chunk between blanks is encoded once by the library and remembered; new chunks
+    are first cut into the library's own pre-tokens, which repeat more. Texts are cut and ids gathered by Arrow and numpy for a whole batch. The first texts of every task are also encoded whole
+    by the library, and a difference is an error. Under any other file the library encodes every text whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        model = parts["model"]
+        self.by_words = parts["normalizer"] == _NORMALIZER and parts["pre_tokenizer"] == _SPLITTER and parts["post_processor"] is None and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        size = self.tokenizer.get_vocab_size()
-        self.dtype = "<u2" if size < 1 << 16 else "<u4"
+        self.size = self.tokenizer.get_vocab_size()
+        self.dtype = "<u2" if self.size < 1 << 16 else "<u4"
         self.stop = np.iinfo(self.dtype).max  # no id; stands for the end of a chunk
-        self.ends_word = np.zeros(size, bool)
+        self.ends_word = np.zeros(self.size, bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.chunks.clear()
+        self.place: dict[str, int] = {}  # of a chunk among the remembered ones, which lie in ids
+        self.ids, self.starts, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pretokens = {"\n": np.array([self.stop], self.dtype).tobytes()}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        seen = set().union(*split)
-        new = seen.difference(self.chunks)
-        if len(self.chunks) + len(new) > REMEMBERED_CHUNKS:
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's begin and the last one's end. Null texts are empty."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not self.by_words:
+            coded = self._library(texts.to_pylist())
+            return np.concatenate([np.zeros(0, self.dtype), *coded]), np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        new = [c for c in chunks if c not in self.place]
+        if len(self.place) + len(new) > REMEMBERED_CHUNKS:
             self._forget()
-            new = seen
+            new = chunks
         self._learn(new)
-        known = self.chunks.__getitem__
-        return [b"".join(map(known, chunks)) for chunks in split]
-
-    def _learn(self, new: set[str]) -> None:
+        slot = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))[coded.indices.to_numpy()]
+        sizes = self.sizes[slot]
+        return self.ids[ranges(self.starts[slot], sizes)], np.concatenate([[0], np.cumsum(sizes)])[parts.offsets.to_numpy()]
+
+    def check(self, texts: list[str | None]) -> None:
+        """Raise if the ids of these texts aren't the library's ids of the whole texts."""
+        ids, ends = self.encode(texts)
+        for got, want in zip(np.split(ids, ends[1:-1]), self._library([t or "" for t in texts])):
+            if not np.array_equal(got, want):
+                raise ValueError("ids of pre-tokens differ from the library's ids of the whole text")
+
+    def _learn(self, new: list[str]) -> None:
         text = "\n".join(new)
+        whole: set[str] = set()
         if _BEYOND.search(text) or any(a in text for a in self.added):
-            whole = [c for c in new if _BEYOND.search(c) or any(a in c for a in self.added)]
-            self.chunks.update(zip(whole, self._library(whole)))
-            new = new.difference(whole)
-        chunks = list(new)
+            whole = {c for c in new if _BEYOND.search(c) or any(a in c for a in self.added)}
+            self._remember(list(whole), self._library(list(whole)))
+        chunks = [c for c in new if c not in whole]
         if not chunks:
             return
         pieces = _PRETOKEN.findall("\n".join(chunks).lower() + "\n")
         missing = list(set(pieces).difference(self.pretokens))
         self.pretokens.update(zip(missing, self._words(missing)))
-        ids = b"".join(map(self.pretokens.__getitem__, pieces))
-        stops = np.flatnonzero(np.frombuffer(ids, self.dtype) == self.stop)
-        self.chunks.update(zip(chunks, self._cut(ids, np.concatenate([[0], stops[:-1] + 1]), stops)))
+        ids = np.frombuffer(b"".join(map(self.pretokens.__getitem__, pieces)), self.dtype)
+        ends = np.flatnonzero(ids == self.stop)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        self._add(chunks, ids, starts, ends - starts)
+
+    def _remember(self, chunks: list[str], coded: list[np.ndarray]) -> None:
+        sizes = np.array([len(c) for c in coded], np.int64)
+        self._add(chunks, np.concatenate([np.zeros(0, self.dtype), *coded]), np.cumsum(sizes) - sizes, sizes)
 
-    def _cut(self, ids: bytes, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        width = np.dtype(self.dtype).itemsize
-        return [ids[s:e] for s, e in zip((starts * width).tolist(), (ends * width).tolist())]
+    def _add(self, chunks: list[str], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        self.place.update(zip(chunks, range(len(self.place), len(self.place) + len(chunks))))
+        self.starts = np.concatenate([self.starts, starts + len(self.ids)])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
 
     def _words(self, words: list[str]) -> Iterator[bytes]:
         """Ids of each pre-token. Many share a line, as the ids themselves tell where each ends; if they don't, each is encoded alone."""
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             lines = [" ".join(part[i : i + WORDS_A_LINE]) for i in range(0, len(part), WORDS_A_LINE)]
-            ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            ids = np.concatenate(self._library(lines))
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
-                yield from self._cut(ids.tobytes(), np.concatenate([[0], ends[:-1]]), ends)
+                yield from (ids[s:e].tobytes() for s, e in zip([0, *ends[:-1].tolist()], ends.tolist()))
             else:
-                yield from self._library(part)
+                yield from (c.tobytes() for c in self._library(part))
 
-    def _library(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for at in range(0, len(pieces), 4096) for e in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
+    def _library(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for at in range(0, len(pieces), 4096) for e in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def word_encoder(path: str) -> WordEncoder:
+    """One for each Python worker, which keeps what it remembers from task to task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
+def encoded(batches: Iterator[pa.RecordBatch], column: int, path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of the batches, each with the ids of its texts and where each text's begin and the last one's end."""
+    encoder, checked = word_encoder(path), False
+    for whole in batches:
+        for batch in slices(whole, column):
+            if not checked:
+                encoder.check([t[:CHECKED_CHARACTERS] if t else t for t in batch.column(column).slice(0, CHECKED_TEXTS).to_pylist()])
+                checked = True
+            yield batch, *encoder.encode(batch.column(column))
+
+
 # ---- minimal perfect hash ------------------------------------------------------------------------------------------------------
 
 
@@ -197,20 +248,20 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
 
 
-def write_shard(path: str, batches: Iterator[tuple[list, list[bytes]]], dtype: str) -> tuple[int, int]:
-    """Write records in the order given, keys ascending and nulls first; returns the numbers of records and ids."""
+def write_shard(path: str, parts: Iterator[tuple[pa.Array, np.ndarray, np.ndarray]], dtype: str) -> tuple[int, int]:
+    """Write records in the order given, keys ascending and nulls first; returns the numbers of records and ids. parts: keys, their numbers of ids, ids."""
     store, target = filesystem(path)
     part = f"{target}.{uuid.uuid4().hex}.part"
     store.create_dir(os.path.dirname(target), recursive=True)
-    keys, sizes, nulls = [], [], 0
+    width = np.dtype(dtype).itemsize
+    keys, sizes, nulls = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     with store.open_output_stream(part) as out:
-        for ids, payloads in batches:
-            out.write(b"".join(payloads))
-            nulls += sum(i is None for i in ids)
-            keys.append(np.array([i for i in ids if i is not None], np.int64))
-            sizes.append(np.array([len(p) for p in payloads], np.int64))
-        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        offset = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+        for some, counts, ids in parts:
+            out.write(ids.astype(dtype).tobytes())
+            nulls += some.null_count
+            keys.append(some.drop_null().to_numpy())
+            sizes.append(counts * width)
+        key, offset = np.concatenate(keys), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         distinct, first, count = np.unique(key, return_index=True, return_counts=True)
         table = PerfectHash.build(distinct)
         slot = table.index(distinct)
@@ -220,7 +271,6 @@ def write_shard(path: str, batches: Iterator[tuple[list, list[bytes]]], dtype: s
         for part_bytes in (key.astype("<i8"), offset.astype("<i8"), index):
             out.write(part_bytes.tobytes())
         out.write(mph)
-        width = np.dtype(dtype).itemsize
         out.write(_TAIL.pack(b"u%d" % width, int(offset[-1]), len(key) + nulls, nulls, len(distinct), len(mph), MAGIC))
     store.move(part, target)
     return len(key) + nulls, int(offset[-1]) // width
@@ -277,30 +327,33 @@ class Shard:
 # ---- Spark ---------------------------------------------------------------------------------------------------------------------------
 
 
+def shards_for(df: DataFrame) -> int:
+    """As many shards as the table's text needs: BYTES_PER_SHARD each, where a row counts ROW_BYTES more for its key and offsets."""
+    total = df.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)).first()[0] or 0
+    return max(1, -(-total // BYTES_PER_SHARD), min(df.sparkSession.sparkContext.defaultParallelism, -(-total // LEAST_PER_SHARD)))
+
+
 def write_store(df: DataFrame, tokenizer_path: str, folder: str, shards: int | None = None, end_id: int = END_ID) -> DataFrame:
     """Write doc_id, text as shards in ascending order of doc_id; returns the manifest: shard, path, n_records, n_ids, first_id."""
-    spark = df.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shards = shards or shards_for(placed)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = word_encoder(tokenizer_path)
         shard = TaskContext.get().partitionId()
-        end = np.array([end_id], enc.dtype).tobytes()
 
-        def records():
-            for whole in batches:
-                for at in range(0, whole.num_rows, 2000):
-                    batch = whole.slice(at, 2000)
-                    yield batch.column(0).to_pylist(), [p + end for p in enc.encode([t or "" for t in batch.column(1).to_pylist()])]
+        def parts():
+            for batch, ids, ends in encoded(batches, 1, tokenizer_path):
+                yield batch.column(0), np.diff(ends) + 1, np.insert(ids, ends[1:], end_id)
 
         path = f"{folder}/shard-{shard:06d}.tok"
-        n_records, n_ids = write_shard(path, records(), enc.dtype)
+        n_records, n_ids = write_shard(path, parts(), word_encoder(tokenizer_path).dtype)
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_records": [n_records], "n_ids": [n_ids]})
 
-    placed = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    placed = placed.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    # equal rows are dealt by their places too, so that no number of them has to fit one shard
+    placed = placed.select("*", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place"))
+    placed = placed.repartitionByRange(shards, "doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     manifest = materialize(placed.mapInArrow(write, "shard long, path string, n_records long, n_ids long"), "token-manifest")
     # one row a shard: its running sum is small however large the corpus
     first = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -327,8 +380,7 @@ def read_store(manifest: DataFrame) -> DataFrame:
                     starts, ends = shard.offsets[part], shard.offsets[part + 1]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys[at : at + 20_000], pa.int64()), "start": row["first_id"] + starts // width, "n_tokens": (ends - starts) // width, "ids_crc32": pa.array(crc, pa.int64()), "shard": pa.array([row["shard"]] * len(part), pa.int64())})
 
-    shards = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartitionByRange(shards, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
+    return manifest.repartitionByRange(max(1, manifest.count()), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
