@@ -1,235 +1,205 @@
 """Operator 6: cross-entropy difference of two matched n-gram models.
 
-The query's tokens are words between white space. Both models share one vocabulary, counted over all documents, so no text has unknown words, and both are Witten-Bell interpolated
-bigram models with the same smoothing and context rules; one is counted over the target rows, one over all rows (background). A document's score is the mean over its
-tokens of target loss minus background loss: the lower, the more it reads like the target.
+Tokens are operator 2's ids, so both models share one vocabulary and no text has unknown tokens. Both are bigram models with the same smoothing (``PRIOR`` tokens of the unigram model, which
+has one token more of each kind); the target model is counted over the target rows, the background model over all rows. The background's counts are scaled to the target's number of tokens, so that
+sizes don't tell the models apart. A row's own tokens are taken out of every count before it is scored, so no row is scored by a model that saw it. A document's score is the mean over its
+tokens of target loss minus background loss: the lower, the more it reads like the target. ``corpus_loss`` is the loss under all rows' counts without scaling.
 
-Counts cover every row and every word and stay tables that grow with the corpus: each task sends its n-grams' sums, words and contexts are summed from them, and the losses of each bigram
-are a join of the three. Documents' n-gram counts join the losses by n-gram and are summed by row. Only bigrams that are at least one in ``FREQUENT`` of all go to every task, so at most
-``FREQUENT`` of them, and never meet in the join. Words and bigrams are told apart by 64-bit hashes.
+Counts cover every row and every token and stay a table that grows with the corpus: each task sends its bigrams' sums. Totals of tokens and contexts are bounded by the vocabulary and go to every
+task; so do the bigrams that are at least one in ``FREQUENT`` of all, so at most ``FREQUENT`` of them. What a document has of other bigrams joins the table by bigram; one that occurs once only is unseen once its
+row is taken out, and is left out of the join.
 
-``count_ngrams``, ``loss_differences`` and ``score`` are a model of byte trigrams for small tables; its table is bounded by 256 ** 3 entries. The query doesn't use them.
-
-Null and empty texts have no tokens and score 0. Null ids are kept; repeated rows count as often as they occur. Without target rows both models are the background and all scores are 0.
+Null and empty texts have no tokens and score 0. Null ids are kept and are never targets; repeated rows count as often as they occur; a row labelled more than once is good if any label says so. Without target rows both
+models are the background and all differences are 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import documents, materialize
+from framewright.llm import token_store
+from framewright.llm.common import MOST_BROADCAST, documents, materialize
 
-TOKENS = 256
-ORDER = 3
-START = 10  # the token before a text: a line feed
+PRIOR = 5.0
 CHUNK = 4 << 20
-FREQUENT = 10_000
-REMEMBERED_WORDS = 500_000
-_words: dict[str, int] = {}
-LONG = pa.int64()
+FREQUENT = 1_000_000
+LOSSES = ("target_loss", "background_loss", "corpus_loss")
 
 
-def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The trigram code that ends at each token, and the number of tokens of each text."""
-    coded = [(t or "").encode() for t in texts]
-    sizes = np.array([len(c) for c in coded], np.int64)
-    lead = bytes([START]) * (ORDER - 1)
-    flat = np.frombuffer(b"".join(lead + c for c in coded), np.uint8).astype(np.int32)
-    starts = np.cumsum(sizes + 2) - (sizes + 2)
-    ends_here = np.ones(len(flat), bool)
-    ends_here[starts] = ends_here[starts + 1] = False
-    code = np.zeros(len(flat), np.int32)
-    code[2:] = (flat[:-2] << 16) | (flat[1:-1] << 8) | flat[2:]
-    return code[ends_here], sizes
+def coded(df: DataFrame, labels: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id, ids (operator 2's, as bytes), is_target (a label calls the row good). Ids are joined, never texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, ids, ends in token_store.encoded(batches, 1, tokenizer_path):
+            data, width = ids.tobytes(), ids.dtype.itemsize
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[s:e] for s, e in zip((ends[:-1] * width).tolist(), (ends[1:] * width).tolist())], pa.binary())], names=["doc_id", "ids"])
 
-def count_ngrams(df: DataFrame) -> DataFrame:
-    """code, background, target: how often each trigram occurs in all rows and in rows with is_target."""
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("good_id")).distinct().withColumn("good_salt", F.lit(0))
+    # null ids are dealt by their ids' bytes instead of meeting in one task
+    rows = rows.withColumn("salt", F.when(F.col("doc_id").isNull(), F.hash("ids")).otherwise(0))
+    side = F.broadcast(good) if good.count() <= MOST_BROADCAST else good.hint("merge")
+    return rows.join(side, (F.col("doc_id") == F.col("good_id")) & (F.col("salt") == F.col("good_salt")), "left").select("doc_id", "ids", F.col("good_id").isNotNull().alias("is_target"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, size = np.zeros((2, TOKENS**ORDER), np.uint32), ([], []), 0
 
-        def add():
-            for k in range(2):
-                if waiting[k]:
-                    codes, n = np.unique(np.concatenate(waiting[k]), return_counts=True)
-                    counts[k, codes] += n.astype(np.uint32)
-                    waiting[k].clear()
+def _bigrams(packed: list[bytes | None], dtype: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The context of each token (``size`` at a text's start), the token, and the number of tokens of each text."""
+    counts = np.array([len(p) // np.dtype(dtype).itemsize if p else 0 for p in packed], np.int64)
+    word = np.frombuffer(b"".join(p for p in packed if p), dtype).astype(np.int64)
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[(np.cumsum(counts) - counts)[counts > 0]] = size
+    return before, word, counts
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                code, sizes = _codes(batch.column(0).to_pylist())
-                target = np.repeat(np.array(batch.column(1).to_pylist(), bool), sizes)
-                waiting[0].append(code)
-                waiting[1].append(code[target])
-                size += len(code)
-                if size > CHUNK:
-                    add()
-                    size = 0
-        add()
-        seen = np.flatnonzero(counts[0])
-        for at in range(0, len(seen), 200_000):
-            some = seen[at : at + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[0, some].astype(np.int64)), pa.array(counts[1, some].astype(np.int64))], names=["code", "background", "target"])
-
-    partial = df.select(F.col("text").cast("string"), F.coalesce(F.col("is_target"), F.lit(False))).mapInArrow(run, "code int, background long, target long")
-    return partial.groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def _losses(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Losses of the given trigrams under a Witten-Bell interpolated model of the given trigram counts (codes ascending)."""
-    middle, last, context = (codes >> 8) & 255, codes & 255, codes >> 8
-    one = np.bincount(last, counts, TOKENS)
-    p1 = (one + 1) / (one.sum() + TOKENS)
-    pair = codes & 0xFFFF
-    two = np.bincount(pair, counts, TOKENS**2)
-    total2, kinds2 = two.reshape(TOKENS, TOKENS).sum(axis=1), (two.reshape(TOKENS, TOKENS) > 0).sum(axis=1)
-    p2 = (two[pair] + kinds2[middle] * p1[last]) / np.maximum(total2[middle] + kinds2[middle], 1)
-    p2 = np.where(total2[middle] > 0, p2, p1[last])
-    total3, kinds3 = np.bincount(context, counts, TOKENS**2), np.bincount(context, counts > 0, TOKENS**2)
-    p3 = (counts + kinds3[context] * p2) / np.maximum(total3[context] + kinds3[context], 1)
-    return -np.log(np.where(total3[context] > 0, p3, p2))
-
-
-def loss_differences(ngrams: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ascending codes with target and background losses; at most 256 ** 3 entries."""
-    table = ngrams.toArrow()
-    code = table["code"].to_numpy()
-    order = np.argsort(code)
-    code = code[order]
-    background, target = (table[n].to_numpy()[order].astype(np.float64) for n in ("background", "target"))
-    below = _losses(code, background).astype(np.float32)
-    above = _losses(code, target).astype(np.float32) if target.sum() else below
-    return code, above, below
-
-
-def score(df: DataFrame, ngrams: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, difference (means over tokens) of every row's whole text."""
-    shared = df.sparkSession.sparkContext.broadcast(loss_differences(ngrams))
+
+def count_bigrams(rows: DataFrame, dtype: str, size: int) -> DataFrame:
+    """key (context * (size + 1) + token), background, target: how often each bigram occurs in all rows and in rows with is_target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, above, below = shared.value
-        place = np.zeros(TOKENS**ORDER, np.int32)
-        place[code] = np.arange(len(code))
+        waiting, held = [], 0
+
+        def send():
+            key, place, n = np.unique(np.concatenate([w[0] for w in waiting]), return_inverse=True, return_counts=True)
+            of_target = np.bincount(place, np.concatenate([w[1] for w in waiting]), len(key)).astype(np.int64)
+            for at in range(0, len(key), 200_000):
+                part = slice(at, at + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(n[part]), pa.array(of_target[part])], names=["key", "background", "target"])
+
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                codes, sizes = _codes(batch.column(1).to_pylist())
-                where = place[codes]
-                text = np.repeat(np.arange(len(sizes)), sizes)
-                sums = [np.bincount(text, losses[where], len(sizes)) / np.maximum(sizes, 1) for losses in (above, below)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[0] - sums[1])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
-
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
-
+                before, word, counts = _bigrams(batch.column(0).to_pylist(), dtype, size)
+                waiting.append((before * (size + 1) + word, np.repeat(batch.column(1).to_numpy(zero_copy_only=False), counts)))
+                held += len(word)
+                if held > CHUNK:
+                    yield from send()
+                    waiting.clear()
+                    held = 0
+        if held:
+            yield from send()
 
-def _bigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each word (0 before the first) and the word, as hashes."""
-    words = (text or "").split()
-    if len(_words) > REMEMBERED_WORDS:
-        _words.clear()
-    word = np.array([_words.get(w) or _words.setdefault(w, xxhash.xxh3_64_intdigest(w) | 1) for w in words], np.uint64)
-    return np.concatenate([np.zeros(min(1, len(word)), np.uint64), word[:-1]]), word
+    partial = rows.select("ids", "is_target").mapInArrow(run, "key long, background long, target long")
+    return partial.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
-def _key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    x = (before ^ (before >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + word
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
+@dataclass
+class Models:
+    """What every task gets: totals of tokens and contexts (background, target), bounded by the vocabulary, and the frequent bigrams."""
 
+    size: int
+    dtype: str
+    words: np.ndarray  # 2 x size
+    contexts: np.ndarray  # 2 x (size + 1)
+    keys: np.ndarray  # ascending
+    counts: np.ndarray  # 2 x keys
 
-def count_bigrams(df: DataFrame) -> DataFrame:
-    """key, before, word, background, target: how often each bigram of words occurs in all rows and in rows with is_target."""
+    def losses(self, key: np.ndarray, counts: np.ndarray, own: np.ndarray, own_context: np.ndarray, own_word: np.ndarray, own_total: np.ndarray, is_target: np.ndarray) -> list[np.ndarray]:
+        """LOSSES of bigrams in documents. counts: 2 x bigrams, of all rows; own: of the document, which are taken out."""
+        before, word = key // (self.size + 1), key % (self.size + 1)
+        totals = self.words.sum(axis=1)
+        has_target = totals[1] > 0
+        out = []
+        for model, scale in ((1, 1.0), (0, totals[1] / max(1, totals[0])), (0, 1.0)) if has_target else ((0, 1.0),) * 3:
+            out_of = is_target if model else np.ones(len(key), bool)  # the target's counts hold the row only if it is one
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
+            def less(n, mine, scale=scale, out_of=out_of):
+                return scale * np.maximum(n - mine * out_of, 0)
 
-        def send():
-            before, word = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
-            target = np.repeat(np.array([w[2] for w in waiting], bool), [len(w[1]) for w in waiting])
-            key, first, place, n = np.unique(_key(before, word), return_index=True, return_inverse=True, return_counts=True)
-            of_target = np.bincount(place, target, len(key)).astype(np.int64)
-            for at in range(0, len(key), 200_000):
-                p = slice(at, at + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[p], before[first[p]].view(np.int64), word[first[p]].view(np.int64), n[p].astype(np.int64), of_target[p])], names=["key", "before", "word", "background", "target"])
+            one = (less(self.words[model][word], own_word) + 1) / (less(totals[model], own_total) + self.size)
+            out.append(-np.log((less(counts[model], own) + PRIOR * one) / (less(self.contexts[model][before], own_context) + PRIOR)))
+        return out
 
-        for batch in batches:
-            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                waiting.append((*_bigrams(text), target))
-                size += len(waiting[-1][1])
-                if size > CHUNK:
-                    yield from send()
-                    waiting.clear()
-                    size = 0
-        if size:
-            yield from send()
 
-    partial = df.select(F.col("text").cast("string"), F.coalesce(F.col("is_target"), F.lit(False))).mapInArrow(run, "key long, before long, word long, background long, target long")
-    return partial.groupBy("key").agg(F.first("before").alias("before"), F.first("word").alias("word"), F.sum("background").alias("background"), F.sum("target").alias("target"))
+def models(counts: DataFrame, dtype: str, size: int) -> tuple[Models, int]:
+    """The models' shared part, and the least count of a frequent bigram. counts: a stored table."""
 
+    def totals(part, n: int) -> np.ndarray:
+        found = counts.groupBy(part.alias("id")).agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
+        out = np.zeros((2, n), np.int64)
+        for row, name in zip(out, ("background", "target")):
+            row[found["id"].to_numpy()] = found[name].to_numpy()
+        return out
 
-def bigram_losses(bigrams: DataFrame) -> DataFrame:
-    """key, background, above, below: target and background loss of each bigram. bigrams: a stored table."""
-    words = materialize(bigrams.groupBy("word").agg(F.sum("background").alias("word_background"), F.sum("target").alias("word_target")), "words")
-    contexts = materialize(bigrams.groupBy("before").agg(F.sum("background").alias("all_background"), F.sum("target").alias("all_target"), F.count(F.lit(1)).alias("kinds_background"), F.count(F.when(F.col("target") > 0, 1)).alias("kinds_target")), "contexts")
-    kinds, n_background, n_target = (int(x or 0) for x in words.agg(F.count(F.lit(1)), F.sum("word_background"), F.sum("word_target")).first())
+    words, contexts = totals(F.col("key") % (size + 1), size), totals(F.floor(F.col("key") / (size + 1)), size + 1)
+    least = max(2, -(-int(words[0].sum()) // FREQUENT))
+    frequent = counts.where(F.col("background") >= least).toArrow().sort_by("key")
+    return Models(size, dtype, words, contexts, frequent["key"].to_numpy(), np.stack([frequent[c].to_numpy() for c in ("background", "target")])), least
 
-    def loss(model, total):
-        one = (F.col(f"word_{model}") + 1) / F.lit(float(total + kinds))
-        n, k = F.col(f"all_{model}"), F.col(f"kinds_{model}")
-        return -F.log(F.when(n > 0, (F.col(model) + k * one) / (n + k)).otherwise(one))
 
-    below = loss("background", n_background)
-    above = loss("target", n_target) if n_target else below
-    return bigrams.join(words, "word").join(contexts, "before").select("key", "background", above.alias("above"), below.alias("below"))
+def _counted(group: np.ndarray, inside: np.ndarray, width: int) -> np.ndarray:
+    """How often each item occurs in its group."""
+    _, place, n = np.unique(group * width + inside, return_inverse=True, return_counts=True)
+    return n[place]
 
 
-def score_words(df: DataFrame, losses: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, difference (means over words) of every row's whole text. losses: a stored table."""
-    total = losses.agg(F.sum("background")).first()[0] or 0
-    frequent = losses.where(F.col("background") * FREQUENT >= F.lit(total)).select("key", "above", "below").toArrow().sort_by("key")
-    shared = df.sparkSession.sparkContext.broadcast(tuple(frequent[c].to_numpy() for c in ("key", "above", "below")))
+def score(rows: DataFrame, counts: DataFrame, dtype: str, size: int) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, difference, corpus_loss (means over tokens) of every row. rows and counts: stored tables."""
+    shared, least = models(counts, dtype, size)
+    shared = rows.sparkSession.sparkContext.broadcast(shared)
+    names = ["row", "key", "doc_id", "n", "own_context", "own_word", "is_target", "n_tokens", *LOSSES]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, ("long", "long", "long", "long", "long", "long", "boolean", "long", "double", "double", "double")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, above, below = shared.value
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A line for each row with the sums of its frequent bigrams, under a key that no bigram has, and one for each other bigram of the row."""
+        m = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                out = [[], [], [], [], [], []]
-                for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    keys = _key(*_bigrams(text))
-                    key, n = np.unique(keys, return_counts=True)
-                    where = np.minimum(np.searchsorted(common, key), max(len(common) - 1, 0))
-                    known = common[where] == key if len(common) else np.zeros(len(key), bool)
-                    sums = [float((x[where[known]] * n[known]).sum()) for x in (above, below)]
-                    rest = key[~known]
-                    # the first line of a row has what is known here, under a key that no bigram has
-                    for column, first, more in zip(out, (row, xxhash.xxh3_64_intdigest(f"row {row}") - (1 << 63), doc_id, len(keys), *sums), (row, None, None, None, None, None)):
-                        column.append(first)
-                        column.extend(rest.tolist() if column is out[1] else n[~known].tolist() if column is out[3] else [more] * len(rest))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (LONG, LONG, LONG, LONG, pa.float64(), pa.float64()))], names=["row", "key", "doc_id", "n", "a", "b"])
-
-    lines = df.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, key long, doc_id long, n long, a double, b double")
-    rare = losses.where(F.col("background") * FREQUENT < F.lit(total)).select("key", "above", "below")
-    met = lines.join(rare, "key", "left").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max(F.when(F.col("a").isNotNull(), F.col("n"))).alias("n_tokens"), F.sum(F.coalesce("a", F.col("n") * F.col("above"))).alias("a"), F.sum(F.coalesce("b", F.col("n") * F.col("below"))).alias("b"))
-    size = F.greatest("n_tokens", F.lit(1))
-    return met.select("doc_id", "n_tokens", (F.col("a") / size).alias("target_loss"), (F.col("b") / size).alias("background_loss"), ((F.col("a") - F.col("b")) / size).alias("difference"))
-
-
-def mark_target(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and is_target: rows that a label calls good. A row labelled more than once is good if any label says so."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    return df.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+                before, word, tokens = _bigrams(batch.column(2).to_pylist(), m.dtype, m.size)
+                target = batch.column(3).to_numpy(zero_copy_only=False)
+                text = np.repeat(np.arange(len(tokens)), tokens)
+                key, base = before * (m.size + 1) + word, (m.size + 1) ** 2
+                _, first, n = np.unique(text * base + key, return_index=True, return_counts=True)
+                own_context, own_word = _counted(text, before, m.size + 1)[first], _counted(text, word, m.size + 1)[first]
+                text, key = text[first], key[first]
+                place = np.minimum(np.searchsorted(m.keys, key), max(len(m.keys) - 1, 0))
+                common = m.keys[place] == key if len(m.keys) else np.zeros(len(key), bool)
+                c = np.flatnonzero(common)
+                losses = m.losses(key[c], m.counts[:, place[c]], n[c], own_context[c], own_word[c], tokens[text[c]], target[text[c]])
+                sums = [np.bincount(text[c], x * n[c], len(tokens)) for x in losses]
+                rest = np.flatnonzero(~common)
+                row = batch.column(0).to_numpy()
+                none = np.zeros(len(tokens), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip([row, -1 - row, batch.column(1), none, none, none, target, tokens, *sums], kinds)], names=names)
+                if len(rest):
+                    of = text[rest]
+                    more = [row[of], key[rest], pa.nulls(len(rest), pa.int64()), n[rest], own_context[rest], own_word[rest], target[of], tokens[of], *[np.zeros(len(rest))] * 3]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(more, kinds)], names=names)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            key, n, own_context, own_word, tokens, background, target = (batch.column(i).to_numpy() for i in (1, 3, 4, 5, 7, 11, 12))
+            bigram = np.flatnonzero(key >= 0)
+            sums = [batch.column(i).to_numpy().copy() for i in (8, 9, 10)]
+            found = m.losses(key[bigram], np.stack([background, target])[:, bigram], n[bigram], own_context[bigram], own_word[bigram], tokens[bigram], batch.column(6).to_numpy(zero_copy_only=False)[bigram])
+            for total, loss in zip(sums, found):
+                total[bigram] = loss * n[bigram]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(7), *map(pa.array, sums)], names=["row", "doc_id", "n_tokens", *LOSSES])
+
+    lines = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids", "is_target").mapInArrow(known, schema)
+    rare = counts.where((F.col("background") > 1) & (F.col("background") < least)).hint("merge")
+    met = lines.join(rare, "key", "left").select(*names, F.coalesce("background", F.lit(0)).alias("background"), F.coalesce("target", F.lit(0)).alias("target"))
+    summed = met.mapInArrow(others, "row long, doc_id long, n_tokens long, target_loss double, background_loss double, corpus_loss double").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *[F.sum(x).alias(x) for x in LOSSES])
+    mean = {x: F.col(x) / F.greatest("n_tokens", F.lit(1)) for x in LOSSES}
+    return summed.select("doc_id", "n_tokens", mean["target_loss"].alias("target_loss"), mean["background_loss"].alias("background_loss"), (mean["target_loss"] - mean["background_loss"]).alias("difference"), mean["corpus_loss"].alias("corpus_loss"))
+
+
+def cross_entropy_difference(df: DataFrame, labels: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """Scores of every row of df (doc_id, text); the target are the rows that labels (doc_id, quality) call good."""
+    path = tokenizer_path or token_store.default_tokenizer_path()
+    encoder = token_store.word_encoder(path)
+    rows = materialize(coded(df, labels, path), "token-ids")
+    counts = materialize(count_bigrams(rows, encoder.dtype, encoder.size), "bigram-counts")
+    return score(rows, counts, encoder.dtype, encoder.size)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    bigrams = materialize(count_bigrams(mark_target(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))), "bigram-counts")
-    return score_words(docs, materialize(bigram_losses(bigrams), "bigram-losses"))
+    return cross_entropy_difference(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
