@@ -454,13 +454,18 @@ def _decided(df: DataFrame, measure: tuple[str, Callable[[], Callable]] | None =
     return sketched, home
 
 
-def near_duplicates(df: DataFrame, measure: tuple[str, Callable[[], Callable]] | None = None) -> DataFrame:
-    """doc_id, class_id, class_size, is_kept (the row with the class's smallest id stays) and the measure, if any: one row for each row of df (doc_id, text, others)."""
+def classified(df: DataFrame, measure: tuple[str, Callable[[], Callable]] | None = None) -> DataFrame:
+    """doc_id, class_id, class_size, class_row (tells classes apart where all ids of a class are null), row, the measure, if any, and the other columns of df: one row for each row of df."""
     sketched, home = _decided(df, measure)
+    extra = [measure[0]] if measure else []
     others = [c for c in df.columns if c not in ("doc_id", "text")]
-    rows = sketched.select("doc_id", "node", "row", *([measure[0]] if measure else []), *[F.col(f"others.{c}").alias(f"other_{c}") for c in others]).join(home, "node")
-    out = rows.select("doc_id", "class_id", "class_size", (F.col("row") == F.col("kept_row")).alias("is_kept"), *([measure[0]] if measure else []), *[F.col(f"other_{c}").alias(c) for c in others])
-    return out
+    rows = sketched.select("doc_id", "node", "row", *extra, *[F.col(f"others.{c}").alias(f"other_{c}") for c in others])
+    return rows.join(home, "node").select("doc_id", "class_id", "class_size", F.col("kept_row").alias("class_row"), "row", *extra, *[F.col(f"other_{c}").alias(c) for c in others])
+
+
+def near_duplicates(df: DataFrame) -> DataFrame:
+    """doc_id, class_id, class_size, is_kept (the row with the class's smallest id stays): one row for each row of df (doc_id, text)."""
+    return classified(df.select("doc_id", "text")).select("doc_id", "class_id", "class_size", (F.col("row") == F.col("class_row")).alias("is_kept"))
 
 
 def keep_first(df: DataFrame) -> DataFrame:

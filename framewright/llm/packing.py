@@ -4,11 +4,12 @@ Texts become sequences of at most ``capacity`` tokens. A text longer than that f
 so at most two rows of one source meet in a bin) and of the duplicate clusters in it (a cluster never meets itself). Bins are ordered by what they have left; the search starts at the
 tightest bin that is large enough and goes on to the next larger until one is compatible; if none is, a bin is opened.
 
-Rows are dealt by a hash to shards of about ``rows_per_shard`` rows, as many as the input needs, and each shard packs its own bins: a hot source or a group of copies spreads over all
+Rows are dealt by their places in a stored table to shards of about ``rows_per_shard`` rows, as many as the input needs, and each shard packs its own bins: a hot source, a group of copies or equal rows spread over all
 shards, and only ids and numbers move, never texts. Bitmaps hold 64 sources and 256 clusters by hash; two that share a bit are kept apart, which is never wrong.
 
-Tokens are operator 2's ids of the whole text and one end token, and the clusters are operator 7's classes of near copies, unless columns n_tokens and cluster are given. A null or empty text has the end token only. Null sources share one source; null
-clusters conflict with nothing. Ties go by doc_id. Repeated rows are packed as often as they occur; an empty table gives no bins.
+Tokens are operator 2's ids of the whole text and one end token, and the clusters are operator 7's classes of near copies, unless columns n_tokens and cluster are given; the ids of a piece are those of the
+document's record in operator 2's store from ``start`` on. A null or empty text has the end token only. Null sources share one source; null
+clusters conflict with nothing. Equal lengths go by doc_id, nulls first. Of bins with equally much left, the one last filled is the tightest. Repeated rows are packed as often as they occur; an empty table gives no bins.
 """
 
 from __future__ import annotations
@@ -73,15 +74,15 @@ def best_fit(lengths: np.ndarray, sources: np.ndarray, clusters: np.ndarray, cap
 
 
 def pack(df: DataFrame, capacity: int = CAPACITY, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
-    """df has doc_id and n_tokens, source and cluster if known. One row for each piece: bin_id, first token and length in the document, position in the bin, tokens in the bin."""
+    """df, a stored table, has doc_id and n_tokens, source and cluster if known. One row for each piece: bin_id, first token and length in the document, position in the bin, tokens in the bin."""
     shards = max(1, math.ceil(df.count() / rows_per_shard))
 
     def column(name, kind, default):
         return (F.col(name).cast(kind) if name in df.columns else F.lit(default).cast(kind)).alias(name)
 
-    items = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(1)), F.lit(1)).alias("n_tokens"), column("source", "string", None), column("cluster", "long", None))
-    items = items.select("doc_id", "n_tokens", F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(64)).cast("int").alias("source"), F.coalesce(F.pmod(F.xxhash64(F.when(F.col("cluster").isNotNull(), F.col("cluster"))), F.lit(64 * CLUSTER_WORDS)), F.lit(0)).cast("int").alias("bit"), F.col("cluster").isNotNull().alias("marked"))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", F.lit(17)), F.lit(shards)))
+    items = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(1)), F.lit(1)).alias("n_tokens"), column("source", "string", None), column("cluster", "long", None), F.monotonically_increasing_id().alias("place"))
+    bit = F.coalesce(F.pmod(F.xxhash64("cluster"), F.lit(64 * CLUSTER_WORDS)), F.lit(0)).cast("int")
+    items = items.select("doc_id", "n_tokens", F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(64)).cast("int").alias("source"), bit.alias("bit"), F.col("cluster").isNotNull().alias("marked"), F.pmod(F.xxhash64("place", F.lit(17)), F.lit(shards)).alias("shard"))
 
     def run(key, pdf):
         shard = int(key[0])
@@ -103,32 +104,29 @@ def pack(df: DataFrame, capacity: int = CAPACITY, rows_per_shard: int = ROWS_PER
     return items.groupBy("shard").applyInPandas(run, SCHEMA)
 
 
+def _token_counter():
+    """A function from an Arrow array of texts to their numbers of operator 2's ids with the end token."""
+    encoder = token_store.word_encoder(token_store.default_tokenizer_path())
+    return lambda texts: np.diff(encoder.encode(texts)[1]) + 1
+
+
 def with_lengths(df: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, source and a cluster of exact copies of each document's text. n_tokens: operator 2's ids of the whole text and one end token."""
+    """doc_id, n_tokens, source and a cluster of exact copies (none for null texts) of each document. n_tokens: operator 2's ids of the whole text and one end token."""
     path = token_store.default_tokenizer_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = token_store.word_encoder(path)
-        width = np.dtype(encoder.dtype).itemsize
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                sizes = [len(ids) // width + 1 for ids in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(2), batch.column(3)], names=["doc_id", "n_tokens", "source", "cluster"])
-
-    items = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("cluster"))
+        for batch, _, ends in token_store.encoded(batches, 1, path):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends) + 1), batch.column(2), batch.column(3)], names=["doc_id", "n_tokens", "source", "cluster"])
+
+    cluster = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    items = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"))
     return items.mapInArrow(count, "doc_id long, n_tokens long, source string, cluster long")
 
 
 def with_classes(df: DataFrame) -> DataFrame:
-    """with_lengths, but clusters are operator 7's classes of near copies. Rows of one text are in one class, which its hash gives them, whatever their ids."""
-    items = materialize(with_lengths(df).withColumnRenamed("cluster", "copy"), "lengths")
-    ids = items.select("doc_id", "copy").where("doc_id IS NOT NULL")
-    classes = near_dedup.near_duplicates(df).where("doc_id IS NOT NULL").select("doc_id", "class_id")
-    # an id of several texts says nothing of which class is whose: such texts join by their other ids, or stay clusters of their own
-    one = ids.groupBy("doc_id").agg(F.min("copy").alias("copy"), F.max("copy").alias("other")).where("copy <=> other").select("doc_id", "copy")
-    known = one.join(classes.distinct(), "doc_id").groupBy("copy").agg(F.min("class_id").alias("class_id"))
-    return items.join(known, "copy", "left").select("doc_id", "n_tokens", "source", F.coalesce("class_id", "copy").alias("cluster"))
+    """doc_id, n_tokens, source and operator 7's class of near copies of each document, null texts included as empty ones. Tokens are counted where operator 7 reads the texts."""
+    classes = near_dedup.classified(df.select("doc_id", "text", F.col("source").cast("string").alias("source")), ("n_tokens", _token_counter))
+    return classes.select("doc_id", "n_tokens", "source", F.col("class_row").alias("cluster"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
