@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces in bins."""
-    return packing.pack(packing.with_lengths(docs))
+    return packing.pack(materialize(packing.with_lengths(docs), "items"))
 
 
 STAGES = [("toxicity", drop_toxic), ("language_id", keep_known_languages), ("near_dedup", drop_near_duplicates), ("packing", pack_documents)]
