@@ -1,16 +1,16 @@
 """Operator 8: main text of web pages with a suffix array for each host.
 
-Each page becomes a stream of text blocks with the role its markup gives them. The pages of a host are dealt by hash to groups of about ``PAGES_PER_GROUP`` pages, so
+Each page becomes a stream of text blocks. Markup gives each block a prior: text inside an ``article`` or ``main`` element is main text by the page's own statement; elements and roles that HTML
+defines as navigation, footer, aside, form and the like, and blocks whose class or id is one of ``BOILER_NAMES``, are boilerplate; a class or id that only contains such a name is a hint; all else is open.
+Repeated runs decide what markup leaves open: the pages of a host are dealt by hash to groups of about ``PAGES_PER_GROUP`` pages, so
 a hot host is many groups and no group grows with the corpus. In a group the token streams of distinct pages are concatenated, a suffix array is built by prefix
 doubling, and neighbours whose common prefix is ``LEAST_TOKENS`` or longer give the substrings that repeat; those that occur on ``LEAST_PAGES`` distinct
-pages cover tokens. For a host of several groups the runs outside marked main text are also counted over all its groups, by host and hash of the run, so the deal
-decides nothing there. Covered tokens are boilerplate and are removed; unique runs stay.
+pages cover tokens. For a host of several groups the runs are also counted over all its groups, by host and hash of the run, so the deal decides nothing. Covered tokens of open blocks are removed and
+unique runs stay; a hinted block goes if runs cover half of it, or if it stands outside the main text that its page marks.
 
-Text inside an ``article`` or ``main`` element is main text by the page's own statement: it is kept even where copies of the article repeat it, and it is no evidence
-against text elsewhere. Blocks whose markup names a menu, header, footer, sidebar, notice,
-advert, form or comment are dropped. All other blocks, on every page, are kept as far as no repeated run covers them and links don't dominate.
+Marked main text is kept even where copies of the article repeat it, and is no evidence against text elsewhere, so streams leave it out; a page that marks none is in them as a whole. An open block that is mostly links is a menu.
 
-Null and empty html gives an empty text; a null url is a host of its own. Pages that repeat count once for the suffix array and are all returned. Cut-off markup at the end of a page is markup.
+Null and empty html gives an empty text; a null url is a host of its own. Pages of equal blocks count once for the suffix array and are all returned. Cut-off markup at the end of a page is markup.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import map_text, materialize
+from framewright.llm.common import materialize, slices
 
 PAGES_PER_GROUP, LEAST_TOKENS, LEAST_PAGES = 256, 8, 3
 #: So many runs are held by a task before it sends their pages on.
@@ -50,7 +51,7 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)\s*
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _HOST = r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 
-KEPT, DROPPED, OPEN = 1, 0, 2  # roles of blocks: main text, boilerplate, to be decided
+KEPT, DROPPED, OPEN, HINTED = 1, 0, 2, 3  # roles of blocks: main text, boilerplate, to be decided, to be decided but named like boilerplate
 
 
 def _role(tag: str, attributes: str, inside_main: bool) -> int | None:
@@ -61,10 +62,14 @@ def _role(tag: str, attributes: str, inside_main: bool) -> int | None:
     role = found.get("role", "").lower()
     if role in BOILER_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return DROPPED
-    if tag not in ("article", "main", "body", "html") and {w.lower() for w in _NAME.findall(f"{found.get('class', '')} {found.get('id', '')}")} & BOILER_NAMES:
-        return DROPPED
     if tag in ("article", "main") or role in MAIN_ROLES or found.get("itemprop", "").lower() == "articlebody":
         return KEPT
+    names = f"{found.get('class', '')} {found.get('id', '')}"
+    if tag not in ("body", "html") and names != " ":
+        if {w.lower() for w in names.split()} & BOILER_NAMES:
+            return DROPPED
+        if {w.lower() for w in _NAME.findall(names)} & BOILER_NAMES:
+            return HINTED
     return None
 
 
@@ -73,16 +78,24 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     page = page or ""
     out: list[tuple[str, int]] = []
     parts: list[str] = []
-    linked = 0
+    linked = at = 0
     stack: list[tuple[str, int | None]] = []
-    dropped = main = links = at = 0
+    inside = {KEPT: 0, DROPPED: 0, HINTED: 0, None: 0}
+    links, marked = 0, False
 
     def flush():
-        nonlocal linked
+        nonlocal linked, marked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                role = DROPPED if dropped else KEPT if main else DROPPED if linked > LINK_SHARE * len(text) else OPEN
+                if inside[DROPPED]:
+                    role = DROPPED
+                elif inside[KEPT]:
+                    role, marked = HINTED if inside[HINTED] else KEPT, True
+                elif linked > LINK_SHARE * len(text):
+                    role = DROPPED
+                else:
+                    role = -HINTED if inside[HINTED] else OPEN
                 out.append((text, role))
             parts.clear()
         linked = 0
@@ -94,6 +107,13 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             if links:
                 linked += len(piece.strip())
 
+    def leave() -> str:
+        nonlocal links
+        tag, role = stack.pop()
+        inside[role] -= 1
+        links -= tag == "a"
+        return tag
+
     while True:
         m = _MARKUP.search(page, at)
         if not m:
@@ -123,32 +143,23 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             continue
         if closing:
             if any(t == tag for t, _ in stack):
-                while stack:
-                    t, role = stack.pop()
-                    dropped -= role == DROPPED
-                    main -= role == KEPT
-                    links -= t == "a"
-                    if t == tag:
-                        break
+                while leave() != tag:
+                    pass
         else:
             if tag == "body":  # a head that wasn't closed ends here
                 while stack:
-                    t, role = stack.pop()
-                    dropped -= role == DROPPED
-                    main -= role == KEPT
-                    links -= t == "a"
+                    leave()
             elif tag in ("p", "li") and stack and stack[-1][0] == tag:  # their end tags may be left out
-                _, role = stack.pop()
-                dropped -= role == DROPPED
+                leave()
             if attributes.endswith("/") and tag not in ("p", "div"):
                 continue
-            role = _role(tag, attributes, main > 0)
+            role = _role(tag, attributes, inside[KEPT] > 0)
             stack.append((tag, role))
-            dropped += role == DROPPED
-            main += role == KEPT
+            inside[role] += 1
             links += tag == "a"
     flush()
-    return out
+    # a hint outside main text is enough where the page marks its main text
+    return [(text, (DROPPED if marked else HINTED) if role == -HINTED else role) for text, role in out]
 
 
 def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -186,46 +197,33 @@ def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return length
 
 
-def repeated(streams: list[list[str]], least_tokens: int = LEAST_TOKENS, counts: list[np.ndarray] | None = None) -> list[np.ndarray]:
-    """For each stream, which tokens lie in a substring of at least least_tokens tokens that occurs on enough distinct pages.
-    counts: of each stream, the tokens whose runs count; all of them if it isn't given."""
-    counts = counts or [np.ones(len(s), bool) for s in streams]
-    identity = [(tuple(s), c.tobytes()) for s, c in zip(streams, counts)]
-    chosen = sorted({key: i for i, key in reversed(list(enumerate(identity)))}.values())
-    texts: dict[tuple, int] = {}
+def repeated(streams: list[list[list[str]]], pages: list[int], least_tokens: int = LEAST_TOKENS) -> list[np.ndarray]:
+    """For each page's stream, given in segments that no run crosses, which tokens lie in a substring of at least least_tokens tokens that occurs on enough distinct pages. pages: tells pages apart."""
+    distinct = {page: stream for page, stream in zip(pages, streams)}
     number: dict[str, int] = {}
-    pieces, owners, starts_run = [], [], []
-    for k, i in enumerate(chosen):
-        pieces.append(np.array([number.setdefault(t, len(number)) for t in streams[i]] + [-1 - k], np.int64))  # a separator of its own
-        owners.append(np.full(len(pieces[-1]), texts.setdefault(identity[i][0], len(texts))))
-        starts_run.append(np.append(run_starts(counts[i], least_tokens), False))
-    result = [np.zeros(len(s), bool) for s in streams]
-    if len(texts) < LEAST_PAGES:
-        return result
-    codes, owner, counted = np.concatenate(pieces), np.concatenate(owners), np.concatenate(starts_run)
-    order, levels = suffix_array(codes)
-    shared = common_prefixes(order, levels) >= least_tokens
-    group = np.concatenate([[0], np.cumsum(~shared)])
-    counted = counted[order]
-    pages = np.unique(group[counted] * len(texts) + owner[order][counted]) // len(texts)
-    enough = np.bincount(pages, minlength=group[-1] + 1) >= LEAST_PAGES
+    codes, owners, ends = [], [], [0]
+    for k, stream in enumerate(distinct.values()):
+        for segment in stream:
+            codes += [number.setdefault(t, len(number)) for t in segment]
+            codes.append(-1 - len(owners))  # a separator of its own
+            owners += [k] * (len(segment) + 1)
+        ends.append(len(owners))
     hit = np.zeros(len(codes), bool)
-    hit[order[enough[group] & counted]] = True
-    ends = np.cumsum([len(p) for p in pieces])
-    of = {identity[i]: cover(hit[e - len(p) : e - 1], least_tokens) for i, e, p in zip(chosen, ends, pieces)}
-    return [of[key] for key in identity]
-
-
-def run_starts(counts: np.ndarray, least_tokens: int = LEAST_TOKENS) -> np.ndarray:
-    """Where a run of least_tokens tokens starts that all count."""
-    out = np.zeros(len(counts), bool)
-    if len(counts) >= least_tokens:
-        out[: len(counts) - least_tokens + 1] = np.lib.stride_tricks.sliding_window_view(counts, least_tokens).all(axis=1)
-    return out
+    if len(distinct) >= LEAST_PAGES and codes:
+        owner = np.array(owners)
+        order, levels = suffix_array(np.array(codes))
+        shared = common_prefixes(order, levels) >= least_tokens
+        group = np.concatenate([[0], np.cumsum(~shared)])
+        of = np.unique(group * len(distinct) + owner[order]) // len(distinct)
+        hit[order] = (np.bincount(of, minlength=group[-1] + 1) >= LEAST_PAGES)[group]
+    real = np.array(codes) >= 0 if codes else hit
+    covered = cover(hit, least_tokens)
+    found = {page: covered[s:e][real[s:e]] for page, s, e in zip(distinct, ends, ends[1:])}
+    return [found[page] for page in pages]
 
 
 def cover(starts: np.ndarray, least_tokens: int = LEAST_TOKENS) -> np.ndarray:
-    """The tokens in runs with the given starts."""
+    """The tokens in runs of least_tokens tokens with the given starts."""
     change = np.zeros(len(starts) + least_tokens + 1, np.int64)
     at = np.flatnonzero(starts)
     change[at] += 1
@@ -233,29 +231,39 @@ def cover(starts: np.ndarray, least_tokens: int = LEAST_TOKENS) -> np.ndarray:
     return np.cumsum(change)[: len(starts)] > 0
 
 
-def stream_of(page: list) -> tuple[list[str], np.ndarray]:
-    """A page's tokens, and which of them stand outside marked main text."""
-    parts = [(text.split(" "), role) for text, role in page]
-    return [t for tokens, _ in parts for t in tokens], np.repeat(np.array([role != KEPT for _, role in parts], bool), [len(tokens) for tokens, _ in parts])
+def segments_of(page: list) -> list[str]:
+    """A page's token stream without marked main text, in stretches between such text."""
+    out, open_ = [], False
+    for text, role in page:
+        if role == KEPT:
+            open_ = False
+        elif open_:
+            out[-1] += f" {text}"
+        else:
+            out.append(text)
+            open_ = True
+    return out
 
 
-def outside_runs(tokens: list[str], outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the runs of LEAST_TOKENS tokens outside marked main text."""
-    at = np.flatnonzero(run_starts(outside))
-    return at, np.array([xxhash.xxh3_64_intdigest(" ".join(tokens[i : i + LEAST_TOKENS])) for i in at.tolist()], np.uint64).view(np.int64)
+def runs_of(segments: list[list[str]], least_tokens: int = LEAST_TOKENS) -> list[np.ndarray]:
+    """Hashes of the runs of least_tokens tokens at each place of each segment where one starts."""
+    return [np.array([xxhash.xxh3_64_intdigest(" ".join(s[i : i + least_tokens])) for i in range(len(s) - least_tokens + 1)], np.uint64).view(np.int64) for s in segments]
 
 
 def main_text(page: list, covered: np.ndarray) -> str:
-    """Blocks of main text, and what is unique of undecided blocks."""
+    """Blocks of main text, and what is unique of undecided blocks. covered: of the tokens outside marked main text."""
     kept, at = [], 0
     for text, role in page:
+        if role == KEPT:
+            kept.append(text)
+            continue
         tokens = text.split(" ")
         here = covered[at : at + len(tokens)]
         at += len(tokens)
-        if role == KEPT:
+        if role == HINTED and 2 * here.sum() < len(tokens):
             kept.append(text)
         elif role == OPEN:
-            rest = " ".join(t for t, c in zip(tokens, here) if not c)
+            rest = " ".join(t for t, c in zip(tokens, here) if not c) if here.any() else text
             if rest:
                 kept.append(rest)
     return "\n\n".join(kept)
@@ -266,56 +274,63 @@ def _host():
     return F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), _HOST, 1))
 
 
+def _unpacked(data: bytes):
+    return json.loads(zstandard.ZstdDecompressor().decompress(data))
+
+
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, row, blocks (JSON)."""
-    numbered = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _host().alias("host"), F.monotonically_increasing_id().alias("row"), F.col("html").cast("string").alias("html"))
+    """page_id, url, host, page (a hash of all its blocks), blocks (packed), segments (the stream without marked main text)."""
+    read = pages.select(F.col("html").cast("string").alias("html"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _host().alias("host"))
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                found = [json.dumps(blocks(p), ensure_ascii=False) for p in batch.column(4).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.string())], names=["page_id", "url", "host", "row", "blocks"])
+            for batch in slices(whole, 0):
+                found = [blocks(p) for p in batch.column(0).to_pylist()]
+                written = [json.dumps(b, ensure_ascii=False).encode() for b in found]
+                page = np.array([xxhash.xxh3_64_intdigest(w) for w in written], np.uint64).view(np.int64)
+                packed = [zstandard.ZstdCompressor(level=1).compress(w) for w in written]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(page), pa.array(packed, pa.binary()), pa.array(map(segments_of, found), pa.list_(pa.string()))], names=["page_id", "url", "host", "page", "blocks", "segments"])
 
-    return numbered.mapInArrow(run, "page_id long, url string, host string, row long, blocks string")
+    return read.mapInArrow(run, "page_id long, url string, host string, page long, blocks binary, segments array<string>")
 
 
 def deal(parsed: DataFrame, large: DataFrame, most_broadcast: int = LARGE_HOSTS) -> DataFrame:
-    """parsed with its part of the host. large: host, groups of the hosts of more than one group; sent to all tasks only if they are at most ``most_broadcast``, else joined by row so that
-    a hot host's pages never gather."""
+    """parsed, a stored table, with each page's row and its part of the host. large: host, groups of the hosts of more than one group; sent to all tasks only if they are at most
+    ``most_broadcast``, else joined by row so that a hot host's pages never gather."""
+    numbered = parsed.withColumn("row", F.monotonically_increasing_id())
     part = F.pmod(F.xxhash64("row"), F.coalesce("groups", F.lit(1))).alias("part")
     if large.count() <= most_broadcast:
-        return parsed.join(F.broadcast(large), "host", "left").select(*parsed.columns, part)
-    dealt = parsed.select("row", "host").join(large, "host", "left").select("row", part)
-    return parsed.join(dealt, "row")
+        return numbered.join(F.broadcast(large), "host", "left").select(*numbered.columns, part)
+    dealt = numbered.select("row", "host").join(large, "host", "left").select("row", part)
+    return numbered.join(dealt, "row")
 
 
 def host_runs(dealt: DataFrame, large: DataFrame) -> DataFrame:
     """host, part, run: the runs outside marked main text that occur on LEAST_PAGES distinct pages of a host of several groups, for each group that has them.
 
     A task sends on at most LEAST_PAGES distinct pages of a run, which is all that the threshold asks, and else only the groups it is in, so a run of a hot host doesn't gather;
-    equal streams are one page.
+    pages of equal blocks are one page.
     """
 
     def run(batches):
         keys, pages, parts, names, held = [], [], [], [], 0
 
         def send():
-            table = pd.DataFrame({"host": np.repeat(names, [len(k) for k in keys]), "part": np.repeat(parts, [len(k) for k in keys]), "run": np.concatenate(keys), "page": np.repeat(np.array(pages, np.int64), [len(k) for k in keys])}).drop_duplicates()
+            sizes = [len(k) for k in keys]
+            table = pd.DataFrame({"host": np.repeat(names, sizes), "part": np.repeat(parts, sizes), "run": np.concatenate(keys), "page": np.repeat(np.array(pages, np.int64), sizes)}).drop_duplicates()
             counts = table.groupby(["host", "run"]).cumcount() < LEAST_PAGES
             table["page"] = table["page"].astype("Int64").where(counts)
             return pa.RecordBatch.from_pandas(table[counts | ~table.duplicated(["host", "part", "run"])], schema=pa.schema([("host", pa.string()), ("part", pa.int64()), ("run", pa.int64()), ("page", pa.int64())]), preserve_index=False)
 
         for batch in batches:
-            for host, part, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                tokens, outside = stream_of(json.loads(page))
-                found = np.unique(outside_runs(tokens, outside)[1])
-                if len(found):
-                    keys.append(found)
-                    pages.append(np.uint64(xxhash.xxh3_64_intdigest(" ".join(tokens))).view(np.int64))
+            for host, part, page, segments in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                found = runs_of([s.split(" ") for s in segments])
+                if any(map(len, found)):
+                    keys.append(np.unique(np.concatenate(found)))
+                    pages.append(page)
                     parts.append(part)
                     names.append(host)
-                    held += len(found)
+                    held += len(keys[-1])
                 if held > RUNS_HELD:
                     yield send()
                     for column in (keys, pages, parts, names):
@@ -325,42 +340,33 @@ def host_runs(dealt: DataFrame, large: DataFrame) -> DataFrame:
             yield send()
 
     seen = dealt.join(F.broadcast(large.select("host")), "host", "left_semi") if large.count() <= LARGE_HOSTS else dealt.join(large.select("host"), "host", "left_semi")
-    found = seen.select("host", "part", "blocks").mapInArrow(run, "host string, part long, run long, page long")
+    found = seen.select("host", "part", "page", "segments").mapInArrow(run, "host string, part long, run long, page long")
     counted = found.groupBy("host", "run").agg(F.size(F.collect_set("page")).alias("n"), F.collect_set("part").alias("parts"))
     return counted.where(F.col("n") >= LEAST_PAGES).select("host", F.explode("parts").alias("part"), "run")
 
 
 def extract(pages: DataFrame, pages_per_group: int = PAGES_PER_GROUP) -> DataFrame:
-    """page_id, url, text, n_chars, n_repeated (tokens in repeated runs: anywhere in the page's group or, outside marked main text, on its host) of each row of pages (page_id, url, html).
-
-    Pages are told apart by their place in the scan, so ``pages`` should be a stored table; write it first if it comes out of a shuffle.
-    """
-    counts = pages.groupBy(_host().alias("host")).agg(F.ceil(F.count(F.lit(1)) / pages_per_group).alias("groups"))
+    """page_id, url, text, n_chars, n_repeated (tokens outside marked main text in repeated runs) of each row of pages (page_id, url, html)."""
+    parsed = materialize(parse(pages), "parsed-pages")
+    counts = parsed.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / pages_per_group).alias("groups"))
     large = materialize(counts.where("groups > 1"), "large-hosts")
-    dealt = deal(parse(pages), large)
+    dealt = deal(parsed, large)
     runs = materialize(host_runs(dealt, large).groupBy("host", "part").agg(F.collect_list("run").alias("runs")), "host-runs")
 
     def run(pdf, known):
         pdf = pdf.sort_values("row", kind="stable")
-        page = [json.loads(b) for b in pdf["blocks"]]
-        streams = [stream_of(p) for p in page]
-        anywhere = repeated([s for s, _ in streams])
-        # runs of a host of several groups hold those of each group; without undecided blocks they only count, and ``anywhere`` holds them
-        if len(known) or not any(role == OPEN for p in page for _, role in p):
-            apart = [np.zeros(len(s), bool) for s, _ in streams]
-        else:
-            apart = repeated([s for s, _ in streams], counts=[o for _, o in streams])
-        if len(known):
+        segments = [[s.split(" ") for s in page] for page in pdf["segments"]]
+        covered = repeated(segments, pdf["page"].tolist())
+        if len(known):  # runs of the whole host, which hold those of this group
             common = np.asarray(known["runs"].iloc[0], np.int64)
-            for k, (tokens, outside) in enumerate(streams):
-                at, keys = outside_runs(tokens, outside)
-                starts = np.zeros(len(tokens), bool)
-                starts[at[np.isin(keys, common)]] = True
-                apart[k] = apart[k] | cover(starts)
-        texts = [main_text(p, c) for p, c in zip(page, apart)]
-        return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64").to_numpy(), "url": pdf["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts], "n_repeated": [int((a | b).sum()) for a, b in zip(anywhere, apart)]})
-
-    return dealt.groupBy("host", "part").cogroup(runs.groupBy("host", "part")).applyInPandas(run, "page_id long, url string, text string, n_chars long, n_repeated long")
+            for k, page in enumerate(segments):
+                more = [cover(np.append(np.isin(found, common), np.zeros(len(s) - len(found), bool))) for s, found in zip(page, runs_of(page))]
+                covered[k] = covered[k] | np.concatenate([np.zeros(0, bool), *more])
+        texts = [main_text(_unpacked(b), c) for b, c in zip(pdf["blocks"], covered)]
+        return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64").to_numpy(), "url": pdf["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts], "n_repeated": [int(c.sum()) for c in covered]})
+
+    groups = [df.groupBy("host", "part") for df in (dealt.select("host", "part", "row", "page", "page_id", "url", "blocks", "segments"), runs)]
+    return groups[0].cogroup(groups[1]).applyInPandas(run, "page_id long, url string, text string, n_chars long, n_repeated long")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
