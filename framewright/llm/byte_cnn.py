@@ -4,7 +4,7 @@ A window of bytes is embedded, convolved with filters of several widths, max-poo
 trained in numpy on a bounded sample of labelled rows (``sample_per_language`` windows of each language, drawn by a hash of the id, so the same rows at every run). Prediction
 cuts each whole text into windows of fixed length, runs them in batches and averages the windows' probabilities by their bytes.
 
-A null text, or one without a letter, is ``und`` with score 0. Equal probabilities go to the language that sorts first. Rows with a null language
+A null text, or one without a letter (``str.isalpha``), is ``und`` with score 0. Every labelled language is learned; only the windows of each are bounded. Equal probabilities go to the language that sorts first. Rows with a null language
 or id teach nothing. ``fit_known`` adds a class of counterfeits (garbled and transcribed windows), so that text in no learned language is ``und`` too, and sets the least score
 from windows that it didn't learn. An empty or unlabelled table trains no language: every row is ``und``. Repeated rows give repeated results.
 """
@@ -12,7 +12,6 @@ from windows that it didn't learn. An empty or unlabelled table trains no langua
 from __future__ import annotations
 
 import random
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +22,10 @@ from framewright.llm.common import documents, fold_of, map_text
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 16
 SAMPLE_PER_LANGUAGE = 1500
-MOST_LANGUAGES = 64
 EPOCHS, BATCH, RATE, SEED = 8, 128, 0.01, 7
 UNDETERMINED = "und"
 #: Where the letters of the scripts begin that counterfeits are written in.
 SCRIPTS = (0x61, 0xE0, 0x100, 0x3B1, 0x430, 0x5D0, 0x627, 0x905, 0x3041, 0x4E00)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -41,6 +38,10 @@ class Network:
     dense_bias: np.ndarray
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def windows_of(text: str, size: int = WINDOW) -> np.ndarray:
     data = np.frombuffer(text.lower().replace("\0", " ").encode(), np.uint8)
     rows = max(1, -(-len(data) // size))
@@ -132,14 +133,14 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
 def labelled_windows(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """A bounded sample: about per_language texts of each language, one stretch of WINDOW characters of each, chosen by hashes of the id."""
     share = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return [], []
     rate = F.create_map(*(x for row in counts for x in (F.lit(row["lang"]), F.lit(min(1.0, per_language / row["n"])))))
     start = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1
     rows = labelled.where(share < rate[F.col("lang")]).select("doc_id", "lang", F.col("text").substr(start.cast("int"), F.lit(WINDOW)).alias("part")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["part"]))
-    rows = [r for r in rows if _LETTER.search(r["part"])]
+    rows = [r for r in rows if has_letter(r["part"])]
     return [r["part"] for r in rows], [r["lang"] for r in rows]
 
 
@@ -199,7 +200,7 @@ def predict(df: DataFrame, net: Network | None) -> DataFrame:
 
 def _predicted(net: Network | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    known = [i for i, t in enumerate(texts) if net is not None and t and _LETTER.search(t)]
+    known = [i for i, t in enumerate(texts) if net is not None and t and has_letter(t)]
     for at in range(0, len(known), 200):
         some = known[at : at + 200]
         parts = [windows_of(texts[i]) for i in some]
