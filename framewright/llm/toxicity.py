@@ -1,10 +1,10 @@
 """Operator 5: toxicity by a weighted lexicon.
 
-Texts are folded (case, homoglyphs, digits that stand for letters, invisible characters) and searched by an Aho-Corasick automaton for lexicon terms. A term is a word
+Texts are folded (case, homoglyphs, invisible characters, and in each word that has a letter the digits and signs that stand for letters, wherever they are) and searched by an Aho-Corasick automaton for lexicon terms. A term is a word
 beginning: it counts where it starts a word. Terms weigh their log odds; the sum is divided by the square root of the text's length. Hits inside an
 exception phrase (a neighbouring word that makes the word harmless) don't count. A logistic curve turns the sum into a score.
 
-The lexicon, the exceptions and the curve are learned from a bounded sample of labelled rows (``sample_per_class``), drawn by a hash of the id.
+The lexicon, the exceptions and the curve are learned from a bounded sample of labelled rows (``sample_per_class``), drawn by a hash of the id; the sample bounds the terms, nothing else does.
 
 Null and empty texts have no hits and get the score of such texts. Null labels and ids teach nothing; a row labelled twice counts as toxic if any label is. Without
 toxic labels there is no lexicon and all scores are low. Repeated rows give repeated results; exact copies teach once.
@@ -27,15 +27,18 @@ SAMPLE_PER_CLASS = 3000
 SHORTEST, LONGEST = 4, 12
 LEAST_WEIGHT = 3.0
 LEAST_PRECISION = 0.9
-MOST_TERMS = 20_000
+#: A term is in so many toxic texts of the sample at least, and in such a share of them.
+LEAST_TEXTS, LEAST_SHARE = 3, 0.01
 SEED = 11
 
 # Letters of other scripts that look like Latin ones, and digits that stand for letters.
 HOMOGLYPHS = str.maketrans("авекмнорстухіјѕԁһԛԝοαεικνρτυχ", "abekmhopctyxijsdhqwoaeikvptux")
-DIGITS = str.maketrans("01345789@$", "oieastbgas")
+STAND_INS = "01345789@$"
+DIGITS = str.maketrans(STAND_INS, "oieastbgas")
 _LOOKALIKE = re.compile("[Ͱ-ϿЀ-ԯ]")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
-_LEET = re.compile(r"[^\W\d_][01345789@$]+[^\W\d_]")
+#: Runs of letters and stand-ins for letters that have a stand-in.
+_LEET = re.compile(r"(?<![^\W\d_])[^\W\d_]*+[01345789@$](?:[^\W\d_]|[01345789@$])*+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -50,9 +53,12 @@ def fold(text: str | None) -> str:
             text = _HIDDEN.sub("", text)
         if _LOOKALIKE.search(text):
             text = text.translate(HOMOGLYPHS)
-    if _LEET.search(text):
-        text = text.translate(DIGITS)
-    return text
+    return _LEET.sub(_letters, text) if any(c in text for c in STAND_INS) else text
+
+
+def _letters(run: re.Match) -> str:
+    """The run with letters for digits, if it has a letter of its own."""
+    return run[0].translate(DIGITS) if _WORD.search(run[0]) else run[0]
 
 
 @dataclass
@@ -94,9 +100,14 @@ def hits(lexicon: Lexicon, folded: str):
         end = start + size
         while end < len(folded) and folded[end].isalpha():
             end += 1
-        before, after = _WORD.findall(folded[max(0, start - 40) : start]), _WORD.search(folded, end, end + 40)
-        word = folded[start:end]
-        yield word, weight, ([f"{before[-1]} {word}"] if before else []) + ([f"{word} {after[0]}"] if after else [])
+        last = start
+        while last and not folded[last - 1].isalpha():
+            last -= 1
+        first = last
+        while first and folded[first - 1].isalpha():
+            first -= 1
+        word, after = folded[start:end], _WORD.search(folded, end)
+        yield word, weight, ([f"{folded[first:last]} {word}"] if last else []) + ([f"{word} {after[0]}"] if after else [])
 
 
 def raw_score(lexicon: Lexicon, text: str | None) -> tuple[float, int]:
@@ -133,7 +144,7 @@ def fit(df: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) ->
         toxic, clean = totals.get(1, 0), totals.get(0, 0)
         if not toxic:
             return Lexicon({})
-        least = max(3, min(25, toxic // 80))
+        least = max(LEAST_TEXTS, LEAST_SHARE * toxic)
 
         def starts(labels_, texts):
             seen: Counter = Counter()
@@ -146,7 +157,7 @@ def fit(df: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) ->
         weight = F.log((F.col("bad") + 0.5) / (toxic + 1.0)) - F.log((F.col("good") + 0.5) / (clean + 1.0))
         # as shares of their classes, so that the classes' sizes don't matter
         precise = (F.col("bad") / float(toxic)) >= LEAST_PRECISION * (F.col("bad") / float(toxic) + F.col("good") / float(max(1, clean)))
-        found = counted.where(F.col("bad") >= least).withColumn("weight", weight).where(precise & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc("weight"), "term").limit(MOST_TERMS).collect()
+        found = counted.where(F.col("bad") >= least).withColumn("weight", weight).where(precise & (F.col("weight") >= LEAST_WEIGHT)).collect()
         lexicon = Lexicon(_shortest({r["term"]: r["weight"] for r in found}))
 
         def looked(labels_, texts):
@@ -156,7 +167,7 @@ def fit(df: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) ->
             return {"toxic": [k[0] for k in phrases], "phrase": [k[1] for k in phrases], "n": list(phrases.values())}
 
         phrases = map_text(rows, looked, "toxic long, phrase string, n long", id_column="toxic", rows=500).groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
-        harmless = phrases.where((F.col("good") >= 3) & (F.col("good") >= 9 * F.col("bad"))).orderBy(F.desc("good"), "phrase").limit(MOST_TERMS).collect()
+        harmless = phrases.where((F.col("good") >= LEAST_TEXTS) & (F.col("good") >= 9 * F.col("bad"))).collect()
         lexicon = Lexicon(lexicon.weights, frozenset(r["phrase"] for r in harmless))
 
         def summed(labels_, texts):
