@@ -4,9 +4,13 @@ The vocabulary comes from a SentencePiece model file (never trained here). Piece
 segmentation under the pieces' log scores; characters that no piece covers become byte pieces. A model whose own scores are merge
 ranks instead of log probabilities gets Zipf log scores by rank: ``log(1 / (rank + ZIPF_SHIFT)) - log Z``.
 
-No piece has the whitespace marker after another character, so a text's lattice falls apart in front of every marker run. Each such unit is
+Of segmentations with equal scores, the one with the longest last piece is taken, and so on from the end. Scores are summed in 32 bits, from the start.
+
+No piece may have the whitespace marker after another character, so a text's lattice falls apart in front of every marker run. Each such unit is
 segmented once and remembered (a bounded memory; forgetting costs time only). Many new units are segmented together, a column at a time.
 
+Models that would need more are refused: pieces with a marker inside, user-defined pieces, and normalisation other than the marker at the start.
+
 Null and empty texts have no ids. Repeated rows give repeated results. A null doc_id is kept. Texts of any length are encoded whole.
 """
 
@@ -60,6 +64,9 @@ def load_vocabulary(path: str) -> Vocabulary:
         model.ParseFromString(file.read())
     pieces, kinds = [p.piece for p in model.pieces], [p.type for p in model.pieces]
     scores = np.array([p.score for p in model.pieces], np.float32)
+    rules = model.normalizer_spec
+    if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError("the model normalises texts in a way that isn't supported")
     if model.trainer_spec.model_type != 1:
         scores = zipf_scores(scores, kinds)
     return compile_vocabulary(Vocabulary(pieces, scores, kinds, model.normalizer_spec.add_dummy_prefix))
@@ -78,6 +85,10 @@ def zipf_scores(scores: np.ndarray, kinds: list[int]) -> np.ndarray:
 
 def compile_vocabulary(v: Vocabulary) -> Vocabulary:
     """Build the double array: the child of state s by code c is t = base[s] + c if check[t] == s."""
+    if any(k == USER for k in v.kinds):
+        raise ValueError("user-defined pieces aren't supported")
+    if any(k == NORMAL and MARK in p.lstrip(MARK) for p, k in zip(v.pieces, v.kinds)):
+        raise ValueError("a piece has the whitespace marker after another character")
     letters = sorted({c for p, k in zip(v.pieces, v.kinds) if k == NORMAL for c in p}, key=ord)
     v.code_of = {c: i for i, c in enumerate(letters, 1)}
     tree: list[dict[int, int]] = [{}]
