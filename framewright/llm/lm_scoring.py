@@ -6,7 +6,7 @@ sizes don't tell the models apart. A row's own tokens are taken out of every cou
 tokens of target loss minus background loss: the lower, the more it reads like the target. ``corpus_loss`` is the loss under all rows' counts without scaling.
 
 Counts cover every row and every token and stay a table that grows with the corpus: each task sends its bigrams' sums. Totals of tokens and contexts are bounded by the vocabulary and go to every
-task; so do the bigrams that are at least one in ``FREQUENT`` of all, so at most ``FREQUENT`` of them. What a document has of other bigrams joins the table by bigram; one that occurs once only is unseen once its
+task; so do the bigrams that are at least one in ``FREQUENT`` of all, so at most ``FREQUENT`` of them (24 bytes each). What a document has of other bigrams joins the table by bigram; one that occurs once only is unseen once its
 row is taken out, and is left out of the join.
 
 Null and empty texts have no tokens and score 0. Null ids are kept and are never targets; repeated rows count as often as they occur; a row labelled more than once is good if any label says so. Without target rows both
@@ -28,7 +28,7 @@ from framewright.llm.common import MOST_BROADCAST, documents, materialize
 
 PRIOR = 5.0
 CHUNK = 4 << 20
-FREQUENT = 1_000_000
+FREQUENT = 4_000_000
 LOSSES = ("target_loss", "background_loss", "corpus_loss")
 
 
