@@ -19,6 +19,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -92,12 +93,15 @@ class WordEncoder:
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = parts.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        new = [c for c in chunks if c not in self.place]
+        slot = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(slot < 0)
         if len(self.place) + len(new) > REMEMBERED_CHUNKS:
             self._forget()
-            new = chunks
-        self._learn(new)
-        slot = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))[coded.indices.to_numpy()]
+            new = np.arange(len(chunks))
+        missing = [chunks[i] for i in new.tolist()]
+        self._learn(missing)
+        slot[new] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(missing))
+        slot = slot[coded.indices.to_numpy()]
         sizes = self.sizes[slot]
         return self.ids[ranges(self.starts[slot], sizes)], np.concatenate([[0], np.cumsum(sizes)])[parts.offsets.to_numpy()]
 
