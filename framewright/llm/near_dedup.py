@@ -475,18 +475,20 @@ def keep_first(df: DataFrame) -> DataFrame:
     """
     sketched, home = _decided(df.select("doc_id", "text"))
     kept = sketched.join(home.select(F.col("kept_row").alias("row")), "row", "left_semi").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"))
-    columns = [F.col(c) for c in df.columns]
-    named = df.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("kept_id"), F.struct(*columns).alias("line"))
+    named = df.select(F.col("doc_id").cast("long").alias("kept_id"), F.struct(*df.columns).alias("line"))
     fields = [*named.schema.fields, T.StructField("kept_node", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 0):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_node_hashes(*word_hashes(batch.column(0))), pa.binary())], names=[f.name for f in fields])
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                texts = batch.column(1).flatten()[df_text].cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_node_hashes(*word_hashes(texts)), pa.binary())], names=[f.name for f in fields])
 
+    df_text = df.columns.index("text")
     rows = named.mapInArrow(run, T.StructType(fields))
     stays = rows.join(kept, rows.kept_id.eqNullSafe(kept.kept_id) & (rows.kept_node == kept.kept_node), "left_semi")
-    order = F.struct("text", *[F.col(f"line.{f.name}").alias(f"c{i}") for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.AtomicType)])
+    order = F.struct(*[F.col(f"line.{f.name}").alias(f"c{i}") for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.AtomicType)])
     return stays.groupBy("kept_id", "kept_node").agg(F.min_by("line", order).alias("line")).select("line.*")
 
 

@@ -33,7 +33,8 @@ from framewright.llm.common import documents, fresh_path, materialize, ranges, s
 MAGIC = b"FWTOKEN1"
 END_ID = 2
 GAMMA = 1.5
-REMEMBERED_CHUNKS = 700_000
+#: What a worker remembers at most, about 200 bytes each; forgetting costs time only.
+REMEMBERED_CHUNKS, REMEMBERED_PRETOKENS = 300_000, 500_000
 READ_BYTES = 8 << 20
 #: The vocabulary's own pre-tokens, and the line end that parts two chunks.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+|\n")
@@ -81,7 +82,10 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}  # of a chunk among the remembered ones, which lie in ids
-        self.ids, self.starts, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.starts, self.sizes, self.uses = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self._forget_pretokens()
+
+    def _forget_pretokens(self) -> None:
         self.pretokens = {"\n": np.array([self.stop], self.dtype).tobytes()}
 
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,17 +98,30 @@ class WordEncoder:
         coded = parts.flatten().dictionary_encode()
         chunks = coded.dictionary.to_pylist()
         slot = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
+        if len(self.place) + int((slot < 0).sum()) > REMEMBERED_CHUNKS:
+            self._forget_rare()
+            slot = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
         new = np.flatnonzero(slot < 0)
-        if len(self.place) + len(new) > REMEMBERED_CHUNKS:
-            self._forget()
-            new = np.arange(len(chunks))
         missing = [chunks[i] for i in new.tolist()]
         self._learn(missing)
         slot[new] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(missing))
+        self.uses[slot] += 1
         slot = slot[coded.indices.to_numpy()]
         sizes = self.sizes[slot]
         return self.ids[ranges(self.starts[slot], sizes)], np.concatenate([[0], np.cumsum(sizes)])[parts.offsets.to_numpy()]
 
+    def _forget_rare(self) -> None:
+        """Keep chunks that more than one batch had; all go if these are too many."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > REMEMBERED_CHUNKS // 2:
+            self._forget()
+            return
+        names = list(self.place)  # in the order of their places
+        ids, starts, sizes = self.ids, self.starts[kept], self.sizes[kept]
+        self.place, self.ids = {}, np.zeros(0, self.dtype)
+        self.starts, self.sizes, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self._add([names[i] for i in kept.tolist()], ids[ranges(starts, sizes)], np.cumsum(sizes) - sizes, sizes)
+
     def check(self, texts: list[str | None]) -> None:
         """Raise if the ids of these texts aren't the library's ids of the whole texts."""
         ids, ends = self.encode(texts)
@@ -123,6 +140,9 @@ class WordEncoder:
             return
         pieces = _PRETOKEN.findall("\n".join(chunks).lower() + "\n")
         missing = list(set(pieces).difference(self.pretokens))
+        if len(self.pretokens) + len(missing) > REMEMBERED_PRETOKENS:
+            self._forget_pretokens()
+            missing = list(set(pieces).difference(self.pretokens))
         self.pretokens.update(zip(missing, self._words(missing)))
         ids = np.frombuffer(b"".join(map(self.pretokens.__getitem__, pieces)), self.dtype)
         ends = np.flatnonzero(ids == self.stop)
@@ -136,7 +156,7 @@ class WordEncoder:
     def _add(self, chunks: list[str], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         self.place.update(zip(chunks, range(len(self.place), len(self.place) + len(chunks))))
         self.starts = np.concatenate([self.starts, starts + len(self.ids)])
-        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        self.ids, self.sizes, self.uses = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes]), np.concatenate([self.uses, np.zeros(len(chunks), np.int32)])
 
     def _words(self, words: list[str]) -> Iterator[bytes]:
         """Ids of each pre-token. Many share a line, as the ids themselves tell where each ends; if they don't, each is encoded alone."""
