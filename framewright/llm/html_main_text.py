@@ -35,6 +35,7 @@ RUNS_HELD = 1_000_000
 LINK_SHARE = 0.6
 #: At most so many hosts of more than one group are sent to all tasks, about 100 bytes each.
 LARGE_HOSTS = 200_000
+SALTS = 64
 
 # Elements by what HTML says they are.
 RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object")
@@ -278,35 +279,29 @@ def _unpacked(data: bytes):
     return json.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
-def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, page (a hash of all its blocks), blocks (packed), segments (the stream without marked main text)."""
-    read = pages.select(F.col("html").cast("string").alias("html"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _host().alias("host"))
-
-    def run(batches):
-        for whole in batches:
-            for batch in slices(whole, 0):
-                found = [blocks(p) for p in batch.column(0).to_pylist()]
-                written = [json.dumps(b, ensure_ascii=False).encode() for b in found]
-                page = np.array([xxhash.xxh3_64_intdigest(w) for w in written], np.uint64).view(np.int64)
-                packed = [zstandard.ZstdCompressor(level=1).compress(w) for w in written]
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(page), pa.array(packed, pa.binary()), pa.array(map(segments_of, found), pa.list_(pa.string()))], names=["page_id", "url", "host", "page", "blocks", "segments"])
-
-    return read.mapInArrow(run, "page_id long, url string, host string, page long, blocks binary, segments array<string>")
-
-
-def deal(parsed: DataFrame, large: DataFrame, most_broadcast: int = LARGE_HOSTS) -> DataFrame:
-    """parsed, a stored table, with each page's row and its part of the host. large: host, groups of the hosts of more than one group; sent to all tasks only if they are at most
-    ``most_broadcast``, else joined by row so that a hot host's pages never gather."""
-    numbered = parsed.withColumn("row", F.monotonically_increasing_id())
-    part = F.pmod(F.xxhash64("row"), F.coalesce("groups", F.lit(1))).alias("part")
+def deal(pages: DataFrame, large: DataFrame, most_broadcast: int = LARGE_HOSTS) -> DataFrame:
+    """pages (page_id, url, html, host) with groups, how many its host has, and part, the page's group by a hash of all it holds. large: host, groups of the hosts of more than one group; sent to all
+    tasks only if they are at most ``most_broadcast``, else joined by host and salt so that a hot host's pages never gather."""
+    placed = pages.withColumn("place", F.xxhash64("page_id", "url", "html"))
     if large.count() <= most_broadcast:
-        return numbered.join(F.broadcast(large), "host", "left").select(*numbered.columns, part)
-    dealt = numbered.select("row", "host").join(large, "host", "left").select("row", part)
-    return numbered.join(dealt, "row")
+        found = placed.join(F.broadcast(large), "host", "left")
+    else:
+        salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = placed.withColumn("salt", F.pmod("place", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
+    return found.select(*pages.columns, F.coalesce("groups", F.lit(1)).alias("groups"), F.pmod(F.hash("place"), F.coalesce("groups", F.lit(1))).cast("long").alias("part"))
+
 
+def _parsed(batches, column: int):
+    """Parts of the batches with their pages' blocks and a hash of all blocks of each page."""
+    for whole in batches:
+        for batch in slices(whole, column):
+            found = [blocks(p) for p in batch.column(column).to_pylist()]
+            written = [json.dumps(b, ensure_ascii=False).encode() for b in found]
+            yield batch, found, written, np.array([xxhash.xxh3_64_intdigest(w) for w in written], np.uint64).view(np.int64)
 
-def host_runs(dealt: DataFrame, large: DataFrame) -> DataFrame:
-    """host, part, run: the runs outside marked main text that occur on LEAST_PAGES distinct pages of a host of several groups, for each group that has them.
+
+def host_runs(dealt: DataFrame) -> DataFrame:
+    """host, part, run: the runs outside marked main text that occur on LEAST_PAGES distinct pages of a host, for each of its groups that has them.
 
     A task sends on at most LEAST_PAGES distinct pages of a run, which is all that the threshold asks, and else only the groups it is in, so a run of a hot host doesn't gather;
     pages of equal blocks are one page.
@@ -322,12 +317,12 @@ def host_runs(dealt: DataFrame, large: DataFrame) -> DataFrame:
             table["page"] = table["page"].astype("Int64").where(counts)
             return pa.RecordBatch.from_pandas(table[counts | ~table.duplicated(["host", "part", "run"])], schema=pa.schema([("host", pa.string()), ("part", pa.int64()), ("run", pa.int64()), ("page", pa.int64())]), preserve_index=False)
 
-        for batch in batches:
-            for host, part, page, segments in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                found = runs_of([s.split(" ") for s in segments])
-                if any(map(len, found)):
-                    keys.append(np.unique(np.concatenate(found)))
-                    pages.append(page)
+        for batch, found, _, hashes in _parsed(batches, 2):
+            for host, part, page, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found, hashes.tolist()):
+                here = runs_of([s.split(" ") for s in segments_of(page)])
+                if any(map(len, here)):
+                    keys.append(np.unique(np.concatenate(here)))
+                    pages.append(name)
                     parts.append(part)
                     names.append(host)
                     held += len(keys[-1])
@@ -339,22 +334,39 @@ def host_runs(dealt: DataFrame, large: DataFrame) -> DataFrame:
         if keys:
             yield send()
 
-    seen = dealt.join(F.broadcast(large.select("host")), "host", "left_semi") if large.count() <= LARGE_HOSTS else dealt.join(large.select("host"), "host", "left_semi")
-    found = seen.select("host", "part", "page", "segments").mapInArrow(run, "host string, part long, run long, page long")
+    found = dealt.select("host", "part", "html").mapInArrow(run, "host string, part long, run long, page long")
     counted = found.groupBy("host", "run").agg(F.size(F.collect_set("page")).alias("n"), F.collect_set("part").alias("parts"))
     return counted.where(F.col("n") >= LEAST_PAGES).select("host", F.explode("parts").alias("part"), "run")
 
 
 def extract(pages: DataFrame, pages_per_group: int = PAGES_PER_GROUP) -> DataFrame:
-    """page_id, url, text, n_chars, n_repeated (tokens outside marked main text in repeated runs) of each row of pages (page_id, url, html)."""
-    parsed = materialize(parse(pages), "parsed-pages")
-    counts = parsed.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / pages_per_group).alias("groups"))
-    large = materialize(counts.where("groups > 1"), "large-hosts")
-    dealt = deal(parsed, large)
-    runs = materialize(host_runs(dealt, large).groupBy("host", "part").agg(F.collect_list("run").alias("runs")), "host-runs")
+    """page_id, url, text, n_chars, n_repeated (tokens outside marked main text in repeated runs) of each row of pages (page_id, url, html).
+
+    Pages of hosts of several groups are parsed twice, once for the runs, which costs less than to keep all blocks on disk. Equal rows share a part; where they make it large it is split by place,
+    which decides nothing.
+    """
+    read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host().alias("host"))
+    large = materialize(read.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / pages_per_group).alias("groups")).where("groups > 1"), "large-hosts")
+    dealt = deal(read, large)
+    several = dealt.where("groups > 1")
+    runs = materialize(host_runs(several).groupBy("host", "part").agg(F.collect_list("run").alias("runs")), "host-runs")
+    crowded = several.groupBy("host", "part").agg(F.ceil(F.count(F.lit(1)) / (4 * pages_per_group)).alias("splits"))
+    crowded = materialize(crowded.where("splits > 1"), "crowded-parts")
+
+    def split(df: DataFrame) -> DataFrame:
+        side = F.broadcast(crowded) if crowded.count() <= LARGE_HOSTS else crowded
+        return df.join(side, ["host", "part"], "left").withColumn("splits", F.coalesce("splits", F.lit(1)))
+
+    def parse(batches):
+        for batch, found, written, hashes in _parsed(batches, 5):
+            pack = zstandard.ZstdCompressor(level=1).compress
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(hashes), pa.array([pack(w) for w in written], pa.binary()), pa.array([segments_of(f) for f in found], pa.list_(pa.string()))], names=["host", "part", "sub", "page_id", "url", "page", "blocks", "segments"])
+
+    parsed = split(dealt).select("host", "part", F.pmod(F.monotonically_increasing_id(), F.col("splits")).alias("sub"), "page_id", "url", "html")
+    parsed = parsed.mapInArrow(parse, "host string, part long, sub long, page_id long, url string, page long, blocks binary, segments array<string>")
+    runs = split(runs).select("host", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("sub"), "runs")
 
     def run(pdf, known):
-        pdf = pdf.sort_values("row", kind="stable")
         segments = [[s.split(" ") for s in page] for page in pdf["segments"]]
         covered = repeated(segments, pdf["page"].tolist())
         if len(known):  # runs of the whole host, which hold those of this group
@@ -362,10 +374,10 @@ def extract(pages: DataFrame, pages_per_group: int = PAGES_PER_GROUP) -> DataFra
             for k, page in enumerate(segments):
                 more = [cover(np.append(np.isin(found, common), np.zeros(len(s) - len(found), bool))) for s, found in zip(page, runs_of(page))]
                 covered[k] = covered[k] | np.concatenate([np.zeros(0, bool), *more])
-        texts = [main_text(_unpacked(b), c) for b, c in zip(pdf["blocks"], covered)]
+        texts = [main_text(json.loads(zstandard.ZstdDecompressor().decompress(b)), c) for b, c in zip(pdf["blocks"], covered)]
         return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64").to_numpy(), "url": pdf["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts], "n_repeated": [int(c.sum()) for c in covered]})
 
-    groups = [df.groupBy("host", "part") for df in (dealt.select("host", "part", "row", "page", "page_id", "url", "blocks", "segments"), runs)]
+    groups = [df.groupBy("host", "part", "sub") for df in (parsed, runs)]
     return groups[0].cogroup(groups[1]).applyInPandas(run, "page_id long, url string, text string, n_chars long, n_repeated long")
 
 
