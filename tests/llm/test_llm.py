@@ -706,15 +706,22 @@ def test_bins_never_rule_out_a_similar_pair():
                 assert not verdict
 
 
-def test_large_hosts_deal_alike_by_broadcast_and_by_row(spark):
+def test_large_hosts_deal_alike_by_broadcast_and_by_salt(spark):
     rows = [(i, f"https://{'big' if i % 3 else 'small' + str(i)}.test/{i}", f"<p>page {i}</p>") for i in range(900)] + [(None, None, None)]
-    parsed = html_main_text.parse(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", html_main_text._host())
     large = spark.createDataFrame([("big.test", 3)], "host string, groups long")
-    sets = [sorted((r.row, r.host, r.part) for r in html_main_text.deal(parsed, large, most).collect()) for most in (10, 0)]
+    sets = [sorted((r.page_id or -1, r.host, r.part) for r in html_main_text.deal(pages, large, most).collect()) for most in (10, 0)]
     assert sets[0] == sets[1] and len(sets[0]) == 901
     assert {p for _, h, p in sets[0] if h == "big.test"} == {0, 1, 2} and {p for _, h, p in sets[0] if h != "big.test"} == {0}
 
 
+def test_equal_pages_are_split(spark):
+    notice = "this site will be closed for work on sunday night"
+    rows = [(1, "http://a.x/1", f"<div>{notice}</div><p>the same page</p>")] * 100 + [(2 + i, "http://a.x/1", f"<div>{notice}</div><p>n{i} alone</p>") for i in range(3)]
+    out = html_main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), 8).collect()
+    assert len(out) == 103 and {r.text for r in out if r.page_id == 1} == {"the same page"} and {r.text for r in out if r.page_id == 3} == {"n1 alone"}
+
+
 def test_runs_of_a_host_decide_on_every_page_whatever_the_deal(spark):
     notice = "this site will be closed for work on sunday night"
     rows = []
