@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.functions.text import chunk_of
 from framewright.operators.windows import running_offset
 
 NAMES = {"observation.state": "state"}
@@ -91,12 +90,6 @@ def synthetic_frames(spark: SparkSession, episodes: int, length: int, width: int
     return rows.withColumn("state", F.array(*[F.randn(seed + i).cast("float") for i in range(width)]))
 
 
-def write_frames(df: DataFrame, root: str, chunk_size: int = 1000, fps: float = 30.0, mode: str = "errorifexists") -> None:
-    """Frames with timestamp = frame_index / fps, in one directory a chunk of episodes; a dataset that exists is never overwritten by default."""
-    rows = df.withColumns({"timestamp": (F.col("frame_index") / fps).cast("float"), "chunk": F.format_string("%03d", chunk_of("episode_index", chunk_size))})
-    rows.repartition("chunk", "episode_index").sortWithinPartitions("chunk", "episode_index", "frame_index").write.mode(mode).partitionBy("chunk").parquet(f"{root}/data")
-
-
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 

@@ -72,17 +72,6 @@ def test_streams(spark, tmp_path):
     assert sorted((r.session, r.tick, r.verdict) for r in spark.table("snaps").collect()) == [("a", 0.05, "ok"), ("a", 0.5, "stale x"), ("b", 1.0, "missing x")]
 
 
-def test_dataset_round_trip(spark, tmp_path):
-    from framewright.sources import episodes as E
-
-    root = str(tmp_path / "set")
-    E.write_frames(E.synthetic_frames(spark, 3, 4, 2, seed=1), root, chunk_size=2)
-    (tmp_path / "set/meta").mkdir()
-    (tmp_path / "set/meta/episodes.jsonl").write_text('{"episode_index": 1, "num_frames": 4}\n\n{"episode_index": 0, "length": 4}\n')
-    assert spark.read.parquet(f"{root}/data").count() == 12
-    assert [(r.episode_index, r.from_index, r.to_index) for r in E.read_episodes(spark, root).orderBy("episode_index").collect()] == [(0, 0, 4), (1, 4, 8)]
-
-
 def test_label_arrays_and_masks(spark):
     from pyspark.sql import functions as F
 
