@@ -27,7 +27,7 @@ from framewright.llm import token_store
 from framewright.llm.common import MOST_BROADCAST, documents, materialize
 
 PRIOR = 5.0
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 FREQUENT = 4_000_000
 LOSSES = ("target_loss", "background_loss", "corpus_loss")
 
