@@ -175,3 +175,8 @@ def autoregressive(innovations, rho: float) -> Column:
     gain = (1 - rho * rho) ** 0.5
     start = F.array().cast("array<double>")
     return F.aggregate(doubles(innovations), start, lambda acc, e: F.concat(acc, F.array(F.when(F.size(acc) == 0, e).otherwise(F.coalesce(F.element_at(acc, -1), F.lit(0.0)) * rho + e * gain))))
+
+
+def executed_action(action, state, q01: Sequence[float], q99: Sequence[float]) -> Column:
+    """An executed action relative to the state it started from, scaled by quantiles."""
+    return quantile_scale(delta(action, state, [True] * len(q01)), q01, q99)

@@ -76,3 +76,9 @@ def bad_norm_stats(stats: DataFrame) -> DataFrame:
     for c in ("mean", "std", "q01", "q99"):
         finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     return stats.where(~(finite & (F.col("std") >= 0) & (F.col("q99") >= F.col("q01"))))
+
+
+def contract_problems(df: DataFrame, info: str, wanted: dict[str, str]) -> DataFrame:
+    """Rows whose JSON document doesn't have the wanted values (by dotted path, as text), with the paths that differ; a missing value differs."""
+    wrong = [F.when(~F.get_json_object(F.col(info), f"$.{path}").eqNullSafe(F.lit(value)), path) for path, value in wanted.items()]
+    return df.withColumn("bad", F.array_compact(F.array(*wrong))).where(F.size("bad") > 0)

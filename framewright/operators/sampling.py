@@ -1,27 +1,47 @@
-"""Sampling, batching and mixing."""
+"""Sampling, batching and mixing. Draws are hashes of keys, so a task that runs again, or another partitioning, draws the same."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators.windows import EPISODE, in_order
+
+
+def draw(seed: int, *keys: str | Column) -> Column:
+    """A number in 0..2**32 - 1 by the md5 of the seed and the keys."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def share(seed: int, *keys: str | Column) -> Column:
+    """A number in 0..1, below 1."""
+    return draw(seed, *keys) / F.lit(float(1 << 32))
+
 
 def with_replacement(df: DataFrame, index: str, n: int, seed: int) -> DataFrame:
-    """n rows drawn with replacement by a gap-free index 0..N-1, with their place in the request."""
+    """n rows drawn with replacement by a gap-free index 0..N-1, with their place in the request; none of an empty table."""
     size = df.count()
-    drawn = df.sparkSession.range(n).select(F.col("id").alias("place"), F.floor(F.rand(seed) * size).cast("long").alias(index))
+    drawn = df.sparkSession.range(n if size else 0).select(F.col("id").alias("place")).withColumn(index, draw(seed, "place") % F.lit(max(1, size)))
     return drawn.join(df, index)
 
 
-def weighted_mix(parts: list[DataFrame], weights: list[float], seed: int) -> DataFrame:
-    """A union in which the parts have the given shares; the scarcest part (against its weight) is taken whole."""
+def gather(requests: DataFrame, frames: DataFrame, vector: str, step: int = 1) -> DataFrame:
+    """place, vector, next (``step`` frames on; zeros past the end) and is_terminal of each request (place, episode_index, frame_index), one row a request whatever repeats."""
+    ahead = F.lead(vector, step).over(in_order())
+    rows = frames.select(*EPISODE, "frame_index", F.col(vector), F.coalesce(ahead, F.transform(vector, lambda x: x * 0)).alias("next"), ahead.isNull().alias("is_terminal"))
+    return requests.join(rows, [*EPISODE, "frame_index"]).select("place", vector, "next", "is_terminal")
+
+
+def weighted_mix(parts: list[DataFrame], weights: list[float], key: str, seed: int) -> DataFrame:
+    """A union in which the parts have about the given shares; the scarcest part (against its weight) is taken whole. A row is taken by a hash of its key."""
     if abs(sum(weights) - 1) > 1e-6:
         raise ValueError("weights must sum to 1")
     sizes = [p.count() for p in parts]
     total = min((s / w for s, w in zip(sizes, weights) if w > 0), default=0)
-    return reduce(DataFrame.unionByName, [p.sample(fraction=min(1.0, total * w / s) if s else 0.0, seed=seed) for p, s, w in zip(parts, sizes, weights)])
+    return reduce(DataFrame.unionByName, [p.where(share(seed, key) < F.lit(min(1.0, total * w / s) if s else 0.0)) for p, s, w in zip(parts, sizes, weights)])
 
 
 def batches(df: DataFrame, index: str, size: int) -> DataFrame:
@@ -30,12 +50,19 @@ def batches(df: DataFrame, index: str, size: int) -> DataFrame:
     return grouped.where(F.size("items") == size)
 
 
-def shuffled_subset(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """At most n rows in random order (a cap is what this operator is for)."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def shuffled_subset(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
+    """At most n rows in an order by a hash of a unique key (a cap is what this operator is for)."""
+    return df.orderBy(draw(seed, key), key).limit(n)
+
+
+def choice(fields: list[str], key: str, seed: int) -> Column:
+    """One of the fields, drawn for each key."""
+    return F.element_at(F.array(*fields), (draw(seed, key) % len(fields) + 1).cast("int"))
 
 
-def choice(*fields: str, seed: int):
-    """One of the fields, drawn for each row."""
-    options = F.array(*fields)
-    return F.element_at(options, (F.floor(F.rand(seed) * len(fields)) + 1).cast("int"))
+def chunk_dropout(chunk: str | Column, key: str, rate: float, seed: int) -> tuple[Column, Column]:
+    """The chunk with all values 0 for about ``rate`` of the keys, and whether it was dropped. A chunk is dropped whole."""
+    if not 0 <= rate <= 1:
+        raise ValueError("a rate outside 0..1")
+    dropped = share(seed, key) < rate
+    return F.when(dropped, F.transform(chunk, lambda x: x * 0)).otherwise(chunk if isinstance(chunk, Column) else F.col(chunk)), dropped

@@ -14,22 +14,42 @@ def by_dimension(df: DataFrame, vector: str, keys: list[str]) -> DataFrame:
     return exploded.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
 
 
-def _stats(quantiles: bool):
-    out = [F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("count")]
-    if quantiles:
-        q = F.percentile("x", F.array(*[F.lit(v) for v in QUANTILES]))
-        out += [q[i].alias(f"q{int(v * 100):02d}") for i, v in enumerate(QUANTILES)]
-    return out
+def _stats():
+    return [F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("count")]
+
+
+def exact_quantiles(rows: DataFrame, levels: list[float], names: list[str], bins: int = 1024) -> DataFrame:
+    """dim and the interpolated quantiles of x of each dimension (dim, x), without holding a dimension's values in one task.
+
+    Values are counted in ``bins`` equal cells of their dimension; only cells that hold a wanted rank are looked into, each by itself, with equal values as one row. Nulls don't count.
+    """
+    rows = rows.where("x IS NOT NULL")
+    bounds = rows.groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n"))  # dimensions are few
+    cell = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
+    placed = rows.join(F.broadcast(bounds), "dim").select("dim", "x", cell.alias("cell"))
+    cells = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.partitionBy("dim").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    at = [(F.col("n") - 1) * F.lit(level) for level in levels]
+    ranks = F.explode(F.array_distinct(F.flatten(F.array(*[F.array(F.floor(a), F.ceil(a)) for a in at]))))
+    wanted = bounds.select("dim", ranks.alias("rank"))
+    sought = cells.withColumn("before", before).join(F.broadcast(wanted), "dim").where("rank >= before AND rank < before + c").select("dim", "cell", "before", "rank")
+    inside = placed.join(F.broadcast(sought.select("dim", "cell", "before").distinct()), ["dim", "cell"]).groupBy("dim", "cell", "before", "x").agg(F.count(F.lit(1)).alias("c"))
+    inside = inside.withColumn("end", F.col("before") + F.sum("c").over(Window.partitionBy("dim", "cell").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    values = inside.join(F.broadcast(sought.select("dim", "cell", "rank")), ["dim", "cell"]).where("rank < end AND rank >= end - c").groupBy("dim").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
+    low, high = [F.col("at")[F.floor(a)] for a in at], [F.col("at")[F.ceil(a)] for a in at]
+    return bounds.join(values, "dim").select("dim", *[(lo + (hi - lo) * (a - F.floor(a))).alias(name) for lo, hi, a, name in zip(low, high, at, names)])
 
 
 def feature_statistics(df: DataFrame, vector: str, quantiles: bool = True) -> DataFrame:
-    return by_dimension(df, vector, []).groupBy("dim").agg(*_stats(quantiles))
+    rows = by_dimension(df, vector, [])
+    out = rows.groupBy("dim").agg(*_stats())
+    return out.join(F.broadcast(exact_quantiles(rows, list(QUANTILES), [f"q{int(v * 100):02d}" for v in QUANTILES])), "dim", "left") if quantiles else out
 
 
 def episode_and_global_statistics(df: DataFrame, vector: str, episode: str = "episode_index") -> DataFrame:
     """The same figures for each episode and for all (episode null), in one aggregation by grouping sets."""
     rows = by_dimension(df, vector, [episode])
-    return rows.groupingSets([[F.col(episode), F.col("dim")], [F.col("dim")]], F.col(episode), F.col("dim")).agg(*_stats(False))
+    return rows.groupingSets([[F.col(episode), F.col("dim")], [F.col("dim")]], F.col(episode), F.col("dim")).agg(*_stats())
 
 
 def running_norm(df: DataFrame, vector: str) -> DataFrame:
@@ -67,3 +87,13 @@ def best_lag(correlations: DataFrame, keys: list[str]) -> DataFrame:
 
 def weighted_mean(df: DataFrame, value: str, weight: str) -> DataFrame:
     return df.agg((F.sum(F.col(value) * F.col(weight)) / (F.sum(weight) + 1e-8)).alias("weighted_mean"))
+
+
+def sampled_channels(images: DataFrame, video: str, pixels: str, channels: int, most: int = 100) -> DataFrame:
+    """video, channel, min, max, mean, std over all pixels of at most ``most`` evenly spaced frames, and count, the number of those frames. images: video, frame_index (0, 1, ...), pixels (interleaved by channel)."""
+    sizes = images.groupBy(video).agg(F.count(F.lit(1)).alias("n"))
+    take = F.least(F.col("n"), F.lit(most))
+    at = F.transform(F.sequence(F.lit(0).cast("long"), take - 1), lambda k: F.floor(k * (F.col("n") - 1) / F.greatest(take - 1, F.lit(1))))
+    chosen = sizes.select(video, F.explode(F.array_distinct(at)).alias("frame_index"))
+    rows = images.join(chosen, [video, "frame_index"]).select(video, "frame_index", F.posexplode(F.col(pixels).cast("array<double>")).alias("_at", "x"))
+    return rows.groupBy(video, (F.col("_at") % channels).cast("long").alias("channel")).agg(F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.countDistinct("frame_index").alias("count"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.operators.windows import dense_number
+
 
 def status_counts(tasks: DataFrame, statuses: list[str], status: str = "status") -> DataFrame:
     """Every status with its count, 0 where there is none."""
@@ -40,9 +42,9 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFram
 
 
 def dictionary_encode(df: DataFrame, value: str, order: str) -> DataFrame:
-    """value, code: codes 0, 1, ... by first appearance. Distinct values are few (tasks), so one ordered window over them is small."""
+    """value, code: codes 0, 1, ... by first appearance in a unique integer order, numbered in blocks so that any number of distinct values will do."""
     seen = df.groupBy(value).agg(F.min(order).alias("_first"))
-    return seen.select(value, (F.row_number().over(Window.orderBy("_first", value)) - 1).alias("code"))
+    return dense_number(seen, "_first", "code").select(value, "code")
 
 
 def latest_state(events: DataFrame, key: str, order: list[str]) -> DataFrame:

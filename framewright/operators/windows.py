@@ -91,9 +91,13 @@ def longest_run(df: DataFrame, flag: Column, keys=EPISODE) -> DataFrame:
 
 def idle_free_ranges(df: DataFrame, moved: Column, least_idle: int = 7, least_kept: int = 16, cut: int = 10, keys=EPISODE) -> DataFrame:
     """Ranges of frames without idle runs of least_idle or more; ranges of least_kept or more frames, without their last ``cut`` ones."""
-    idle = runs(df, ~moved, keys).where(F.col("n_frames") >= least_idle).select(*keys, F.explode(F.sequence("start_frame", F.col("end_frame") - 1)).alias("frame_index"), F.lit(True).alias("_idle"))
-    active = df.select(*keys, "frame_index").join(idle, [*keys, "frame_index"], "left_anti")
-    kept = runs(active, F.lit(True), keys).where(F.col("n_frames") >= least_kept)
+    w = in_order(keys)
+    still = ~F.coalesce(moved, F.lit(True))
+    marked = df.select(*keys, "frame_index", still.alias("_still"))
+    # frames are dense, so a run is told by its frames less their rank among still or moving ones
+    marked = marked.withColumn("_run", F.col("frame_index") - F.row_number().over(Window.partitionBy(*keys, "_still").orderBy("frame_index")))
+    sized = marked.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_still", "_run")))
+    kept = runs(sized, ~(F.col("_still") & (F.col("_size") >= least_idle)), keys).where(F.col("n_frames") >= least_kept)
     return kept.select(*keys, "start_frame", (F.col("end_frame") - cut).alias("end_frame")).where("end_frame > start_frame")
 
 
@@ -106,3 +110,13 @@ def full_average(value: str, size: int, keys=EPISODE) -> Column:
     """Mean of the last ``size`` values, null until there are so many."""
     w = in_order(keys).rowsBetween(1 - size, 0)
     return F.when(F.count(value).over(w) == size, F.avg(value).over(w))
+
+
+def at_offsets(df: DataFrame, value: str, offsets: list[int], keys=EPISODE) -> DataFrame:
+    """keys, frame_index, the values ``offsets`` frames away (clamped to the episode) and is_pad, where that lies outside. Frames are dense, so an offset in seconds is one in frames."""
+    w, u = in_order(keys), whole(keys)
+    left, number = F.count(F.lit(1)).over(u) - F.row_number().over(w), F.row_number().over(w) - 1
+    outside = [number < -k if k < 0 else left < k for k in offsets]
+    edge = [F.first(value).over(u) if k < 0 else F.last(value).over(u) for k in offsets]
+    moved = [F.lag(value, -k).over(w) if k < 0 else F.lead(value, k).over(w) if k else F.col(value) for k in offsets]
+    return df.select(*keys, "frame_index", F.array(*[F.when(o, e).otherwise(m) for o, e, m in zip(outside, edge, moved)]).alias("v"), F.array(*outside).alias("is_pad"))

@@ -153,8 +153,10 @@ def agg19_completion_time(spark, sf):
 
 @query("SELECT round(avg(value), 7) AS mean, round(stddev_pop(value), 7) AS std, " + ", ".join(f"round(quantile_cont(value, {q / 100}), 7) AS p{q}" for q in (25, 50, 75, 90, 95, 99)) + " FROM events")
 def agg20_latency_distribution(spark, sf):
-    q = F.percentile("value", F.array(*[F.lit(x / 100) for x in (25, 50, 75, 90, 95, 99)]))
-    return table(spark, sf, "events").agg(F.round(F.avg("value"), 7).alias("mean"), F.round(F.stddev_pop("value"), 7).alias("std"), *[F.round(q[i], 7).alias(f"p{x}") for i, x in enumerate((25, 50, 75, 90, 95, 99))])
+    rows, wanted = table(spark, sf, "events").select(F.lit(0).alias("dim"), F.col("value").alias("x")), (25, 50, 75, 90, 95, 99)
+    found = statistics.exact_quantiles(rows, [p / 100 for p in wanted], [f"p{p}" for p in wanted])
+    means = rows.groupBy("dim").agg(F.round(F.avg("x"), 7).alias("mean"), F.round(F.stddev_pop("x"), 7).alias("std"))
+    return means.join(F.broadcast(found), "dim").select("mean", "std", *[F.round(f"p{p}", 7).alias(f"p{p}") for p in wanted])
 
 
 @query("SELECT event_type AS task, count(*) AS episodes, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS success_rate FROM events GROUP BY ROLLUP (event_type)")
@@ -187,8 +189,7 @@ def agg25_next_sequence(spark, sf):
 
 @query(f"WITH {FRAMES} SELECT episode_index, count_if(raw_state = 2)::BIGINT AS done_frames FROM f GROUP BY episode_index")
 def agg26_done_frames(spark, sf):
-    arrays = frames(spark, sf).groupBy("episode_index").agg(F.collect_list("raw_state").alias("a"))
-    return arrays.select("episode_index", F.size(F.filter("a", lambda x: x == 2)).cast("long").alias("done_frames"))
+    return frames(spark, sf).groupBy("episode_index").agg(F.count_if(F.col("raw_state") == 2).alias("done_frames"))
 
 
 @query(f"WITH {FRAMES} SELECT episode_index, frame_index // 10 AS log, round(avg(s0), 7) AS mean_s0 FROM f GROUP BY ALL")

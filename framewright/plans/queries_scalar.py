@@ -116,11 +116,11 @@ def scl20_td_target(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(F.col("label") + 0.99 * (1 - F.col("label") % 2) * q, 6).alias("target"))
 
 
-@query("SELECT vec_id, list_transform(range(1, 9), lambda i: CASE WHEN i % 3 = 0 THEN embedding[i] ELSE embedding[i + 8] END) AS v FROM embeddings", vectors=("v",))
+@query("SELECT vec_id, list_transform(range(1, 33), lambda i: CASE WHEN i % 3 = 0 THEN embedding[i] ELSE embedding[i + 32] END) AS v FROM embeddings", vectors=("v",))
 def scl22_bc_anchor(spark, sf):
     from framewright.operators.labels import anchored
 
-    e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("x"), F.slice("embedding", 9, 8).alias("r"), F.array(*[F.lit(i % 3 == 0) for i in range(1, 9)]).alias("m"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("x"), F.slice("embedding", 33, 32).alias("r"), F.array(*[F.lit(i % 3 == 0) for i in range(1, 33)]).alias("m"))
     return e.select("vec_id", anchored("x", "r", "m").alias("v"))
 
 

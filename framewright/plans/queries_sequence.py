@@ -103,8 +103,7 @@ def w17_stale_counter(spark, sf):
 
 @query(f"WITH {FRAMES} SELECT episode_index, frame_index // 8 AS chunk, frame_index % 8 AS element, s0 FROM f")
 def w20_chunk_cursor(spark, sf):
-    chunks = frames(spark, sf).groupBy("episode_index", F.floor(F.col("frame_index") / 8).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("frame_index", "s0"))).alias("c"))
-    return chunks.select("episode_index", "chunk", F.posexplode("c").alias("element", "x")).select("episode_index", "chunk", F.col("element").cast("long").alias("element"), "x.s0")
+    return frames(spark, sf).select("episode_index", F.floor(F.col("frame_index") / 8).alias("chunk"), (F.col("frame_index") % 8).alias("element"), "s0")
 
 
 @query(f"WITH {FRAMES} SELECT episode_index, frame_index // 8 AS chunk, frame_index % 8 AS element, s0 FROM f WHERE frame_index % 8 < 5")

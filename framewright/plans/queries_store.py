@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators import sampling, store
 from framewright.plans.registry import query
-from framewright.plans.views import table
+from framewright.plans.views import FRAMES, frames, state, table
 
 
 @query("SELECT c_custkey AS key, c_name AS name, 0 AS origin FROM customer UNION ALL SELECT s_suppkey, s_name, 1 FROM supplier")
@@ -36,9 +36,9 @@ def set06_key_union(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).union(table(spark, sf, "customer").select("c_custkey")).distinct()
 
 
-@query("SELECT text AS fingerprint, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+@query("SELECT sha256(text) AS fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
 def set08_duplicate_fingerprints(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.col("text").alias("fingerprint")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE c_mktsegment END AS segment FROM customer UNION ALL SELECT c_custkey + 1000000, 'new' FROM customer WHERE c_custkey % 4 = 0")
@@ -90,23 +90,38 @@ def smp04_smp05_batches(spark, sf):
     return sampling.batches(table(spark, sf, "events").select("event_id"), "event_id", 32).withColumnRenamed("items", "ids")
 
 
-@query("SELECT user_id, c_name FROM (SELECT DISTINCT user_id FROM events) JOIN customer ON c_custkey = user_id")
+DRAW = "('0x' || substr(md5('{}:' || {}), 1, 8))::BIGINT"
+
+
+@query(f"WITH {FRAMES}, r AS (SELECT event_id AS place, user_id AS episode_index, event_id % 7 AS frame_index FROM events) SELECT place, list_value(s0, s1) AS state, CASE WHEN nx IS NULL THEN list_value(0.0, 0.0) ELSE nx END AS next, nx IS NULL AS is_terminal FROM r JOIN (SELECT episode_index, frame_index, s0, s1, lead(list_value(s0, s1), 20) OVER (PARTITION BY episode_index ORDER BY frame_index) AS nx FROM f) USING (episode_index, frame_index)", vectors=("state", "next"))
 def smp02_gather_in_order(spark, sf):
-    wanted = table(spark, sf, "events").select("user_id").distinct()
-    return wanted.join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("user_id")).select("user_id", "c_name")
+    requests = table(spark, sf, "events").select(F.col("event_id").alias("place"), F.col("user_id").alias("episode_index"), (F.col("event_id") % 7).alias("frame_index"))
+    return sampling.gather(requests, state(frames(spark, sf)), "state", 20)
 
 
-@query()
+@query(f"SELECT place, event_id, value FROM (SELECT p.place, {DRAW.format(7, 'p.place')} % (SELECT count(*) FROM events) AS event_id FROM (SELECT unnest(range(1000)) AS place) p) JOIN events USING (event_id)")
 def smp01_with_replacement(spark, sf):
     return sampling.with_replacement(table(spark, sf, "events").select("event_id", "value"), "event_id", 1000, seed=7)
 
 
-@query()
+@query(f"WITH p AS (SELECT user_id % 2 AS k, count(*) AS s, CASE user_id % 2 WHEN 0 THEN 0.25 ELSE 0.75 END AS w FROM events GROUP BY ALL), t AS (SELECT min(s / w) AS total FROM p) SELECT event_id FROM events JOIN p ON user_id % 2 = k, t WHERE {DRAW.format(7, 'event_id')} / 4294967296.0 < least(1.0, total * w / s)")
 def smp03_weighted_mix(spark, sf):
     parts = [table(spark, sf, "events").where(F.col("user_id") % 2 == k).select("event_id") for k in (0, 1)]
-    return sampling.weighted_mix(parts, [0.25, 0.75], seed=7)
+    return sampling.weighted_mix(parts, [0.25, 0.75], "event_id", seed=7)
+
 
+@query(f"SELECT event_id, CASE {DRAW.format(3, 'event_id')} % 3 WHEN 0 THEN event_type WHEN 1 THEN user_id::VARCHAR ELSE props END AS prompt FROM events")
+def smp07_random_choice(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("user"), "props")
+    return e.select("event_id", sampling.choice(["event_type", "user", "props"], "event_id", seed=3).alias("prompt"))
 
-@query()
+
+@query(f"SELECT event_id FROM events ORDER BY {DRAW.format(7, 'event_id')}, event_id LIMIT 500")
 def smp09_capped_subset(spark, sf):
-    return sampling.shuffled_subset(table(spark, sf, "events").select("event_id"), 500, seed=7)
+    return sampling.shuffled_subset(table(spark, sf, "events").select("event_id"), 500, "event_id", seed=7)
+
+
+@query(f"SELECT vec_id, dropped, CASE WHEN dropped THEN list_transform(embedding, lambda x: 0.0::FLOAT) ELSE embedding END AS chunk FROM (SELECT *, {DRAW.format(5, 'vec_id')} / 4294967296.0 < 0.3 AS dropped FROM embeddings)", vectors=("chunk",))
+def scl25_chunk_dropout(spark, sf):
+    chunk, dropped = sampling.chunk_dropout("embedding", "vec_id", 0.3, seed=5)
+    return table(spark, sf, "embeddings").select("vec_id", chunk.cast("array<float>").alias("chunk"), dropped.alias("dropped"))

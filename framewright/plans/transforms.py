@@ -112,3 +112,15 @@ def default_prompt(df: DataFrame, prompt: str) -> DataFrame:
 
 def drop_strings(df: DataFrame) -> DataFrame:
     return df.select(*[f.name for f in df.schema.fields if not isinstance(f.dataType, T.StringType)])
+
+
+def without(wanted: dict[str, str], *leaves_: str) -> dict[str, str]:
+    """A repacking's names and paths without some leaves, such as the actions."""
+    return {name: path for name, path in wanted.items() if name not in leaves_}
+
+
+def features_by_kind(features: Column, kind: str) -> tuple[Column, Column]:
+    """Names, sorted, of the features (a JSON object by name) whose dtype is ``kind``, and of all others."""
+    by_name = F.from_json(features, "map<string, struct<dtype: string>>")
+    is_kind, is_not = F.map_filter(by_name, lambda _, v: v["dtype"] == kind), F.map_filter(by_name, lambda _, v: ~v["dtype"].eqNullSafe(F.lit(kind)))
+    return F.array_sort(F.map_keys(is_kind)), F.array_sort(F.map_keys(is_not))
