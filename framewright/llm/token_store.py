@@ -19,7 +19,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +32,8 @@ from framewright.llm.common import documents, fresh_path, materialize, ranges, s
 MAGIC = b"FWTOKEN1"
 END_ID = 2
 GAMMA = 1.5
-#: What a worker remembers at most, about 200 bytes each; forgetting costs time only.
-REMEMBERED_CHUNKS, REMEMBERED_PRETOKENS = 300_000, 500_000
+#: What a worker remembers at most, about 50 bytes a chunk and 200 a pre-token; forgetting costs time only.
+REMEMBERED_CHUNKS, REMEMBERED_PRETOKENS = 700_000, 500_000
 READ_BYTES = 8 << 20
 #: The vocabulary's own pre-tokens, and the line end that parts two chunks.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+|\n")
@@ -81,7 +80,7 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}  # of a chunk among the remembered ones, which lie in ids
+        self.chunks = pa.array([], pa.string())  # remembered; the ids of each lie in ids
         self.ids, self.starts, self.sizes, self.uses = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self._forget_pretokens()
 
@@ -94,33 +93,37 @@ class WordEncoder:
         if not self.by_words:
             coded = self._library(texts.to_pylist())
             return np.concatenate([np.zeros(0, self.dtype), *coded]), np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
-        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        # below U+0130 letters are lowered one by one, as the library does it
+        lowered = pc.if_else(pc.match_substring_regex(texts, _BEYOND.pattern), texts, pc.utf8_lower(texts))
+        parts = pc.split_pattern(pc.replace_substring(lowered, "\n", " "), " ")
         coded = parts.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        slot = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
-        if len(self.place) + int((slot < 0).sum()) > REMEMBERED_CHUNKS:
-            self._forget_rare()
-            slot = np.fromiter(map(self.place.get, chunks, repeat(-1)), np.int64, len(chunks))
-        new = np.flatnonzero(slot < 0)
-        missing = [chunks[i] for i in new.tolist()]
-        self._learn(missing)
-        slot[new] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(missing))
-        self.uses[slot] += 1
-        slot = slot[coded.indices.to_numpy()]
+        slot = self._slots(coded.dictionary)[coded.indices.to_numpy()]
         sizes = self.sizes[slot]
         return self.ids[ranges(self.starts[slot], sizes)], np.concatenate([[0], np.cumsum(sizes)])[parts.offsets.to_numpy()]
 
+    def _slots(self, chunks: pa.Array) -> np.ndarray:
+        """Where each of the distinct chunks is remembered; new ones are learned."""
+        found = pc.index_in(chunks, value_set=self.chunks)
+        if len(self.chunks) + found.null_count > REMEMBERED_CHUNKS:
+            self._forget_rare()
+            found = pc.index_in(chunks, value_set=self.chunks)
+        slot = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        new = slot < 0
+        if new.any():
+            slot[new] = len(self.chunks) + np.arange(int(new.sum()))
+            self._learn(chunks.filter(pa.array(new)))
+        self.uses[slot] += 1
+        return slot
+
     def _forget_rare(self) -> None:
         """Keep chunks that more than one batch had; all go if these are too many."""
         kept = np.flatnonzero(self.uses > 1)
         if len(kept) > REMEMBERED_CHUNKS // 2:
             self._forget()
             return
-        names = list(self.place)  # in the order of their places
-        ids, starts, sizes = self.ids, self.starts[kept], self.sizes[kept]
-        self.place, self.ids = {}, np.zeros(0, self.dtype)
-        self.starts, self.sizes, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self._add([names[i] for i in kept.tolist()], ids[ranges(starts, sizes)], np.cumsum(sizes) - sizes, sizes)
+        starts, sizes = self.starts[kept], self.sizes[kept]
+        self.chunks, self.ids = self.chunks.take(pa.array(kept)), self.ids[ranges(starts, sizes)]
+        self.starts, self.sizes, self.uses = np.cumsum(sizes) - sizes, sizes, np.zeros(len(kept), np.int32)
 
     def check(self, texts: list[str | None]) -> None:
         """Raise if the ids of these texts aren't the library's ids of the whole texts."""
@@ -129,16 +132,11 @@ class WordEncoder:
             if not np.array_equal(got, want):
                 raise ValueError("ids of pre-tokens differ from the library's ids of the whole text")
 
-    def _learn(self, new: list[str]) -> None:
-        text = "\n".join(new)
-        whole: set[str] = set()
-        if _BEYOND.search(text) or any(a in text for a in self.added):
-            whole = {c for c in new if _BEYOND.search(c) or any(a in c for a in self.added)}
-            self._remember(list(whole), self._library(list(whole)))
-        chunks = [c for c in new if c not in whole]
-        if not chunks:
-            return
-        pieces = _PRETOKEN.findall("\n".join(chunks).lower() + "\n")
+    def _learn(self, new: pa.Array) -> None:
+        """Remember the chunks, in their order."""
+        chunks = new.to_pylist()
+        text = "\n".join(chunks)
+        pieces = _PRETOKEN.findall(text.lower() + "\n")
         missing = list(set(pieces).difference(self.pretokens))
         if len(self.pretokens) + len(missing) > REMEMBERED_PRETOKENS:
             self._forget_pretokens()
@@ -147,16 +145,16 @@ class WordEncoder:
         ids = np.frombuffer(b"".join(map(self.pretokens.__getitem__, pieces)), self.dtype)
         ends = np.flatnonzero(ids == self.stop)
         starts = np.concatenate([[0], ends[:-1] + 1])
-        self._add(chunks, ids, starts, ends - starts)
-
-    def _remember(self, chunks: list[str], coded: list[np.ndarray]) -> None:
-        sizes = np.array([len(c) for c in coded], np.int64)
-        self._add(chunks, np.concatenate([np.zeros(0, self.dtype), *coded]), np.cumsum(sizes) - sizes, sizes)
-
-    def _add(self, chunks: list[str], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-        self.place.update(zip(chunks, range(len(self.place), len(self.place) + len(chunks))))
-        self.starts = np.concatenate([self.starts, starts + len(self.ids)])
-        self.ids, self.sizes, self.uses = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes]), np.concatenate([self.uses, np.zeros(len(chunks), np.int32)])
+        sizes = ends - starts
+        if _BEYOND.search(text) or any(a in text for a in self.added):
+            odd = [i for i, c in enumerate(chunks) if _BEYOND.search(c) or any(a in c for a in self.added)]
+            coded = self._library([chunks[i] for i in odd])
+            sizes[odd] = [len(c) for c in coded]
+            starts[odd] = len(ids) + np.cumsum(sizes[odd]) - sizes[odd]
+            ids = np.concatenate([ids, *coded])
+        self.starts, self.sizes = np.concatenate([self.starts, starts + len(self.ids)]), np.concatenate([self.sizes, sizes])
+        self.ids, self.uses = np.concatenate([self.ids, ids]), np.concatenate([self.uses, np.zeros(len(chunks), np.int32)])
+        self.chunks = pa.concat_arrays([self.chunks, new])
 
     def _words(self, words: list[str]) -> Iterator[bytes]:
         """Ids of each pre-token. Many share a line, as the ids themselves tell where each ends; if they don't, each is encoded alone."""
