@@ -89,3 +89,54 @@ def tick_samples(samples: DataFrame, sessions: DataFrame, keys: list[str], perio
 def response_times(requests: DataFrame, key: str, order: list[str], infer: str, total: str) -> DataFrame:
     """Each request's own time and the total time of the one before it on the same connection (null for the first)."""
     return requests.withColumn("previous_total", F.lag(total).over(Window.partitionBy(key).orderBy(*order))).select(key, *order, infer, "previous_total")
+
+
+def button_edges(samples: DataFrame, key: str, order: list[str], buttons: str, width: int) -> DataFrame:
+    """key, order, button, pressed of every one of ``width`` bits that changed; the first sample compares with all released."""
+    before = F.coalesce(F.lag(buttons).over(Window.partitionBy(key).orderBy(*order)), F.lit(0).cast("long"))
+    rows = samples.select(key, *order, F.col(buttons).cast("long").alias("_now"), before.cast("long").alias("_was"))
+    bits = rows.withColumn("button", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    was, now = (F.expr(f"shiftright({c}, button) & 1") for c in ("_was", "_now"))
+    return bits.where(was != now).select(key, *order, "button", (now == 1).alias("pressed"))
+
+
+def dual_holds(samples: DataFrame, key: str, hold: float, timeout: float) -> DataFrame:
+    """key, t at which left and right had both been held for ``hold`` seconds. samples: key, t, id, source, left, right, taken in order of t and id.
+
+    Firing disarms until both are released; releasing one restarts the time. A gap longer than ``timeout``, another source or an invalid (null) input clears the state, which arms it. The fold is an expression over a key's own samples.
+    """
+    log = F.array_sort(F.collect_list(F.struct("t", "id", "source", "left", "right")))
+    state = "struct<armed:boolean,since:double,last:double,source:string,fired:array<double>>"
+
+    def step(s: Column, e: Column) -> Column:
+        invalid = e["left"].isNull() | e["right"].isNull()
+        cleared = s["last"].isNotNull() & ((e["t"] - s["last"] > timeout + TOLERANCE) | ~s["source"].eqNullSafe(e["source"]))
+        armed, since = F.when(cleared, True).otherwise(s["armed"]), F.when(~cleared, s["since"])
+        start = F.coalesce(since, e["t"])
+        fires = armed & (e["t"] - start >= hold - TOLERANCE)
+        none = F.lit(None).cast("double")
+
+        def made(armed_, since_, fired):
+            return F.struct(armed_, since_, e["t"], e["source"], fired).cast(state)
+
+        return (
+            F.when(invalid, F.struct(F.lit(True), none, none, F.lit(None).cast("string"), s["fired"]).cast(state))
+            .when(~e["left"] & ~e["right"], made(F.lit(True), none, s["fired"]))
+            .when(~(e["left"] & e["right"]), made(armed, none, s["fired"]))
+            .when(fires, made(F.lit(False), start, F.concat(s["fired"], F.array(e["t"]))))
+            .otherwise(made(armed, start, s["fired"]))
+        )
+
+    start = F.struct(F.lit(True), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("string"), F.array().cast("array<double>")).cast(state)
+    return samples.groupBy(key).agg(log.alias("_log")).select(key, F.explode(F.aggregate("_log", start, step)["fired"]).alias("t"))
+
+
+def input_verdicts(rows: DataFrame, key: str, limits: dict[str, float]) -> DataFrame:
+    """key, t, id, verdict of each tick: ok, or the missing inputs, else the stale ones, by name. rows: key, t, id, kind (an input or 'tick'); at equal times inputs come first."""
+    w = Window.partitionBy(key).orderBy("t", (F.col("kind") == "tick").cast("int"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    names = sorted(limits)
+    seen = rows.withColumns({f"_{n}": F.last(F.when(F.col("kind") == n, F.col("t")), ignorenulls=True).over(w) for n in names}).where("kind = 'tick'")
+    missing = F.array_compact(F.array(*[F.when(F.col(f"_{n}").isNull(), n) for n in names]))
+    stale = F.array_compact(F.array(*[F.when(F.col("t") - F.col(f"_{n}") > limits[n] + TOLERANCE, n) for n in names]))
+    verdict = F.when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ","))).when(F.size(stale) > 0, F.concat(F.lit("stale "), F.array_join(stale, ","))).otherwise("ok")
+    return seen.select(key, "t", "id", verdict.alias("verdict"))

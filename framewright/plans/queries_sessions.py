@@ -133,3 +133,33 @@ def prj15_feature_kinds(spark, sf):
 def scl26_executed_action(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", V.doubles(F.slice("embedding", 1, 16)).alias("state"), V.doubles(F.slice("embedding", 17, 16)).alias("action"))
     return e.select("vec_id", F.transform(V.executed_action("action", "state", [-0.5] * 16, [0.5] * 16), lambda x: F.round(x, 5)).alias("v"))
+
+
+def samples(spark, sf, **columns):
+    return table(spark, sf, "events").select("user_id", (F.expr("unix_micros(CAST(ts AS TIMESTAMP))") / 1e6).alias("t"), F.col("event_id").alias("id"), *[c.alias(n) for n, c in columns.items()])
+
+
+@query("WITH e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, event_id AS id, event_id % 8 AS b, coalesce(lag(event_id % 8) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS was FROM events), x AS (SELECT *, unnest(range(3)) AS k FROM e) SELECT user_id, t, id, k AS button, (b >> k) & 1 = 1 AS pressed FROM x WHERE (b >> k) & 1 <> (was >> k) & 1")
+def stm08_button_edges(spark, sf):
+    return sessions.button_edges(samples(spark, sf, buttons=F.col("event_id") % 8), "user_id", ["t", "id"], "buttons", 3).withColumn("button", F.col("button").cast("long"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, (event_id % 9 // 3)::VARCHAR AS source, CASE WHEN event_id % 17 <> 0 THEN event_id % 4 <> 0 END AS l, event_id % 5 <> 0 AS r, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (SELECT user_id, ts, event_id FROM events)),
+z AS (SELECT user_id, 0::BIGINT AS n, true AS armed, NULL::DOUBLE AS since, NULL::DOUBLE AS last, NULL::VARCHAR AS source, NULL::DOUBLE AS fired FROM (SELECT DISTINCT user_id FROM e)
+ UNION ALL SELECT z.user_id, e.n,
+ CASE WHEN bad OR (NOT l AND NOT r) THEN true WHEN NOT (l AND r) THEN a WHEN fires THEN false ELSE a END,
+ CASE WHEN bad OR NOT (l AND r) THEN NULL ELSE start END, CASE WHEN NOT bad THEN t END, CASE WHEN NOT bad THEN e.source END, CASE WHEN NOT bad AND l AND r AND fires THEN t END
+ FROM z JOIN e ON e.user_id = z.user_id AND e.n = z.n + 1, LATERAL (SELECT l IS NULL OR r IS NULL AS bad, z.last IS NOT NULL AND (t - z.last > 500000 + 1e-12 OR z.source IS DISTINCT FROM e.source) AS cleared), LATERAL (SELECT CASE WHEN cleared THEN true ELSE armed END AS a, coalesce(CASE WHEN NOT cleared THEN since END, t) AS start), LATERAL (SELECT a AND t - start >= 20000 - 1e-12 AS fires))
+SELECT user_id, fired AS t FROM z WHERE fired IS NOT NULL""")
+def stm09_stm10_dual_holds(spark, sf):
+    key = F.col("event_id")
+    rows = samples(spark, sf, source=F.floor(key % 9 / 3).cast("string"), left=F.when(key % 17 != 0, key % 4 != 0), right=key % 5 != 0)
+    return sessions.dual_holds(rows, "user_id", 20_000.0, 500_000.0)
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, event_id AS id, CASE WHEN event_type = 'error' THEN 'tick' ELSE event_type END AS kind FROM events),
+s AS (SELECT *, last_value(CASE WHEN kind = 'click' THEN t END IGNORE NULLS) OVER w AS c, last_value(CASE WHEN kind = 'view' THEN t END IGNORE NULLS) OVER w AS v FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, (kind = 'tick')::INT, id ROWS UNBOUNDED PRECEDING))
+SELECT user_id, t, id, CASE WHEN c IS NULL OR v IS NULL THEN 'missing ' || concat_ws(',', CASE WHEN c IS NULL THEN 'click' END, CASE WHEN v IS NULL THEN 'view' END) WHEN t - c > 300000 + 1e-12 OR t - v > 100000 + 1e-12 THEN 'stale ' || concat_ws(',', CASE WHEN t - c > 300000 + 1e-12 THEN 'click' END, CASE WHEN t - v > 100000 + 1e-12 THEN 'view' END) ELSE 'ok' END AS verdict FROM s WHERE kind = 'tick'""")
+def stm01_stm02_freshness(spark, sf):
+    kind = F.when(F.col("event_type") == "error", "tick").otherwise(F.col("event_type"))
+    return sessions.input_verdicts(samples(spark, sf, kind=kind), "user_id", {"click": 300_000.0, "view": 100_000.0})

@@ -1,6 +1,7 @@
 """Structured Streaming: freshness of the latest values, tick sampling, gesture and episode events.
 
-State is keyed (device or episode) and bounded: one record a key and input. ``withWatermark`` bounds how long late rows wait; the recorder this mirrors drops late samples at read time.
+State is keyed (device, session or source) and bounded: one record a key and input, which is dropped after ``idle`` without rows, so keys that never come back leave nothing. ``withWatermark`` bounds how long late
+rows wait; the recorder this mirrors drops late samples at read time. The step functions are plain; ``operators/sessions.py`` has the same rules over stored events.
 """
 
 from __future__ import annotations
@@ -13,6 +14,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TOLERANCE = 1e-12
+#: Milliseconds without rows after which a key's state goes.
+IDLE = 3_600_000
+
+
+def _keyed(stream: DataFrame, key: str, step, start: tuple, output: str, fields: str, idle: int) -> DataFrame:
+    """step(key, rows in order, state) -> (output rows, state) for the rows of a key in each micro-batch; ``start`` is the state of a new key."""
+    names = [f.strip().split(" ")[0].strip("`") for f in output.split(",")]
+
+    def run(of, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        out, after = step(of[0], pd.concat(list(batches), ignore_index=True), state.get if state.exists else start)
+        state.update(tuple(after))
+        state.setTimeoutDuration(idle)
+        yield pd.DataFrame(out, columns=names)
+
+    return stream.groupBy(key).applyInPandasWithState(run, output, fields, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def edges(previous: int, pressed: int) -> list[tuple[int, bool]]:
@@ -21,20 +40,18 @@ def edges(previous: int, pressed: int) -> list[tuple[int, bool]]:
     return [(b, bool(pressed >> b & 1)) for b in range(changed.bit_length()) if changed >> b & 1]
 
 
-def button_events(stream: DataFrame) -> DataFrame:
+def button_events(stream: DataFrame, idle: int = IDLE) -> DataFrame:
     """device, t, button, pressed for each change in device, t, buttons (bits). Rows of one micro-batch are taken in time order."""
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        previous = state.get[0] if state.exists else 0
-        out = []
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("t", kind="stable")
+    def step(device, rows, state):
+        previous, out = state[0], []
+        rows = rows.sort_values("t", kind="stable")
         for t, pressed in zip(rows["t"], rows["buttons"]):
-            out += [(key[0], t, b, p) for b, p in edges(previous, int(pressed))]
+            out += [(device, t, b, p) for b, p in edges(previous, int(pressed))]
             previous = int(pressed)
-        state.update((previous,))
-        yield pd.DataFrame(out, columns=["device", "t", "button", "pressed"])
+        return out, (previous,)
 
-    return stream.groupBy("device").applyInPandasWithState(run, "device string, t double, button int, pressed boolean", "buttons int", "append", GroupStateTimeout.NoTimeout)
+    return _keyed(stream, "device", step, (0,), "device string, t double, button int, pressed boolean", "buttons int", idle)
 
 
 def hold_step(state: tuple[bool, float | None], t: float, left: bool, right: bool, hold: float) -> tuple[tuple[bool, float | None], bool]:
@@ -50,34 +67,88 @@ def hold_step(state: tuple[bool, float | None], t: float, left: bool, right: boo
     return (armed, since), False
 
 
-def dual_holds(stream: DataFrame, hold: float = 1.0, timeout: float = 0.25) -> DataFrame:
-    """device, t at which both of left and right had been held; a gap longer than ``timeout`` clears the state."""
+def dual_holds(stream: DataFrame, hold: float = 1.0, timeout: float = 0.25, idle: int = IDLE) -> DataFrame:
+    """session, t at which both of left and right had been held (session, t, source, left, right). A gap longer than ``timeout``, another source or an invalid (null) input clears the state."""
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        armed, since, last = state.get if state.exists else (True, -1.0, -1.0)
+    def step(session, rows, state):
+        armed, since, last, source = state
         now, fired = (armed, None if since < 0 else since), []
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("t", kind="stable")
-        for t, left, right in zip(rows["t"], rows["left"], rows["right"]):
-            if last >= 0 and t - last > timeout + TOLERANCE:
+        rows = rows.sort_values("t", kind="stable")
+        for t, by, left, right in zip(rows["t"], rows["source"], rows["left"], rows["right"]):
+            if pd.isna(left) or pd.isna(right):
+                now, last, source = (True, None), -1.0, ""
+                continue
+            if last >= 0 and (t - last > timeout + TOLERANCE or by != source):
                 now = (True, None)
             now, fire = hold_step(now, t, bool(left), bool(right), hold)
             if fire:
-                fired.append((key[0], t))
-            last = float(t)
-        state.update((now[0], -1.0 if now[1] is None else float(now[1]), last))
-        yield pd.DataFrame(fired, columns=["device", "t"])
+                fired.append((session, t))
+            last, source = float(t), by
+        return fired, (now[0], -1.0 if now[1] is None else float(now[1]), last, source)
+
+    return _keyed(stream, "session", step, (True, -1.0, -1.0, ""), "session string, t double", "armed boolean, since double, last double, source string", idle)
+
+
+def session_step(state: tuple[int, bool], kind: str, task: str | None) -> tuple[tuple[int, bool], str]:
+    """state: the number of the next episode, and whether one records. The verdict of a start or end marker: started, ended or refused."""
+    number, records = state
+    if kind == "start":
+        return ((number, records), "refused") if records or not (task or "").strip() else ((number, True), "started")
+    return ((number + 1, False), "ended") if records else ((number, False), "refused")
+
+
+def episode_events(stream: DataFrame, idle: int = IDLE) -> DataFrame:
+    """source, t, episode, event (started, ended, refused) of start and end markers (source, t, kind, task)."""
+
+    def step(source, rows, state):
+        now, out = state, []
+        rows = rows.sort_values(["t", "kind"], kind="stable")
+        for t, kind, task in zip(rows["t"], rows["kind"], rows["task"]):
+            number = now[0]
+            now, event = session_step(now, kind, None if pd.isna(task) else task)
+            out.append((source, t, number, event))
+        return out, now
+
+    return _keyed(stream, "source", step, (0, False), "source string, t double, episode long, event string", "number long, records boolean", idle)
+
+
+def abort_step(state: dict, ages: dict[str, float | None], limits: dict[str, float], counts: dict[str, int], window: int = 30, most: float = 1 / 28) -> str:
+    """The verdict of a tick: ok, stale <input> or abort <why>; changes the state (stale counts, and the last ages of the last input while all are fresh). Inputs are looked at in the order of ``limits``."""
+    for name, limit in limits.items():
+        age = ages.get(name)
+        if age is None or age > limit + TOLERANCE:
+            state[name] = state.get(name, 0) + 1
+            return f"{'abort' if state[name] >= counts[name] else 'stale'} {name}"
+    recent = state.setdefault("ages", [])
+    recent.append(ages[name])
+    del recent[:-window]
+    return "abort average" if len(recent) == window and sum(recent) / window > most else "ok"
+
+
+def abort_verdicts(stream: DataFrame, limits: dict[str, float], counts: dict[str, int], window: int = 30, most: float = 1 / 28, idle: int = IDLE) -> DataFrame:
+    """session, t, verdict of each tick (session, t and an age for each input) until the first abort; later ticks of an aborted session give no row."""
+    names = list(limits)
+
+    def step(session, rows, state):
+        held, out = dict(zip(names, state[: len(names)])) | {"ages": list(state[len(names)])}, []
+        aborted = state[-1]
+        for row in rows.sort_values("t", kind="stable").to_dict("records"):
+            if not aborted:
+                verdict = abort_step(held, {n: None if pd.isna(row[n]) else float(row[n]) for n in names}, limits, counts, window, most)
+                out.append((session, row["t"], verdict))
+                aborted = verdict.startswith("abort")
+        return out, (*[held[n] for n in names], held["ages"], aborted)
 
-    return stream.groupBy("device").applyInPandasWithState(run, "device string, t double", "armed boolean, since double, last double", "append", GroupStateTimeout.NoTimeout)
+    fields = ", ".join([*[f"`{n}` long" for n in names], "ages array<double>", "aborted boolean"])
+    return _keyed(stream, "session", step, (*[0] * len(names), [], False), "session string, t double, verdict string", fields, idle)
 
 
-def snapshots(stream: DataFrame, limits: dict[str, float]) -> DataFrame:
+def snapshots(stream: DataFrame, limits: dict[str, float], idle: int = IDLE) -> DataFrame:
     """session, tick, verdict for each tick row: ok, or the missing inputs, else the stale ones. Rows: session, t, kind (an input or 'tick')."""
     names = sorted(limits)
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = list(state.get) if state.exists else [-1.0] * len(names)
-        out = []
-        rows = pd.concat(list(batches), ignore_index=True)
+    def step(session, rows, state):
+        seen, out = list(state), []
         rows = rows.assign(_tick=rows["kind"] == "tick").sort_values(["t", "_tick"], kind="stable")
         for t, kind in zip(rows["t"], rows["kind"]):
             if kind in limits:
@@ -85,12 +156,10 @@ def snapshots(stream: DataFrame, limits: dict[str, float]) -> DataFrame:
             elif kind == "tick":
                 missing = [n for n, s in zip(names, seen) if s < 0]
                 stale = [n for n, s in zip(names, seen) if s >= 0 and t - s > limits[n] + TOLERANCE]
-                out.append((key[0], t, "missing " + ",".join(missing) if missing else "stale " + ",".join(stale) if stale else "ok"))
-        state.update(tuple(seen))
-        yield pd.DataFrame(out, columns=["session", "tick", "verdict"])
+                out.append((session, t, "missing " + ",".join(missing) if missing else "stale " + ",".join(stale) if stale else "ok"))
+        return out, seen
 
-    fields = ", ".join(f"`{n}` double" for n in names)
-    return stream.groupBy("session").applyInPandasWithState(run, "session string, tick double, verdict string", fields, "append", GroupStateTimeout.NoTimeout)
+    return _keyed(stream, "session", step, (-1.0,) * len(names), "session string, tick double, verdict string", ", ".join(f"`{n}` double" for n in names), idle)
 
 
 def windowed_rates(stream: DataFrame, time: str, length: str, late: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Small cases with known answers."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,7 +69,10 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("a", 0.0, "x"), ("a", 0.05, "tick"), ("a", 0.5, "tick"), ("b", 1.0, "tick")], "session string, t double, kind string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("session string, t double, kind string").parquet(str(tmp_path / "in"))
     q = freshness.snapshots(stream, {"x": 0.1}).writeStream.format("memory").queryName("snaps").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
+    end = time.time() + 60
+    while time.time() < end and sum(p["numInputRows"] for p in q.recentProgress) < 4:
+        time.sleep(0.2)
+    time.sleep(1)
     q.stop()
     assert sorted((r.session, r.tick, r.verdict) for r in spark.table("snaps").collect()) == [("a", 0.05, "ok"), ("a", 0.5, "stale x"), ("b", 1.0, "missing x")]
 
