@@ -193,6 +193,8 @@ def merge_datasets(spark: SparkSession, roots: list[str], out: str, chunk_size:
         frames = E.read_frames(spark, root)
         if wrong := contract_differences(spark, roots[0], frames, json.loads(fs.read_text(spark, f"{root}/meta/info.json"))["fps"]):
             raise ValueError(f"{root} doesn't fit: {wrong}")
+        if "task_index" not in frames.columns:
+            frames = frames.withColumn("task_index", F.lit(0).cast("long"))
         names = tasks_of(spark, root)
         for name in names.values():
             tasks.setdefault(name, len(tasks))

@@ -76,3 +76,11 @@ def replaced(spark: SparkSession, *paths: str):
         raise
     for old in aside.values():
         remove(spark, old)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name under the one that the cluster names in spark.checkpoint.dir; under /tmp only if that is unset and the master is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(named or '/tmp/framewright-scratch').rstrip('/')}/{label}-{uuid.uuid4().hex}"
