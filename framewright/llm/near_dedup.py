@@ -455,12 +455,10 @@ def _decided(df: DataFrame, measure: tuple[str, Callable[[], Callable]] | None =
 
 
 def classified(df: DataFrame, measure: tuple[str, Callable[[], Callable]] | None = None) -> DataFrame:
-    """doc_id, class_id, class_size, class_row (tells classes apart where all ids of a class are null), row, the measure, if any, and the other columns of df: one row for each row of df."""
+    """doc_id, class_id, class_size, class_row (tells classes apart where all ids of a class are null), row, the measure, if any, and others, a struct of df's other columns, if any: one row for each row of df."""
     sketched, home = _decided(df, measure)
-    extra = [measure[0]] if measure else []
-    others = [c for c in df.columns if c not in ("doc_id", "text")]
-    rows = sketched.select("doc_id", "node", "row", *extra, *[F.col(f"others.{c}").alias(f"other_{c}") for c in others])
-    return rows.join(home, "node").select("doc_id", "class_id", "class_size", F.col("kept_row").alias("class_row"), "row", *extra, *[F.col(f"other_{c}").alias(c) for c in others])
+    extra = [c for c in (*([measure[0]] if measure else []), "others") if c in sketched.columns]
+    return sketched.select("doc_id", "node", "row", *extra).join(home, "node").select("doc_id", "class_id", "class_size", F.col("kept_row").alias("class_row"), "row", *extra)
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:

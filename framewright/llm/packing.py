@@ -126,7 +126,7 @@ def with_lengths(df: DataFrame) -> DataFrame:
 def with_classes(df: DataFrame) -> DataFrame:
     """doc_id, n_tokens, source and operator 7's class of near copies of each document, null texts included as empty ones. Tokens are counted where operator 7 reads the texts."""
     classes = near_dedup.classified(df.select("doc_id", "text", F.col("source").cast("string").alias("source")), ("n_tokens", _token_counter))
-    return classes.select("doc_id", "n_tokens", "source", F.col("class_row").alias("cluster"))
+    return classes.select("doc_id", "n_tokens", F.col("others.source").alias("source"), F.col("class_row").alias("cluster"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
