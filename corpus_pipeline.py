@@ -1,6 +1,7 @@
 """A corpus pipeline of four stages: toxicity, language identification, near-duplicate removal, packing.
 
-Each stage is written as Parquet and read again as the next one's documents. All but the last return the columns of ``documents``.
+Each stage is written as Parquet and read again as the next one's documents. All but the last return the columns of ``documents``; other columns are left out. Null and empty texts have no letter, so the second
+stage takes them out; null ids and repeated rows go through, repeated rows up to the third stage, which keeps one of them. An empty table gives no bins.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [("toxicity", drop_toxic), ("language_id", keep_known_languages), ("near_dedup", drop_near_duplicates), ("packing", pack_documents)]
-ORACLE_SQL = None  # no stage can be stated in SQL; tests hold the operators, and language_id as a stage, against a plain version
+ORACLE_SQL = None  # no stage can be stated in SQL; tests hold each stage against a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
