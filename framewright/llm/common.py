@@ -65,8 +65,8 @@ def fold_of(column, folds: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(folds)
 
 
-def slices(batch: pa.RecordBatch, column: int, rows: int = 4000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that no part has more than ``rows`` rows or, but for a single row, ``size`` bytes in the column."""
+def slices(batch: pa.RecordBatch, column: int, rows: int = 4000, size: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that no part has more than ``rows`` rows or, but for a single row, ``size`` bytes in the column. What Arrow holds for parts that are done goes back to the system."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
@@ -74,6 +74,7 @@ def slices(batch: pa.RecordBatch, column: int, rows: int = 4000, size: int = 8 <
         end = min(start + rows, max(start + 1, int(np.searchsorted(ends, most, side="right"))))
         yield batch.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ MAGIC = b"FWTOKEN1"
 END_ID = 2
 GAMMA = 1.5
 #: What a worker remembers at most, about 50 bytes a chunk and 200 a pre-token; forgetting costs time only.
-REMEMBERED_CHUNKS, REMEMBERED_PRETOKENS = 700_000, 500_000
+REMEMBERED_CHUNKS, REMEMBERED_PRETOKENS = 500_000, 250_000
 READ_BYTES = 8 << 20
 #: The vocabulary's own pre-tokens, and the line end that parts two chunks.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+|\n")
