@@ -21,10 +21,11 @@ def _stats():
 def exact_quantiles(rows: DataFrame, levels: list[float], names: list[str], bins: int = 1024) -> DataFrame:
     """dim and the interpolated quantiles of x of each dimension (dim, x), without holding a dimension's values in one task.
 
-    Values are counted in ``bins`` equal cells of their dimension; only cells that hold a wanted rank are looked into, each by itself, with equal values as one row. Nulls don't count.
+    Bounds are read at once; values are counted in ``bins`` equal cells of their dimension; only cells that hold a wanted rank are looked into, each by itself, with equal values as one row. Nulls don't count.
     """
     rows = rows.where("x IS NOT NULL")
-    bounds = rows.groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n"))  # dimensions are few
+    found = rows.groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n"))
+    bounds = rows.sparkSession.createDataFrame(found.collect(), found.schema)  # dimensions are few; the rows aren't read for them again
     cell = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
     placed = rows.join(F.broadcast(bounds), "dim").select("dim", "x", cell.alias("cell"))
     cells = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("c"))
