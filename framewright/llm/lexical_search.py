@@ -1,9 +1,9 @@
 """Operator 11: ranked lexical search over segments of postings with Block-Max WAND.
 
 Rows are dealt to segments of bounded size. A segment has one line for each of its terms: postings in blocks of ``BLOCK`` (gaps of places and occurrences as variable-length bytes), and for each block
-its last place and its largest impact, which is the score of its best posting without the term's weight. So nothing of a segment's postings is shuffled to build it; document frequencies add up over segments.
+its first and last place and its largest impact, which is the score of its best posting without the term's weight. So nothing of a segment's postings is shuffled to build it; document frequencies add up over segments.
 
-A query's blocks cut a segment's places into spans in which no term changes its block. Shallow moves look up the block of each term by last places only; the sum of weight times largest impact bounds a span's
+A query's blocks cut a segment's places into spans in which no term changes its block. Shallow moves look up the block of each term by places only; the sum of weight times largest impact bounds a span's
 scores. Spans are scored from the highest bound down, in steps, and only their blocks are decompressed; those whose bound is below the query's ``k``-th score so far are never read. What a sixteenth of the segments
 (``SEEDS``) finds first gives every query a floor to start from, which is a score that ``k`` rows have, so the result is exact. Queries go through the segments in blocks; a task holds one segment and one block of queries.
 
@@ -14,7 +14,6 @@ that occurs have no rows. An empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +35,8 @@ TOP = 20
 _TERM = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if _TERM[b] else 32 for b in range(256))
 
-INDEX_SCHEMA = "segment long, term string, df long, postings binary, ends array<int>, lasts array<int>, impacts array<long>, doc_ids array<long>, lengths array<long>"
-_INDEX_ARROW = pa.schema([("segment", pa.int64()), ("term", pa.string()), ("df", pa.int64()), ("postings", pa.binary()), ("ends", pa.list_(pa.int32())), ("lasts", pa.list_(pa.int32())), ("impacts", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
+INDEX_SCHEMA = "segment long, term string, df long, postings binary, ends array<int>, firsts array<int>, lasts array<int>, impacts array<long>, doc_ids array<long>, lengths array<long>"
+_INDEX_ARROW = pa.schema([("segment", pa.int64()), ("term", pa.string()), ("df", pa.int64()), ("postings", pa.binary()), ("ends", pa.list_(pa.int32())), ("firsts", pa.list_(pa.int32())), ("lasts", pa.list_(pa.int32())), ("impacts", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -54,10 +53,6 @@ def norm(n: np.ndarray, rows: int, terms: int) -> np.ndarray:
     return 75 + (25 * n * rows) // max(1, terms)
 
 
-def weight(df: int, rows: int) -> int:
-    return math.floor(1000 * math.log((2 * rows + 2) / (2 * df + 1)))
-
-
 # ---- building ---------------------------------------------------------------------------------------------------------------
 
 
@@ -167,7 +162,7 @@ class Segment:
         block_start = np.concatenate([[0], np.cumsum(blocks)])
         term_byte = np.concatenate([[0], byte_end[block_start[1:] - 1]])
         inside = (byte_end - np.repeat(term_byte[:-1], blocks)).astype(np.int32)
-        last = place[begin + size - 1].astype(np.int32)
+        first_place, last = place[begin].astype(np.int32), place[begin + size - 1].astype(np.int32)
         for at in range(0, len(names), 50_000):
             part = slice(at, min(at + 50_000, len(names)))
             b = slice(block_start[part.start], block_start[part.stop])
@@ -176,7 +171,7 @@ class Segment:
             bytes_at = (term_byte[part.start : part.stop + 1] - term_byte[part.start]).astype(np.int32)
             payload = pa.Array.from_buffers(pa.binary(), part.stop - part.start, [None, pa.py_buffer(bytes_at.tobytes()), pa.py_buffer(data[term_byte[part.start] : term_byte[part.stop]].tobytes())])
             columns = [pa.array(np.full(part.stop - part.start, number)), pa.array([w.decode() for w in names[part]], pa.string()), pa.array(df[part]), payload]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.ListArray.from_arrays(starts, pa.array(x[b])) for x in (inside, last, largest)], none, none], schema=_INDEX_ARROW)
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.ListArray.from_arrays(starts, pa.array(x[b])) for x in (inside, first_place, last, largest)], none, none], schema=_INDEX_ARROW)
 
 
 def segments(df: DataFrame, rows: int, terms: int) -> DataFrame:
@@ -204,8 +199,8 @@ def segments(df: DataFrame, rows: int, terms: int) -> DataFrame:
 class Postings:
     """A term's blocks in one segment; those that were asked for are kept decompressed."""
 
-    def __init__(self, data: bytes, ends: np.ndarray, lasts: np.ndarray, impacts: np.ndarray, df: int):
-        self.data, self.ends, self.lasts, self.impacts, self.df = np.frombuffer(data, np.uint8), ends, lasts, impacts, df
+    def __init__(self, postings: bytes, ends: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, impacts: np.ndarray):
+        self.data, self.ends, self.firsts, self.lasts, self.impacts = np.frombuffer(postings, np.uint8), ends, firsts, lasts, impacts
         self.read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def block(self, i: int, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,11 +215,15 @@ class Postings:
 
 def best(query: list[tuple[Postings, int]], m: np.ndarray, ids: np.ndarray, missing: np.ndarray, floor: int = 0, k: int = TOP) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores of the k best rows of a segment, or all with a score above 0 and at least ``floor``. query: postings and weights; ids, missing: of the rows, for ties."""
-    ends = np.unique(np.concatenate([p.lasts for p, _ in query]))
-    at = [np.searchsorted(p.lasts, ends) for p, _ in query]  # shallow moves: each term's block in each span
+    ends = np.unique(np.concatenate([x for p, _ in query for x in (p.lasts, p.firsts - 1)]))
+    ends = ends[ends >= 0]
+    at = []  # shallow moves: each term's block in each span, or the number of its blocks
     bound = np.zeros(len(ends), np.int64)
-    for (p, w), block in zip(query, at):
+    for p, w in query:
+        block = np.searchsorted(p.lasts, ends)
+        block[np.append(p.firsts, ends[-1] + 1)[block] > ends] = len(p.lasts)
         bound += w * np.append(p.impacts, 0)[block]
+        at.append(block)
     order = np.argsort(-bound, kind="stable")
     starts = np.concatenate([[0], ends[:-1] + 1])
     found, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -269,8 +268,8 @@ def search(index: DataFrame, wanted: DataFrame, blocks: int = 1, k: int = TOP) -
         floors: dict[int, int] = {}
         lines = table.filter(pc.is_valid(table["term"]))
         for i in range(lines.num_rows):
-            line = {c: lines[c][i] for c in ("postings", "ends", "lasts", "impacts", "df", "w", "users")}
-            postings = Postings(line["postings"].as_py(), *(line[c].values.to_numpy() for c in ("ends", "lasts", "impacts")), line["df"].as_py())
+            line = {c: lines[c][i] for c in ("postings", "ends", "firsts", "lasts", "impacts", "w", "users")}
+            postings = Postings(line["postings"].as_py(), *(line[c].values.to_numpy() for c in ("ends", "firsts", "lasts", "impacts")))
             for user in line["users"].as_py():
                 queries.setdefault(user["query"], []).append((postings, line["w"].as_py() * user["times"]))
                 floors[user["query"]] = user["floor"]
@@ -279,7 +278,7 @@ def search(index: DataFrame, wanted: DataFrame, blocks: int = 1, k: int = TOP) -
         query = np.repeat([q for q, *_ in out], [len(f) for _, f, _ in out]) if out else place
         return pa.table({"query": pa.array(query, pa.int64()), "doc_id": pa.array(ids[place], pa.int64(), mask=missing[place]), "score": pa.array(np.concatenate([np.zeros(0, np.int64), *[s for *_, s in out]]))})
 
-    line = ["df", "postings", "ends", "lasts", "impacts"]
+    line = ["postings", "ends", "firsts", "lasts", "impacts"]
     terms = index.where("term IS NOT NULL").select("segment", "term", *line)
     few = wanted.count() <= MOST_BROADCAST
     met = terms.join(F.broadcast(wanted) if few else wanted.hint("merge"), "term")

@@ -94,8 +94,8 @@ def test_low_blocks_are_never_decompressed():
         segment.take(pa.array(range(start, start + 1000), pa.int64()), texts[start : start + 1000])
     lines = [r for b in segment.lines(0, 8000, 16200) for r in b.to_pylist()]
     m = L.norm(np.array(lines[0]["lengths"]), 8000, 16200)
-    by_term = {r["term"]: L.Postings(r["postings"], np.array(r["ends"]), np.array(r["lasts"]), np.array(r["impacts"]), r["df"]) for r in lines[1:]}
-    query = [(by_term["rare"], L.weight(20, 8000)), (by_term["common"], L.weight(8000, 8000) + 1)]
+    by_term = {r["term"]: L.Postings(r["postings"], *(np.array(r[c]) for c in ("ends", "firsts", "lasts", "impacts"))) for r in lines[1:]}
+    query = [(by_term["rare"], 5966), (by_term["common"], 1)]
     place, score = L.best(query, m, np.arange(8000), np.zeros(8000, bool))
     assert sorted(place.tolist()) == list(range(5000, 5020)) and len(set(score.tolist())) == 1
     assert len(by_term["common"].lasts) == 63 and len(by_term["common"].read) < 20
