@@ -1,7 +1,7 @@
 """Structured Streaming: freshness of the latest values, tick sampling, gesture and episode events.
 
-State is keyed (device, session or source) and bounded: one record a key and input, which is dropped after ``idle`` without rows, so keys that never come back leave nothing. ``withWatermark`` bounds how long late
-rows wait; the recorder this mirrors drops late samples at read time. The step functions are plain; ``operators/sessions.py`` has the same rules over stored events.
+State is keyed (device, session or source) and a few bytes a key: numbers of episodes, aborts, pressed buttons and last values are kept for as long as the query runs, however long a key is idle, so streams
+and their batch twins in ``operators/sessions.py`` agree, and nothing depends on a machine's clock. The step functions are plain. Ticks and time-outs that fire without a row are in ``streaming/timers.py``.
 """
 
 from __future__ import annotations
@@ -14,24 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TOLERANCE = 1e-12
-#: Milliseconds without rows after which a key's state goes.
-IDLE = 3_600_000
 
 
-def _keyed(stream: DataFrame, key: str, step, start: tuple, output: str, fields: str, idle: int) -> DataFrame:
+def _keyed(stream: DataFrame, key: str, step, start: tuple, output: str, fields: str) -> DataFrame:
     """step(key, rows in order, state) -> (output rows, state) for the rows of a key in each micro-batch; ``start`` is the state of a new key."""
     names = [f.strip().split(" ")[0].strip("`") for f in output.split(",")]
 
     def run(of, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         out, after = step(of[0], pd.concat(list(batches), ignore_index=True), state.get if state.exists else start)
         state.update(tuple(after))
-        state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=names)
 
-    return stream.groupBy(key).applyInPandasWithState(run, output, fields, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(run, output, fields, "append", GroupStateTimeout.NoTimeout)
 
 
 def edges(previous: int, pressed: int) -> list[tuple[int, bool]]:
@@ -40,7 +34,7 @@ def edges(previous: int, pressed: int) -> list[tuple[int, bool]]:
     return [(b, bool(pressed >> b & 1)) for b in range(changed.bit_length()) if changed >> b & 1]
 
 
-def button_events(stream: DataFrame, idle: int = IDLE) -> DataFrame:
+def button_events(stream: DataFrame) -> DataFrame:
     """device, t, button, pressed for each change in device, t, buttons (bits). Rows of one micro-batch are taken in time order."""
 
     def step(device, rows, state):
@@ -51,7 +45,7 @@ def button_events(stream: DataFrame, idle: int = IDLE) -> DataFrame:
             previous = int(pressed)
         return out, (previous,)
 
-    return _keyed(stream, "device", step, (0,), "device string, t double, button int, pressed boolean", "buttons int", idle)
+    return _keyed(stream, "device", step, (0,), "device string, t double, button int, pressed boolean", "buttons int")
 
 
 def hold_step(state: tuple[bool, float | None], t: float, left: bool, right: bool, hold: float) -> tuple[tuple[bool, float | None], bool]:
@@ -67,7 +61,7 @@ def hold_step(state: tuple[bool, float | None], t: float, left: bool, right: boo
     return (armed, since), False
 
 
-def dual_holds(stream: DataFrame, hold: float = 1.0, timeout: float = 0.25, idle: int = IDLE) -> DataFrame:
+def dual_holds(stream: DataFrame, hold: float = 1.0, timeout: float = 0.25) -> DataFrame:
     """session, t at which both of left and right had been held (session, t, source, left, right). A gap longer than ``timeout``, another source or an invalid (null) input clears the state."""
 
     def step(session, rows, state):
@@ -86,7 +80,7 @@ def dual_holds(stream: DataFrame, hold: float = 1.0, timeout: float = 0.25, idle
             last, source = float(t), by
         return fired, (now[0], -1.0 if now[1] is None else float(now[1]), last, source)
 
-    return _keyed(stream, "session", step, (True, -1.0, -1.0, ""), "session string, t double", "armed boolean, since double, last double, source string", idle)
+    return _keyed(stream, "session", step, (True, -1.0, -1.0, ""), "session string, t double", "armed boolean, since double, last double, source string")
 
 
 def session_step(state: tuple[int, bool], kind: str, task: str | None) -> tuple[tuple[int, bool], str]:
@@ -97,7 +91,7 @@ def session_step(state: tuple[int, bool], kind: str, task: str | None) -> tuple[
     return ((number + 1, False), "ended") if records else ((number, False), "refused")
 
 
-def episode_events(stream: DataFrame, idle: int = IDLE) -> DataFrame:
+def episode_events(stream: DataFrame) -> DataFrame:
     """source, t, episode, event (started, ended, refused) of start and end markers (source, t, kind, task)."""
 
     def step(source, rows, state):
@@ -109,7 +103,7 @@ def episode_events(stream: DataFrame, idle: int = IDLE) -> DataFrame:
             out.append((source, t, number, event))
         return out, now
 
-    return _keyed(stream, "source", step, (0, False), "source string, t double, episode long, event string", "number long, records boolean", idle)
+    return _keyed(stream, "source", step, (0, False), "source string, t double, episode long, event string", "number long, records boolean")
 
 
 def abort_step(state: dict, ages: dict[str, float | None], limits: dict[str, float], counts: dict[str, int], window: int = 30, most: float = 1 / 28) -> str:
@@ -125,7 +119,7 @@ def abort_step(state: dict, ages: dict[str, float | None], limits: dict[str, flo
     return "abort average" if len(recent) == window and sum(recent) / window > most else "ok"
 
 
-def abort_verdicts(stream: DataFrame, limits: dict[str, float], counts: dict[str, int], window: int = 30, most: float = 1 / 28, idle: int = IDLE) -> DataFrame:
+def abort_verdicts(stream: DataFrame, limits: dict[str, float], counts: dict[str, int], window: int = 30, most: float = 1 / 28) -> DataFrame:
     """session, t, verdict of each tick (session, t and an age for each input) until the first abort; later ticks of an aborted session give no row."""
     names = list(limits)
 
@@ -140,10 +134,10 @@ def abort_verdicts(stream: DataFrame, limits: dict[str, float], counts: dict[str
         return out, (*[held[n] for n in names], held["ages"], aborted)
 
     fields = ", ".join([*[f"`{n}` long" for n in names], "ages array<double>", "aborted boolean"])
-    return _keyed(stream, "session", step, (*[0] * len(names), [], False), "session string, t double, verdict string", fields, idle)
+    return _keyed(stream, "session", step, (*[0] * len(names), [], False), "session string, t double, verdict string", fields)
 
 
-def snapshots(stream: DataFrame, limits: dict[str, float], idle: int = IDLE) -> DataFrame:
+def snapshots(stream: DataFrame, limits: dict[str, float]) -> DataFrame:
     """session, tick, verdict for each tick row: ok, or the missing inputs, else the stale ones. Rows: session, t, kind (an input or 'tick')."""
     names = sorted(limits)
 
@@ -159,7 +153,7 @@ def snapshots(stream: DataFrame, limits: dict[str, float], idle: int = IDLE) ->
                 out.append((session, t, "missing " + ",".join(missing) if missing else "stale " + ",".join(stale) if stale else "ok"))
         return out, seen
 
-    return _keyed(stream, "session", step, (-1.0,) * len(names), "session string, tick double, verdict string", ", ".join(f"`{n}` double" for n in names), idle)
+    return _keyed(stream, "session", step, (-1.0,) * len(names), "session string, tick double, verdict string", ", ".join(f"`{n}` double" for n in names))
 
 
 def windowed_rates(stream: DataFrame, time: str, length: str, late: str) -> DataFrame:

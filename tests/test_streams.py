@@ -1,7 +1,6 @@
 """Streams with a file source: what they emit is what the plain rules say, whatever the micro-batches."""
 
 import random
-import time
 
 from pyspark.sql import functions as F
 
@@ -15,11 +14,7 @@ def streamed(spark, tmp_path, rows, schema, name, query):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}-in/part={i}"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / f"{name}-in/part=*"))
     q = query(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-c")).start()
-    # with timeouts of processing time there is always another batch, so wait for the rows
-    end = time.time() + 60
-    while time.time() < end and sum(p["numInputRows"] for p in q.recentProgress) < sum(map(len, rows)):
-        time.sleep(0.2)
-    time.sleep(2)
+    q.processAllAvailable()
     q.stop()
     return [tuple(r) for r in spark.table(name).collect()]
 
@@ -65,6 +60,27 @@ def test_aborts(spark, tmp_path):
     assert max(t for s, t, v in got if s == "calm") == 9.0 and any(v == "abort average" for _, _, v in got)
 
 
+def test_an_idle_key_is_not_forgotten(spark, tmp_path):
+    """Key a has no rows for many micro-batches, and its next ones are a day later: numbers, aborts, buttons and last values go on as over stored rows."""
+    others = [[(f"x{i}", float(i), "start", "fold")] for i in range(6)]
+    schema = "source string, t double, kind string, task string"
+    first, later = [("a", 0.0, "start", "fold"), ("a", 1.0, "end", None)], [("a", 86400.0, "start", "pour"), ("a", 86401.0, "end", None)]
+    got = streamed(spark, tmp_path, [first, *others, later], schema, "idle_marks", freshness.episode_events)
+    assert sorted(r for r in got if r[0] == "a") == [("a", 0.0, 0, "started"), ("a", 1.0, 0, "ended"), ("a", 86400.0, 1, "started"), ("a", 86401.0, 1, "ended")]
+    stored = sessions.episode_sessions(spark.createDataFrame(first + later, schema)).orderBy("episode").collect()
+    assert [(r.episode, r.start_t, r.end_t) for r in stored] == [(0, 0.0, 1.0), (1, 86400.0, 86401.0)]
+
+    got = streamed(spark, tmp_path, [[("a", 0.0, 5)], [("b", 1.0, 1)], [("b", 2.0, 0)], [("a", 86400.0, 4)]], "device string, t double, buttons int", "idle_buttons", freshness.button_events)
+    assert sorted(r for r in got if r[0] == "a") == [("a", 0.0, 0, True), ("a", 0.0, 2, True), ("a", 86400.0, 0, False)]
+
+    limits, counts = {"status_age": 0.1}, {"status_age": 1}
+    got = streamed(spark, tmp_path, [[("a", 0.0, 0.5)], [("b", 1.0, 0.0)], [("b", 2.0, 0.0)], [("a", 86400.0, 0.0)]], "session string, t double, status_age double", "idle_aborts", lambda s: freshness.abort_verdicts(s, limits, counts))
+    assert [r for r in got if r[0] == "a"] == [("a", 0.0, "abort status_age")]
+
+    got = streamed(spark, tmp_path, [[("a", 0.0, "image")], [("b", 1.0, "image")], [("a", 86400.0, "tick"), ("c", 1.0, "tick")]], "session string, t double, kind string", "idle_inputs", lambda s: freshness.snapshots(s, {"image": 0.1}))
+    assert sorted(got) == [("a", 86400.0, "stale image"), ("c", 1.0, "missing image")]
+
+
 def test_rates(spark, tmp_path):
     rows = [("2024-01-01 00:00:01", "a", 1.0), ("2024-01-01 00:00:03", "a", 3.0), ("2024-01-01 00:00:07", "b", 5.0)]
     schema = "ts string, event_type string, value double"
