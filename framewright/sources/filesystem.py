@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from contextlib import contextmanager
 
@@ -13,6 +14,68 @@ def _at(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The path on this machine (or on a mount that all share), or None in any other store."""
+    store, at = _at(spark, path)
+    return at.toUri().getPath() if store.getUri().getScheme() == "file" else None
+
+
+def _overwriting_rename(spark: SparkSession, source: str, target: str) -> None:
+    """Rename over a file: readers see the old one or the new one."""
+    if (local := _local(spark, target)) is not None:
+        folder, name = os.path.split(local)
+        if os.path.exists(stale := f"{folder}/.{name}.crc"):
+            os.remove(stale)  # of the former content
+        os.replace(_local(spark, source), local)
+        return
+    java = spark.sparkContext._jvm
+    overwrite = spark.sparkContext._gateway.new_array(java.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = java.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    to = java.org.apache.hadoop.fs.Path(target)
+    java.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(java.org.apache.hadoop.fs.Path(source), to, overwrite)
+
+
+def _write(spark: SparkSession, path: str, text: str) -> None:
+    if (local := _local(spark, path)) is not None:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(local, "w", encoding="utf-8") as file:
+            file.write(text)
+            file.flush()
+            os.fsync(file.fileno())
+        return
+    store, at = _at(spark, path)
+    out = store.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a document whole unless its name is taken; of several writers one gets True. On a local or mounted disk by a hard link, which never replaces; in any other store by its rename,
+    which must not replace either (HDFS)."""
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    _write(spark, part, text)
+    try:
+        if (local := _local(spark, path)) is not None:
+            os.link(_local(spark, part), local)
+            return True
+        store, at = _at(spark, part)
+        _, to = _at(spark, path)
+        return not store.exists(to) and bool(store.rename(at, to))
+    except FileExistsError:
+        return False
+    finally:
+        remove(spark, part)
+
+
+def ages(spark: SparkSession, path: str) -> dict[str, float]:
+    """Seconds since the last change of what is in a directory, by name."""
+    store, at = _at(spark, path)
+    now = spark.sparkContext._jvm.System.currentTimeMillis()
+    return {s.getPath().getName(): (now - s.getModificationTime()) / 1000 for s in store.listStatus(at)} if store.exists(at) else {}
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     store, at = _at(spark, path)
     return store.exists(at)
@@ -41,19 +104,14 @@ def children(spark: SparkSession, path: str) -> list[str]:
 
 
 def write_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
-    """Write a document beside its place and rename it, so that readers see the old one or the new one."""
-    store, at = _at(spark, path)
-    if not replace and store.exists(at):
-        raise FileExistsError(path)
+    """Write a document beside its place and rename it over the old one, so that readers see the old one or the new one. Without ``replace`` a document that exists is an error."""
+    if not replace:
+        if not put_if_absent(spark, path, text):
+            raise FileExistsError(path)
+        return
     part = f"{path}.{uuid.uuid4().hex}.part"
-    out = _at(spark, part)[0].create(_at(spark, part)[1], True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-    if store.exists(at):
-        store.delete(at, False)
-    move(spark, part, path)
+    _write(spark, part, text)
+    _overwriting_rename(spark, part, path)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
