@@ -1,7 +1,8 @@
 """Writing episode datasets on storage: append, delete, merge, metadata, label documents, statistics, shards and snapshots.
 
 Frames are written by tasks, an episode a file; the driver only renames files and writes small documents. Tables of one row an episode (``meta/*.jsonl``) are written as one file by one task, which
-streams them in order. A change is staged first and put in place by renames; an error puts the former state back.
+streams them in order. A change is staged, committed under a number and published (``sources/commits.py``): two writers come one after the other, an error before the commit leaves no trace, and a change that was committed
+is finished by whoever comes next. Appends read the new frames only.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.functions.text import chunk_of
-from framewright.operators import datasets, store
+from framewright.operators import datasets, states
 from framewright.operators.statistics import by_dimension
 from framewright.operators.windows import renumber_episodes, runs
+from framewright.sources import commits
 from framewright.sources import episodes as E
 from framewright.sources import filesystem as fs
 
@@ -27,12 +28,6 @@ CHUNK, FPS = 1000, 30.0
 EPISODE_FILE = "episode_{:06d}.parquet"
 
 
-def _open(path: str):
-    from pyarrow import fs as store_
-
-    return store_.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
-
-
 def write_frames(df: DataFrame, root: str, chunk_size: int = CHUNK, fps: float = FPS, replace: bool = False) -> DataFrame:
     """Write frames as ``data/chunk-000/episode_000000.parquet``, with timestamp = frame_index / fps and, if df has none, a gap-free index. Returns episode_index, path, length.
 
@@ -57,7 +52,7 @@ def _written(df: DataFrame, root: str, chunk_size: int, fps: float) -> DataFrame
 
         episode, chunk = table["episode_index"][0].as_py(), table["_chunk"][0].as_py()
         path = f"{root}/data/chunk-{chunk:03d}/{EPISODE_FILE.format(episode)}"
-        target_store, target = _open(path)
+        target_store, target = commits.open_store(path)
         target_store.create_dir(os.path.dirname(target), recursive=True)
         part = f"{os.path.dirname(target)}/.{uuid.uuid4().hex}.part"
         with target_store.open_output_stream(part) as out:
@@ -66,51 +61,55 @@ def _written(df: DataFrame, root: str, chunk_size: int, fps: float) -> DataFrame
         return pa.table({"episode_index": pa.array([episode], pa.int64()), "path": [path], "length": pa.array([table.num_rows], pa.int64())})
 
     written = rows.groupBy("episode_index").applyInArrow(write, "episode_index long, path string, length long")
-    # one row an episode; written once, then read
-    listing = f"{root}/.written-{uuid.uuid4().hex}"
-    written.write.parquet(listing)
-    found = df.sparkSession.read.parquet(listing).cache()
-    found.count()
-    fs.remove(df.sparkSession, listing)
-    return found
+    # one row an episode; written once and kept, so that nothing of it is computed twice
+    written.write.mode("overwrite").parquet(f"{root}/.written")
+    return df.sparkSession.read.parquet(f"{root}/.written")
 
 
 def write_lines(df: DataFrame, path: str, order: str) -> None:
     """One JSON object a line in one file, in order, streamed by one task. For tables of one row an episode or fewer."""
+    commits.stream_lines(df, F.to_json(F.struct(*df.columns)), F.col(order), path)
+
+
+def _stage_metadata(frames: DataFrame, folder: str, tasks: dict[int, str]) -> DataFrame:
+    """Lines of some episodes and the states of their statistics; returns episode_index, task_index, length of each. frames: stored."""
+    task = F.col("task_index") if "task_index" in frames.columns else F.lit(0)
+    eps = frames.withColumn("_task", task.cast("long")).groupBy("episode_index").agg(F.min_by("_task", "frame_index").alias("task_index"), F.count(F.lit(1)).alias("length"))
+    known = F.create_map(*[F.lit(x) for pair in (tasks or {0: ""}).items() for x in pair])
+    write_lines(eps.select("episode_index", F.array(F.coalesce(known[F.col("task_index")], F.lit(""))).alias("tasks"), "length"), f"{folder}/episodes.jsonl", "episode_index")
+    write_lines(episode_statistics(frames), f"{folder}/episodes_stats.jsonl", "episode_index")
+    if "intervention" in frames.columns:
+        found = runs(frames, F.col("intervention").cast("boolean")).groupBy("episode_index").agg(F.array_sort(F.collect_list(F.struct(F.col("start_frame").alias("start"), (F.col("end_frame") - 1).alias("end")))).alias("segments"))
+        write_lines(eps.select("episode_index").join(found, "episode_index", "left").withColumn("segments", F.coalesce("segments", F.array())), f"{folder}/expert_frame_index.jsonl", "episode_index")
+    states.write_states(frames, f"{folder}/states")
+    return eps
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target_store, target = _open(path)
-        target_store.create_dir(os.path.dirname(target), recursive=True)
-        part, n = f"{target}.{uuid.uuid4().hex}.part", 0
-        with target_store.open_output_stream(part) as out:
-            for batch in batches:
-                for line in batch.column(0).to_pylist():
-                    out.write(line.encode() + b"\n")
-                    n += 1
-        target_store.move(part, target)
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    lines = df.select(F.col(order).alias("_order"), F.to_json(F.struct(*df.columns)).alias("line")).repartition(1).sortWithinPartitions("_order")
-    lines.select("line").mapInArrow(write, "n long").collect()  # one row
+def _entry_of(frames: DataFrame, staged: str, episodes: int, total: int, tasks: dict[int, str], fps: float, chunk_size: int, base: bool, shrinks: bool = False) -> dict:
+    features = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
+    return {"base": base, "shrinks": shrinks, "staged": staged, "episodes": episodes, "frames": total, "tasks": tasks, "fps": fps, "chunks_size": chunk_size, "features": features, "kinds": {"episodes": True, "episodes_stats": True, "expert_frame_index": "intervention" in frames.columns}}
 
 
 def write_metadata(spark: SparkSession, root: str, tasks: dict[int, str] | None = None, fps: float = FPS, chunk_size: int = CHUNK) -> None:
-    """Rebuild ``meta/`` from the frames: info.json, tasks.jsonl, episodes.jsonl, episodes_stats.jsonl and expert_frame_index.jsonl (runs of ``intervention``)."""
-    frames = E.read_frames(spark, root)
-    names = tasks or {}
-    task = F.col("task_index") if "task_index" in frames.columns else F.lit(0)
-    eps = frames.withColumn("_task", task.cast("long")).groupBy("episode_index").agg(F.min_by("_task", "frame_index").alias("task_index"), F.count(F.lit(1)).alias("length"))
-    known = F.create_map(*[F.lit(x) for pair in (names or {0: ""}).items() for x in pair])
-    with fs.replaced(spark, f"{root}/meta"):
-        write_lines(eps.select("episode_index", F.array(F.coalesce(known[F.col("task_index")], F.lit(""))).alias("tasks"), "length"), f"{root}/meta/episodes.jsonl", "episode_index")
-        write_lines(eps.select("task_index").distinct().select("task_index", F.coalesce(known[F.col("task_index")], F.lit("")).alias("task")), f"{root}/meta/tasks.jsonl", "task_index")
-        write_lines(episode_statistics(frames), f"{root}/meta/episodes_stats.jsonl", "episode_index")
-        if "intervention" in frames.columns:
-            found = runs(frames, F.col("intervention").cast("boolean")).groupBy("episode_index").agg(F.array_sort(F.collect_list(F.struct(F.col("start_frame").alias("start"), (F.col("end_frame") - 1).alias("end")))).alias("segments"))
-            write_lines(eps.select("episode_index").join(found, "episode_index", "left").withColumn("segments", F.coalesce("segments", F.array())), f"{root}/meta/expert_frame_index.jsonl", "episode_index")
-        total = store.totals(eps, chunk_size, 0).first().asDict()
-        features = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
-        fs.write_text(spark, f"{root}/meta/info.json", json.dumps({**total, "fps": fps, "chunks_size": chunk_size, "features": features}, sort_keys=True, indent=1))
+    """Rebuild ``meta/`` from the frames: info.json, tasks.jsonl, episodes.jsonl, episodes_stats.jsonl, expert_frame_index.jsonl (runs of ``intervention``) and the states of the statistics."""
+    commits.recover(spark, root)
+    for _ in range(commits.TRIES):
+        version, staged = commits.latest(spark, root), f".staged-{uuid.uuid4().hex}"
+        done = False
+        try:
+            frames = E.read_frames(spark, root)
+            _stage_metadata(frames, f"{root}/{staged}/meta", tasks or {})
+            eps = commits.lines_of(spark, [f"{root}/{staged}/meta/episodes.jsonl"])
+            found = eps.agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("line", "$.length").cast("long")).alias("frames")).first()
+            numbers = frames.select(F.col("task_index").cast("long")).distinct().toLocalIterator() if "task_index" in frames.columns else [(0,)]
+            used = {i: (tasks or {}).get(i, "") for (i,) in numbers}  # tasks are few
+            done = commits.commit(spark, root, version + 1, _entry_of(frames, staged, found.n, found.frames or 0, used, fps, chunk_size, base=True))
+        finally:
+            if not done:
+                fs.remove(spark, f"{root}/{staged}")
+        if done:
+            return
+    raise RuntimeError(f"others committed in each of {commits.TRIES} tries")
 
 
 def episode_statistics(frames: DataFrame) -> DataFrame:
@@ -138,51 +137,84 @@ def tasks_of(spark: SparkSession, root: str) -> dict[int, str]:
     return {r.task_index: r.task for r in E.read_json_lines(spark, f"{root}/meta/tasks.jsonl", "task_index long, task string").collect()}
 
 
+def _adopt(spark: SparkSession, root: str) -> None:
+    """A dataset that another tool wrote gets its first commit."""
+    info = json.loads(fs.read_text(spark, f"{root}/meta/info.json"))
+    write_metadata(spark, root, tasks_of(spark, root), info["fps"], info.get("chunks_size", CHUNK))
+
+
 def append_episodes(df: DataFrame, root: str, task: str, fps: float = FPS, chunk_size: int = CHUNK) -> None:
-    """Add the episodes of df (episode_index, frame_index, ...) with the next indices. Stage, move, rewrite the metadata; an error takes the new files back."""
+    """Add the episodes of df (episode_index, frame_index, ...) with the next indices. Frames that are there are not read; if another writer commits first, the new ones are numbered and staged again after its episodes."""
     spark = df.sparkSession
     if not task.strip():
         raise ValueError("an empty task")
-    fresh = not fs.exists(spark, f"{root}/meta/info.json")
-    tasks = {} if fresh else tasks_of(spark, root)
-    number = next((i for i, name in tasks.items() if name == task), max(tasks, default=-1) + 1)
-    rows = df.withColumn("task_index", F.lit(number).cast("long"))
-    if not fresh and (wrong := contract_differences(spark, root, rows, fps)):
-        raise ValueError(f"the frames don't fit the dataset: {wrong}")
-    start = (0, 0) if fresh else E.read_episodes(spark, root).agg(F.max("episode_index") + 1, F.sum("length")).first()
+    commits.recover(spark, root)
+    if not commits.latest(spark, root) and fs.exists(spark, f"{root}/meta/info.json"):
+        _adopt(spark, root)
     counts = df.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"))
-    placed = renumber_episodes(rows, counts).withColumns({"episode_index": F.col("new_episode") + start[0], "index": F.col("index") + start[1]}).drop("new_episode")
-    staged = f"{root}/.staged-{uuid.uuid4().hex}"
-    moved: list[str] = []
-    try:
-        paths = [r.path for r in _written(placed, staged, chunk_size, fps).select("path").toLocalIterator()]
-        for path in paths:
-            target = path.replace(staged, root, 1)
-            fs.move(spark, path, target)
-            moved.append(target)
-        write_metadata(spark, root, {**tasks, number: task}, fps, chunk_size)
-    except BaseException:
-        for path in moved:
-            fs.remove(spark, path)
-        raise
-    finally:
-        fs.remove(spark, staged)
+    for _ in range(commits.TRIES):
+        version, former = commits.head(spark, root)
+        tasks = {int(i): name for i, name in former["tasks"].items()} if former else {}
+        number = next((i for i, name in tasks.items() if name == task), max(tasks, default=-1) + 1)
+        rows = df.withColumn("task_index", F.lit(number).cast("long"))
+        if former and (wrong := contract_differences(spark, root, rows, fps)):
+            raise ValueError(f"the frames don't fit the dataset: {wrong}")
+        episodes, total, chunks = (former["episodes"], former["frames"], former["chunks_size"]) if former else (0, 0, chunk_size)
+        placed = renumber_episodes(rows, counts).withColumns({"episode_index": F.col("new_episode") + episodes, "index": F.col("index") + total}).drop("new_episode")
+        staged, done = f".staged-{uuid.uuid4().hex}", False
+        try:
+            listing = _written(placed, f"{root}/{staged}", chunks, fps).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("frames")).first()
+            if not listing.n:
+                return
+            frames = E.read_frames(spark, f"{root}/{staged}")
+            _stage_metadata(frames, f"{root}/{staged}/meta", {**tasks, number: task})
+            done = commits.commit(spark, root, version + 1, _entry_of(frames, staged, episodes + listing.n, total + listing.frames, {**tasks, number: task}, fps, chunks, base=not former))
+        finally:
+            if not done and commits.latest(spark, root) in (version, 0):
+                fs.remove(spark, f"{root}/{staged}")
+        if done:
+            return
+        fs.remove(spark, f"{root}/{staged}")
+    raise RuntimeError(f"others committed in each of {commits.TRIES} tries")
 
 
 def remove_episodes(spark: SparkSession, root: str, gone: list[int], chunk_size: int = CHUNK) -> None:
-    """Delete episodes; later ones move up, indices have no gaps and the metadata is rebuilt. An error puts the dataset back."""
-    info = json.loads(fs.read_text(spark, f"{root}/meta/info.json"))
-    frames, eps = E.read_frames(spark, root), E.read_episodes(spark, root)
-    kept = datasets.delete_episodes(frames.drop("index"), eps, spark.createDataFrame([(g,) for g in gone], "episode_index long"))
-    staged = f"{root}/.staged-{uuid.uuid4().hex}"
-    try:
-        _written(kept.withColumn("episode_index", F.col("new_episode")).drop("new_episode"), staged, chunk_size, info["fps"]).count()
-        tasks = tasks_of(spark, root)
-        with fs.replaced(spark, f"{root}/data"):
-            fs.move(spark, f"{staged}/data", f"{root}/data")
-            write_metadata(spark, root, tasks, info["fps"], chunk_size)
-    finally:
-        fs.remove(spark, staged)
+    """Delete episodes; later ones move up and indices have no gaps. Episodes before the first one that goes are neither read nor written."""
+    commits.recover(spark, root)
+    if not commits.latest(spark, root):
+        _adopt(spark, root)
+    for _ in range(commits.TRIES):
+        version, former = commits.head(spark, root)
+        wanted = sorted({g for g in gone if 0 <= g < former["episodes"]})
+        if not wanted:
+            return
+        first, chunks = wanted[0], former["chunks_size"]
+        tasks = {int(i): name for i, name in former["tasks"].items()}
+        eps = E.read_episodes(spark, root).select("episode_index", "length", "from_index")
+        start = eps.where(F.col("episode_index") == first).first().from_index
+        later = E.read_frames(spark, root).where(F.col("episode_index") > first).drop("index")
+        kept = datasets.delete_episodes(later, eps.where(F.col("episode_index") > first).select("episode_index", "length"), spark.createDataFrame([(g,) for g in wanted], "episode_index long"))
+        placed = kept.withColumn("episode_index", F.col("new_episode") + first).drop("new_episode").withColumn("index", F.col("index") + start)
+        staged, done = f".staged-{uuid.uuid4().hex}", False
+        folder = f"{root}/{staged}"
+        try:
+            listing = _written(placed, folder, chunks, former["fps"]).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("frames")).first()
+            frames = E.read_frames(spark, folder) if listing.n else later.withColumn("index", F.lit(0).cast("long")).limit(0)
+            _stage_metadata(frames, f"{folder}/new", tasks)
+            for kind in commits.LINES:
+                rows = commits.lines_of(spark, [f"{root}/meta/{kind}.jsonl"]).where(F.col("episode_index") < first).unionByName(commits.lines_of(spark, [f"{folder}/new/{kind}.jsonl"]))
+                if former["kinds"][kind]:
+                    commits.stream_lines(rows, F.col("line"), F.col("episode_index"), f"{folder}/meta/{kind}.jsonl")
+            states.read_states(spark, commits.parts(spark, root, "states")).where(F.col("episode_index") < first).unionByName(states.read_states(spark, [f"{folder}/new/states"])).write.parquet(f"{folder}/meta/states")
+            entry = {**_entry_of(frames, staged, first + listing.n, start + (listing.frames or 0), tasks, former["fps"], chunks, base=True, shrinks=True), "features": former["features"], "kinds": former["kinds"]}
+            done = commits.commit(spark, root, version + 1, entry)
+        finally:
+            if not done and commits.latest(spark, root) == version:
+                fs.remove(spark, folder)
+        if done:
+            return
+        fs.remove(spark, folder)
+    raise RuntimeError(f"others committed in each of {commits.TRIES} tries")
 
 
 def merge_datasets(spark: SparkSession, roots: list[str], out: str, chunk_size: int = CHUNK) -> None:

@@ -97,6 +97,17 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"can't rename {source} to {target}")
 
 
+def take_place(spark: SparkSession, source: str, target: str) -> None:
+    """Rename in place of what stands there. Doing it again, or at the same time as another writer, changes nothing."""
+    if exists(spark, source):
+        remove(spark, target)
+        try:
+            move(spark, source, target)
+        except OSError:
+            if not exists(spark, target):
+                raise
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a directory, sorted; empty if there is none."""
     store, at = _at(spark, path)
