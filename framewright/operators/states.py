@@ -65,7 +65,7 @@ def _level(states: DataFrame, by: list[str], size: int) -> DataFrame:
 
     # sorted, so that the same states give the same bits in any order
     moments = states.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(one)), start, joined).alias("_s"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("error").alias("error"))
-    moments = moments.select(*by, "_s.*", "min", "max", (F.col("error") + F.when(F.col("_s.n") > size, _half_block(F.col("_s.n"), size)).otherwise(0)).cast("long").alias("error"))
+    moments = moments.select(*by, "_s.*", "min", "max", F.least(F.col("_s.n"), F.col("error") + F.when(F.col("_s.n") > size, _half_block(F.col("_s.n"), size)).otherwise(0)).cast("long").alias("error"))
     points = states.select(*by, F.explode(F.arrays_zip("points", "sizes")).alias("p")).groupBy(*by, F.col("p.points").alias("x")).agg(F.sum("p.sizes").alias("w"))
     w = Window.partitionBy(*by)
     ranked = points.withColumns({"_end": F.sum("w").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("w").over(w)})

@@ -13,16 +13,14 @@ from framewright.sources import datasets as D
 from framewright.sources import episodes as E
 from framewright.sources import filesystem as fs
 
-PARTS = 24
-
 
 def recorded(spark, sf) -> DataFrame:
-    """All events as the frames of PARTS episodes."""
-    events = table(spark, sf, "events").select((F.col("user_id") % PARTS).alias("episode_index"), "ts", "event_id", F.array("value", (F.col("event_id") % 16).cast("double")).alias("state"), (F.col("event_type") == "click").alias("intervention"))
+    """All events as frames; users are episodes."""
+    events = table(spark, sf, "events").select(F.col("user_id").alias("episode_index"), "ts", "event_id", F.array("value", (F.col("event_id") % 16).cast("double")).alias("state"), (F.col("event_type") == "click").alias("intervention"))
     return renumber_frames(events, ["ts", "event_id"]).drop("ts")
 
 
-RECORDED = f"g AS (SELECT user_id % {PARTS} AS episode_index, row_number() OVER (PARTITION BY user_id % {PARTS} ORDER BY ts, event_id) - 1 AS frame_index, event_id, value AS s0, (event_id % 16)::DOUBLE AS s1, event_type = 'click' AS intervention, event_type FROM events), l AS (SELECT episode_index, count(*) AS length, row_number() OVER (ORDER BY episode_index) - 1 AS place, (sum(count(*)) OVER (ORDER BY episode_index) - count(*))::BIGINT AS start FROM g GROUP BY episode_index)"
+RECORDED = f"g AS (SELECT user_id AS episode_index, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_index, event_id, value AS s0, (event_id % 16)::DOUBLE AS s1, event_type = 'click' AS intervention, event_type FROM events), l AS (SELECT episode_index, count(*) AS length, row_number() OVER (ORDER BY episode_index) - 1 AS place, (sum(count(*)) OVER (ORDER BY episode_index) - count(*))::BIGINT AS start FROM g GROUP BY episode_index)"
 
 
 def stored(spark, sf) -> str:
@@ -61,7 +59,8 @@ def snk02_append(spark, sf):
 @query(f"WITH {RECORDED}, k AS (SELECT episode_index, row_number() OVER (ORDER BY episode_index) - 1 AS new, (sum(length) OVER (ORDER BY episode_index) - length)::BIGINT AS start FROM l WHERE episode_index % 3 <> 1) SELECT new AS episode_index, frame_index, start + frame_index AS index, event_id FROM g JOIN k USING (episode_index)")
 def snk03_remove_from_storage(spark, sf):
     root = stored(spark, sf)
-    D.remove_episodes(spark, root, [e for e in range(PARTS) if e % 3 == 1], chunk_size=10)
+    gone = E.read_episodes(spark, root).where("episode_index % 3 = 1").select("episode_index").toLocalIterator()
+    D.remove_episodes(spark, root, [r.episode_index for r in gone], chunk_size=10)
     return E.read_frames(spark, root).select("episode_index", "frame_index", "index", "event_id")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from framewright.functions.text import chunk_of
 from framewright.operators import datasets, states
-from framewright.operators.statistics import by_dimension
+from framewright.operators.statistics import QUANTILES, by_dimension
 from framewright.operators.windows import renumber_episodes, runs
 from framewright.sources import commits
 from framewright.sources import episodes as E
@@ -123,9 +123,8 @@ def episode_statistics(frames: DataFrame) -> DataFrame:
     return dims.groupBy("episode_index").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", stats.alias("s"))))).alias("stats"))
 
 
-def contract_differences(spark: SparkSession, root: str, df: DataFrame, fps: float = FPS) -> list[str]:
-    """How frames to be appended differ from a dataset's contract: fps, column names or types. Empty if they may be appended."""
-    info = json.loads(fs.read_text(spark, f"{root}/meta/info.json"))
+def contract_differences(info: dict, df: DataFrame, fps: float = FPS) -> list[str]:
+    """How frames to be appended differ from a dataset's contract (what info.json or a commit says): fps, column names or types. Empty if they may be appended."""
     declared = {n: t for n, t in info["features"].items() if n not in ("index", "timestamp", "episode_index")}
     found = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name not in ("index", "timestamp", "episode_index")}
     wrong = [f"fps: {info['fps']} and {fps}"] if info["fps"] != fps else []
@@ -143,8 +142,11 @@ def _adopt(spark: SparkSession, root: str) -> None:
     write_metadata(spark, root, tasks_of(spark, root), info["fps"], info.get("chunks_size", CHUNK))
 
 
-def append_episodes(df: DataFrame, root: str, task: str, fps: float = FPS, chunk_size: int = CHUNK) -> None:
-    """Add the episodes of df (episode_index, frame_index, ...) with the next indices. Frames that are there are not read; if another writer commits first, the new ones are numbered and staged again after its episodes."""
+def append_episodes(df: DataFrame, root: str, task: str, fps: float = FPS, chunk_size: int = CHUNK, publish: bool = True) -> None:
+    """Add the episodes of df (episode_index, frame_index, ...) with the next indices. Frames that are there are not read; if another writer commits first, the new ones are numbered and staged again after its episodes.
+
+    Without ``publish`` the change is committed and put in place by the next writer or ``commits.recover``.
+    """
     spark = df.sparkSession
     if not task.strip():
         raise ValueError("an empty task")
@@ -157,7 +159,7 @@ def append_episodes(df: DataFrame, root: str, task: str, fps: float = FPS, chunk
         tasks = {int(i): name for i, name in former["tasks"].items()} if former else {}
         number = next((i for i, name in tasks.items() if name == task), max(tasks, default=-1) + 1)
         rows = df.withColumn("task_index", F.lit(number).cast("long"))
-        if former and (wrong := contract_differences(spark, root, rows, fps)):
+        if former and (wrong := contract_differences(former, rows, fps)):
             raise ValueError(f"the frames don't fit the dataset: {wrong}")
         episodes, total, chunks = (former["episodes"], former["frames"], former["chunks_size"]) if former else (0, 0, chunk_size)
         placed = renumber_episodes(rows, counts).withColumns({"episode_index": F.col("new_episode") + episodes, "index": F.col("index") + total}).drop("new_episode")
@@ -168,7 +170,7 @@ def append_episodes(df: DataFrame, root: str, task: str, fps: float = FPS, chunk
                 return
             frames = E.read_frames(spark, f"{root}/{staged}")
             _stage_metadata(frames, f"{root}/{staged}/meta", {**tasks, number: task})
-            done = commits.commit(spark, root, version + 1, _entry_of(frames, staged, episodes + listing.n, total + listing.frames, {**tasks, number: task}, fps, chunks, base=not former))
+            done = commits.commit(spark, root, version + 1, _entry_of(frames, staged, episodes + listing.n, total + listing.frames, {**tasks, number: task}, fps, chunks, base=not former), publish)
         finally:
             if not done and commits.latest(spark, root) in (version, 0):
                 fs.remove(spark, f"{root}/{staged}")
@@ -217,13 +219,19 @@ def remove_episodes(spark: SparkSession, root: str, gone: list[int], chunk_size:
     raise RuntimeError(f"others committed in each of {commits.TRIES} tries")
 
 
+def dataset_statistics(spark: SparkSession, root: str, keys: tuple[str, ...] = ("feature", "dim")) -> DataFrame:
+    """keys, n, mean, std, min, max, q01, q10, q50, q90, q99 and error (the most ranks that a quantile may be off), from the states that commits stored; frames aren't read."""
+    merged = states.merge_states(states.read_states(spark, commits.parts(spark, root, "states")), list(keys))
+    return states.with_statistics(merged, {f"q{int(v * 100):02d}": v for v in QUANTILES}).drop("points", "sizes", "m2")
+
+
 def merge_datasets(spark: SparkSession, roots: list[str], out: str, chunk_size: int = CHUNK) -> None:
     """One dataset of several, in the order given: episodes are renumbered, tasks encoded by first appearance, and all must have one contract."""
     info = json.loads(fs.read_text(spark, f"{roots[0]}/meta/info.json"))
     parts, tasks, offset = [], {}, 0
     for root in roots:
         frames = E.read_frames(spark, root)
-        if wrong := contract_differences(spark, roots[0], frames, json.loads(fs.read_text(spark, f"{root}/meta/info.json"))["fps"]):
+        if wrong := contract_differences(info, frames, json.loads(fs.read_text(spark, f"{root}/meta/info.json"))["fps"]):
             raise ValueError(f"{root} doesn't fit: {wrong}")
         if "task_index" not in frames.columns:
             frames = frames.withColumn("task_index", F.lit(0).cast("long"))
