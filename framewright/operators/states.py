@@ -55,27 +55,32 @@ def partial_states(frames: DataFrame, features: list[str] | None = None, size: i
 
 
 def _level(states: DataFrame, by: list[str], size: int) -> DataFrame:
-    """One state for each group of ``by``."""
-    one = F.struct("n", "mean", "m2")
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    """One state for each group of ``by``. Each state's moments travel with its first point, so its rows are read once."""
 
     def joined(a: Column, b: Column) -> Column:
         n, d = a["n"] + b["n"], b["mean"] - a["mean"]
         return F.struct(n.alias("n"), (a["mean"] + d * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + d * d * a["n"] * b["n"] / n).alias("m2"))
 
-    # sorted, so that the same states give the same bits in any order
-    moments = states.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(one)), start, joined).alias("_s"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("error").alias("error"))
-    moments = moments.select(*by, "_s.*", "min", "max", F.least(F.col("_s.n"), F.col("error") + F.when(F.col("_s.n") > size, _half_block(F.col("_s.n"), size)).otherwise(0)).cast("long").alias("error"))
-    points = states.select(*by, F.explode(F.arrays_zip("points", "sizes")).alias("p")).groupBy(*by, F.col("p.points").alias("x")).agg(F.sum("p.sizes").alias("w"))
+    moments = F.struct("n", "mean", "m2", "min", "max", "error")
+    rows = states.select(*by, moments.alias("_m"), F.posexplode(F.arrays_zip("points", "sizes")).alias("_at", "_p")).select(*by, F.when(F.col("_at") == 0, F.col("_m")).alias("_m"), F.col("_p.points").alias("x"), F.col("_p.sizes").alias("w"))
+    points = rows.groupBy(*by, "x").agg(F.sum("w").alias("w"), F.collect_list("_m").alias("_m"))
     w = Window.partitionBy(*by)
     ranked = points.withColumns({"_end": F.sum("w").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("w").over(w)})
-    n, blocks = F.col("_n"), _blocks(F.col("_n"), size)
-    # the blocks whose middle may lie among this value's ranks
-    near = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col("_end") - F.col("w")) * blocks / n) - 1), F.least(blocks - 1, F.floor(F.col("_end") * blocks / n) + 1))
-    inside = ranked.withColumn("_k", F.explode(near)).where((_middle(F.col("_k"), n, blocks) < F.col("_end")) & (_middle(F.col("_k"), n, blocks) >= F.col("_end") - F.col("w")))
-    size_of = (F.floor((F.col("_k") + 1) * n / blocks) - F.floor(F.col("_k") * n / blocks)).cast("long")
-    cut = inside.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_k", "x", size_of.alias("w")))).alias("_p")).select(*by, F.col("_p.x").alias("points"), F.col("_p.w").alias("sizes"))
-    return moments.join(cut, by).select(*by, "n", "mean", "m2", "min", "max", "points", "sizes", "error")
+    n, blocks, start = F.col("_n"), _blocks(F.col("_n"), size), F.col("_end") - F.col("w")
+    # the blocks whose middle lies among this value's ranks
+    near = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(start * blocks / n) - 1), F.least(blocks - 1, F.floor(F.col("_end") * blocks / n) + 1))
+    own = F.filter(near, lambda k: (_middle(k, n, blocks) < F.col("_end")) & (_middle(k, n, blocks) >= start))
+    cut = F.transform(own, lambda k: F.struct(k.alias("k"), F.col("x").alias("x"), (F.floor((k + 1) * n / blocks) - F.floor(k * n / blocks)).cast("long").alias("w")))
+    ranked = ranked.select(*by, "_m", cut.alias("_p"))
+    # sorted, so that the same states give the same bits in any order
+    found = ranked.groupBy(*by).agg(F.array_sort(F.flatten(F.collect_list("_m"))).alias("_m"), F.array_sort(F.flatten(F.collect_list(F.when(F.size("_p") > 0, F.col("_p"))))).alias("_p"))
+    one = F.transform("_m", lambda m: F.struct(m["n"].alias("n"), m["mean"].alias("mean"), m["m2"].alias("m2")))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    errors = F.aggregate("_m.error", F.lit(0).cast("long"), lambda a, b: a + b)
+    found = found.withColumns({"_s": F.aggregate(one, zero, joined), "_error": errors})
+    total = F.col("_s.n")
+    error = F.least(total, F.col("_error") + F.when(total > size, _half_block(total, size)).otherwise(0)).cast("long")
+    return found.select(*by, "_s.*", F.array_min("_m.min").alias("min"), F.array_max("_m.max").alias("max"), F.col("_p.x").alias("points"), F.col("_p.w").alias("sizes"), error.alias("error"))
 
 
 def merge_states(states: DataFrame, keys: list[str], size: int = SIZE, fan: int = FAN) -> DataFrame:
