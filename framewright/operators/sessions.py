@@ -140,3 +140,10 @@ def input_verdicts(rows: DataFrame, key: str, limits: dict[str, float]) -> DataF
     stale = F.array_compact(F.array(*[F.when(F.col("t") - F.col(f"_{n}") > limits[n] + TOLERANCE, n) for n in names]))
     verdict = F.when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ","))).when(F.size(stale) > 0, F.concat(F.lit("stale "), F.array_join(stale, ","))).otherwise("ok")
     return seen.select(key, "t", "id", verdict.alias("verdict"))
+
+
+def input_timeouts(samples: DataFrame, key: str, timeout: float) -> DataFrame:
+    """key, t at which ``timeout`` had passed since a valid input (left and right known) without another one at or before that time. samples: key, t, left, right."""
+    after = F.lead("t").over(Window.partitionBy(key).orderBy("t"))
+    silent = samples.withColumn("_next", after).where(F.col("left").isNotNull() & F.col("right").isNotNull() & (F.col("_next").isNull() | (F.col("_next") - F.col("t") > timeout)))
+    return silent.select(key, (F.col("t") + timeout).alias("t")).distinct()
