@@ -2,6 +2,8 @@
 
 Each page becomes a stream of text blocks. Markup gives each block a prior: text inside an ``article`` or ``main`` element is main text by the page's own statement; elements and roles that HTML
 defines as navigation, footer, aside, form and the like, and blocks whose class or id is one of ``BOILER_NAMES``, are boilerplate; a class or id that only contains such a name is a hint; all else is open.
+Names that contain one of ``CERTAIN_NAMES`` (reader comments, adverts, notices and the like: ``comment-list``, ``adSlot``) drop what they hold wherever it stands, in marked main text too, unless one element holds more than half
+of the page's main text: then its name is only a hint.
 Repeated runs decide what markup leaves open: the pages of a host are dealt by hash to groups of about ``PAGES_PER_GROUP`` pages, so
 a hot host is many groups and no group grows with the corpus. In a group the token streams of distinct pages are concatenated, a suffix array is built by prefix
 doubling, and neighbours whose common prefix is ``LEAST_TOKENS`` or longer give the substrings that repeat; those that occur on ``LEAST_PAGES`` distinct
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from framewright.llm.common import materialize, slices
 
 PAGES_PER_GROUP, LEAST_TOKENS, LEAST_PAGES = 256, 8, 3
+#: A group has about so many bytes of pages at most; a single larger page is a group of its own.
+BYTES_PER_GROUP = 16 << 20
 #: So many runs are held by a task before it sends their pages on.
 RUNS_HELD = 1_000_000
 LINK_SHARE = 0.6
@@ -45,6 +50,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 CONTAINERS = {"article", "aside", "body", "details", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "head", "header", "main", "menu", "nav", "ol", "section", "select", "button", "table", "ul", "a", "td", "th", "span", "p", "li"}
 MAIN_ROLES, BOILER_ROLES = {"main", "article"}, {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar"}
 BOILER_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget"}
+CERTAIN_NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "consent", "cookie", "cookies", "disqus", "modal", "newsletter", "notice", "notices", "popup", "promo", "replies", "reply", "respond", "sidebar", "signup", "sponsor", "sponsored", "subscribe"}
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
@@ -53,6 +59,7 @@ _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _HOST = r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 
 KEPT, DROPPED, OPEN, HINTED = 1, 0, 2, 3  # roles of blocks: main text, boilerplate, to be decided, to be decided but named like boilerplate
+CERTAIN = 4  # role of elements: boilerplate unless it is most of the main text
 
 
 def _role(tag: str, attributes: str, inside_main: bool) -> int | None:
@@ -69,19 +76,22 @@ def _role(tag: str, attributes: str, inside_main: bool) -> int | None:
     if tag not in ("body", "html") and names != " ":
         if {w.lower() for w in names.split()} & BOILER_NAMES:
             return DROPPED
-        if {w.lower() for w in _NAME.findall(names)} & BOILER_NAMES:
-            return HINTED
+        parts = {w.lower() for w in _NAME.findall(names)} & BOILER_NAMES
+        if parts:
+            return CERTAIN if parts & CERTAIN_NAMES else HINTED
     return None
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
     """(text, role) of each block in page order; character references are decoded, white space is single and trimmed."""
     page = page or ""
-    out: list[tuple[str, int]] = []
+    out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = at = 0
     stack: list[tuple[str, int | None]] = []
-    inside = {KEPT: 0, DROPPED: 0, HINTED: 0, None: 0}
+    inside = {KEPT: 0, DROPPED: 0, HINTED: 0, CERTAIN: 0, None: 0}
+    opened: Counter[str] = Counter()
+    within, named = [-1], [-1]  # elements of certain names: those that are open, and what each stands in
     links, marked = 0, False
 
     def flush():
@@ -92,12 +102,12 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 if inside[DROPPED]:
                     role = DROPPED
                 elif inside[KEPT]:
-                    role, marked = HINTED if inside[HINTED] else KEPT, True
+                    role, marked = HINTED if inside[HINTED] or inside[CERTAIN] else KEPT, True
                 elif linked > LINK_SHARE * len(text):
                     role = DROPPED
                 else:
-                    role = -HINTED if inside[HINTED] else OPEN
-                out.append((text, role))
+                    role = -HINTED if inside[HINTED] or inside[CERTAIN] else OPEN
+                out.append((text, role, within[-1]))
             parts.clear()
         linked = 0
 
@@ -112,7 +122,10 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         nonlocal links
         tag, role = stack.pop()
         inside[role] -= 1
+        opened[tag] -= 1
         links -= tag == "a"
+        if role == CERTAIN:
+            within.pop()
         return tag
 
     while True:
@@ -143,7 +156,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         if tag in VOID or tag not in CONTAINERS:
             continue
         if closing:
-            if any(t == tag for t, _ in stack):
+            if opened[tag]:
                 while leave() != tag:
                     pass
         else:
@@ -157,10 +170,27 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             role = _role(tag, attributes, inside[KEPT] > 0)
             stack.append((tag, role))
             inside[role] += 1
+            opened[tag] += 1
             links += tag == "a"
+            if role == CERTAIN:
+                named.append(within[-1])
+                within.append(len(named) - 1)
     flush()
     # a hint outside main text is enough where the page marks its main text
-    return [(text, (DROPPED if marked else HINTED) if role == -HINTED else role) for text, role in out]
+    out = [(text, (DROPPED if marked else HINTED) if role == -HINTED else role, element) for text, role, element in out]
+    held, main = [0] * len(named), 0
+    for text, role, element in out:
+        if role != DROPPED and (role != OPEN or not marked):
+            main += len(text)
+            if element >= 0:
+                held[element] += len(text)
+    for element in range(len(named) - 1, 0, -1):
+        if named[element] > 0:
+            held[named[element]] += held[element]
+    gone = [False] * len(named)
+    for element in range(1, len(named)):
+        gone[element] = 2 * held[element] <= main or (named[element] > 0 and gone[named[element]])
+    return [(text, DROPPED if element > 0 and gone[element] else role) for text, role, element in out]
 
 
 def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -339,6 +369,11 @@ def host_runs(dealt: DataFrame) -> DataFrame:
     return counted.where(F.col("n") >= LEAST_PAGES).select("host", F.explode("parts").alias("part"), "run")
 
 
+def _groups(pages: int, times: int = 1):
+    """How many groups rows make, by number and by bytes."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / (times * pages)), F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")) / (times * BYTES_PER_GROUP)))
+
+
 def extract(pages: DataFrame, pages_per_group: int = PAGES_PER_GROUP) -> DataFrame:
     """page_id, url, text, n_chars, n_repeated (tokens outside marked main text in repeated runs) of each row of pages (page_id, url, html).
 
@@ -346,11 +381,11 @@ def extract(pages: DataFrame, pages_per_group: int = PAGES_PER_GROUP) -> DataFra
     which decides nothing.
     """
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host().alias("host"))
-    large = materialize(read.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / pages_per_group).alias("groups")).where("groups > 1"), "large-hosts")
+    large = materialize(read.groupBy("host").agg(_groups(pages_per_group).alias("groups")).where("groups > 1"), "large-hosts")
     dealt = deal(read, large)
     several = dealt.where("groups > 1")
     runs = materialize(host_runs(several).groupBy("host", "part").agg(F.collect_list("run").alias("runs")), "host-runs")
-    crowded = several.groupBy("host", "part").agg(F.ceil(F.count(F.lit(1)) / (4 * pages_per_group)).alias("splits"))
+    crowded = several.groupBy("host", "part").agg(_groups(pages_per_group, 4).alias("splits"))
     crowded = materialize(crowded.where("splits > 1"), "crowded-parts")
 
     def split(df: DataFrame) -> DataFrame:
