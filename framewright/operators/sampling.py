@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.operators.windows import EPISODE, in_order
+from framewright.operators.windows import EPISODE
+
+
+BITS = 60
 
 
 def draw(seed: int, *keys: str | Column) -> Column:
-    """A number in 0..2**32 - 1 by the md5 of the seed and the keys."""
+    """A number in 0..2**60 - 1 by the md5 of the seed and the keys."""
     text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long")
 
 
 def share(seed: int, *keys: str | Column) -> Column:
-    """A number in 0..1, below 1."""
-    return draw(seed, *keys) / F.lit(float(1 << 32))
+    """A number in 0..1, below 1 but for rounding."""
+    return draw(seed, *keys) / F.lit(float(1 << BITS))
 
 
 def with_replacement(df: DataFrame, index: str, n: int, seed: int) -> DataFrame:
@@ -29,10 +32,15 @@ def with_replacement(df: DataFrame, index: str, n: int, seed: int) -> DataFrame:
 
 
 def gather(requests: DataFrame, frames: DataFrame, vector: str, step: int = 1) -> DataFrame:
-    """place, vector, next (``step`` frames on; zeros past the end) and is_terminal of each request (place, episode_index, frame_index), one row a request whatever repeats."""
-    ahead = F.lead(vector, step).over(in_order())
-    rows = frames.select(*EPISODE, "frame_index", F.col(vector), F.coalesce(ahead, F.transform(vector, lambda x: x * 0)).alias("next"), ahead.isNull().alias("is_terminal"))
-    return requests.join(rows, [*EPISODE, "frame_index"]).select("place", vector, "next", "is_terminal")
+    """place, vector, next (``step`` frames on; zeros past the end) and is_terminal of each request (place, episode_index, frame_index), one row a request whatever repeats; frames are dense.
+
+    Requests go to their two frames; no frame is moved that none asks for.
+    """
+    asked = requests.select("place", *EPISODE, F.col("frame_index").alias("_from"), F.explode(F.array(F.lit(0), F.lit(step))).alias("_ahead"))
+    met = asked.withColumn("frame_index", F.col("_from") + F.col("_ahead")).join(frames.select(*EPISODE, "frame_index", F.struct(F.col(vector).alias("v")).alias("_row")), [*EPISODE, "frame_index"])
+    found = met.groupBy("place", *EPISODE, "_from").agg(F.first(F.when(F.col("_ahead") == 0, F.col("_row")), ignorenulls=True).alias("_now"), F.first(F.when(F.col("_ahead") == step, F.col("_row")), ignorenulls=True).alias("_then"))
+    now, then = F.col("_now.v"), F.col("_then.v")
+    return found.where(F.col("_now").isNotNull()).select("place", now.alias(vector), F.coalesce(then, F.transform(now, lambda x: x * 0)).alias("next"), then.isNull().alias("is_terminal"))
 
 
 def weighted_mix(parts: list[DataFrame], weights: list[float], key: str, seed: int) -> DataFrame:
@@ -51,8 +59,16 @@ def batches(df: DataFrame, index: str, size: int) -> DataFrame:
 
 
 def shuffled_subset(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """At most n rows in an order by a hash of a unique key (a cap is what this operator is for)."""
-    return df.orderBy(draw(seed, key), key).limit(n)
+    """At most n rows, those with the smallest hashes of a unique key (a cap is what this operator is for). Hashes are counted in cells; cells below the n-th row's are taken whole, only that one is sorted."""
+    cell = F.shiftright(draw(seed, key), BITS - 20)
+    marked = df.withColumn("_cell", cell)
+    so_far = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)  # a row a cell, a million at most
+    counts = marked.groupBy("_cell").agg(F.count(F.lit(1)).alias("c")).withColumn("end", F.sum("c").over(so_far))
+    border = counts.where(F.col("end") > n).orderBy("_cell").first()
+    if border is None:
+        return df
+    last = marked.where(F.col("_cell") == border._cell).orderBy(draw(seed, key), key).limit(n - (border.end - border.c))
+    return marked.where(F.col("_cell") < border._cell).unionByName(last).drop("_cell")
 
 
 def choice(fields: list[str], key: str, seed: int) -> Column:

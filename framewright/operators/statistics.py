@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 QUANTILES = (0.01, 0.1, 0.5, 0.9, 0.99)
+#: So many values are sorted by one task at most when exact quantiles are looked for, and so many cut points narrow larger spans.
+SMALL, CUTS = 1_000_000, 500
 
 
 def by_dimension(df: DataFrame, vector: str, keys: list[str]) -> DataFrame:
@@ -18,27 +22,64 @@ def _stats():
     return [F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("count")]
 
 
-def exact_quantiles(rows: DataFrame, levels: list[float], names: list[str], bins: int = 1024) -> DataFrame:
-    """dim and the interpolated quantiles of x of each dimension (dim, x), without holding a dimension's values in one task.
+def _span_counts(rows: DataFrame, spans: list[tuple]) -> dict[tuple, tuple]:
+    """(dim, lo, hi) -> values below lo, equal to lo, between, equal to hi."""
+    x, table = F.col("x"), rows.sparkSession.createDataFrame(sorted(spans), "dim int, lo double, hi double")
+    flags = {"below": x < F.col("lo"), "at_lo": x == F.col("lo"), "between": (x > F.col("lo")) & (x < F.col("hi")), "at_hi": x == F.col("hi")}
+    found = rows.join(F.broadcast(table), "dim").groupBy("dim", "lo", "hi").agg(*[F.sum(c.cast("long")).alias(n) for n, c in flags.items()])
+    return {(r.dim, r.lo, r.hi): (r.below, r.at_lo, r.between, r.at_hi) for r in found.collect()}
+
+
+def exact_quantiles(rows: DataFrame, levels: list[float], names: list[str], most: int = SMALL) -> DataFrame:
+    """dim and the interpolated quantiles of x of each dimension (dim, x). Nulls don't count; infinite values do, at the ends.
 
-    Bounds are read at once; values are counted in ``bins`` equal cells of their dimension; only cells that hold a wanted rank are looked into, each by itself, with equal values as one row. Nulls don't count.
+    Each wanted rank has an open span of values that holds it. While a span has more than ``most`` values, cut points by rank (approximate, with a stated error) narrow it, and exact counts say what is below and whether the
+    rank falls on one of its ends, so neither outliers nor repeated values leave a large span. Then the values of a span, equal ones as one row, are sorted by one task, ``most`` at most. The driver holds the ends of dims times ranks spans.
     """
-    rows = rows.where("x IS NOT NULL")
-    found = rows.groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n"))
-    bounds = rows.sparkSession.createDataFrame(found.collect(), found.schema)  # dimensions are few; the rows aren't read for them again
-    cell = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
-    placed = rows.join(F.broadcast(bounds), "dim").select("dim", "x", cell.alias("cell"))
-    cells = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("c"))
-    before = F.sum("c").over(Window.partitionBy("dim").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
-    at = [(F.col("n") - 1) * F.lit(level) for level in levels]
-    ranks = F.explode(F.array_distinct(F.flatten(F.array(*[F.array(F.floor(a), F.ceil(a)) for a in at]))))
-    wanted = bounds.select("dim", ranks.alias("rank"))
-    sought = cells.withColumn("before", before).join(F.broadcast(wanted), "dim").where("rank >= before AND rank < before + c").select("dim", "cell", "before", "rank")
-    inside = placed.join(F.broadcast(sought.select("dim", "cell", "before").distinct()), ["dim", "cell"]).groupBy("dim", "cell", "before", "x").agg(F.count(F.lit(1)).alias("c"))
-    inside = inside.withColumn("end", F.col("before") + F.sum("c").over(Window.partitionBy("dim", "cell").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
-    values = inside.join(F.broadcast(sought.select("dim", "cell", "rank")), ["dim", "cell"]).where("rank < end AND rank >= end - c").groupBy("dim").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
-    low, high = [F.col("at")[F.floor(a)] for a in at], [F.col("at")[F.ceil(a)] for a in at]
-    return bounds.join(values, "dim").select("dim", *[(lo + (hi - lo) * (a - F.floor(a))).alias(name) for lo, hi, a, name in zip(low, high, at, names)])
+    rows = rows.where("x IS NOT NULL").select(F.col("dim").cast("int").alias("dim"), F.col("x").cast("double").alias("x"))
+    spark, inf = rows.sparkSession, float("inf")
+    sizes = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    at = {(dim, level): (n - 1) * level for dim, n in sizes.items() for level in levels}
+    spans = {(dim, int(f(a))): (-inf, inf) for (dim, _), a in at.items() for f in (math.floor, math.ceil)}
+    values, inside = {}, {}  # found: (dim, rank) -> value; looked into: (dim, rank) -> values below and between
+    while spans:
+        counts = _span_counts(rows, {(dim, *ends) for (dim, _), ends in spans.items()})
+        large = {}
+        for (dim, rank), (lo, hi) in spans.items():
+            below, at_lo, between, at_hi = counts[dim, lo, hi]
+            if below <= rank < below + at_lo:
+                values[dim, rank] = lo
+            elif below + at_lo + between <= rank < below + at_lo + between + at_hi:
+                values[dim, rank] = hi
+            elif between <= most:
+                inside[dim, rank] = (lo, hi, below + at_lo)
+            else:
+                large[dim, rank] = (lo, hi, (rank - below - at_lo) / between)
+        if not large:
+            break
+        table = spark.createDataFrame(sorted({(dim, lo, hi) for (dim, _), (lo, hi, _) in large.items()}), "dim int, lo double, hi double")
+        grid = [i / CUTS for i in range(CUTS + 1)]
+        cuts = {(r.dim, r.lo, r.hi): r.cuts for r in rows.join(F.broadcast(table), "dim").where("x > lo AND x < hi").groupBy("dim", "lo", "hi").agg(F.percentile_approx("x", grid, 20 * CUTS).alias("cuts")).collect()}
+        spans = {}
+        for (dim, rank), (lo, hi, share) in large.items():
+            i, points = int(share * CUTS), cuts[dim, lo, hi]
+            spans[dim, rank] = (points[i - 1] if i > 0 else lo, points[i + 2] if i + 2 <= CUTS else hi)
+    if inside:
+        wanted = sorted({(dim, *span) for (dim, _), span in inside.items()})
+        table = spark.createDataFrame(wanted, "dim int, lo double, hi double, before long")
+        ranks = spark.createDataFrame(sorted((dim, *span, rank) for (dim, rank), span in inside.items()), "dim int, lo double, hi double, before long, rank long")
+        keys = ["dim", "lo", "hi", "before"]
+        sorted_ = rows.join(F.broadcast(table), "dim").where("x > lo AND x < hi").groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"))
+        sorted_ = sorted_.withColumn("end", F.col("before") + F.sum("c").over(Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+        found = sorted_.join(F.broadcast(ranks), keys).where("rank < end AND rank >= end - c").select("dim", "rank", "x").collect()
+        values |= {(r.dim, r["rank"]): r.x for r in found}
+
+    def between(dim: int, level: float) -> float:
+        a = at[dim, level]
+        lo, hi = values[dim, math.floor(a)], values[dim, math.ceil(a)]
+        return lo if lo == hi else lo + (hi - lo) * (a - math.floor(a))
+
+    return spark.createDataFrame([(dim, *(between(dim, level) for level in levels)) for dim in sorted(sizes)], "dim int, " + ", ".join(f"`{n}` double" for n in names))
 
 
 def feature_statistics(df: DataFrame, vector: str, quantiles: bool = True) -> DataFrame:

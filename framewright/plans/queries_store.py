@@ -90,7 +90,7 @@ def smp04_smp05_batches(spark, sf):
     return sampling.batches(table(spark, sf, "events").select("event_id"), "event_id", 32).withColumnRenamed("items", "ids")
 
 
-DRAW = "('0x' || substr(md5('{}:' || {}), 1, 8))::BIGINT"
+DRAW = "('0x' || substr(md5('{}:' || {}), 1, 15))::BIGINT"
 
 
 @query(f"WITH {FRAMES}, r AS (SELECT event_id AS place, user_id AS episode_index, event_id % 7 AS frame_index FROM events) SELECT place, list_value(s0, s1) AS state, CASE WHEN nx IS NULL THEN list_value(0.0, 0.0) ELSE nx END AS next, nx IS NULL AS is_terminal FROM r JOIN (SELECT episode_index, frame_index, s0, s1, lead(list_value(s0, s1), 20) OVER (PARTITION BY episode_index ORDER BY frame_index) AS nx FROM f) USING (episode_index, frame_index)", vectors=("state", "next"))
@@ -104,7 +104,7 @@ def smp01_with_replacement(spark, sf):
     return sampling.with_replacement(table(spark, sf, "events").select("event_id", "value"), "event_id", 1000, seed=7)
 
 
-@query(f"WITH p AS (SELECT user_id % 2 AS k, count(*) AS s, CASE user_id % 2 WHEN 0 THEN 0.25 ELSE 0.75 END AS w FROM events GROUP BY ALL), t AS (SELECT min(s / w) AS total FROM p) SELECT event_id FROM events JOIN p ON user_id % 2 = k, t WHERE {DRAW.format(7, 'event_id')} / 4294967296.0 < least(1.0, total * w / s)")
+@query(f"WITH p AS (SELECT user_id % 2 AS k, count(*) AS s, CASE user_id % 2 WHEN 0 THEN 0.25 ELSE 0.75 END AS w FROM events GROUP BY ALL), t AS (SELECT min(s / w) AS total FROM p) SELECT event_id FROM events JOIN p ON user_id % 2 = k, t WHERE {DRAW.format(7, 'event_id')} / 1152921504606846976.0 < least(1.0, total * w / s)")
 def smp03_weighted_mix(spark, sf):
     parts = [table(spark, sf, "events").where(F.col("user_id") % 2 == k).select("event_id") for k in (0, 1)]
     return sampling.weighted_mix(parts, [0.25, 0.75], "event_id", seed=7)
@@ -121,7 +121,7 @@ def smp09_capped_subset(spark, sf):
     return sampling.shuffled_subset(table(spark, sf, "events").select("event_id"), 500, "event_id", seed=7)
 
 
-@query(f"SELECT vec_id, dropped, CASE WHEN dropped THEN list_transform(embedding, lambda x: 0.0::FLOAT) ELSE embedding END AS chunk FROM (SELECT *, {DRAW.format(5, 'vec_id')} / 4294967296.0 < 0.3 AS dropped FROM embeddings)", vectors=("chunk",))
+@query(f"SELECT vec_id, dropped, CASE WHEN dropped THEN list_transform(embedding, lambda x: 0.0::FLOAT) ELSE embedding END AS chunk FROM (SELECT *, {DRAW.format(5, 'vec_id')} / 1152921504606846976.0 < 0.3 AS dropped FROM embeddings)", vectors=("chunk",))
 def scl25_chunk_dropout(spark, sf):
     chunk, dropped = sampling.chunk_dropout("embedding", "vec_id", 0.3, seed=5)
     return table(spark, sf, "embeddings").select("vec_id", chunk.cast("array<float>").alias("chunk"), dropped.alias("dropped"))

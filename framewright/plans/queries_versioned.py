@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from framewright.operators import states
+from framewright.operators import sampling, states
 from framewright.plans.queries_storage import RECORDED, recorded
 from framewright.plans.registry import query
 from framewright.plans.views import FRAMES, frames, state, table
@@ -141,6 +141,17 @@ def snk02_recovered_append(spark, sf):
     return E.read_episodes(spark, root).select("episode_index", "length", "from_index")
 
 
+@query(f"WITH {RECORDED}, a AS (SELECT start + frame_index AS index, episode_index, frame_index, event_id, s0, lead(s0) OVER (PARTITION BY episode_index ORDER BY frame_index) AS next_s0, lead(event_id) OVER (PARTITION BY episode_index ORDER BY frame_index) IS NULL AS is_terminal FROM g JOIN l USING (episode_index)), r AS (SELECT place, ('0x' || substr(md5('11:' || place), 1, 15))::BIGINT % (SELECT count(*) FROM g) AS index FROM (SELECT unnest(range(500)) AS place)) SELECT place, episode_index, frame_index, event_id, s0, next_s0, is_terminal FROM r JOIN a USING (index)")
+def smp02_stored_batch(spark, sf):
+    """A batch of 500 rows drawn from a stored dataset; only the files and row groups that hold them are read."""
+    root, rows = fs.scratch(spark, "replay"), recorded(spark, sf)
+    D.append_episodes(rows, root, "fold", chunk_size=10)
+    total = E.read_info(spark, root).first().total_frames
+    requests = spark.range(500).select(F.col("id").alias("place"), (sampling.draw(11, "id") % total).alias("index"))
+    found = D.gather_stored(spark, root, requests, ["event_id", "state"])
+    return found.select("place", "episode_index", "frame_index", "event_id", F.col("state")[0].alias("s0"), F.col("next_state")[0].alias("next_s0"), "is_terminal")
+
+
 _WHOLE = "count(x)::BIGINT AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, min(x) AS min, max(x) AS max"
 
 

@@ -11,6 +11,7 @@ import json
 import os
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from framewright.functions.text import chunk_of
 from framewright.operators import datasets, states
+from framewright.operators.joins import range_join
 from framewright.operators.statistics import QUANTILES, by_dimension
 from framewright.operators.windows import renumber_episodes, runs
 from framewright.sources import commits
@@ -26,6 +28,8 @@ from framewright.sources import filesystem as fs
 
 CHUNK, FPS = 1000, 30.0
 EPISODE_FILE = "episode_{:06d}.parquet"
+#: What a random read takes at least.
+ROWS_A_GROUP = 4096
 
 
 def write_frames(df: DataFrame, root: str, chunk_size: int = CHUNK, fps: float = FPS, replace: bool = False) -> DataFrame:
@@ -56,7 +60,7 @@ def _written(df: DataFrame, root: str, chunk_size: int, fps: float) -> DataFrame
         target_store.create_dir(os.path.dirname(target), recursive=True)
         part = f"{os.path.dirname(target)}/.{uuid.uuid4().hex}.part"
         with target_store.open_output_stream(part) as out:
-            pq.write_table(table.drop_columns(["_chunk"]).sort_by("frame_index"), out)
+            pq.write_table(table.drop_columns(["_chunk"]).sort_by("frame_index"), out, row_group_size=ROWS_A_GROUP)
         target_store.move(part, target)
         return pa.table({"episode_index": pa.array([episode], pa.int64()), "path": [path], "length": pa.array([table.num_rows], pa.int64())})
 
@@ -317,6 +321,54 @@ def write_report(df: DataFrame, path: str) -> None:
     fs.write_text(df.sparkSession, path, df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).first()[0])
 
 
+# ---- random reads ---------------------------------------------------------------------------------------------------------------
+
+
+def gather_stored(spark: SparkSession, root: str, requests: DataFrame, columns: list[str], step: int = 1) -> DataFrame:
+    """place, episode_index, frame_index, columns, next_<column> (``step`` frames on; null past the episode's end), is_terminal and groups_read of each request (place, index: of all frames, gap-free).
+
+    The catalogue of ranges says which file and which rows a request needs. Requests meet by file; a task opens it once and reads only the row groups and columns that are asked for. Other files are not opened. Requests
+    outside the dataset give no row; repeated ones give one each.
+    """
+    info = json.loads(fs.read_text(spark, f"{root}/meta/info.json"))
+    eps = E.read_episodes(spark, root).select("episode_index", "from_index", "to_index")
+    width = max(1, -(-info["total_frames"] // max(1, info["total_episodes"])))
+    placed = range_join(requests.select("place", "index"), eps, "index", "from_index", "to_index", [], width)
+    placed = placed.select("place", "episode_index", (F.col("index") - F.col("from_index")).alias("frame_index"), (F.col("to_index") - F.col("from_index")).alias("length"), chunk_of("episode_index", info["chunks_size"]).alias("chunk"))
+    kinds = dict(spark.read.parquet(f"{root}/data/chunk-*").select(*columns).dtypes) if columns else {}
+
+    def read(asked: pa.Table) -> pa.Table:
+        import pyarrow.parquet as pq
+
+        episode, length = asked["episode_index"][0].as_py(), asked["length"][0].as_py()
+        now = asked["frame_index"].to_numpy()
+        then = np.where(now + step < length, now + step, -1)
+        store_, path = commits.open_store(f"{root}/data/chunk-{asked['chunk'][0].as_py():03d}/{EPISODE_FILE.format(episode)}")
+        with store_.open_input_file(path) as file:
+            parquet = pq.ParquetFile(file)
+            ends = np.cumsum([parquet.metadata.row_group(g).num_rows for g in range(parquet.metadata.num_row_groups)])
+            rows = np.unique(np.concatenate([now, then[then >= 0]]))
+            groups = np.unique(np.searchsorted(ends, rows, side="right"))
+            part = parquet.read_row_groups(groups.tolist(), columns=columns).combine_chunks()
+        # where each wanted row stands among the groups that were read
+        starts = np.concatenate([[0], ends[:-1]])
+        sizes = (ends - starts)[groups]
+        offset = starts[groups] - (np.cumsum(sizes) - sizes)
+
+        def taken(at: np.ndarray) -> pa.Table:
+            known = at >= 0
+            group = np.searchsorted(groups, np.searchsorted(ends, np.where(known, at, 0), side="right"))
+            return part.take(pa.array(np.where(known, at - offset[np.minimum(group, len(groups) - 1)], 0), pa.int64(), mask=~known))
+
+        first, second = taken(now), taken(then)
+        out = {"place": asked["place"], "episode_index": asked["episode_index"], "frame_index": asked["frame_index"]}
+        out |= {c: first[c] for c in columns} | {f"next_{c}": second[c] for c in columns}
+        return pa.table({**out, "is_terminal": pa.array(then < 0), "groups_read": pa.array(np.full(len(now), len(groups)))})
+
+    schema = ", ".join(["place long, episode_index long, frame_index long", *[f"`{c}` {kinds[c]}" for c in columns], *[f"`next_{c}` {kinds[c]}" for c in columns], "is_terminal boolean, groups_read long"])
+    return placed.groupBy("episode_index").applyInArrow(read, schema)
+
+
 # ---- scans ---------------------------------------------------------------------------------------------------------------------------
 
 
