@@ -35,7 +35,7 @@ def query(sql: str | None = None, vectors: tuple[str, ...] = ()):
 
 
 def _load() -> None:
-    from framewright.plans import queries_aggregate, queries_dataset, queries_filter, queries_quality, queries_records, queries_scalar, queries_sequence, queries_sessions, queries_storage, queries_store, queries_versioned  # noqa: F401
+    from framewright.plans import queries_aggregate, queries_dataset, queries_filter, queries_quality, queries_records, queries_scalar, queries_sequence, queries_sessions, queries_storage, queries_store, queries_streams, queries_versioned  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

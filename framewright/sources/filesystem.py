@@ -126,7 +126,16 @@ def write_text(spark: SparkSession, path: str, text: str, replace: bool = True)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()[0]
+    """A small document, whole."""
+    if (local := _local(spark, path)) is not None:
+        with open(local, encoding="utf-8") as file:
+            return file.read()
+    store, at = _at(spark, path)
+    stream = store.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 @contextmanager
