@@ -71,6 +71,23 @@ def shuffled_subset(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     return marked.where(F.col("_cell") < border._cell).unionByName(last).drop("_cell")
 
 
+def shuffle_buffer(df: DataFrame, index: str, slots: int, seed: int, epochs: int = 1) -> DataFrame:
+    """position, epoch, index: the order in which a buffer of ``slots`` rows gives out a table read ``epochs`` times over by a gap-free index.
+
+    The first rows fill the slots. Each later one draws a slot, gives out what is in it and takes its place; at the end the slots are given out in order. So a row leaves when its slot is drawn next, which a window over each
+    slot's own steps tells: no global sort, and no task holds more than a slot's steps.
+    """
+    n = df.count()
+    total = n * epochs
+    filled = min(slots, total)
+    if not total or slots < 1:
+        return df.select(F.lit(0).cast("long").alias("position"), F.lit(0).cast("long").alias("epoch"), F.col(index)).limit(0)
+    steps = df.select(index, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))).alias("epoch")).withColumn("_step", F.col("epoch") * n + F.col(index))
+    slot = F.when(F.col("_step") < filled, F.col("_step")).otherwise(draw(seed, "_step") % filled)
+    leaves = F.lead("_step").over(Window.partitionBy("_slot").orderBy("_step"))
+    return steps.withColumn("_slot", slot).select(F.coalesce(leaves - filled, F.lit(total - filled) + F.col("_slot")).cast("long").alias("position"), "epoch", index)
+
+
 def choice(fields: list[str], key: str, seed: int) -> Column:
     """One of the fields, drawn for each key."""
     return F.element_at(F.array(*fields), (draw(seed, key) % len(fields) + 1).cast("int"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framewright.operators import images as images_
 from framewright.operators import sampling, store
 from framewright.plans.registry import query
 from framewright.plans.views import FRAMES, frames, state, table
@@ -125,3 +126,26 @@ def smp09_capped_subset(spark, sf):
 def scl25_chunk_dropout(spark, sf):
     chunk, dropped = sampling.chunk_dropout("embedding", "vec_id", 0.3, seed=5)
     return table(spark, sf, "embeddings").select("vec_id", chunk.cast("array<float>").alias("chunk"), dropped.alias("dropped"))
+
+
+_STEPS = f"b AS (SELECT event_id, e AS epoch, e * n + event_id AS step, n * 3 AS total FROM events, (SELECT count(*) AS n FROM events), (SELECT unnest(range(3)) AS e)), s AS (SELECT *, CASE WHEN step < 100 THEN step ELSE {DRAW.format(13, 'step')} % 100 END AS slot FROM b)"
+
+
+@query(f"WITH {_STEPS} SELECT coalesce(lead(step) OVER (PARTITION BY slot ORDER BY step) - 100, total - 100 + slot)::BIGINT AS position, epoch, event_id FROM s")
+def stm14_shuffle_buffer(spark, sf):
+    """All events three times over, through a buffer of 100."""
+    return sampling.shuffle_buffer(table(spark, sf, "events").select("event_id"), "event_id", 100, 13, 3)
+
+
+_KERNEL = """k AS (SELECT o, i, floor(r / sum(r) OVER (PARTITION BY o) * 4194304 + 0.5)::BIGINT AS w FROM (SELECT o, i, greatest(0.0::DOUBLE, 1 - abs((i - c + 0.5) / 1.6::DOUBLE)) AS r FROM
+ (SELECT o, i, (o + 0.5) * 1.6::DOUBLE AS c FROM (SELECT unnest(range(5)) AS o), (SELECT unnest(range(8)) AS i)) WHERE i >= greatest(0, trunc(c - 1.1::DOUBLE)) AND i < least(8, trunc(c + 2.1::DOUBLE))))"""
+
+
+@query(f"""WITH e AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, least(255, floor(255 * abs(v::DOUBLE)))::BIGINT AS p FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings)), {_KERNEL},
+h AS (SELECT vec_id, y, o AS x, (sum(p * w)::BIGINT + 2097152) // 4194304 AS p FROM e JOIN k ON e.x = k.i GROUP BY vec_id, y, o), v AS (SELECT vec_id, o AS y, x, (sum(p * w)::BIGINT + 2097152) // 4194304 AS p FROM h JOIN k ON h.y = k.i GROUP BY vec_id, o, x),
+g AS (SELECT vec_id, i // 12 AS y, i % 12 AS x FROM embeddings, (SELECT unnest(range(60)) AS i))
+SELECT vec_id, list(coalesce(p, 0)::INTEGER ORDER BY g.y, g.x) AS pixels FROM g LEFT JOIN (SELECT vec_id AS v_id, y AS v_y, x + 3 AS v_x, p FROM v) ON vec_id = v_id AND g.y = v_y AND g.x = v_x GROUP BY vec_id""", vectors=("pixels",))
+def arr04_resize_with_pad(spark, sf):
+    """Embeddings as images of 8 x 8, brought into 5 x 12."""
+    images = table(spark, sf, "embeddings").select("vec_id", images_.to_bytes(F.transform("embedding", lambda x: F.abs(x.cast("double")))).alias("pixels"))
+    return images_.resized(images, "pixels", 8, 8, 1, 5, 12)
