@@ -11,7 +11,7 @@ from framewright.operators import sampling, states
 from framewright.plans.queries_storage import RECORDED, recorded
 from framewright.plans.registry import query
 from framewright.plans.views import FRAMES, frames, state, table
-from framewright.sources import commits
+from framewright.sources import arrays, commits
 from framewright.sources import datasets as D
 from framewright.sources import episodes as E
 from framewright.sources import filesystem as fs
@@ -184,3 +184,13 @@ def agg02_merged_quantiles(spark, sf):
     counted = values.join(F.broadcast(found), "dim").groupBy("dim", "level", "n", "error", "v").agg(F.sum((F.col("x") < F.col("v")).cast("long")).alias("below"), F.sum((F.col("x") <= F.col("v")).cast("long")).alias("upto"))
     rank = F.ceil(F.col("n") * F.create_map(*[F.lit(x) for pair in levels.items() for x in pair])[F.col("level")])
     return counted.select("dim", "level", "n", ((rank >= F.col("below") + 1 - F.col("error")) & (rank <= F.col("upto") + F.col("error"))).alias("within"))
+
+
+@query("SELECT vec_id, label, embedding FROM embeddings WHERE vec_id >= 37 AND vec_id < (SELECT max(vec_id) - 50 FROM embeddings)", vectors=("embedding",))
+def src18_array_shards(spark, sf):
+    """Embeddings written as arrays of 128 rows a shard, digests and all, and read by a range of the index."""
+    rows, root = table(spark, sf, "embeddings"), fs.scratch(spark, "arrays")
+    n = arrays.write_arrays(rows, root, "vec_id", ["embedding", "label"], 128)
+    arrays.register(spark)
+    found = spark.read.format("array_shards").option("path", root).load().where((F.col("index") >= 37) & (F.col("index") < n - 51))
+    return found.select(F.col("index").alias("vec_id"), "label", "embedding")

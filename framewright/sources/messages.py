@@ -125,7 +125,7 @@ class _Table(DataSourceReader):
         return slices(self.path, self.start, self.end)
 
     def read(self, partition):
-        return read_slice(partition)
+        return read_slice(partition) if partition else iter(())  # None where no partition was planned
 
 
 class _Stream(DataSourceStreamReader):

@@ -29,6 +29,7 @@ def test_as_a_table(spark, stored):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_id < 700").orderBy("event_id").collect()
     rows = df.orderBy("offset").collect()
     assert [(r.offset, r.event_id, r.event_type, r.value) for r in rows] == [(i, e.event_id, e.event_type, e.value) for i, e in enumerate(events)]
+    assert [r.offset for r in df.where("offset >= 120 AND offset < 140").orderBy("offset").collect()] == list(range(120, 140)) and df.where("offset >= 5000").count() == 0
     assert [(s.start, s.end) for s in M.slices(stored, 100, 300, 90)] == [(100, 130), (130, 220), (220, 260), (260, 300)]
     assert [b.num_rows for s in M.slices(stored, 100, 300, 90) for b in M.read_slice(s)] == [30, 90, 40, 40]
     with pytest.raises(Exception, match="no messages"):
