@@ -7,8 +7,10 @@ is finished by whoever comes next. Appends read the new frames only.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 import uuid
 
 import numpy as np
@@ -30,6 +32,7 @@ CHUNK, FPS = 1000, 30.0
 EPISODE_FILE = "episode_{:06d}.parquet"
 #: What a random read takes at least.
 ROWS_A_GROUP = 4096
+PIECE = 1 << 22
 
 
 def write_frames(df: DataFrame, root: str, chunk_size: int = CHUNK, fps: float = FPS, replace: bool = False) -> DataFrame:
@@ -257,13 +260,17 @@ def merge_datasets(spark: SparkSession, roots: list[str], out: str, chunk_size:
 
 
 def write_label_document(df: DataFrame, path: str) -> str:
-    """episode_index, frame_index, label as one document: ``labels.json`` if every frame has a label, else ``labels.partial.json``; the other one goes. Returns the kind."""
+    """episode_index, frame_index, label as one document: ``labels.json`` if every frame has a label, else ``labels.partial.json``; the other one goes. Returns the kind.
+
+    An episode is a row; one task streams them into the document, in order, so no row and no task holds all labels.
+    """
     spark = df.sparkSession
-    eps = df.groupBy("episode_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "label"))), lambda x: x["label"]).alias("frame_states"), F.bool_and(F.col("label").isNotNull()).alias("ready"))
-    ready = bool(eps.agg(F.coalesce(F.bool_and("ready"), F.lit(False))).first()[0])
+    eps = df.groupBy("episode_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "label"))), lambda x: x["label"]).alias("frame_states"), F.count(F.when(F.col("label").isNull(), 1)).alias("open"))
+    found = eps.agg(F.count(F.lit(1)).alias("n"), F.sum("open").alias("open")).first()
+    ready = bool(found.n) and not found.open
     kind, other = ("labels.json", "labels.partial.json") if ready else ("labels.partial.json", "labels.json")
-    document = eps.agg(F.to_json(F.struct(F.lit(ready).alias("ready"), F.array(F.struct(F.lit(0).alias("dataset_id"), F.array_sort(F.collect_list(F.struct("episode_index", "frame_states"))).alias("episodes"))).alias("datasets")), {"ignoreNullFields": "false"}))
-    fs.write_text(spark, f"{path}/{kind}", document.first()[0])
+    episode = F.to_json(F.struct("episode_index", "frame_states"), {"ignoreNullFields": "false"})
+    commits.stream_lines(eps, episode, F.col("episode_index"), f"{path}/{kind}", head=f'{{"ready":{json.dumps(ready)},"datasets":[{{"dataset_id":0,"episodes":[\n', between=",\n", tail="]}]}\n")
     fs.remove(spark, f"{path}/{other}")
     return kind
 
@@ -297,8 +304,7 @@ def publish_shard(df: DataFrame, path: str, contract: dict) -> dict:
         raise FileExistsError(path)
     staged = f"{path}.{uuid.uuid4().hex}.part"
     df.write.parquet(staged)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(staged)
-    listed = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy("name")
+    listed = hashed(spark, [f"{staged}/{name}" for name in fs.children(spark, staged) if name.endswith(".parquet")]).select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256").orderBy("name")
     manifest = {"contract": contract, "columns": dict(df.dtypes), "rows": spark.read.parquet(staged).count(), "files": [r.asDict() for r in listed.toLocalIterator()]}
     fs.write_text(spark, f"{staged}/manifest.json", json.dumps(manifest, sort_keys=True))
     fs.move(spark, staged, path)
@@ -405,8 +411,27 @@ def read_keep_ranges(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select("episode_key", F.col("r")[0].alias("start_frame"), F.col("r")[1].alias("end_frame"))
 
 
+def hashed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, bytes, sha256 of files, read in pieces by tasks, so a file may be of any size."""
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store_, at = commits.open_store(path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
+                digest, size = hashlib.sha256(), 0
+                with store_.open_input_stream(at) as file:
+                    while piece := file.read(PIECE):
+                        digest.update(piece)
+                        size += len(piece)
+                yield pa.RecordBatch.from_pydict({"path": [path], "bytes": pa.array([size], pa.int64()), "sha256": [digest.hexdigest()]})
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 1024)))
+    return rows.mapInArrow(run, "path string, bytes long, sha256 string")
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """path (below the root), state (bytes and sha256 of the content) of every file, for two scans to be compared; transaction folders (``.staged-``, ``.part``) are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    below = F.element_at(F.split("path", f"{root.rstrip('/').rsplit('/', 1)[-1]}/", 2), -1)
-    return files.select(below.alias("path"), F.concat_ws(":", "length", F.sha2("content", 256)).alias("state")).where(~F.col("path").rlike(r"(^|/)\.(staged|written)-|\.part(/|$)|\.old(/|$)"))
+    """path (below the root), state (bytes and sha256 of the content) of every file, for two scans to be compared; transaction folders (``.staged-``, ``.part``) are left out. Names pass through the driver, contents don't."""
+    left_out = re.compile(r"(^|/)\.(staged|written)|\.part(/|$)|\.old(/|$)|\.crc$")
+    names = [n for n in fs.walk(spark, root) if not left_out.search(n)]
+    found = hashed(spark, [f"{root.rstrip('/')}/{n}" for n in names])
+    return found.select(F.substring("path", len(root.rstrip("/")) + 2, 1 << 30).alias("path"), F.concat_ws(":", F.col("bytes").cast("string"), "sha256").alias("state"))

@@ -114,6 +114,15 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []
 
 
+def walk(spark: SparkSession, path: str) -> list[str]:
+    """Names of all files below a directory, relative to it, sorted."""
+    store, at = _at(spark, path)
+    found, top, files = [], store.makeQualified(at).toString().rstrip("/"), store.listFiles(at, True)
+    while files.hasNext():
+        found.append(files.next().getPath().toString()[len(top) + 1 :])
+    return sorted(found)
+
+
 def write_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
     """Write a document beside its place and rename it over the old one, so that readers see the old one or the new one. Without ``replace`` a document that exists is an error."""
     if not replace:
