@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from framewright.operators import labels, statistics, store, windows
 from framewright.plans.registry import query
 from framewright.plans.views import FRAMES, episodes, frames, state, table
+from framewright.sources import filesystem as fs
 
 DIMS = "d AS (SELECT episode_index, 0 AS dim, s0 AS x FROM f UNION ALL SELECT episode_index, 1, s1 FROM f)"
 
@@ -211,7 +212,8 @@ WEIGHTS = "wt AS (SELECT episode_index, frame_index, CASE WHEN delta IS NULL THE
 
 
 def weights(spark, sf):
-    d = deltas(spark, sf)
+    """Progress and deltas are computed once and stored, three narrow columns, since statistics and weights both need them."""
+    d = fs.stored(deltas(spark, sf).select("episode_index", "frame_index", "delta"), "deltas")
     return labels.sample_weights(d, labels.delta_statistics(d), 0.3)
 
 

@@ -6,7 +6,7 @@ import os
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _at(spark: SparkSession, path: str):
@@ -171,3 +171,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(named or '/tmp/framewright-scratch').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written to a scratch folder and read again: computed once for all that reads it, and still there when an executor is lost."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
