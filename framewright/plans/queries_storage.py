@@ -12,6 +12,7 @@ from framewright.plans.views import table
 from framewright.sources import datasets as D
 from framewright.sources import episodes as E
 from framewright.sources import filesystem as fs
+from framewright.sources import record_files as R
 
 
 def recorded(spark, sf) -> DataFrame:
@@ -159,3 +160,15 @@ def src16_keep_ranges_document(spark, sf):
     fs.write_text(spark, f"{path}/keep.json", ranges.first()[0])
     keep = D.read_keep_ranges(spark, f"{path}/keep.json").withColumn("episode_index", F.col("episode_key").cast("long")).drop("episode_key")
     return O.keep_in_ranges(rows, keep).select("event_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity::FLOAT::DOUBLE AS l_quantity, l_extendedprice::FLOAT::DOUBLE AS l_extendedprice, l_returnflag, CASE WHEN l_linestatus = 'O' THEN l_shipdate END AS l_shipdate FROM lineitem")
+def src11_record_files(spark, sf):
+    """lineitem written as framed records and read again; times are stored as microseconds, a null is a feature that isn't there."""
+    root = fs.scratch(spark, "records")
+    R.register(spark)
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", F.when(F.col("l_linestatus") == "O", F.expr("unix_micros(CAST(l_shipdate AS TIMESTAMP))")).alias("l_shipdate"))
+    R.write_records(rows, root)
+    found = spark.read.format("record_files").option("path", root).schema("l_orderkey long, l_linenumber int, l_quantity float, l_extendedprice float, l_returnflag string, l_shipdate long, reason string").load()
+    shown = found.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_extendedprice").cast("double").alias("l_extendedprice"), "l_returnflag", F.expr("CAST(timestamp_micros(l_shipdate) AS TIMESTAMP_NTZ)").alias("l_shipdate"), "reason")
+    return shown.withColumn("l_returnflag", F.when(F.col("reason").isNull(), F.col("l_returnflag")).otherwise(F.col("reason"))).drop("reason")

@@ -141,3 +141,10 @@ def test_the_listing_outlives_cached_blocks(spark, tmp_path):
     listing = D.write_frames(frames(spark, [2, 1]).withColumn("task_index", F.lit(0)), str(tmp_path / "set"))
     spark.catalog.clearCache()
     assert sorted((r.episode_index, r.length) for r in listing.collect()) == [(0, 2), (1, 1)]
+
+
+def test_lines_of_an_empty_table(spark, tmp_path):
+    for i, empty in enumerate((spark.sql("SELECT 'x' AS line").where("1 = 0"), spark.range(3).select(F.lit("x").alias("line")).where(F.rand() > 2))):
+        path = tmp_path / f"lines-{i}"
+        commits.stream_lines(empty, F.col("line"), F.col("line"), str(path), head="[", between=",", tail="]")
+        assert path.read_text() == "[]"
