@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators import datasets as O
@@ -12,7 +12,9 @@ from framewright.plans.views import table
 from framewright.sources import datasets as D
 from framewright.sources import episodes as E
 from framewright.sources import filesystem as fs
+from framewright.sources import media as M
 from framewright.sources import record_files as R
+from framewright.sources.commits import open_store
 
 
 def recorded(spark, sf) -> DataFrame:
@@ -172,3 +174,39 @@ def src11_record_files(spark, sf):
     found = spark.read.format("record_files").option("path", root).schema("l_orderkey long, l_linenumber int, l_quantity float, l_extendedprice float, l_returnflag string, l_shipdate long, reason string").load()
     shown = found.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_extendedprice").cast("double").alias("l_extendedprice"), "l_returnflag", F.expr("CAST(timestamp_micros(l_shipdate) AS TIMESTAMP_NTZ)").alias("l_shipdate"), "reason")
     return shown.withColumn("l_returnflag", F.when(F.col("reason").isNull(), F.col("l_returnflag")).otherwise(F.col("reason"))).drop("reason")
+
+
+def damaged(files: DataFrame) -> DataFrame:
+    """Of seven episodes in a row the fourth loses its file, the fifth its content, the sixth the box behind the media, the last that and a byte of media. media: bytes of it. Run once, by tasks."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                store, at = open_store(row["path"])
+                kept = {3: None, 4: 0, 5: 36 + row["media"], 6: 35 + row["media"]}.get(row["episode_index"] % 7, -1)
+                if kept is None:
+                    store.delete_file(at)
+                elif kept >= 0:
+                    with store.open_input_stream(at) as file:
+                        content = file.read(kept)
+                    with store.open_output_stream(at) as file:
+                        file.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column("episode_index"), batch.column("path")], names=["episode_index", "path"])
+
+    return fs.stored(files.mapInArrow(run, "episode_index long, path string"), "damaged")
+
+
+@query("""WITH s AS (SELECT user_id, epoch_us(ts) // 10000 AS c FROM events) SELECT user_id AS episode_index, CASE user_id % 7 WHEN 3 THEN 'missing' WHEN 4 THEN 'empty' WHEN 5 THEN 'no moov box in file' WHEN 6 THEN 'mdat at 20 ends 1 bytes behind file' END AS error,
+CASE WHEN user_id % 7 < 3 THEN (max(c) - min(c)) / 100.0 END AS duration, CASE WHEN user_id % 7 < 3 THEN count(*) END AS frames, user_id % 7 < 3 AS ok FROM s GROUP BY user_id""")
+def dq16_media_check(spark, sf):
+    """Every user's events as samples of one file of boxes; four of seven files are damaged, each in its own way, and are found."""
+    root = fs.scratch(spark, "videos")
+    hundredths = F.expr("unix_millis(CAST(ts AS TIMESTAMP)) DIV 10")
+    events = table(spark, sf, "events").select("user_id", "ts", "event_id", "props", hundredths.alias("c"))
+    lasting = events.withColumn("lasts", F.lead("c").over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - F.col("c"))
+    files = M.write_media(lasting, root, "user_id", ["ts", "event_id"], "props", "lasts", 100, "json", 1, 1)
+    media = events.groupBy(F.col("user_id").alias("episode_index")).agg(F.coalesce(F.sum(F.octet_length("props")), F.lit(0)).cast("long").alias("media"))
+    checked = M.check_media(damaged(files.join(media, "episode_index")))
+    return checked.select("episode_index", "error", "duration", "frames", "ok")

@@ -59,7 +59,7 @@ def stm10_input_timeouts(spark, sf):
     return sessions.input_timeouts(samples, "user_id", 20_000.0)
 
 
-@query("""WITH m AS (SELECT user_id, epoch_ms(ts) AS ms, value FROM events), s AS (SELECT user_id, min(ms) AS a, max(ms) AS z FROM m GROUP BY user_id),
+@query("""WITH m AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, value FROM events), s AS (SELECT user_id, min(ms) AS a, max(ms) AS z FROM m GROUP BY user_id),
 k AS (SELECT user_id, a + unnest(range((z - a) // 3600000 + 1)) * 3600000 AS tick FROM s), l AS (SELECT user_id, ms, max_by(value, (value, 1)) AS value FROM m GROUP BY user_id, ms)
 SELECT session, tick, value FROM (SELECT k.user_id::VARCHAR AS session, tick, l.ms, value FROM k ASOF JOIN l ON k.user_id = l.user_id AND k.tick >= l.ms) WHERE tick - ms <= 1800000""")
 def stm03_streamed_ticks(spark, sf):

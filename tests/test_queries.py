@@ -22,6 +22,8 @@ def duck():
 def plain(v):
     if isinstance(v, bool) or v is None:
         return v
+    if isinstance(v, int) and abs(v) > 999_999_999:
+        return v  # nine digits would hide a difference
     if isinstance(v, (int, float)):
         return None if isinstance(v, float) and math.isnan(v) else float(f"{v:.9g}") + 0.0
     return str(v)
