@@ -1,8 +1,9 @@
 """Record files: length-framed records with masked CRC-32C, each an ``Example`` message of named features; written by tasks, read as a data source.
 
-A record is an 8-byte length, the length's masked checksum, the message and its masked checksum. Nothing in a file marks where records begin, so a file is read by one task, in pieces; the writer bounds files by bytes.
-What can't be read is a row with its ``reason``, never an error: a record whose checksum differs or whose message can't be parsed (reading goes on behind it), and a frame whose length is wrong (nothing behind it in that file can be
-found). Checksums of a batch of records are computed at once: the sum is linear, so all pieces of all records advance together and are joined by the operator that skips zeros.
+A record is an 8-byte length, the length's masked checksum, the message and its masked checksum. Nothing in a file marks where records begin, so the writer's manifest says so for a record every few megabytes: from these on a
+file is read by several tasks. A file that no manifest names is read by one.
+What can't be read is a row with its ``reason``, never an error: a record whose checksum differs or whose message can't be parsed (reading goes on behind it), and a frame whose length is wrong (nothing behind it can be found, up to
+the next place that the manifest names). Checksums of a batch of records are computed at once: the sum is linear, so all pieces of all records advance together and are joined by the operator that skips zeros.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from framewright.sources.commits import open_store, stream_lines
 
-BYTES_A_FILE, BYTES_A_BATCH, ROWS_A_BATCH, READ = 128 << 20, 4 << 20, 4096, 1 << 20
+BYTES_A_FILE, BYTES_A_TASK, BYTES_A_BATCH, ROWS_A_BATCH, READ = 128 << 20, 8 << 20, 4 << 20, 4096, 1 << 20
 #: A length beyond this is taken as damage even if its checksum is right.
 LONGEST = 1 << 31
 PIECE, SKIP = 64, 6  # bytes of a piece, and its power of two
@@ -101,8 +102,15 @@ def frames_of(messages: list[bytes]) -> list[bytes]:
 
 # ---- messages
 
+ONE_FLOAT = struct.Struct("<f")
+KINDS = {1: "bytes", 2: "float", 3: "int"}
+NUMBERS = {kind: number for number, kind in KINDS.items()}
+ONE_BYTE = [bytes([i]) for i in range(128)]
+
 
 def _varint(value: int) -> bytes:
+    if 0 <= value < 128:
+        return ONE_BYTE[value]
     out, value = bytearray(), value & 0xFFFFFFFFFFFFFFFF
     while value > 127:
         out.append(value & 127 | 128)
@@ -129,15 +137,22 @@ def _field(number: int, content: bytes) -> bytes:
 def _fields(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
     """number, wire type, begin and end of each field's content."""
     while at < end:
-        tag, at = _read_varint(data, at, end)
+        tag = data[at]
+        if tag < 128:
+            at += 1
+        else:
+            tag, at = _read_varint(data, at, end)
         number, wire = tag >> 3, tag & 7
-        if wire == 0:
+        if wire == 2:
+            if at < end and (size := data[at]) < 128:
+                begin = at + 1
+            else:
+                size, begin = _read_varint(data, at, end)
+            at = begin + size
+        elif wire == 0:
             begin, at = at, _read_varint(data, at, end)[1]
         elif wire in (1, 5):
             begin, at = at, at + (8 if wire == 1 else 4)
-        elif wire == 2:
-            size, begin = _read_varint(data, at, end)
-            at = begin + size
         else:
             raise BadMessage(f"a field of wire type {wire}")
         if at > end or not number:
@@ -145,10 +160,23 @@ def _fields(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int
         yield number, wire, begin, at
 
 
+@lru_cache(maxsize=1 << 14)
+def _head(name: str, number: int, size: int) -> bytes:
+    """What stands in front of a feature's only value of so many bytes."""
+    held = _field(number, _field(1, bytes(size)))
+    entry = _field(1, _field(1, name.encode()) + _field(2, held))
+    return entry[: len(entry) - size]
+
+
 def encode(features: dict[str, tuple[str, list]]) -> bytes:
     """An Example; features: name to kind (bytes, float or int) and values."""
     entries = []
     for name, (kind, values) in features.items():
+        if len(values) == 1:
+            value = values[0]
+            value = value if kind == "bytes" else _varint(value) if kind == "int" else ONE_FLOAT.pack(value) if abs(value) < 3e38 else np.float32(value).tobytes()
+            entries.append(_head(name, NUMBERS[kind], len(value)) + value if len(value) < 4096 else _field(1, _field(1, name.encode()) + _field(2, _field(NUMBERS[kind], _field(1, value)))))
+            continue
         if kind == "bytes":
             held = _field(1, b"".join(_field(1, v) for v in values))
         elif kind == "float":
@@ -168,6 +196,8 @@ def _values(data: bytes, kind: int, begin: int, end: int) -> list:
             continue
         if kind == 1 and wire == 2:
             out.append(data[at:stop])
+        elif kind == 2 and stop - at == 4:
+            out.append(ONE_FLOAT.unpack_from(data, at)[0])
         elif kind == 2 and (wire == 5 or wire == 2 and (stop - at) % 4 == 0):
             out += np.frombuffer(data, "<f4", (stop - at) // 4, at).tolist()
         elif kind == 3 and wire in (0, 2):
@@ -179,9 +209,6 @@ def _values(data: bytes, kind: int, begin: int, end: int) -> list:
     return out
 
 
-KINDS = {1: "bytes", 2: "float", 3: "int"}
-
-
 def decode(data: bytes, wanted: set[str] | None = None) -> dict[str, tuple[str, list]]:
     """Features of an Example, those that are wanted or all; of a repeated name the last counts, unknown fields are passed over."""
     found: dict[str, tuple[str, list]] = {}
@@ -227,7 +254,7 @@ def kind_of(column: T.DataType) -> str:
 # ---- writing
 
 
-def write_records(df: DataFrame, root: str, bytes_a_file: int = BYTES_A_FILE) -> None:
+def write_records(df: DataFrame, root: str, bytes_a_file: int = BYTES_A_FILE, bytes_a_task: int = BYTES_A_TASK) -> None:
     """Write rows as Examples. Strings are stored in UTF-8, whole numbers and booleans as int64, fractions as 32-bit floats (the format has no others); a null leaves the feature out. Cast dates and decimals before.
 
     Each task writes files of its own names; the manifest, written last by one task, names those that count, so files of lost attempts are never read. A folder is written once.
@@ -238,39 +265,43 @@ def write_records(df: DataFrame, root: str, bytes_a_file: int = BYTES_A_FILE) ->
     if wrong := sorted(name for name, kind in kinds.items() if not kind):
         raise ValueError(f"columns that an Example can't hold: {', '.join(wrong)}")
 
-    def message(row: dict) -> bytes:
+    columns = [(name, kind, name in arrays, name in texts) for name, kind in kinds.items()]
+
+    def message(row: tuple) -> bytes:
         features = {}
-        for name, value in row.items():
+        for (name, kind, array, text), value in zip(columns, row):
             if value is None:
                 continue
-            values = value if name in arrays else [value]
-            if None in values:
+            values = value if array else [value]
+            if array and None in values:
                 raise ValueError(f"{name}: a null in an array")
-            features[name] = kinds[name], [v.encode() for v in values] if name in texts else [int(v) for v in values] if kinds[name] == "int" else values
+            features[name] = kind, [v.encode() for v in values] if text else values
         return encode(features)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = open_store(root)
         store.create_dir(folder, recursive=True)
-        out, name, rows, size, done = None, "", 0, 0, []
-        records = (r for batch in batches for start in range(0, batch.num_rows, 512) for r in frames_of([message(row) for row in batch.slice(start, 512).to_pylist()]))
+        out, name, rows, size, cuts, done = None, "", 0, 0, [], []
+        records = (r for batch in batches for start in range(0, batch.num_rows, 512) for r in frames_of([message(row) for row in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns))]))
         for record in records:
             if out is None:
-                name, rows, size = f"records-{uuid.uuid4().hex}.tfrecord", 0, 0
+                name, rows, size, cuts = f"records-{uuid.uuid4().hex}.tfrecord", 0, 0, [0]
                 out = store.open_output_stream(f"{folder}/{name}")
             out.write(record)
+            if size - cuts[-1] >= bytes_a_task:
+                cuts.append(size)
             rows, size = rows + 1, size + len(record)
             if size >= bytes_a_file:
                 out.close()
-                done.append((name, rows, size))
+                done.append((name, rows, size, cuts))
                 out = None
         if out is not None:
             out.close()
-            done.append((name, rows, size))
-        yield pa.RecordBatch.from_pydict({"file": pa.array([d[0] for d in done], pa.string()), "rows": pa.array([d[1] for d in done], pa.int64()), "bytes": pa.array([d[2] for d in done], pa.int64())})
+            done.append((name, rows, size, cuts))
+        yield pa.RecordBatch.from_pydict({"file": pa.array([d[0] for d in done], pa.string()), "rows": pa.array([d[1] for d in done], pa.int64()), "bytes": pa.array([d[2] for d in done], pa.int64()), "cuts": pa.array([d[3] for d in done], pa.list_(pa.int64()))})
 
-    files = df.mapInArrow(write, "file string, rows long, bytes long")
-    stream_lines(files, F.to_json(F.struct("file", "rows", "bytes")), F.col("file"), f"{root.rstrip('/')}/manifest.jsonl", tail="\n")
+    files = df.mapInArrow(write, "file string, rows long, bytes long, cuts array<long>")
+    stream_lines(files, F.to_json(F.struct("file", "rows", "bytes", "cuts")), F.col("file"), f"{root.rstrip('/')}/manifest.jsonl", tail="\n")
 
 
 # ---- reading
@@ -278,8 +309,12 @@ def write_records(df: DataFrame, root: str, bytes_a_file: int = BYTES_A_FILE) ->
 
 @dataclass
 class RecordFile(InputPartition):
+    """A file, or a stretch of it in which records begin."""
+
     path: str
-    bytes: int | None  # as the manifest says
+    bytes: int | None = None  # of the file, as the manifest says
+    start: int = 0
+    end: int | None = None  # where the next stretch begins
 
 
 def record_files(root: str, split: str = "") -> list[RecordFile]:
@@ -293,9 +328,9 @@ def record_files(root: str, split: str = "") -> list[RecordFile]:
     if store.get_file_info(f"{folder}/manifest.jsonl").type == fs.FileType.File:
         with store.open_input_stream(f"{folder}/manifest.jsonl") as file:
             said = [json.loads(line) for line in file.read().decode().splitlines() if line]
-        return [RecordFile(f"{base}/{s['file']}", s["bytes"]) for s in said]
+        return [RecordFile(f"{base}/{s['file']}", s["bytes"], a, z) for s in said for a, z in zip(s["cuts"], [*s["cuts"][1:], None])]
     names = sorted(f.base_name for f in store.get_file_info(fs.FileSelector(folder)) if f.type == fs.FileType.File and not f.base_name.startswith("."))
-    return [RecordFile(f"{base}/{n}", None) for n in names if ".tfrecord" in n and (not split or f"-{split}.tfrecord" in n)]
+    return [RecordFile(f"{base}/{n}") for n in names if ".tfrecord" in n and (not split or f"-{split}.tfrecord" in n)]
 
 
 def scan(part: RecordFile) -> Iterator[list[tuple[int, bytes | None, str | None]]]:
@@ -304,13 +339,21 @@ def scan(part: RecordFile) -> Iterator[list[tuple[int, bytes | None, str | None]
 
     store, path = open_store(part.path)
     if store.get_file_info(path).type != fs.FileType.File:
-        yield [(0, None, "missing file")]
+        yield [(part.start, None, "missing file")]
         return
-    with store.open_input_stream(path, buffer_size=READ) as file:
-        at, more = 0, True
+    with store.open_input_file(path) as source:
+        size = source.size()
+        if part.start > size:
+            yield [(part.start, None, "another size than the manifest says")]
+            return
+        file = pa.BufferedInputStream(source.get_stream(part.start, size - part.start), READ)
+        at, more = part.start, True
         while more:
             heads, sums, held, size, end = [], [], [], 0, None
             while size < BYTES_A_BATCH and len(held) < ROWS_A_BATCH:
+                if part.end is not None and at >= part.end:
+                    more = False
+                    break
                 head = file.read(12)
                 if len(head) < 12:
                     end = "a frame that is cut off" if head else "another size than the manifest says" if part.bytes not in (None, at) else None

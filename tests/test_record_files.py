@@ -77,7 +77,7 @@ def root(spark, tmp_path):
     i = F.col("id")
     df = spark.range(300).select("id", F.when(i % 7 != 0, F.concat(F.lit("näme "), i)).alias("name"), (i / 4).cast("float").alias("x"), F.when(i % 5 == 0, F.array()).otherwise(F.array(i % 2 == 0, i % 3 == 0)).cast("array<boolean>").alias("flags"), F.array(i.cast("float"), F.lit(-1.0).cast("float")).alias("v"), F.when(i > 3, i.cast("string").cast("binary")).alias("raw"))
     path = str(tmp_path / "records")
-    R.write_records(df.repartition(2), path, 4000)
+    R.write_records(df.repartition(2), path, 4000, 1 << 20)
     return path, {r.id: r for r in df.collect()}
 
 
@@ -102,6 +102,26 @@ def test_round_trip(spark, root):
     assert told.schema["id"].dataType.simpleString() == "array<bigint>" and sorted(r.id[0] for r in told.collect()) == list(range(300))
 
 
+def test_stretches_of_files(spark, root, tmp_path):
+    _, want = root
+    path, df = str(tmp_path / "cut"), spark.range(300).select("id", F.repeat(F.lit("x"), F.col("id").cast("int")).alias("name"))
+    R.write_records(df.coalesce(1), path, bytes_a_task=2000)
+    parts, content = R.record_files(path), files(path)[0].read_bytes()
+    assert len(files(path)) == 1 and len(parts) > 10 and [p.end for p in parts[:-1]] == [p.start for p in parts[1:]] and parts[-1].end is None
+    rows = load(spark, path, "id long, name string, position long, reason string")
+    assert sorted((r.id, len(r.name), r.reason) for r in rows.collect()) == [(i, i, None) for i in range(300)]
+    places = {r.position: r.id for r in rows.collect()}
+    # a wrong length hides what follows it in its stretch only
+    flipped, third = bytearray(content), parts[2]
+    flipped[third.start] ^= 1
+    files(path)[0].write_bytes(bytes(flipped))
+    lost = {i for p, i in places.items() if third.start <= p < third.end}
+    assert {r.id for r in rows.collect()} - {None} == set(range(300)) - lost and [(r.position, r.reason) for r in rows.where("reason IS NOT NULL").collect()] == [(third.start, "another checksum of the length")]
+    # a record that ends behind its stretch's end, and a file that ends before a stretch begins
+    files(path)[0].write_bytes(content[: third.start - 1])
+    assert {r.reason for r in rows.where("reason IS NOT NULL").collect()} == {"a frame that is cut off", "another size than the manifest says"}
+
+
 def test_files_that_no_manifest_names_are_not_read(spark, root):
     path, _ = root
     (files(path)[0].parent / "records-lost.tfrecord").write_bytes(files(path)[0].read_bytes())
