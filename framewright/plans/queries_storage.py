@@ -158,8 +158,8 @@ def src04_episode_length(spark, sf):
 def src16_keep_ranges_document(spark, sf):
     path = fs.scratch(spark, "keep")
     rows = table(spark, sf, "events").select("event_id", F.floor(F.col("event_id") / 40).alias("episode_index"), (F.col("event_id") % 40).alias("frame_index"))
-    ranges = rows.select("episode_index").distinct().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("episode_index").cast("string"), F.lit([[3, 9], [20, 30]]))))).alias("j"))
-    fs.write_text(spark, f"{path}/keep.json", ranges.first()[0])
+    spans = F.explode(F.array(*[F.struct(F.lit(a).alias("start_frame"), F.lit(z).alias("end_frame")) for a, z in ((3, 9), (20, 30))]))
+    D.write_keep_ranges(rows.select("episode_index").distinct().select(F.col("episode_index").alias("episode_key"), spans.alias("r")).select("episode_key", "r.*"), f"{path}/keep.json")
     keep = D.read_keep_ranges(spark, f"{path}/keep.json").withColumn("episode_index", F.col("episode_key").cast("long")).drop("episode_key")
     return O.keep_in_ranges(rows, keep).select("event_id")
 

@@ -7,11 +7,13 @@ is finished by whoever comes next. Appends read the new frames only.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import os
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -404,11 +406,108 @@ def read_collection(spark: SparkSession, root: str) -> DataFrame:
     return whole
 
 
+def write_keep_ranges(ranges: DataFrame, path: str) -> None:
+    """episode_key, start_frame, end_frame as a JSON object of lists of [start, end) pairs, a key a line, streamed in the order of keys by one task."""
+    pair = F.struct(F.col("start_frame").cast("long").alias("a"), F.col("end_frame").cast("long").alias("z"))
+    keys = ranges.where("episode_key IS NOT NULL").groupBy(F.col("episode_key").cast("string").alias("key")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.array(p["a"], p["z"]))).alias("pairs"))
+    quoted = F.to_json(F.array("key"))
+    commits.stream_lines(keys, F.concat(F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit(": "), "pairs"), F.col("key"), path, head="{\n", between=",\n", tail="\n}\n")
+
+
+def json_members(pieces: Iterator[str]) -> Iterator[tuple[str, object]]:
+    """Keys and values (objects, lists or strings) of one JSON object that comes in pieces; only one member at a time, and the piece it lies in, are held."""
+    decoder, held, at, ended, wanted = json.JSONDecoder(), "", 0, False, 1
+
+    def more() -> bool:
+        nonlocal held, at, ended, wanted
+        held, at = held[at:], 0
+        new: list[str] = []
+        while not ended and sum(map(len, new)) < wanted:
+            piece = next(pieces, None)
+            ended = piece is None
+            new.append(piece or "")
+        held += "".join(new)
+        return any(new)
+
+    def token() -> str:
+        nonlocal at
+        while True:
+            while at < len(held) and held[at] in " \t\r\n":
+                at += 1
+            if at < len(held):
+                return held[at]
+            if not more():
+                return ""
+
+    def value():
+        nonlocal at, wanted
+        token()
+        while True:
+            try:
+                found, at = decoder.raw_decode(held, at)
+                wanted = 1
+                return found
+            except json.JSONDecodeError:
+                wanted = max(1, len(held) - at)  # as much again, so that a long value is tried a few times only
+                if not more():
+                    raise
+
+    def take(sign: str) -> None:
+        nonlocal at
+        if token() not in sign or not token():
+            raise ValueError(f"{token()!r} in the document in place of one of {sign}")
+        at += 1
+
+    take("{")
+    if token() == "}":
+        at += 1
+    else:
+        while True:
+            if token() != '"':
+                raise ValueError("a member without a name")
+            key = value()
+            take(":")
+            if token() not in ("[", "{", '"'):
+                raise ValueError(f"{key}: neither a list nor an object")
+            yield key, value()
+            end = token()
+            take(",}")
+            if end == "}":
+                break
+    if token():
+        raise ValueError("text behind the document")
+
+
 def read_keep_ranges(spark: SparkSession, path: str) -> DataFrame:
-    """episode_key, start_frame, end_frame of a JSON object of lists of [start, end) pairs."""
-    text = spark.read.text(path, wholetext=True)
-    pairs = text.select(F.explode(F.from_json("value", "map<string, array<array<long>>>")).alias("episode_key", "ranges")).select("episode_key", F.explode("ranges").alias("r"))
-    return pairs.select("episode_key", F.col("r")[0].alias("start_frame"), F.col("r")[1].alias("end_frame"))
+    """episode_key, start_frame, end_frame of a JSON object of lists of [start, end) pairs, however laid out. One task streams the document; it holds one key's pairs at a time. Other documents are an error."""
+    shape = "episode_key string, start_frame long, end_frame long"
+
+    def pieces(file) -> Iterator[str]:
+        decode = codecs.getincrementaldecoder("utf-8")()
+        while piece := file.read(PIECE):
+            yield decode.decode(piece)
+        yield decode.decode(b"", True)
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store_, at = commits.open_store(path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
+                with store_.open_input_stream(at) as file:
+                    rows: list[tuple[str, int, int]] = []
+                    for key, ranges in json_members(pieces(file)):
+                        if not isinstance(ranges, list) or any(not isinstance(r, list) or len(r) != 2 or type(r[0]) is not int or type(r[1]) is not int for r in ranges):
+                            raise ValueError(f"{key}: not a list of pairs of whole numbers")
+                        rows += [(key, a, z) for a, z in ranges]
+                        if len(rows) >= 65_536:
+                            yield _keep_batch(rows)
+                            rows = []
+                    yield _keep_batch(rows)
+
+    return spark.createDataFrame([(path,)], "path string").coalesce(1).mapInArrow(run, shape)
+
+
+def _keep_batch(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"episode_key": pa.array([r[0] for r in rows], pa.string()), "start_frame": pa.array([r[1] for r in rows], pa.int64()), "end_frame": pa.array([r[2] for r in rows], pa.int64())})
 
 
 def hashed(spark: SparkSession, paths: list[str]) -> DataFrame:

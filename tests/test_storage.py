@@ -122,3 +122,30 @@ def test_shards_and_snapshots(spark, tmp_path):
     fs.write_text(spark, f"{shard}/more.json", "{}")
     verdicts = {r.path: r.verdict for r in joins.compare_scans(first, D.scan_files(spark, shard), "path", "state").collect()}
     assert verdicts["more.json"] == "new" and verdicts["manifest.json"] == "stable"
+
+
+def test_members_in_pieces():
+    import json
+
+    document = {"a": [[1, 2]], 'quo"te \u00e9': [], "b": [[i, i + 1] for i in range(50)], "": [[0, 0]]}
+    for indent in (None, 1):
+        text = json.dumps(document, indent=indent) + " \n"
+        for size in (1, 2, 7, 1000):
+            assert dict(D.json_members(iter([text[i : i + size] for i in range(0, len(text), size)]))) == document
+    assert list(D.json_members(iter(["{", " }"]))) == []
+    for wrong in ("", "[]", "{", '{"a"', '{"a": [1', '{"a": [1]', '{"a": [1] "b": []}', '{"a": [1],}', '{"a": 1}', '{1: []}', "{} x", '{"a" []}', '{"a": [1]}}'):
+        for size in (1, 100):
+            with pytest.raises(ValueError):
+                list(D.json_members(iter([wrong[i : i + size] for i in range(0, len(wrong), size)])))
+
+
+def test_keep_ranges_written_and_read(spark, tmp_path, monkeypatch):
+    rows = [("a--1", 5, 9), ("a--1", 0, 3), ('q"\\\u00e9', 1, 2), (None, 1, 1)]
+    path = str(tmp_path / "keep.json")
+    D.write_keep_ranges(spark.createDataFrame(rows, "episode_key string, start_frame int, end_frame int"), path)
+    assert [tuple(r) for r in D.read_keep_ranges(spark, path).collect()] == [("a--1", 0, 3), ("a--1", 5, 9), ('q"\\\u00e9', 1, 2)]
+    D.write_keep_ranges(spark.createDataFrame([], "episode_key string, start_frame int, end_frame int"), path)
+    assert D.read_keep_ranges(spark, path).count() == 0
+    (tmp_path / "keep.json").write_text('{"a": [[1]]}')
+    with pytest.raises(Exception, match="pairs of whole numbers"):
+        D.read_keep_ranges(spark, path).collect()
