@@ -94,7 +94,8 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words between white space, and where each text's begin and the last one's end; null texts have none."""
-    parts = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    # trimmed, because the split leaves a single last blank in the last word
+    parts = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(texts, ""))))
     coded = parts.flatten().dictionary_encode()
     offsets = parts.offsets.to_numpy().astype(np.int64)
     if not len(coded):

@@ -8,8 +8,8 @@ A pair whose five-word shingles are alike at 0.8 is also alike in words, and sha
 shingles each; of all pairs of sf0.1 that are alike in words at 0.8, brute force finds none that shares no key (README).
 
 Work follows the number of links, not the square of groups. Exact copies meet in one node first. In every bucket each node is compared with one centre, the node that shares most; sizes and
-word counts in ``BINS`` bins rule most pairs out exactly before any text moves. Only buckets that then still hold several classes are looked at again, and there only nodes of whose shingles at
-least ``LEAST_COMMON`` occur in another class (a pair alike at 0.8 in shingles has 0.8), which drops texts that merely share a passage. Such a bucket is cut into blocks; each pair of blocks is a group of its own, so no task holds a whole
+word counts in ``BINS`` bins rule most pairs out exactly before any text moves. Only buckets that then still hold several classes are looked at again: there every pair of different classes is ruled out by its
+words in common or aligned, in the task that has the bucket, and only links leave it, fewer than classes. A large bucket is cut into blocks; each pair of blocks is a group of its own, so no task holds a whole
 bucket.
 
 Texts of fewer than five words have one k-mer, all their words. Null and empty texts are copies of one another. Repeated rows are copies; a null doc_id stays null and its class is
@@ -21,6 +21,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,8 @@ from pyspark.sql import types as T
 from framewright.llm.common import chain, discard, documents, matched, materialize, mix, ranges, slices, word_hashes
 
 SHINGLE, SKETCHES, MINIMA, SIMILARITY = 5, 16, 2, 0.8
-LEAST_COMMON = 0.3
-LIKELIEST = 8
 ROWS_PER_BLOCK = 4096
+WORDS_PER_BLOCK = 1_000_000
 COMPARED = 2048
 CELLS = 500_000
 #: A count of FULL or more is kept as FULL.
@@ -196,13 +196,24 @@ def edit_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) ->
     return matched / (n + m - matched) if matched >= need - 1e-9 else 0.0
 
 
+def _aligned(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Words and shingles of a text of packed words."""
+    words = np.frombuffer(packed, "<u4")
+    return words, elements(words.astype(np.uint64), np.array([0, len(words)]))[0]
+
+
+def _alike(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> bool:
+    """What is alike in shingles is alike in words."""
+    return similarity(x[1], y[1]) >= SIMILARITY or edit_similarity(x[0], y[0]) >= SIMILARITY
+
+
 # ---- Spark -------------------------------------------------------------------------------------------------------------------------
 
 
 def sketches(df: DataFrame, measure: tuple[str, Callable[[], Callable]] | None = None) -> DataFrame:
     """doc_id, others (the columns besides doc_id and text), node (128-bit hash of the words), keys, size (words), bins, words (32 bits each); no text.
 
-    measure: a column's name and what makes, in each task, a function from an Arrow array of texts to that long column, for operators that need more of the same texts.
+    measure: a column's name and what makes, in each task, a function from an Arrow array of texts to that long column and what ``word_hashes`` gives, for operators that need more of the same texts.
     """
     others = [c for c in df.columns if c not in ("doc_id", "text")]
     rows = df.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *([F.struct(*others).alias("others")] if others else []))
@@ -214,7 +225,8 @@ def sketches(df: DataFrame, measure: tuple[str, Callable[[], Callable]] | None =
         for whole in batches:
             for batch in slices(whole, 0):
                 texts = batch.column(0)
-                words, ends = word_hashes(texts)
+                *values, words, ends = measured(texts) if measured else word_hashes(texts)
+                more = [pa.array(v, pa.int64()) for v in values]
                 found, cuts = elements(words, ends)
                 keys = keys_of(found, cuts)
                 narrow = (words >> np.uint64(32)).astype("<u4")
@@ -222,7 +234,6 @@ def sketches(df: DataFrame, measure: tuple[str, Callable[[], Callable]] | None =
                 has = np.diff(cuts) > 0
                 offsets = np.concatenate([[0], np.cumsum(has * SKETCHES)]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[has].ravel().view(np.int64)))
-                more = [pa.array(measured(texts), pa.int64())] if measure else []
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *more, pa.array(_node_hashes(words, ends), pa.binary()), listed, pa.array(np.diff(ends)), pa.array([b.tobytes() for b in bins_of(words, ends)], pa.binary()), pa.array([narrow[s:e].tobytes() for s, e in both], pa.binary())], names=names)
 
     return rows.mapInArrow(run, T.StructType(fields))
@@ -254,8 +265,7 @@ def verify(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
 
         def of(node: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
             if node not in recent:
-                words = np.frombuffer(packed, "<u4")
-                recent[node] = words, elements(words.astype(np.uint64), np.array([0, len(words)]))[0]
+                recent[node] = _aligned(packed)
                 if len(recent) > 8:
                     recent.popitem(last=False)
             recent.move_to_end(node)
@@ -265,12 +275,7 @@ def verify(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
                 a, b, wa, wb = (batch.column(i).to_pylist() for i in range(4))
-                good = []
-                for i in range(len(a)):
-                    x, y = of(a[i], wa[i]), of(b[i], wb[i])
-                    # what is alike in shingles is alike in words
-                    if similarity(x[1], y[1]) >= SIMILARITY or edit_similarity(x[0], y[0]) >= SIMILARITY:
-                        good.append(i)
+                good = [i for i in range(len(a)) if _alike(of(a[i], wa[i]), of(b[i], wb[i]))]
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
 
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
@@ -282,20 +287,39 @@ def verify(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, class_node (the smallest node of its component) for every node of a link: minima pass along links, then along what they point to."""
-    both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    current = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("class_node")).withColumn("was", F.col("node")), "classes")
+    """node, class_node (the smallest node of its component) for every node of a link. Each round every node points to its smallest neighbour, pointers are followed to their roots, and only the links between
+    different roots go on, so a round reads what the last one left and not all links again."""
+    left = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "links")
+    placed = None
+    while not left.isEmpty():
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("end")).select("end.*")
+        roots = _roots(materialize(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("class_node")), "classes"))
+        a, b = (roots.select(F.col("node").alias(x), F.col("class_node").alias(f"class_{x}")) for x in ("a", "b"))
+        between = left.join(a, "a").join(b, "b").where("class_a != class_b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
+        rest = materialize(between.distinct(), "links")
+        if placed is None:
+            after = roots
+        else:
+            over = roots.select(F.col("node").alias("class_node"), F.col("class_node").alias("now"))
+            after = materialize(placed.join(over, "class_node", "left").select("node", F.coalesce("now", "class_node").alias("class_node")), "classes")
+            discard(placed, roots)
+        discard(left)
+        left, placed = rest, after
+    if placed is None:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("class_node"))
+    discard(left)
+    return placed
+
+
+def _roots(current: DataFrame) -> DataFrame:
+    """node, class_node after all pointers (class_node, never larger than the node) have been followed to their ends. current: a stored table, which is discarded."""
     while True:
-        classes = current.select("node", "class_node")
-        near = both.join(classes.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class_node").alias("near"))
-        stepped = classes.join(near, "node", "left").select("node", F.least("class_node", "near").alias("next"), F.col("class_node").alias("was"))
-        jumped = stepped.join(classes.select(F.col("node").alias("next"), F.col("class_node").alias("further")), "next", "left").select("node", F.least("next", "further").alias("class_node"), "was")
-        after = materialize(jumped, "classes")
-        discard(current)
-        current = after
-        if after.where("class_node != was").isEmpty():
-            discard(both)
-            return after.select("node", "class_node")
+        further = current.select(F.col("node").alias("class_node"), F.col("class_node").alias("next")).where("class_node != next")
+        if further.join(current.select("class_node"), "class_node", "left_semi").isEmpty():
+            return current
+        after = materialize(current.join(further, "class_node", "left").select("node", F.coalesce("next", "class_node").alias("class_node")), "classes")
+        after, current = current, after
+        discard(after)
 
 
 def _merged(placed: DataFrame, links: DataFrame) -> DataFrame:
@@ -308,83 +332,30 @@ def _merged(placed: DataFrame, links: DataFrame) -> DataFrame:
     return after
 
 
-def _shared_elements(mixed: DataFrame, sketched: DataFrame) -> DataFrame:
-    """node, common: how many of a node's shingles occur in a node of another class too. mixed: node, class_node, a stored table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 2):
-                packed = batch.column(2).to_pylist()
-                words = np.frombuffer(b"".join(packed), "<u4").astype(np.uint64)
-                ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int64)
-                found, cuts = elements(words, ends)
-                of = [np.repeat(batch.column(i).to_numpy(), np.diff(cuts)) for i in (0, 1)]
-                # 32 bits are enough: what falls together by chance only keeps a node in play
-                yield pa.RecordBatch.from_arrays([*map(pa.array, of), pa.array((found >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["node", "class_node", "element"])
-
-    stored = materialize(matched(sketched.select(F.col("row").alias("node"), "words"), mixed, "node").select("node", "class_node", "words"), "mixed-words")
-    rows = stored.mapInArrow(run, "node long, class_node long, element int")
-    spread = rows.groupBy("element").agg(F.min("class_node").alias("low"), F.max("class_node").alias("high")).where("low != high").select("element")
-    common = materialize(rows.join(spread, "element").groupBy("node").agg(F.count(F.lit(1)).alias("common")), "common")
-    discard(stored)
-    return common
-
-
 def _mixed(placed: DataFrame) -> DataFrame:
     """The rows of buckets that hold more than one class."""
     keys = placed.groupBy("key").agg(F.min("class_node").alias("low"), F.max("class_node").alias("high")).where("low != high").select("key")
     return placed.join(keys, "key")
 
 
-def _candidates(rows: DataFrame, most: int | None) -> DataFrame:
-    """Pairs (a, b) of one bucket and different classes that can still reach the similarity; each pair is told by one bucket only.
+def _units(rows: DataFrame) -> DataFrame:
+    """Every row of a bucket (key) once for each unit (key, low, high) that compares it. A bucket of more than ROWS_PER_BLOCK rows or WORDS_PER_BLOCK words is cut into blocks (side);
+    each pair of blocks, or a block by itself, is a unit."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / ROWS_PER_BLOCK, F.sum("size") / WORDS_PER_BLOCK, F.lit(1.0))).cast("int")
+    cut = rows.join(rows.groupBy("key").agg(blocks.alias("blocks")), "key").withColumn("side", F.pmod(F.hash("node"), F.col("blocks")))
+    unit = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "side").alias("low"), F.greatest(x, "side").alias("high"))))
+    return cut.withColumn("unit", unit).select("key", F.col("unit.low").alias("low"), F.col("unit.high").alias("high"), "side", "node", "class_node", "size", "keys", "bins")
 
-    With ``most``, only a text's likeliest partners in each larger class: one of them is usually enough to join the two classes.
-    A bucket of more than ROWS_PER_BLOCK rows is cut into blocks, and each pair of blocks (or a block by itself) is compared apart.
-    """
 
-    def of(same_block, side, node, home, size, table, counts, key):
-        found = []
-        if (home == home[0]).all():
-            return found
-        members = np.bincount(home)
-        order = np.lexsort((node, home, -members[home]))  # larger classes first
-        side, node, home, size, table, counts = side[order], node[order], home[order], size[order], table[order], counts[order]
-        for i in range(1, len(node)):
-            near = []
-            for at in range(0, i, COMPARED):
-                part = slice(at, min(i, at + COMPARED))
-                fits = (np.minimum(size[part], size[i]) >= SIMILARITY * np.maximum(size[part], size[i]) - 1e-6) & (home[part] != home[i])
-                other = at + np.flatnonzero(fits if same_block else fits & (side[part] != side[i]))
-                if len(other):
-                    same = table[other] == table[i]
-                    here = table[i][same.argmax(axis=1)] == key
-                    other, shared = other[here], same.sum(axis=1)[here]
-                    good = may_reach(counts[other], counts[i], size[other], size[i])
-                    near.append((other[good], shared[good]))
-            if not near:
-                continue
-            other, shared = np.concatenate([x[0] for x in near]), np.concatenate([x[1] for x in near])
-            if most is not None and len(other) > most:
-                rank = np.lexsort((-shared, home[other]))
-                group = home[other][rank]
-                first = np.concatenate([[True], group[1:] != group[:-1]])
-                place = np.arange(len(rank)) - np.maximum.accumulate(np.where(first, np.arange(len(rank)), 0))
-                other = other[rank[place < most]]
-            found.append(np.stack([np.minimum(node[i], node[other]), np.maximum(node[i], node[other])]))
-        return found
+def _each_unit(units: DataFrame, schema: str, of: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``of`` gets the columns of one unit at a time: key, low, high, side, node, class, size, keys (a row of SKETCHES each) and the last column's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(group):
-            key, low, high, side, node, home, size, table, counts = (np.concatenate(x) for x in zip(*group))
-            for pair in of(low[0] == high[0], side, node, np.unique(home, return_inverse=True)[1], size, table, counts, key[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
-
         group: list[tuple] = []
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
             columns.append(batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCHES))
-            columns.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, BINS))
+            columns.append(batch.column(8).to_numpy(zero_copy_only=False))
             new = np.zeros(max(batch.num_rows - 1, 0), bool)
             for column in columns[:3]:
                 new |= column[1:] != column[:-1]
@@ -392,39 +363,107 @@ def _candidates(rows: DataFrame, most: int | None) -> DataFrame:
             for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
                 if end > start:
                     if group and any(group[0][i][0] != columns[i][start] for i in range(3)):
-                        yield from told(group)
+                        yield from of([np.concatenate(x) for x in zip(*group)])
                         group = []
                     group.append(tuple(c[start:end] for c in columns))
         if group:
-            yield from told(group)
+            yield from of([np.concatenate(x) for x in zip(*group)])
 
-    counted = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_BLOCK).cast("int").alias("blocks"))
-    cut = rows.join(counted, "key").withColumn("side", F.pmod(F.hash("node"), F.col("blocks")))
-    unit = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "side").alias("low"), F.greatest(x, "side").alias("high"))))
-    units = cut.withColumn("unit", unit).select("key", F.col("unit.low").alias("low"), F.col("unit.high").alias("high"), "side", "node", "class_node", "size", "keys", "bins")
-    return units.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "a long, b long")
-
-
-def _decided_links(links: DataFrame, tried: DataFrame, buckets: DataFrame, nodes: DataFrame, sketched: DataFrame) -> DataFrame:
-    """node, class_node of the nodes in buckets (a stored table) after the pairs that the centres left out. The first round tries likely partners; the second all others, and so every pair
-    that can be linked has been tried or is in one class: merging classes never makes a new candidate."""
-    placed = materialize(buckets.select("node").distinct().withColumn("class_node", F.col("node")), "placed")
-    placed = _merged(placed, links)
-    mixed = materialize(_mixed(buckets.join(placed, "node")).select("node", "class_node").distinct(), "mixed")
-    common = _shared_elements(mixed, sketched)
-    able = nodes.join(common, "node").where(F.col("common") >= LEAST_COMMON * F.greatest(F.col("size") - (SHINGLE - 1), F.lit(1)) - 1e-6)
-    able = materialize(able.select("node", "keys", "size", "bins"), "able")
-    discard(mixed, common)
-    for most in (LIKELIEST, None):
-        rows = _mixed(buckets.join(placed, "node").join(able.select("node"), "node")).join(able, "node")
-        more = materialize(_candidates(rows, most).join(tried, ["a", "b"], "left_anti").distinct(), "pairs")
-        new = verify(more, sketched)
-        if most is not None:
-            tried = tried.unionByName(more)
-        if not new.isEmpty():
-            placed = _merged(placed, new)
-        discard(new)
-    discard(able)
+    return units.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, schema)
+
+
+def _meet(i: int, part: slice, key, same_block, side, home, size, table) -> np.ndarray:
+    """Those rows of ``part`` that a unit compares with row i: of another class and a fitting size, and told by this bucket, the first of those that both are in."""
+    fits = (np.minimum(size[part], size[i]) >= SIMILARITY * np.maximum(size[part], size[i]) - 1e-6) & (home[part] != home[i])
+    other = part.start + np.flatnonzero(fits if same_block else fits & (side[part] != side[i]))
+    if len(other):
+        same = table[other] == table[i]
+        other = other[table[i][same.argmax(axis=1)] == key]
+    return other
+
+
+def _with_partners(units: DataFrame) -> DataFrame:
+    """The rows of units that have a partner there which their bins allow: at most as many rows as there were, however many pairs there are."""
+
+    def of(unit):
+        key, low, high, side, node, home, size, table, packed = unit
+        if (home == home[0]).all():
+            return
+        counts = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, BINS)
+        has = np.zeros(len(node), bool)
+        for i in range(1, len(node)):
+            for at in range(0, i, COMPARED):
+                other = _meet(i, slice(at, min(i, at + COMPARED)), key[0], low[0] == high[0], side, home, size, table)
+                if has[i]:
+                    other = other[~has[other]]
+                if len(other):
+                    good = other[may_reach(counts[other], counts[i], size[other], size[i])]
+                    has[good] = True
+                    has[i] |= len(good) > 0
+        if has.any():
+            offsets = pa.array(np.arange(0, SKETCHES * int(has.sum()) + 1, SKETCHES, dtype=np.int32))
+            arrays = [*(pa.array(c[has]) for c in (key, low, high, side, node, home, size)), pa.ListArray.from_arrays(offsets, pa.array(table[has].ravel()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "low", "high", "side", "node", "class_node", "size", "keys"])
+
+    return _each_unit(units, "key long, low int, high int, side int, node long, class_node long, size long, keys array<long>", of)
+
+
+def _joining(units: DataFrame) -> DataFrame:
+    """Links (a, b) that join the classes of each unit: every pair of different classes is ruled out by its common words, aligned, or in one class by the links so far, so a unit gives
+    fewer links than it has classes. units: the words of a row in the last column."""
+
+    def of(unit):
+        key, low, high, side, node, home, size, table, packed = unit
+        if (home == home[0]).all():
+            return
+        home = np.unique(home, return_inverse=True)[1]
+        order = np.lexsort((node, home, -np.bincount(home)[home]))  # larger classes first
+        side, node, home, size, table, packed = side[order], node[order], home[order], size[order], table[order], packed[order]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        words = np.frombuffer(b"".join(packed), "<u4").astype(np.uint64)
+        _label(words, np.repeat(np.arange(len(node), dtype=np.uint64), size))
+        distinct, words = np.unique(words, return_inverse=True)
+        mine, of_text, a, b = np.zeros(len(distinct), bool), lru_cache(64)(lambda i: _aligned(packed[i])), [], []
+        for i in range(1, len(node)):
+            here = words[ends[i] : ends[i + 1]]
+            mine[here] = True
+            found = []
+            for at in range(0, i, COMPARED):
+                other = _meet(i, slice(at, min(i, at + COMPARED)), key[0], low[0] == high[0], side, home, size, table)
+                if len(other):
+                    sizes = size[other]
+                    common = np.add.reduceat(mine[words[ranges(ends[other], sizes)]], np.cumsum(sizes) - sizes, dtype=np.int64)
+                    reach = common >= SIMILARITY / (1 + SIMILARITY) * (sizes + size[i]) - 1e-6
+                    found.append((common[reach] / sizes[reach], other[reach]))
+            mine[here] = False
+            if found:
+                share, other = (np.concatenate(x) for x in zip(*found))
+                for j in other[np.argsort(-share, kind="stable")].tolist():
+                    if home[j] != home[i] and _alike(of_text(i), of_text(j)):
+                        a.append(min(node[i], node[j]))
+                        b.append(max(node[i], node[j]))
+                        home[home == home[i]] = home[j]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _each_unit(units, "a long, b long", of)
+
+
+def _decided_links(links: DataFrame, buckets: DataFrame, nodes: DataFrame, sketched: DataFrame) -> DataFrame:
+    """node, class_node of the nodes in buckets (a stored table) after the pairs that the centres left out: all pairs of different classes in one bucket, compared where the bucket is. Words move only
+    for rows with a partner that bins allow, and no pair is a row unless it is a link."""
+    linked = components(links)
+    placed = buckets.select("node").distinct().join(linked, "node", "left").select("node", F.coalesce("class_node", "node").alias("class_node"))
+    placed = materialize(placed, "placed")
+    rows = materialize(_mixed(buckets.join(placed, "node")), "mixed")
+    near = materialize(_with_partners(_units(rows.join(nodes.select("node", "keys", "size", "bins"), "node"))), "near")
+    wanted = materialize(near.select("node").distinct(), "wanted")
+    worded = near.join(_words_of(sketched, wanted), "node").select(*near.columns, "words")
+    new = materialize(_joining(worded), "joining")
+    discard(rows, near, wanted)
+    if not new.isEmpty():
+        placed = _merged(placed, new)
+    discard(new)
     return placed
 
 
@@ -445,7 +484,7 @@ def _decided(df: DataFrame, measure: tuple[str, Callable[[], Callable]] | None =
     pairs = materialize(pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "pairs")
     likely = materialize(_plausible(pairs, nodes), "likely")
     links = verify(likely, sketched)
-    placed = _decided_links(links, pairs, buckets.select("key", "node"), nodes, sketched)
+    placed = _decided_links(links, buckets.select("key", "node"), nodes, sketched)
     discard(likely, links, pairs, buckets)
     home = nodes.join(placed, "node", "left").select("text_hash", "first", "least_id", "copies", F.coalesce("class_node", "node").alias("class_node"))
     by_class = home.groupBy("class_node").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min("first").alias("kept"))

@@ -105,9 +105,18 @@ def pack(df: DataFrame, capacity: int = CAPACITY, rows_per_shard: int = ROWS_PER
 
 
 def _token_counter():
-    """A function from an Arrow array of texts to their numbers of operator 2's ids with the end token."""
-    encoder = token_store.word_encoder(token_store.default_tokenizer_path())
-    return lambda texts: np.diff(encoder.encode(texts)[1]) + 1
+    """A function from an Arrow array of texts to their numbers of operator 2's ids with the end token, and their words. The first texts of a task are held against the library."""
+    counter, checked = token_store.word_counter(token_store.default_tokenizer_path()), False
+
+    def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        nonlocal checked
+        if not checked:
+            counter.check([t[: token_store.CHECKED_CHARACTERS] if t else t for t in texts.slice(0, token_store.CHECKED_TEXTS).to_pylist()])
+            checked = True
+        sizes, words, ends = counter.count(texts)
+        return sizes + 1, words, ends
+
+    return counted
 
 
 def with_lengths(df: DataFrame) -> DataFrame:

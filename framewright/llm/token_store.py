@@ -27,13 +27,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import documents, fresh_path, materialize, ranges, slices
+from framewright.llm.common import documents, fresh_path, materialize, ranges, slices, word_hashes
 
 MAGIC = b"FWTOKEN1"
 END_ID = 2
 GAMMA = 1.5
 #: What a worker remembers at most, about 50 bytes a chunk and 200 a pre-token; forgetting costs time only.
 REMEMBERED_CHUNKS, REMEMBERED_PRETOKENS = 500_000, 250_000
+#: Likewise where only numbers of ids are remembered, about 45 bytes a chunk and 140 a pre-token.
+COUNTED_CHUNKS, COUNTED_PRETOKENS = 800_000, 600_000
 READ_BYTES = 8 << 20
 #: The vocabulary's own pre-tokens, and the line end that parts two chunks.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+|\n")
@@ -54,6 +56,12 @@ _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Re
 _SPLITTER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
+def chunks_of(texts: pa.Array) -> pa.ListArray:
+    """What lies between blanks in each text, lowered; texts with letters from U+0130 on are left to the library to lower, below it letters are lowered one by one, as the library does it."""
+    lowered = pc.if_else(pc.match_substring_regex(texts, _BEYOND.pattern), texts, pc.utf8_lower(texts))
+    return pc.split_pattern(pc.replace_substring(lowered, "\n", " "), " ")
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
@@ -93,9 +101,7 @@ class WordEncoder:
         if not self.by_words:
             coded = self._library(texts.to_pylist())
             return np.concatenate([np.zeros(0, self.dtype), *coded]), np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
-        # below U+0130 letters are lowered one by one, as the library does it
-        lowered = pc.if_else(pc.match_substring_regex(texts, _BEYOND.pattern), texts, pc.utf8_lower(texts))
-        parts = pc.split_pattern(pc.replace_substring(lowered, "\n", " "), " ")
+        parts = chunks_of(texts)
         coded = parts.flatten().dictionary_encode()
         slot = self._slots(coded.dictionary)[coded.indices.to_numpy()]
         sizes = self.sizes[slot]
@@ -157,22 +163,114 @@ class WordEncoder:
         self.chunks = pa.concat_arrays([self.chunks, new])
 
     def _words(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of each pre-token. Many share a line, as the ids themselves tell where each ends; if they don't, each is encoded alone."""
+        """Ids of each pre-token."""
+        for ids, sizes in self._cut(words):
+            ends = np.cumsum(sizes).tolist()
+            yield from (ids[s:e].tobytes() for s, e in zip([0, *ends[:-1]], ends))
+
+    def _cut(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of many pre-tokens and how many each has. Many share a line, as the ids themselves tell where each ends; if they don't, each is encoded alone."""
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             lines = [" ".join(part[i : i + WORDS_A_LINE]) for i in range(0, len(part), WORDS_A_LINE)]
             ids = np.concatenate(self._library(lines))
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
-                yield from (ids[s:e].tobytes() for s, e in zip([0, *ends[:-1].tolist()], ends.tolist()))
+                yield ids, np.diff(ends, prepend=0)
             else:
-                yield from (c.tobytes() for c in self._library(part))
+                alone = self._library(part)
+                yield np.concatenate(alone), np.array([len(c) for c in alone])
 
     def _library(self, pieces: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for at in range(0, len(pieces), 4096) for e in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
 
 
+class WordCounter:
+    """Numbers of ids of whole texts, and the hashes of their words (``common.word_hashes``), from one cut of each text: a chunk's number of ids and word are found once and remembered, its ids are not kept."""
+
+    def __init__(self, encoder: WordEncoder):
+        self.encoder = encoder
+        self._forget()
+
+    def _forget(self) -> None:
+        self.chunks = pa.array([], pa.string())
+        self.sizes, self.words, self.several, self.uses = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int32)
+        self.pretokens = {"\n": -1}
+
+    def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of ids of each text; the hashes of all words, and where each text's begin and the last one's end. Null texts are empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.encoder.by_words:
+            return np.diff(self.encoder.encode(texts)[1]), *word_hashes(texts)
+        parts = chunks_of(texts)
+        coded = parts.flatten().dictionary_encode()
+        slot = self._slots(coded.dictionary)[coded.indices.to_numpy()]
+        bounds = parts.offsets.to_numpy()
+        sizes = np.diff(np.concatenate([[0], np.cumsum(self.sizes[slot])])[bounds])
+        found = self.words[slot]
+        is_word = found != 0
+        words, ends = found[is_word], np.concatenate([[0], np.cumsum(is_word)])[bounds]
+        if (odd := self.several[slot]).any():
+            # other white space than blanks and line ends parts these texts further
+            odd = np.unique(np.searchsorted(bounds, np.flatnonzero(odd), side="right") - 1)
+            more, cuts = word_hashes(texts.take(pa.array(odd)))
+            each = np.split(words, ends[1:-1])
+            for i, start, end in zip(odd.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+                each[i] = more[start:end]
+            words, ends = np.concatenate(each), np.concatenate([[0], np.cumsum([len(e) for e in each])])
+        return sizes, words, ends
+
+    def check(self, texts: list[str | None]) -> None:
+        """Raise if the numbers of ids of these texts aren't those of the library for the whole texts."""
+        if self.count(pa.array(texts, pa.string()))[0].tolist() != [len(c) for c in self.encoder._library([t or "" for t in texts])]:
+            raise ValueError("numbers of ids of chunks differ from the library's for the whole text")
+
+    def _slots(self, chunks: pa.Array) -> np.ndarray:
+        """Where each of the distinct chunks is remembered; new ones are learned. If these are too many, chunks that only one batch had are forgotten first, or all."""
+        found = pc.index_in(chunks, value_set=self.chunks)
+        if len(self.chunks) + found.null_count > COUNTED_CHUNKS:
+            kept = np.flatnonzero(self.uses > 1)
+            if len(kept) > COUNTED_CHUNKS // 2:
+                self._forget()
+            else:
+                self.chunks = self.chunks.take(pa.array(kept))
+                self.sizes, self.words, self.several, self.uses = self.sizes[kept], self.words[kept], self.several[kept], np.zeros(len(kept), np.int32)
+            found = pc.index_in(chunks, value_set=self.chunks)
+        slot = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        new = slot < 0
+        if new.any():
+            slot[new] = len(self.chunks) + np.arange(int(new.sum()))
+            self._learn(chunks.filter(pa.array(new)))
+        self.uses[slot] += 1
+        return slot
+
+    def _learn(self, new: pa.Array) -> None:
+        chunks = new.to_pylist()
+        text = "\n".join(chunks)
+        pieces = _PRETOKEN.findall(text.lower() + "\n")
+        missing = list(set(pieces).difference(self.pretokens))
+        if len(self.pretokens) + len(missing) > COUNTED_PRETOKENS:
+            self.pretokens = {"\n": -1}
+            missing = list(set(pieces).difference(self.pretokens))
+        self.pretokens.update(zip(missing, (n for _, sizes in self.encoder._cut(missing) for n in sizes.tolist())))
+        counts = np.fromiter(map(self.pretokens.__getitem__, pieces), np.int64, len(pieces))
+        sizes = np.diff(np.cumsum(np.maximum(counts, 0))[counts < 0], prepend=0)
+        if _BEYOND.search(text) or any(a in text for a in self.encoder.added):
+            alone = pc.match_substring_regex(new, _BEYOND.pattern)
+            for added in self.encoder.added:
+                alone = pc.or_(alone, pc.match_substring(new, added))
+            odd = np.flatnonzero(alone.to_numpy(zero_copy_only=False))
+            sizes[odd] = [len(c) for c in self.encoder._library([chunks[i] for i in odd])]
+        words, ends = word_hashes(new)
+        each = np.diff(ends)
+        first = np.concatenate([words, np.zeros(1, np.uint64)])[ends[:-1]]
+        self.sizes, self.words = np.concatenate([self.sizes, sizes]), np.concatenate([self.words, np.where(each > 0, first, np.uint64(0))])
+        self.several, self.uses = np.concatenate([self.several, each > 1]), np.concatenate([self.uses, np.zeros(len(chunks), np.int32)])
+        self.chunks = pa.concat_arrays([self.chunks, new])
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
+_COUNTERS: dict[str, WordCounter] = {}
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -182,6 +280,13 @@ def word_encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def word_counter(path: str) -> WordCounter:
+    """One for each Python worker, like ``word_encoder``."""
+    if path not in _COUNTERS:
+        _COUNTERS[path] = WordCounter(word_encoder(path))
+    return _COUNTERS[path]
+
+
 def encoded(batches: Iterator[pa.RecordBatch], column: int, path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches, each with the ids of its texts and where each text's begin and the last one's end."""
     encoder, checked = word_encoder(path), False

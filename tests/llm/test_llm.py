@@ -717,6 +717,28 @@ def test_pipeline_stages_against_plain_versions(spark, odd):
         assert stage(spark, none, sf).count() == 0
 
 
+def test_counted_ids_and_words_against_the_library_and_word_hashes(monkeypatch):
+    """Of odd texts, whatever has been forgotten."""
+    rng = random.Random(9)
+    signs = ["a", "B", "é", "É", "ß", "İ", "ǅ", "中", "ﬁ", "e\u0301", "\u0301", "1", "23", "'s", ".", ",", "<|endoftext|>", "</w>", " ", "  ", "\n", "\t", "\r", "\u00a0", "\u3000", "\x1c", "\x85", "🙂"]
+    texts = [None, "", " ", "\n\n", "x\ty z"] + ["".join(rng.choice(signs if i % 2 else signs[:20] + [" ", "\n"]) for _ in range(rng.randrange(60))) for i in range(600)]
+    encoder = token_store.WordEncoder(token_store.default_tokenizer_path())
+    want = [len(ids) for ids in encoder._library([t or "" for t in texts])]
+    words, ends = near_dedup.word_hashes(pa.array(texts))
+    for chunks, pretokens in ((800_000, 600_000), (200, 100)):
+        monkeypatch.setattr(token_store, "COUNTED_CHUNKS", chunks)
+        monkeypatch.setattr(token_store, "COUNTED_PRETOKENS", pretokens)
+        counter = token_store.WordCounter(encoder)
+        for _ in range(2):
+            for at in range(0, len(texts), 50):
+                sizes, found, cuts = counter.count(pa.array(texts[at : at + 50], pa.string()))
+                assert sizes.tolist() == want[at : at + 50]
+                assert found.tolist() == words[ends[at] : ends[min(at + 50, len(texts))]].tolist() and (cuts == ends[at : at + 51] - ends[at]).all()
+    encoder.by_words = False
+    sizes, found, cuts = counter.count(pa.array(texts))
+    assert sizes.tolist() == want and (found == words).all() and (cuts == ends).all()
+
+
 def test_bins_never_rule_out_a_similar_pair():
     rng = np.random.default_rng(3)
     for size in (1, 5, 60, 700, 9_000, 90_000):
