@@ -468,6 +468,49 @@ def test_a_cut_bucket_tells_the_same_pairs(spark, monkeypatch):
     assert classes() == whole == {i: i // 3 * 3 for i in range(90)}
 
 
+def test_rows_follow_a_groups_size_and_not_its_square(spark, monkeypatch):
+    """80 long texts with a common passage, alike at 0.69, which bins don't tell from 0.8: no stored table has more rows than texts have keys, and the second round's links alone leave their tasks."""
+    rng = random.Random(4)
+    passage, count = [f"p{i}" for i in range(980)], 80
+    texts = [passage + [f"o{rng.random()}" for _ in range(220)] for _ in range(count)]
+    texts += [t[:1180] + [f"e{i}x{j}" for j in range(20)] for i, t in enumerate(texts[:5])]
+    stored, write = Counter(), near_dedup.materialize
+
+    def counted(df, label):
+        table = write(df, label)
+        stored[label] = max(stored[label], table.count())
+        return table
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")).collect()}
+    assert got == {i: i % count for i in range(count + 5)}
+    assert max(stored.values()) <= near_dedup.SKETCHES * len(texts)
+
+
+def test_components_against_a_plain_version(spark, monkeypatch):
+    """A chain, a star whose centre is its largest node, a loop and random links; after the first round no table has all links again."""
+    rng = random.Random(7)
+    links = [(i, i + 1) for i in range(100, 140)] + [(i, 400) for i in range(300, 360)] + [(500, 500)] + [(1000 + rng.randrange(150), 1000 + rng.randrange(150)) for _ in range(100)]
+    home = {i: i for pair in links for i in pair if pair[0] != pair[1]}
+    for _ in home:
+        for a, b in links:
+            if a != b:
+                home[a] = home[b] = min(home[a], home[b])
+    read, write = [], near_dedup.materialize
+
+    def counted(df, label):
+        table = write(df, label)
+        if label == "links":
+            read.append(table.count())
+        return table
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    assert {r.node: r.class_node for r in near_dedup.components(frame(links)).collect()} == home
+    assert all(after < before / 2 for before, after in zip(read, read[1:])) and read[-1] == 0
+    assert near_dedup.components(frame(links).where("false")).count() == 0
+
+
 def test_alignment_is_order_sensitive():
     a = word_ids([f"w{i}" for i in range(100)])
     assert near_dedup.similarity(a, a) == near_dedup.edit_similarity(a, a) == 1.0
