@@ -19,11 +19,13 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +36,17 @@ END_ID = 2
 GAMMA = 1.5
 #: What a worker remembers at most, about 50 bytes a chunk and 200 a pre-token; forgetting costs time only.
 REMEMBERED_CHUNKS, REMEMBERED_PRETOKENS = 500_000, 250_000
-#: Likewise where only numbers of ids are remembered, about 45 bytes a chunk and 140 a pre-token.
+#: Likewise where only numbers of ids are remembered, about 150 bytes a chunk; and of how many new chunks the pre-tokens are encoded at once.
 COUNTED_CHUNKS, COUNTED_PRETOKENS = 800_000, 600_000
 READ_BYTES = 8 << 20
 #: The vocabulary's own pre-tokens, and the line end that parts two chunks.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+|\n")
 #: Letters that may change class or number when lowered or composed.
 _BEYOND = regex.compile("[İ-\U0010ffff]")
+#: Pre-tokens of texts without those letters, the white space that parts them, and what may hold white space of any kind, for Arrow.
+_NARROW_SPACE = r"[\t\x0b-\r \x{85}\x{a0}]"
+_NARROW_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x{85}\x{a0}\p{L}\p{N}]+"
+_MAY_SPACE = "[\\x00-\\x20\\x7f-\\x{a0}İ-\U0010ffff]"
 WORDS_A_LINE = 64
 #: What each task compares with the library's ids of whole texts.
 CHECKED_TEXTS, CHECKED_CHARACTERS = 10, 20_000
@@ -74,7 +80,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         model = parts["model"]
@@ -185,34 +191,62 @@ class WordEncoder:
         return [np.array(e.ids, self.dtype) for at in range(0, len(pieces), 4096) for e in self.tokenizer.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False)]
 
 
+def _ranks(path: str) -> dict[bytes, int] | None:
+    """The bytes of every entry of a tokenizer file, a line end where an entry ends a word, and their ids; None unless merges are numbered as their ids, after the single bytes.
+
+    Then the tiktoken library, which joins the neighbours of lowest id as long as some can be joined, gives a word and a line end the ids that the file's merges give the word, if every entry is given itself (tests).
+    """
+    from framewright.llm.cross_alignment import _byte_letters
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    letters, vocabulary = _byte_letters(), model["vocab"]
+    single = [*letters, *(f"{letter}</w>" for letter in letters)]
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    if model.get("ignore_merges") or len(vocabulary) != len(single) + len(merged) or {vocabulary.get(t) for t in single} != set(range(len(single))) or [vocabulary.get(t) for t in merged] != list(range(len(single), len(vocabulary))):
+        return None
+    ranks = {}
+    for entry, i in vocabulary.items():
+        ends = i >= len(letters) and entry.endswith("</w>")
+        ranks[bytes(map(letters.__getitem__, entry.removesuffix("</w>") if ends else entry)) + b"\n" * ends] = i
+    return ranks if len(ranks) == len(vocabulary) else None
+
+
 class WordCounter:
-    """Numbers of ids of whole texts, and the hashes of their words (``common.word_hashes``), from one cut of each text: a chunk's number of ids and word are found once and remembered, its ids are not kept."""
+    """Numbers of ids of whole texts, and the hashes of their words (``common.word_hashes``), from one cut of each text: a chunk's number of ids and word are found once and remembered, its ids are not kept.
+
+    Pre-tokens of new chunks are cut by Arrow and encoded by the tiktoken library with the file's own vocabulary, many at once. Chunks with letters that may change when lowered or composed are encoded by the
+    tokenizers library, and so is everything under files that tiktoken doesn't match.
+    """
 
     def __init__(self, encoder: WordEncoder):
+        import tiktoken
+
         self.encoder = encoder
+        ranks = _ranks(encoder.path) if encoder.by_words else None
+        self.line_end = ranks and ranks[b"\n"]
+        self.fast = ranks and tiktoken.Encoding("words", pat_str=r"[^\n]*\n", mergeable_ranks=ranks, special_tokens={})
         self._forget()
 
     def _forget(self) -> None:
-        self.chunks = pa.array([], pa.string())
+        self.slots: dict[str, int] = {}
         self.sizes, self.words, self.several, self.uses = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int32)
-        self.pretokens = {"\n": -1}
 
     def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The number of ids of each text; the hashes of all words, and where each text's begin and the last one's end. Null texts are empty."""
         texts = pc.fill_null(texts, "")
-        if not self.encoder.by_words:
+        if not (self.encoder.by_words and self.fast):
             return np.diff(self.encoder.encode(texts)[1]), *word_hashes(texts)
         parts = chunks_of(texts)
         coded = parts.flatten().dictionary_encode()
-        slot = self._slots(coded.dictionary)[coded.indices.to_numpy()]
-        bounds = parts.offsets.to_numpy()
-        sizes = np.diff(np.concatenate([[0], np.cumsum(self.sizes[slot])])[bounds])
-        found = self.words[slot]
+        slot, each, bounds = self._slots(coded.dictionary), coded.indices.to_numpy(), parts.offsets.to_numpy()
+        sizes = np.diff(np.concatenate([[0], np.cumsum(self.sizes[slot][each])])[bounds])
+        found = self.words[slot][each]
         is_word = found != 0
         words, ends = found[is_word], np.concatenate([[0], np.cumsum(is_word)])[bounds]
         if (odd := self.several[slot]).any():
             # other white space than blanks and line ends parts these texts further
-            odd = np.unique(np.searchsorted(bounds, np.flatnonzero(odd), side="right") - 1)
+            odd = np.unique(np.searchsorted(bounds, np.flatnonzero(odd[each]), side="right") - 1)
             more, cuts = word_hashes(texts.take(pa.array(odd)))
             each = np.split(words, ends[1:-1])
             for i, start, end in zip(odd.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -227,46 +261,52 @@ class WordCounter:
 
     def _slots(self, chunks: pa.Array) -> np.ndarray:
         """Where each of the distinct chunks is remembered; new ones are learned. If these are too many, chunks that only one batch had are forgotten first, or all."""
-        found = pc.index_in(chunks, value_set=self.chunks)
-        if len(self.chunks) + found.null_count > COUNTED_CHUNKS:
+        names = chunks.to_numpy(zero_copy_only=False)
+        slot = self._find(names)
+        if len(self.slots) + int((slot < 0).sum()) > COUNTED_CHUNKS:
             kept = np.flatnonzero(self.uses > 1)
             if len(kept) > COUNTED_CHUNKS // 2:
                 self._forget()
             else:
-                self.chunks = self.chunks.take(pa.array(kept))
+                self.slots = dict(zip(np.array([*self.slots], object)[kept], range(len(kept))))
                 self.sizes, self.words, self.several, self.uses = self.sizes[kept], self.words[kept], self.several[kept], np.zeros(len(kept), np.int32)
-            found = pc.index_in(chunks, value_set=self.chunks)
-        slot = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+            slot = self._find(names)
         new = slot < 0
         if new.any():
-            slot[new] = len(self.chunks) + np.arange(int(new.sum()))
+            slot[new] = len(self.slots) + np.arange(int(new.sum()))
             self._learn(chunks.filter(pa.array(new)))
+            self.slots.update(zip(names[new], slot[new].tolist()))
         self.uses[slot] += 1
         return slot
 
+    def _find(self, names: np.ndarray) -> np.ndarray:
+        return np.fromiter(map(self.slots.get, names, repeat(-1)), np.int64, len(names))
+
     def _learn(self, new: pa.Array) -> None:
-        chunks = new.to_pylist()
-        text = "\n".join(chunks)
-        pieces = _PRETOKEN.findall(text.lower() + "\n")
-        missing = list(set(pieces).difference(self.pretokens))
-        if len(self.pretokens) + len(missing) > COUNTED_PRETOKENS:
-            self.pretokens = {"\n": -1}
-            missing = list(set(pieces).difference(self.pretokens))
-        self.pretokens.update(zip(missing, (n for _, sizes in self.encoder._cut(missing) for n in sizes.tolist())))
-        counts = np.fromiter(map(self.pretokens.__getitem__, pieces), np.int64, len(pieces))
-        sizes = np.diff(np.cumsum(np.maximum(counts, 0))[counts < 0], prepend=0)
-        if _BEYOND.search(text) or any(a in text for a in self.encoder.added):
-            alone = pc.match_substring_regex(new, _BEYOND.pattern)
-            for added in self.encoder.added:
-                alone = pc.or_(alone, pc.match_substring(new, added))
-            odd = np.flatnonzero(alone.to_numpy(zero_copy_only=False))
-            sizes[odd] = [len(c) for c in self.encoder._library([chunks[i] for i in odd])]
-        words, ends = word_hashes(new)
+        lowered = pc.utf8_lower(new)
+        alone = pc.match_substring_regex(new, _BEYOND.pattern)
+        for added in self.encoder.added:
+            alone = pc.or_(alone, pc.match_substring(new, added))
+        plain = pc.if_else(alone, "", lowered)
+        sizes = np.concatenate([self._sizes(plain.slice(at, COUNTED_PRETOKENS)) for at in range(0, len(new), COUNTED_PRETOKENS)])
+        odd = np.flatnonzero(alone.to_numpy(zero_copy_only=False))
+        sizes[odd] = [len(c) for c in self.encoder._library(new.take(pa.array(odd)).to_pylist())]
+        words = np.fromiter((xxhash.xxh3_64_intdigest(w) | 1 if w else 0 for w in lowered.to_numpy(zero_copy_only=False)), np.uint64, len(new))
+        several = np.zeros(len(new), bool)
+        odd = np.flatnonzero(pc.match_substring_regex(new, _MAY_SPACE).to_numpy(zero_copy_only=False))
+        more, ends = word_hashes(new.take(pa.array(odd)))
         each = np.diff(ends)
-        first = np.concatenate([words, np.zeros(1, np.uint64)])[ends[:-1]]
-        self.sizes, self.words = np.concatenate([self.sizes, sizes]), np.concatenate([self.words, np.where(each > 0, first, np.uint64(0))])
-        self.several, self.uses = np.concatenate([self.several, each > 1]), np.concatenate([self.uses, np.zeros(len(chunks), np.int32)])
-        self.chunks = pa.concat_arrays([self.chunks, new])
+        words[odd], several[odd] = np.where(each > 0, np.concatenate([more, np.zeros(1, np.uint64)])[ends[:-1]], np.uint64(0)), each > 1
+        self.sizes, self.words = np.concatenate([self.sizes, sizes]), np.concatenate([self.words, words])
+        self.several, self.uses = np.concatenate([self.several, several]), np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+
+    def _sizes(self, chunks: pa.Array) -> np.ndarray:
+        """Numbers of ids of lowered chunks of letters below U+0130: a line for each pre-token and an empty one after each chunk."""
+        lines = pc.replace_substring_regex(chunks, _NARROW_PRETOKEN, "\\0\n")
+        if pc.any(pc.match_substring_regex(lines, _NARROW_SPACE)).as_py():
+            lines = pc.replace_substring_regex(lines, _NARROW_SPACE, "")
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_py() + "\n"
+        return np.diff(np.flatnonzero(self.fast.encode_to_numpy(text, disallowed_special=()) == self.line_end), prepend=-1) - 1
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

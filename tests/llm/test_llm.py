@@ -782,6 +782,46 @@ def test_counted_ids_and_words_against_the_library_and_word_hashes(monkeypatch):
     assert sizes.tolist() == want and (found == words).all() and (cuts == ends).all()
 
 
+def test_ids_of_new_words_are_counted_without_the_slow_library(monkeypatch):
+    """Many unlike words cost no call of the tokenizers library, and number as many ids as it says."""
+    rng = random.Random(5)
+    encoder = token_store.WordEncoder(token_store.default_tokenizer_path())
+    entries = [t.removesuffix("</w>") for t in encoder.tokenizer.get_vocab(False) if t.isascii()]
+    words = ["".join(rng.choices(entries, k=rng.randrange(1, 5))) for _ in range(20_000)] + ["a" * n for n in (99, 100, 499, 500, 501, 3_000)] + ["élan" * 200, "don't''ll", "!'s", "x\r", "1²\u00a0½", "É\x85é"]
+    texts = [" ".join(words[i : i + 40]) for i in range(0, len(words), 40)]
+    counter, library = token_store.WordCounter(encoder), encoder._library
+    want = [len(ids) for ids in library(texts)]
+    called = []
+    monkeypatch.setattr(encoder, "_library", lambda pieces: called.extend(pieces) or library(pieces))
+    assert counter.count(pa.array(texts))[0].tolist() == want
+    assert not called
+
+
+def test_counted_entries_are_given_themselves(tmp_path):
+    """What makes ids by lowest neighbours equal to ids by merges: the file's merges give every entry itself. A file with other merges is left to its own library."""
+    import json
+
+    path = token_store.default_tokenizer_path()
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in said["model"]["merges"]]
+    rank = {m: i for i, m in enumerate(merges)}
+    for entry in said["model"]["vocab"]:
+        symbols = [*entry[:-5], entry[-5:]] if entry.endswith("</w>") else list(entry)
+        while len(symbols) > 1:
+            at = min(range(len(symbols) - 1), key=lambda i: rank.get((symbols[i], symbols[i + 1]), len(rank)))
+            assert (symbols[at], symbols[at + 1]) in rank, entry
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+    ranks = token_store._ranks(path)
+    assert sorted(ranks.values()) == list(range(len(said["model"]["vocab"])))
+    said["model"]["merges"][:2] = said["model"]["merges"][1::-1]
+    (tmp_path / "other.json").write_text(json.dumps(said))
+    assert token_store._ranks(str(tmp_path / "other.json")) is None
+    texts = ["in the thin inn", None, ""]
+    other = token_store.WordEncoder(str(tmp_path / "other.json"))
+    assert token_store.WordCounter(other).count(pa.array(texts))[0].tolist() == [len(ids) for ids in other._library([t or "" for t in texts])]
+
+
 def test_bins_never_rule_out_a_similar_pair():
     rng = np.random.default_rng(3)
     for size in (1, 5, 60, 700, 9_000, 90_000):
