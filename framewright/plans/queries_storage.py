@@ -62,8 +62,7 @@ def snk02_append(spark, sf):
 @query(f"WITH {RECORDED}, k AS (SELECT episode_index, row_number() OVER (ORDER BY episode_index) - 1 AS new, (sum(length) OVER (ORDER BY episode_index) - length)::BIGINT AS start FROM l WHERE episode_index % 3 <> 1) SELECT new AS episode_index, frame_index, start + frame_index AS index, event_id FROM g JOIN k USING (episode_index)")
 def snk03_remove_from_storage(spark, sf):
     root = stored(spark, sf)
-    gone = E.read_episodes(spark, root).where("episode_index % 3 = 1").select("episode_index").toLocalIterator()
-    D.remove_episodes(spark, root, [r.episode_index for r in gone], chunk_size=10)
+    D.remove_episodes(spark, root, E.read_episodes(spark, root).where("episode_index % 3 = 1"), chunk_size=10)
     return E.read_frames(spark, root).select("episode_index", "frame_index", "index", "event_id")
 
 

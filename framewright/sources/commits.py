@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +21,8 @@ from framewright.sources import filesystem as fs
 
 LINES = ("episodes", "episodes_stats", "expert_frame_index")
 TRIES = 20
+#: Tasks among which the folders of a dataset are dealt.
+PARTS = 64
 
 
 def open_store(path: str):
@@ -29,6 +31,24 @@ def open_store(path: str):
     return store.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
 
 
+def names_in(store, folder: str) -> list[str]:
+    """Names in a directory, sorted; empty if there is none."""
+    from pyarrow import fs as arrow
+
+    return sorted(f.base_name for f in store.get_file_info(arrow.FileSelector(folder, allow_not_found=True)))
+
+
+def chunks_of(root: str) -> list[str]:
+    """The names of a dataset's ``data/chunk-*`` folders: one for many episodes, so few."""
+    store, folder = open_store(f"{root}/data")
+    return [name for name in names_in(store, folder) if name.startswith("chunk-")]
+
+
+def dealt(spark: SparkSession, chunks: list[str]) -> DataFrame:
+    """chunk: the names dealt out to tasks."""
+    return spark.createDataFrame(pa.table({"chunk": pa.array(chunks, pa.string())})).repartition(max(1, min(len(chunks), max(PARTS, spark.sparkContext.defaultParallelism))))
+
+
 def stream_lines(df: DataFrame, line: Column, order: Column, path: str, head: str = "", between: str = "\n", tail: str | None = None) -> None:
     """Lines in one file, in order, streamed by one task, perhaps with a head, a tail and another text between them. For tables of one row an episode or fewer."""
     last = between if tail is None else tail
@@ -90,17 +110,60 @@ def commit(spark: SparkSession, root: str, version: int, entry: dict, now: bool
     return True
 
 
+def _by_chunks(spark: SparkSession, chunks: list[str], work: Callable[[str], int]) -> int:
+    """Do something for each chunk's folder, by tasks; the sum of what it returns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(work(chunk) for batch in batches for chunk in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return dealt(spark, chunks).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] if chunks else 0
+
+
+def _moved(store, source: str, target: str) -> int:
+    """Rename over a file; 0 if the source, or the folder to move to, is gone, as another publisher was first."""
+    try:
+        store.move(source, target)
+    except FileNotFoundError:
+        return 0
+    except OSError:  # what other stores say
+        if store.get_file_info(source).is_file and store.get_file_info(target.rsplit("/", 1)[0]).type.name != "NotFound":
+            raise
+        return 0
+    return 1
+
+
 def _put_files(spark: SparkSession, staged: str, root: str, episodes: int, shrinks: bool) -> None:
-    """Staged frames replace what stands in their place; then files of episodes that are no more go."""
-    for chunk in fs.children(spark, f"{staged}/data"):
-        for name in fs.children(spark, f"{staged}/data/{chunk}"):
+    """Staged frames replace what stands in their place; then files of episodes that are no more go. Tasks rename, a chunk's files each.
+
+    Files that go are first moved below the staged folder. Who finishes a commit takes that folder away, so a slower publisher of the same commit can't move files that a later commit put there.
+    """
+
+    def put(chunk: str) -> int:
+        store, source = open_store(f"{staged}/data/{chunk}")
+        target = open_store(f"{root}/data/{chunk}")[1]
+        store.create_dir(target, recursive=True)
+        stale = {f for f in names_in(store, target) if f.endswith(".crc")}
+        n = 0
+        for name in names_in(store, source):
             if name.endswith(".parquet") and not name.startswith("."):
-                fs.take_place(spark, f"{staged}/data/{chunk}/{name}", f"{root}/data/{chunk}/{name}")
+                if f".{name}.crc" in stale:
+                    store.delete_file(f"{target}/.{name}.crc")
+                n += _moved(store, f"{source}/{name}", f"{target}/{name}")
+        return n
+
+    def drop(chunk: str) -> int:
+        store, folder = open_store(f"{root}/data/{chunk}")
+        gone = open_store(f"{staged}/gone")[1]
+        try:
+            store.create_dir(gone, recursive=False)
+        except OSError:  # the staged folder is gone: another publisher finished this commit
+            return 0
+        return sum(_moved(store, f"{folder}/{name}", f"{gone}/{chunk}-{name}") for name in names_in(store, folder) if name.startswith("episode_") and int(name.split("_")[1].split(".")[0]) >= episodes)
+
+    _by_chunks(spark, chunks_of(staged), put)
     if shrinks:
-        for chunk in fs.children(spark, f"{root}/data"):
-            for name in fs.children(spark, f"{root}/data/{chunk}"):
-                if name.startswith("episode_") and int(name.split("_")[1].split(".")[0]) >= episodes:
-                    fs.remove(spark, f"{root}/data/{chunk}/{name}")
+        _by_chunks(spark, chunks_of(root), drop)
 
 
 def publish(spark: SparkSession, root: str) -> None:
@@ -113,10 +176,12 @@ def publish(spark: SparkSession, root: str) -> None:
         for v in range(base, version + 1):
             said = entry if v == version else _entry(spark, root, v)
             staged, part = f"{root}/{said['staged']}", f"{root}/meta/parts/{_name(v)}"
-            _put_files(spark, staged, root, said["episodes"], said["shrinks"])
-            if fs.exists(spark, f"{staged}/meta") and not fs.exists(spark, part):
-                fs.take_place(spark, f"{staged}/meta", part)
-            fs.remove(spark, staged)
+            if fs.exists(spark, staged):  # else all of it is in place
+                _put_files(spark, staged, root, said["episodes"], said["shrinks"])
+                if fs.exists(spark, f"{staged}/meta") and not fs.exists(spark, part):
+                    fs.take_place(spark, f"{staged}/meta", part)
+                fs.take_place(spark, staged, f"{staged}.old")
+            fs.remove(spark, f"{staged}.old")
         for kind in LINES:
             rows = lines_of(spark, [f"{root}/meta/parts/{_name(v)}/{kind}.jsonl" for v in range(base, version + 1)])
             if entry["kinds"].get(kind):

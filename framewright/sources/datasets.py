@@ -1,6 +1,6 @@
 """Writing episode datasets on storage: append, delete, merge, metadata, label documents, statistics, shards and snapshots.
 
-Frames are written by tasks, an episode a file; the driver only renames files and writes small documents. Tables of one row an episode (``meta/*.jsonl``) are written as one file by one task, which
+Frames are written, renamed and read by tasks, an episode a file; the driver only writes small documents. Tables of one row an episode (``meta/*.jsonl``) are written as one file by one task, which
 streams them in order. A change is staged, committed under a number and published (``sources/commits.py``): two writers come one after the other, an error before the commit leaves no trace, and a change that was committed
 is finished by whoever comes next. Appends read the new frames only.
 """
@@ -54,25 +54,91 @@ def _written(df: DataFrame, root: str, chunk_size: int, fps: float) -> DataFrame
     if "index" not in df.columns:
         counts = df.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"))
         df = renumber_episodes(df, counts).drop("new_episode")
-    rows = df.withColumns({"timestamp": (F.col("frame_index") / fps).cast("float"), "_chunk": chunk_of("episode_index", chunk_size)})
+    return _files(_timed(df, fps), root, chunk_size)
 
-    def write(table: pa.Table) -> pa.Table:
+
+def _timed(df: DataFrame, fps: float) -> DataFrame:
+    return df.withColumn("timestamp", (F.col("frame_index") / fps).cast("float"))
+
+
+def _files(df: DataFrame, root: str, chunk_size: int) -> DataFrame:
+    """An episode a file. A task streams its episodes, in order, a row group at a time."""
+    rows = df.withColumn("_chunk", chunk_of("episode_index", chunk_size)).repartition("episode_index").sortWithinPartitions("episode_index", "frame_index")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Rows of one episode, a row group at most."""
+        for batch in batches:
+            episodes = batch.column(batch.schema.get_field_index("episode_index")).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(episodes[1:] != episodes[:-1]) + 1).tolist(), len(episodes)]
+            table = pa.Table.from_batches([batch])
+            for start, end in zip(cuts, cuts[1:]):
+                for at in range(start, end, ROWS_A_GROUP):
+                    yield table.slice(at, min(end - at, ROWS_A_GROUP))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
-        episode, chunk = table["episode_index"][0].as_py(), table["_chunk"][0].as_py()
-        path = f"{root}/data/chunk-{chunk:03d}/{EPISODE_FILE.format(episode)}"
-        target_store, target = commits.open_store(path)
-        target_store.create_dir(os.path.dirname(target), recursive=True)
-        part = f"{os.path.dirname(target)}/.{uuid.uuid4().hex}.part"
-        with target_store.open_output_stream(part) as out:
-            pq.write_table(table.drop_columns(["_chunk"]).sort_by("frame_index"), out, row_group_size=ROWS_A_GROUP)
-        target_store.move(part, target)
-        return pa.table({"episode_index": pa.array([episode], pa.int64()), "path": [path], "length": pa.array([table.num_rows], pa.int64())})
-
-    written = rows.groupBy("episode_index").applyInArrow(write, "episode_index long, path string, length long")
+        made, listed = set(), []
+        open_episode, held, n, end = None, [], 0, None
+
+        def flush(most: int) -> None:
+            """Write full row groups; with 0 all that is held."""
+            nonlocal held
+            whole = pa.concat_tables(held)
+            rows = whole.num_rows - (whole.num_rows % most if most else 0)
+            if rows:
+                end[0].write_table(whole.slice(0, rows).combine_chunks(), row_group_size=ROWS_A_GROUP)
+            held = [whole.slice(rows)]
+
+        def close() -> None:
+            nonlocal held
+            flush(0)
+            writer, out, store, part, target, path = end
+            writer.close()
+            out.close()
+            store.move(part, target)
+            listed.append((open_episode, path, n))
+            held = []
+
+        def said() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"episode_index": pa.array([r[0] for r in listed], pa.int64()), "path": pa.array([r[1] for r in listed], pa.string()), "length": pa.array([r[2] for r in listed], pa.int64())})
+
+        for piece in pieces(batches):
+            episode = piece["episode_index"][0].as_py()
+            if episode != open_episode or end is None:
+                if end is not None:
+                    close()
+                    if len(listed) >= 4096:
+                        yield said()
+                        listed = []
+                path = f"{root}/data/chunk-{piece['_chunk'][0].as_py():03d}/{EPISODE_FILE.format(episode)}"
+                store, target = commits.open_store(path)
+                folder = os.path.dirname(target)
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                part = f"{folder}/.{uuid.uuid4().hex}.part"
+                out = store.open_output_stream(part)
+                end = pq.ParquetWriter(out, piece.schema.remove(piece.schema.get_field_index("_chunk"))), out, store, part, target, path
+                open_episode, n = episode, 0
+            held.append(piece.drop_columns(["_chunk"]))
+            n += piece.num_rows
+            if sum(t.num_rows for t in held) >= ROWS_A_GROUP:
+                flush(ROWS_A_GROUP)
+        if end is not None:
+            close()
+        yield said()
+
+    written = rows.mapInArrow(write, "episode_index long, path string, length long")
     # one row an episode; written once and kept, so that nothing of it is computed twice
     written.write.mode("overwrite").parquet(f"{root}/.written")
-    return df.sparkSession.read.parquet(f"{root}/.written")
+    return df.sparkSession.read.schema("episode_index long, path string, length long").parquet(f"{root}/.written")
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    """df in a few files, for the several passes that metadata takes over it."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_lines(df: DataFrame, path: str, order: str) -> None:
@@ -106,12 +172,13 @@ def write_metadata(spark: SparkSession, root: str, tasks: dict[int, str] | None
         version, staged = commits.latest(spark, root), f".staged-{uuid.uuid4().hex}"
         done = False
         try:
-            frames = E.read_frames(spark, root)
+            frames = _kept(E.read_frames(spark, root), f"{root}/{staged}/rows")
             _stage_metadata(frames, f"{root}/{staged}/meta", tasks or {})
             eps = commits.lines_of(spark, [f"{root}/{staged}/meta/episodes.jsonl"])
             found = eps.agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("line", "$.length").cast("long")).alias("frames")).first()
             numbers = frames.select(F.col("task_index").cast("long")).distinct().toLocalIterator() if "task_index" in frames.columns else [(0,)]
             used = {i: (tasks or {}).get(i, "") for (i,) in numbers}  # tasks are few
+            fs.remove(spark, f"{root}/{staged}/rows")
             done = commits.commit(spark, root, version + 1, _entry_of(frames, staged, found.n, found.frames or 0, used, fps, chunk_size, base=True))
         finally:
             if not done:
@@ -162,61 +229,80 @@ def append_episodes(df: DataFrame, root: str, task: str, fps: float = FPS, chunk
     commits.recover(spark, root)
     if not commits.latest(spark, root) and fs.exists(spark, f"{root}/meta/info.json"):
         _adopt(spark, root)
-    counts = df.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"))
-    for _ in range(commits.TRIES):
-        version, former = commits.head(spark, root)
-        tasks = {int(i): name for i, name in former["tasks"].items()} if former else {}
-        number = next((i for i, name in tasks.items() if name == task), max(tasks, default=-1) + 1)
-        rows = df.withColumn("task_index", F.lit(number).cast("long"))
-        if former and (wrong := contract_differences(former, rows, fps)):
-            raise ValueError(f"the frames don't fit the dataset: {wrong}")
-        episodes, total, chunks = (former["episodes"], former["frames"], former["chunks_size"]) if former else (0, 0, chunk_size)
-        placed = renumber_episodes(rows, counts).withColumns({"episode_index": F.col("new_episode") + episodes, "index": F.col("index") + total}).drop("new_episode")
-        staged, done = f".staged-{uuid.uuid4().hex}", False
-        try:
-            listing = _written(placed, f"{root}/{staged}", chunks, fps).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("frames")).first()
-            if not listing.n:
+    mine = f"{root}/.staged-{uuid.uuid4().hex}"
+    try:
+        # numbered from 0 and kept, so that another try after another writer's commit only shifts numbers
+        counts = df.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"))
+        numbered = renumber_episodes(df, counts).withColumn("episode_index", F.col("new_episode")).drop("new_episode")
+        for _ in range(commits.TRIES):
+            if _try_append(spark, root, numbered, f"{mine}/rows", task, fps, chunk_size, publish):
                 return
-            frames = E.read_frames(spark, f"{root}/{staged}")
-            _stage_metadata(frames, f"{root}/{staged}/meta", {**tasks, number: task})
-            done = commits.commit(spark, root, version + 1, _entry_of(frames, staged, episodes + listing.n, total + listing.frames, {**tasks, number: task}, fps, chunks, base=not former), publish)
-        finally:
-            if not done and commits.latest(spark, root) in (version, 0):
-                fs.remove(spark, f"{root}/{staged}")
-        if done:
-            return
-        fs.remove(spark, f"{root}/{staged}")
+    finally:
+        fs.remove(spark, mine)
     raise RuntimeError(f"others committed in each of {commits.TRIES} tries")
 
 
-def remove_episodes(spark: SparkSession, root: str, gone: list[int], chunk_size: int = CHUNK) -> None:
-    """Delete episodes; later ones move up and indices have no gaps. Episodes before the first one that goes are neither read nor written."""
+def _try_append(spark: SparkSession, root: str, numbered: DataFrame, path: str, task: str, fps: float, chunk_size: int, publish: bool) -> bool:
+    """Stage episodes numbered from 0 behind the last commit's, and commit; False if another writer was first. path: where the rows are kept from the first try on."""
+    version, former = commits.head(spark, root)
+    tasks = {int(i): name for i, name in former["tasks"].items()} if former else {}
+    number = next((i for i, name in tasks.items() if name == task), max(tasks, default=-1) + 1)
+    if former and (wrong := contract_differences(former, numbered.withColumn("task_index", F.lit(number).cast("long")), fps)):
+        raise ValueError(f"the frames don't fit the dataset: {wrong}")
+    if not fs.exists(spark, f"{path}/_SUCCESS"):
+        fs.remove(spark, path)
+        _kept(numbered, path)
+    episodes, total, chunks = (former["episodes"], former["frames"], former["chunks_size"]) if former else (0, 0, chunk_size)
+    rows = spark.read.schema(numbered.schema).parquet(path).withColumn("task_index", F.lit(number).cast("long"))
+    placed = _timed(rows.withColumns({"episode_index": F.col("episode_index") + episodes, "index": F.col("index") + total}), fps)
+    staged, done = f".staged-{uuid.uuid4().hex}", False
+    try:
+        listing = _files(placed, f"{root}/{staged}", chunks).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("frames")).first()
+        if not listing.n:
+            fs.remove(spark, f"{root}/{staged}")
+            return True
+        frames = E.plain(placed)
+        _stage_metadata(frames, f"{root}/{staged}/meta", {**tasks, number: task})
+        done = commits.commit(spark, root, version + 1, _entry_of(frames, staged, episodes + listing.n, total + listing.frames, {**tasks, number: task}, fps, chunks, base=not former), publish)
+    finally:
+        if not done and commits.latest(spark, root) in (version, 0):
+            fs.remove(spark, f"{root}/{staged}")
+    if not done:
+        fs.remove(spark, f"{root}/{staged}")
+    return done
+
+
+def remove_episodes(spark: SparkSession, root: str, gone: list[int] | DataFrame, chunk_size: int = CHUNK) -> None:
+    """Delete episodes, a list or the ``episode_index`` of a table; later ones move up and indices have no gaps. Episodes before the first one that goes are neither read nor written."""
+    gone = gone.select(F.col("episode_index").cast("long")) if isinstance(gone, DataFrame) else spark.createDataFrame([(g,) for g in sorted({*gone})], "episode_index long")
     commits.recover(spark, root)
     if not commits.latest(spark, root):
         _adopt(spark, root)
     for _ in range(commits.TRIES):
         version, former = commits.head(spark, root)
-        wanted = sorted({g for g in gone if 0 <= g < former["episodes"]})
-        if not wanted:
+        wanted = gone.where((F.col("episode_index") >= 0) & (F.col("episode_index") < former["episodes"]))
+        first, chunks = wanted.agg(F.min("episode_index")).first()[0], former["chunks_size"]
+        if first is None:
             return
-        first, chunks = wanted[0], former["chunks_size"]
         tasks = {int(i): name for i, name in former["tasks"].items()}
         eps = E.read_episodes(spark, root).select("episode_index", "length", "from_index")
         start = eps.where(F.col("episode_index") == first).first().from_index
-        later = E.read_frames(spark, root).where(F.col("episode_index") > first).drop("index")
-        kept = datasets.delete_episodes(later, eps.where(F.col("episode_index") > first).select("episode_index", "length"), spark.createDataFrame([(g,) for g in wanted], "episode_index long"))
+        later = E.read_frames(spark, root, after=first).drop("index")
+        kept = datasets.delete_episodes(later, eps.where(F.col("episode_index") > first).select("episode_index", "length"), wanted)
         placed = kept.withColumn("episode_index", F.col("new_episode") + first).drop("new_episode").withColumn("index", F.col("index") + start)
         staged, done = f".staged-{uuid.uuid4().hex}", False
         folder = f"{root}/{staged}"
         try:
-            listing = _written(placed, folder, chunks, former["fps"]).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("frames")).first()
-            frames = E.read_frames(spark, folder) if listing.n else later.withColumn("index", F.lit(0).cast("long")).limit(0)
+            rows = _kept(_timed(placed, former["fps"]), f"{folder}/rows")
+            listing = _files(rows, folder, chunks).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("frames")).first()
+            frames = E.plain(rows)
             _stage_metadata(frames, f"{folder}/new", tasks)
             for kind in commits.LINES:
                 rows = commits.lines_of(spark, [f"{root}/meta/{kind}.jsonl"]).where(F.col("episode_index") < first).unionByName(commits.lines_of(spark, [f"{folder}/new/{kind}.jsonl"]))
                 if former["kinds"][kind]:
                     commits.stream_lines(rows, F.col("line"), F.col("episode_index"), f"{folder}/meta/{kind}.jsonl")
             states.read_states(spark, commits.parts(spark, root, "states")).where(F.col("episode_index") < first).unionByName(states.read_states(spark, [f"{folder}/new/states"])).write.parquet(f"{folder}/meta/states")
+            fs.remove(spark, f"{folder}/rows")
             entry = {**_entry_of(frames, staged, first + listing.n, start + (listing.frames or 0), tasks, former["fps"], chunks, base=True, shrinks=True), "features": former["features"], "kinds": former["kinds"]}
             done = commits.commit(spark, root, version + 1, entry)
         finally:
@@ -343,7 +429,7 @@ def gather_stored(spark: SparkSession, root: str, requests: DataFrame, columns:
     width = max(1, -(-info["total_frames"] // max(1, info["total_episodes"])))
     placed = range_join(requests.select("place", "index"), eps, "index", "from_index", "to_index", [], width)
     placed = placed.select("place", "episode_index", (F.col("index") - F.col("from_index")).alias("frame_index"), (F.col("to_index") - F.col("from_index")).alias("length"), chunk_of("episode_index", info["chunks_size"]).alias("chunk"))
-    kinds = dict(spark.read.parquet(f"{root}/data/chunk-*").select(*columns).dtypes) if columns else {}
+    kinds = {c: E.file_schema(spark, root)[c].dataType.simpleString() for c in columns}
 
     def read(asked: pa.Table) -> pa.Table:
         import pyarrow.parquet as pq

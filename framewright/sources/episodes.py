@@ -1,28 +1,89 @@
 """Readers and writers of episode datasets: a directory with ``meta/`` (JSON, JSON lines) and ``data/chunk-*/episode_*.parquet``.
 
-Paths go through Spark's readers, so any Hadoop file system works.
+Frames are read by tasks through pyarrow's file systems, everything else through Spark's readers, so any Hadoop file system works.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from framewright.operators.windows import running_offset
+from framewright.sources import commits
 
 NAMES = {"observation.state": "state"}
+NUMBER = re.compile(r"episode_(\d+)\.parquet")
+#: What a reader gathers from small files before it hands rows to Spark.
+BATCH_ROWS, BATCH_BYTES = 16_384, 1 << 24
 EPISODES = "episode_index long, tasks array<string>, length long, num_frames long, episode_length long, dataset_from_index long, dataset_to_index long"
 
 
-def read_frames(spark: SparkSession, root: str) -> DataFrame:
-    """All frames; dots in column names become underscores (``observation.state`` is ``state``), NaN in floats becomes null."""
-    df = spark.read.parquet(f"{root}/data/chunk-*")
+def plain(df: DataFrame) -> DataFrame:
+    """Dots in column names become underscores (``observation.state`` is ``state``), NaN in floats becomes null."""
     df = df.select(*[F.col(f"`{c}`").alias(NAMES.get(c, c.replace(".", "_"))) for c in df.columns])
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
 
 
+def read_frames(spark: SparkSession, root: str, after: int | None = None) -> DataFrame:
+    """All frames, or those of episodes ``after`` one; ``plain``. Tasks list and read the files, a chunk's folder each, so the driver holds no file names; it reads one file's schema.
+
+    Stores that pyarrow doesn't know are read by Spark, which lists all files in the driver.
+    """
+    try:
+        chunks = commits.chunks_of(root)
+        schema = file_schema(spark, root, chunks)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        chunks, schema = [], None
+    if schema is None:  # no such store, or no file: an error
+        return _later(plain(spark.read.parquet(f"{root}/data/chunk-*")), after)
+    wanted = to_arrow_schema(schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        held, size, rows = [], 0, 0
+        for batch in batches:
+            for chunk in batch.column(0).to_pylist():
+                store, folder = commits.open_store(f"{root}/data/{chunk}")
+                for name in commits.names_in(store, folder):
+                    if name.startswith((".", "_")) or (after is not None and (number := NUMBER.fullmatch(name)) and int(number[1]) <= after):
+                        continue
+                    with store.open_input_file(f"{folder}/{name}") as file:
+                        parquet = pq.ParquetFile(file)
+                        there = set(parquet.schema_arrow.names)
+                        for part in parquet.iter_batches(8192, columns=[c for c in wanted.names if c in there], use_threads=False):
+                            held.append(pa.Table.from_arrays([part[f.name].cast(f.type) if f.name in there else pa.nulls(part.num_rows, f.type) for f in wanted], schema=wanted))
+                            size, rows = size + part.nbytes, rows + part.num_rows
+                            if size > BATCH_BYTES or rows > BATCH_ROWS:
+                                yield from pa.concat_tables(held).combine_chunks().to_batches()
+                                held, size, rows = [], 0, 0
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+    return _later(plain(commits.dealt(spark, chunks).mapInArrow(read, schema)), after)
+
+
+def _later(frames: DataFrame, after: int | None) -> DataFrame:
+    return frames if after is None else frames.where(F.col("episode_index") > after)
+
+
+def file_schema(spark: SparkSession, root: str, chunks: list[str] | None = None) -> T.StructType | None:
+    """The schema that Spark reads from a dataset's first file, None if there is no file."""
+    for chunk in commits.chunks_of(root) if chunks is None else chunks:
+        store, folder = commits.open_store(f"{root}/data/{chunk}")
+        for name in commits.names_in(store, folder):
+            if not name.startswith((".", "_")):
+                return spark.read.parquet(f"{root}/data/{chunk}/{name}").schema
+    return None
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; blank lines give no row."""
     return spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", schema).alias("r")).select("r.*")

@@ -6,6 +6,7 @@ import os
 import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -98,20 +99,23 @@ def move(spark: SparkSession, source: str, target: str) -> None:
 
 
 def take_place(spark: SparkSession, source: str, target: str) -> None:
-    """Rename in place of what stands there. Doing it again, or at the same time as another writer, changes nothing."""
-    if exists(spark, source):
-        remove(spark, target)
-        try:
-            move(spark, source, target)
-        except OSError:
-            if not exists(spark, target):
-                raise
+    """Rename to where nothing stands yet. Doing it again, or at the same time as another writer, changes nothing: there is one source, and who comes second finds it gone."""
+    try:
+        move(spark, source, target)
+    except (OSError, Py4JJavaError):
+        if exists(spark, source):
+            raise
 
 
 def children(spark: SparkSession, path: str) -> list[str]:
-    """Names in a directory, sorted; empty if there is none."""
+    """Names in a directory, sorted; empty if there is none, or none any more."""
     store, at = _at(spark, path)
-    return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []
+    try:
+        return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []
+    except Py4JJavaError:
+        if store.exists(at):
+            raise
+        return []
 
 
 def walk(spark: SparkSession, path: str) -> list[str]:
