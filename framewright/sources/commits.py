@@ -181,7 +181,10 @@ def publish(spark: SparkSession, root: str) -> None:
                 if fs.exists(spark, f"{staged}/meta") and not fs.exists(spark, part):
                     fs.take_place(spark, f"{staged}/meta", part)
                 fs.take_place(spark, staged, f"{staged}.old")
-            fs.remove(spark, f"{staged}.old")
+            for _ in range(TRIES):  # two that delete one folder at once may each leave what the other was at
+                fs.remove(spark, f"{staged}.old")
+                if not fs.exists(spark, f"{staged}.old"):
+                    break
         for kind in LINES:
             rows = lines_of(spark, [f"{root}/meta/parts/{_name(v)}/{kind}.jsonl" for v in range(base, version + 1)])
             if entry["kinds"].get(kind):
