@@ -45,8 +45,9 @@ def chunks_of(root: str) -> list[str]:
 
 
 def dealt(spark: SparkSession, chunks: list[str]) -> DataFrame:
-    """chunk: the names dealt out to tasks."""
-    return spark.createDataFrame(pa.table({"chunk": pa.array(chunks, pa.string())})).repartition(max(1, min(len(chunks), max(PARTS, spark.sparkContext.defaultParallelism))))
+    """chunk: the names dealt out to tasks. By an RDD and without a shuffle, so that Spark never takes rows that tasks make of them for as few as the names, and broadcasts them."""
+    context = spark.sparkContext
+    return spark.createDataFrame(context.parallelize([(c,) for c in chunks], max(1, min(len(chunks), max(PARTS, context.defaultParallelism)))), "chunk string")
 
 
 def stream_lines(df: DataFrame, line: Column, order: Column, path: str, head: str = "", between: str = "\n", tail: str | None = None) -> None:
